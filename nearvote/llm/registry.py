@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nearvote.llm import exact_dedup
+from nearvote.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 
