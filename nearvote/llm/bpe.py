@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.common import by_size, filled, table
@@ -253,8 +254,8 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def flattened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column one after another, and where each row begins and ends."""
-    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    return pa.compute.list_flatten(column).to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows in an Arrow batch. Long texts are cut again by size inside the tasks.
@@ -55,7 +56,7 @@ def by_size(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20)
     """Cut batches so that the texts of each hold about `most` bytes, or one row."""
     for batch in batches:
         begun = held = 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(sizes):
             if held and held + n > most:
                 yield batch.slice(begun, i - begun)
