@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from nearvote.llm import bpe, exact_dedup
+from nearvote.llm import bpe, exact_dedup, mixing, secrets
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_secret_ledger": secrets.op10_secret_ledger,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
 }
