@@ -76,20 +76,15 @@ def cuts_of(df: DataFrame, column: str, parts: int, error: float = 0.002) -> lis
 
 
 def range_of(column: Column, cuts: list) -> Column:
-    """The number of the range that a value falls in: how many cuts are at or below it. Null: 0."""
-    if not cuts:
-        return F.lit(0)
-    return F.when(column.isNull(), 0).otherwise(
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= column)) if len(cuts) <= 8 else _bisected(column, cuts, 0)
-    )
-
+    """The number of the range that a value falls in: how many cuts are at or below it. Null: 0.
 
-def _bisected(column: Column, cuts: list, base: int) -> Column:
-    """A balanced tree of comparisons; the depth is the logarithm of the number of cuts."""
+    A binary search in one array; its steps are the powers of two below the number of cuts.
+    """
     if not cuts:
-        return F.lit(base)
-    mid = len(cuts) // 2
-    return F.when(column < F.lit(cuts[mid]), _bisected(column, cuts[:mid], base)).otherwise(_bisected(column, cuts[mid + 1 :], base + mid + 1))
+        return F.lit(0)
+    held = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(held, low + step - 1) <= column, low + step).otherwise(low))
 
 
 def partitions(spark: SparkSession) -> int:

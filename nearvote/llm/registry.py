@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearvote.llm import bpe, exact_dedup, mixing, secrets
+from nearvote.llm import bpe, exact_dedup, fingerprints, mixing, secrets
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_ledger": secrets.op10_secret_ledger,
 }
