@@ -10,9 +10,11 @@ from the library's BPE model. So a long text is never held as one list of token
 from __future__ import annotations
 
 import base64
+import contextlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +23,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.common import by_size, filled, table
 
+#: White space as the patterns of the tokenizers have it.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: No match of the pattern crosses the place between a character and white space after it.
-PIECE = re.compile(r"\s*\S+|\s+")
-TWO_SPACES = re.compile(r"\s\s")
-#: What a worker keeps of pieces and of words, twice at most. Longer ones aren't kept. About 150 MB in all.
-KEPT, KEPT_CHARS = 250_000, 40
-
-
-class Kept(dict):
-    """A bounded table in two generations: what was used since the last turn survives the next one."""
-
-    def __init__(self, most: int = KEPT) -> None:
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = found = self.old[key]
+PIECE = re.compile(SPACE + "*" + SPACE.replace("[", "[^", 1) + "+|" + SPACE + "+")
+TWO_SPACES = re.compile(SPACE + SPACE)
+#: What a worker keeps of pieces and of words, twice at most. Longer ones aren't kept. About 300 MB in all.
+KEPT, KEPT_CHARS = 500_000, 40
+
+
+class Kept:
+    """What `make` gives for a key, kept in two generations: what was used since the last turn survives the next one."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = KEPT) -> None:
+        self.make, self.most, self.new, self.old = make, most, {}, {}
+
+    def one(self, key: str) -> bytes:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(key) <= KEPT_CHARS:
+                self.new[key] = found
         return found
 
+    def joined(self, keys: list[str]) -> bytes:
+        found = list(map(self.new.get, keys))
+        at = -1
+        with contextlib.suppress(ValueError):
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self.one(keys[at])
+        return b"".join(found)
+
     def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
 
 
 def byte_characters() -> list[str]:
@@ -121,7 +138,8 @@ class ByteBpe:
         said = lambda b: b.decode("latin-1").translate(self.letters)
         self.model = models.BPE(vocab={said(k): v for k, v in self.ranks.items()}, merges=[(said(a), said(b)) for a, b in merges_of(self.ranks)], cache_capacity=0)
         self.overlaps = ambiguous_overlaps(self.ranks)
-        self.pieces, self.known = Kept(), Kept()
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.pieces, self.known = Kept(self.keyed), Kept(self.word)
         self.table: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.table[i] = token
@@ -134,21 +152,15 @@ class ByteBpe:
     def word(self, word: str) -> bytes:
         raw = word.encode()
         if self.overlaps is not None and next(self.overlaps.iter(raw.decode("latin-1")), None):
-            return np.array(by_ranks(raw, self.ranks), self.dtype).tobytes()
-        return np.array([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+            return array(self.code, by_ranks(raw, self.ranks)).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece, word by word."""
-        found = []
-        for word in self.words(piece):
-            try:
-                ids = self.known[word]
-            except KeyError:
-                ids = self.word(word)
-                if len(word) <= KEPT_CHARS:
-                    self.known[word] = ids
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self.known.one, self.words(piece)))
+
+    def keyed(self, key: str) -> bytes:
+        return self.piece(key if key[:1] == "\n" else " " + key)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes.
@@ -164,18 +176,7 @@ class ByteBpe:
         if TWO_SPACES.search(text):
             return b"".join(map(self.piece, PIECE.findall(text)))
         first, *keys = text.replace("\n", " \n").split(" ")
-        try:
-            rest = b"".join(map(self.pieces.__getitem__, keys))
-        except KeyError:
-            held = {}
-            for key in set(keys):
-                try:
-                    held[key] = self.pieces[key]
-                except KeyError:
-                    held[key] = ids = self.piece(key if key[:1] == "\n" else " " + key)
-                    if len(key) <= KEPT_CHARS:
-                        self.pieces[key] = ids
-            rest = b"".join(map(held.__getitem__, keys))
+        rest = self.pieces.joined(keys)
         return self.piece(first) + rest if first else rest
 
     def ids(self, raw: bytes) -> np.ndarray:
