@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from nearvote.llm import bpe, exact_dedup, fingerprints, minhash, mixing, secrets, token_files
+from nearvote.llm import bpe, cotraining, exact_dedup, fingerprints, minhash, mixing, secrets, token_files, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_minhash": minhash.op6_minhash,
+    "op7_quality": cotraining.op7_quality,
     "op8_token_files": token_files.op8_token_files,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_ledger": secrets.op10_secret_ledger,
