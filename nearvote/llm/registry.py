@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nearvote.llm import bpe, cotraining, exact_dedup, fingerprints, minhash, mixing, secrets, token_files, toxicity
+from nearvote.llm import bpe, chat, cotraining, exact_dedup, fingerprints, minhash, mixing, secrets, token_files, toxicity
 
 QUERIES = {
+    "op1_chat_tree": chat.op1_chat_tree,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
