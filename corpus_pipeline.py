@@ -1,14 +1,56 @@
-"""The corpus pipeline: stages of operators, applied to documents in order."""
+"""The corpus pipeline: from raw documents to token ids of a mix without toxic texts and copies.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from nearvote.llm.bpe import digests, public_ranks, round_trip
+from nearvote.llm.common import prepare, stored, table
+from nearvote.llm.exact_dedup import deduplicated
+from nearvote.llm.minhash import near_duplicates
+from nearvote.llm.mixing import drawn
+from nearvote.llm.toxicity import toxicity_chain, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: texts that the classifier chain rejects go. It is fitted on labelled rows of these documents."""
+    prepare(spark)
+    return without_toxic(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of equal texts the row with the largest doc_id stays."""
+    prepare(spark)
+    return deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each component of near-duplicates the document with the smallest doc_id stays."""
+    prepare(spark)
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the blocks of words that the mix takes, as rows of documents; those taken twice stand twice."""
+    prepare(spark)
+    return drawn(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: token ids of each row, and digests of the ids and of the bytes that they decode to."""
+    prepare(spark)
+    rows = round_trip(docs, *public_ranks())
+    return digests(rows, carry=("ids",))
 
-from nearvote.llm.common import stored, table
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("byte_bpe", byte_bpe)]
 
-#: Byte-level BPE can't be expressed in SQL.
+#: Classifiers and byte-level BPE can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -273,9 +273,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return rows.mapInArrow(work, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(rows: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of the rows of `round_trip`: id, number of ids, hashes of the decimal ids and of the decoded bytes, and the columns in `carry`."""
     return rows.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"),
+        id_col, *carry, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

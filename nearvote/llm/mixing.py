@@ -32,6 +32,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def key_of(source: str) -> Column:
+    """A string that isn't null and sorts as the sources do, null last."""
+    return F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source)))
+
+
 def seeded(seed: int, *parts: Column) -> Column:
     """Hex digits that put rows into a seeded order, the same on every run and engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
@@ -82,8 +87,8 @@ def mixed(
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: of documents (id, source, size, source_size, target, taken), and of the blocks that are taken.
 
-    The second has id, copy, pass, begin, length: that the words [begin, begin + length) of a document
-    are taken for the first, second, ... time; pieces of one block each.
+    The second has id, key (of the source), size, copy, pass, begin, length: that the words [begin, begin
+    + length) of a document are taken for the first, second, ... time; pieces of one block each.
 
     Null text has no words; a null source is a source of its own, the last in order. A source of no words
     has target 0, a document of no words has taken 0. Rows repeated under one id are documents of their
@@ -91,8 +96,7 @@ def mixed(
     gives no rows. Other columns don't matter. Each source's taken words differ from its target by about
     a block, and no document is taken more than `most` times. Reruns agree.
     """
-    key = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col)))  # null comes last
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), words_of(filled(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), key_of(source_col).alias("key"), words_of(filled(text_col)).alias("size"))
     rows = rows.groupBy("id", "key", "size").agg(F.count(F.lit(1)).alias("copies")).checkpoint()
 
     sources = targets(rows.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), share, most, weights)
@@ -127,12 +131,36 @@ def mixed(
     taken = taken.unionByName(each.filter("size = 0").select(*document, F.lit(0).cast("long").alias("taken")))
     result = taken.select(F.col("id").alias(id_col), F.when(F.col("key") != "1", F.substring("key", 2, 1 << 30)).alias(source_col), "size", "source_size", "target", "taken")
     blocks = pieces.filter("times > 0").select(
-        F.col("id").alias(id_col), "copy", "size", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("pass"),
+        F.col("id").alias(id_col), "key", "size", "copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("pass"),
         (F.col("from") - F.col("begin")).alias("begin"), (F.col("to") - F.col("from")).alias("length"),
     )
     return result, blocks
 
 
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
+    """The mix itself: rows of `docs`, each with the words that are taken for the first time, and again for the second.
+
+    A document of which all words are taken keeps its text as it is; else the text is what the blocks
+    hold, with the white space between their words, and `chars_col`, if there is one, its length. A
+    document of which no word is taken isn't there. Other columns stay.
+    """
+    _, blocks = mixed(docs, id_col, text_col, source_col, **how)
+    by = ["_id", "_key", "_size", "_copy"]
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_id")
+    takes = blocks.select(ident, F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "pass", F.struct("begin", "length").alias("piece"))
+    takes = takes.groupBy(*by, "pass").agg(F.array_sort(F.collect_list("piece")).alias("_pieces"), F.sum("piece.length").alias("_words")).drop("pass")
+
+    rows = docs.select("*", ident, key_of(source_col).alias("_key"), words_of(filled(text_col)).alias("_size"))
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64(text_col))).cast("long"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["length"].cast("int")))), "")
+    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", ""))
+    found = rows.join(takes, by).withColumn(text_col, text)
+    if chars_col in docs.columns:
+        found = found.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return found.select(*docs.columns)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     result, _ = mixed(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "size", "source_size", "target", "taken")
