@@ -1 +1 @@
-"""."""
+"""Scoring of card transactions by their nearest labelled neighbours, on Spark."""

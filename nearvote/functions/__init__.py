@@ -1 +1 @@
-"""."""
+"""Column expressions: features, quantization, distances."""

@@ -1 +1 @@
-"""."""
+"""Search, index building, evaluation and learning."""
