@@ -8,13 +8,17 @@ not alike; what remains is confirmed on the full sets.
 Equal sets count once. In each bucket all meet a few leaders, which links most groups without all
 pairs. Then, in buckets that still hold several components, members outside the largest one meet all
 members whose component is another, so no pair of a bucket that could join two components is left out.
-The chance that a pair at the limit meets in no band is 5e-6, that its sketches differ too much 1e-6.
+There a family of texts that are only nearly alike enough has many pairs; a second sketch, of 2048
+samples in 8192 bits, drops those below a similarity of about 0.7 inside the join.
+The chance that a pair at the limit meets in no band is 5e-6, that its sketches differ too much 1e-6 each.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ from nearvote.llm.components import components
 
 SHINGLE = 5
 SAMPLES, BANDS, BITS = 128, 32, 512
+#: Samples and bits of the second sketch.
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Leaders of a bucket: the first in as many orders of ids.
@@ -60,11 +66,12 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def samples(of: np.ndarray) -> np.ndarray:
+def samples(of: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
     """The MinHash samples of a set that isn't empty."""
-    found = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(of), 4096):
-        found = np.minimum(found, (_MULTIPLIERS[:, None] * of[None, i : i + 4096]).min(axis=1))
+    found = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 19) // len(multipliers))
+    for i in range(0, len(of), step):
+        found = np.minimum(found, (multipliers[:, None] * of[None, i : i + step]).min(axis=1))
     return found
 
 
@@ -77,27 +84,28 @@ def bands(of: np.ndarray) -> np.ndarray:
     return key
 
 
-def odd_sketch(of: np.ndarray) -> np.ndarray:
+def odd_sketch(of: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The parity of how many samples fall on each bit, as 64-bit words."""
-    at = mixed(of + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _B) % np.uint64(BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
+    at = mixed(of + np.arange(1, len(of) + 1, dtype=np.uint64) * _B) % np.uint64(bits)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
-def most_bits(similarity: float = PERCENT / 100, miss: float = 1e-6) -> int:
+@lru_cache
+def most_bits(percent: int = PERCENT, samples: int = SAMPLES, bits: int = BITS, miss: float = 1e-6) -> int:
     """In how many bits the sketches of a pair of this similarity differ at most, but for a chance of `miss`.
 
     Of the samples a binomial number differ; each of these turns over one bit for either set.
     """
-    differ = np.zeros(SAMPLES + 1)
+    differ = np.zeros(samples + 1)
     differ[0] = 1.0
-    for _ in range(SAMPLES):
-        differ = differ * similarity + np.concatenate(([0.0], differ[:-1])) * (1 - similarity)
-    odd, chance, at = np.zeros(BITS + 1), np.zeros(BITS + 1), np.arange(BITS + 1)
+    for _ in range(samples):
+        differ = differ * (percent / 100) + np.concatenate(([0.0], differ[:-1])) * (1 - percent / 100)
+    odd, chance, at = np.zeros(bits + 1), np.zeros(bits + 1), np.arange(bits + 1)
     odd[0] = 1.0
-    for d in range(SAMPLES + 1):
+    for d in range(samples + 1):
         chance += differ[d] * odd
         for _ in range(2):
-            up, down = odd * (BITS - at) / BITS, odd * at / BITS
+            up, down = odd * (bits - at) / bits, odd * at / bits
             odd = np.concatenate(([0.0], up[:-1])) + np.concatenate((down[1:], [0.0]))
     return int(np.flatnonzero(np.cumsum(chance) >= 1 - miss)[0])
 
@@ -127,7 +135,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     """The pairs (a, b) whose full sets are alike. Texts are read again, for the documents of the pairs only."""
     pairs = pairs.select("a", "b").distinct().checkpoint()
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(text_col).alias("text")).filter(passes(bit_filter(ids), F.col("id")))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", 4 << 20):
@@ -143,16 +150,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
                 alike.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    held = rows.mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi")
+    held = of_ids(docs, ids, id_col, text_col).mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi")
     both = pairs.join(held.withColumnsRenamed({"id": "b", "set": "set_b"}), "b").join(held.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct().checkpoint()
 
 
-def may_be_alike(percent: int, a: str = "", b: str = "other_") -> Column:
+def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the rows whose ids are in `ids`, and of a few others that the filter lets pass."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(text_col).alias("text"))
+    return rows.filter(passes(bit_filter(ids), F.col("id")))
+
+
+def finely_sketched(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and fine array<long>, the second sketch, of the documents of `ids` (a column id). Their texts are read again."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = mixed(np.arange(1, FINE_SAMPLES + 1, dtype=np.uint64) * _B) | np.uint64(1)
+        for batch in by_size(batches, "text", 4 << 20):
+            found = [odd_sketch(samples(of, multipliers), FINE_BITS).view(np.int64) if len(of := shingles(t)) else np.zeros(0, np.int64) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+
+    found = of_ids(docs, ids, id_col, text_col).mapInArrow(work, "doc_id long, fine array<long>")
+    return found.groupBy("doc_id").agg(F.first("fine").alias("fine"))
+
+
+def may_be_alike(percent: int) -> Column:
     """Of two rows with n and odd: their sizes and their sketches allow a link."""
-    apart = sum((F.bit_count(F.get(f"{a}odd", F.lit(k)).bitwiseXOR(F.get(f"{b}odd", F.lit(k)))) for k in range(1, BITS // 64)), F.bit_count(F.get(f"{a}odd", F.lit(0)).bitwiseXOR(F.get(f"{b}odd", F.lit(0)))))
-    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
-    return sizes & (apart <= most_bits(percent / 100))
+    words = [F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other_odd", F.lit(k)))) for k in range(BITS // 64)]
+    sizes = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    return sizes & (reduce(add, words) <= most_bits(percent))
+
+
+def meet_first(band: str = "band") -> Column:
+    """Of two rows with bands that meet in this band: they meet in none before."""
+    before = [(F.col(band) > k) & (F.get("bands", F.lit(k)) == F.get("other_bands", F.lit(k))) for k in range(BANDS - 1)]
+    return ~reduce(or_, before)
+
+
+def finely_alike(percent: int) -> Column:
+    apart = F.aggregate(F.zip_with("fine", "other_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return apart <= most_bits(percent, FINE_SAMPLES, FINE_BITS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -175,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = one.select("doc_id", F.posexplode("bands").alias("band", "bucket")).withColumn("mask", F.get(masks, F.col("band") % LEADERS))
     buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("doc_id").bitwiseXOR(F.col("mask"))).alias("least")).filter("members > 1")
     buckets = buckets.checkpoint()
-    shared = met.join(buckets, "bucket").select("bucket", "members", "doc_id", F.col("least").bitwiseXOR(F.col("mask")).alias("leader"))
+    shared = met.join(buckets, "bucket").select("bucket", "band", "members", "doc_id", F.col("least").bitwiseXOR(F.col("mask")).alias("leader"))
     shared = shared.checkpoint()
 
     other = one.select(F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"))
@@ -184,15 +221,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(confirmed(stars, docs, id_col, text_col, percent)).checkpoint()
 
     # buckets of three and more that several components share: all pairs of two have been compared
-    placed = shared.filter("members > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = shared.filter("members > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     counted = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("number")).filter("number > 1").drop("number")
-    rest = placed.join(largest, "bucket").join(one.select("doc_id", "n", "odd"), "doc_id")
-    rest = stored(rest, "shared-buckets")
+    rest = placed.join(largest, "bucket").checkpoint()
+    fine = finely_sketched(docs, rest.select(F.col("doc_id").alias("id")).distinct(), id_col, text_col)
+    rest = stored(rest.join(one, "doc_id").join(fine, "doc_id"), "shared-buckets")
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
-    few = rest.filter("component <> largest").select("bucket", "doc_id", "component", "n", "odd", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    every = rest.select("bucket", F.col("doc_id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-    across = few.join(every, ["bucket", "salt"]).filter((F.col("component") != F.col("other_component")) & may_be_alike(percent))
+    sides = ["component", "n", "bands", "odd", "fine"]
+    few = rest.filter("component <> largest").select("bucket", "band", "doc_id", *sides, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    every = rest.select("bucket", F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in sides], F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    across = few.join(every, ["bucket", "salt"]).filter((F.col("component") != F.col("other_component")) & may_be_alike(percent) & meet_first() & finely_alike(percent))
     across = across.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = confirmed(across, docs, id_col, text_col, percent)
 
