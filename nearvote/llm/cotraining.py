@@ -2,9 +2,10 @@
 
 Both start from the labelled rows. In each round either gives the other the unlabelled rows that it is
 surest of, as many of each class as the labelled rows have in proportion, with its answer as the label.
-Afterwards both are calibrated on labelled rows that neither has been fitted on, and the calibrated
-views are combined by a model fitted there too, so a view that tells nothing has no say. The models see
-bounded samples; all documents are scored.
+How sure a view is says its calibration on labelled rows that neither has been fitted on; so a view that
+tells nothing hands nothing over. In the end the calibrated log odds are added up, less those of the
+classes' proportion: such a view then has no say either. The models see bounded samples; all
+documents are scored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.common import by_size, filled, table
-from nearvote.llm.linear import Linear, collected, fitted, folds_of, labelled_sample, matrix, telling, text_matrix
+from nearvote.llm.linear import Linear, collected, fitted, folds_of, labelled_sample, matrix, sigmoid, telling, text_matrix
 from nearvote.llm.toxicity import logit
 
 #: Labelled and unlabelled rows that the models see, at most.
@@ -45,17 +46,17 @@ def page_matrix(lang: Iterable, source: Iterable, n_chars: Iterable) -> np.ndarr
 
 @dataclass(frozen=True)
 class Views:
-    """Both views' models with their calibration (slope, constant on the log odds), and how the two are combined."""
+    """Both views' models with their calibration on the log odds, and the log odds of a good row among all."""
 
     names: list[str]
-    text: Linear
-    page: Linear
+    models: tuple[Linear, Linear]
     calibration: tuple[Linear, Linear]
-    combined: Linear
+    prior: float
 
     def score(self, text: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p = [c.score(logit(m.score(x))[:, None]) for m, x, c in ((self.text, text, self.calibration[0]), (self.page, page, self.calibration[1]))]
-        return p[0], p[1], self.combined.score(np.column_stack([logit(p[0]), logit(p[1])]))
+        """Calibrated probabilities of either view, and of both."""
+        p = [c.score(logit(m.score(x))[:, None]) for m, x, c in zip(self.models, (text, page), self.calibration, strict=True)]
+        return p[0], p[1], sigmoid(logit(p[0]) + logit(p[1]) - self.prior)
 
 
 def co_trained(text: np.ndarray, page: np.ndarray, y: np.ndarray, ids: np.ndarray, names: list[str], rounds: int = ROUNDS, penalty: float = 3.0) -> Views:
@@ -69,10 +70,15 @@ def co_trained(text: np.ndarray, page: np.ndarray, y: np.ndarray, ids: np.ndarra
         rows = ~np.isnan(own[v])
         return fitted(views[v][rows], own[v][rows], penalty)
 
+    def calibrated(model: Linear, x: np.ndarray) -> Linear:
+        return fitted(logit(model.score(x[held]))[:, None], y[held], 1.0)
+
+    if held.sum() < 2 or np.ptp(y[held]) == 0:
+        held = first
+    good = float(np.clip(y[known].mean(), 0.001, 0.999)) if known.any() else 0.5
     models = [fit(0), fit(1)]
-    good = float(y[first].mean()) if first.any() else 0.5
     for _ in range(rounds):
-        scores = [m.score(x) for m, x in zip(models, views, strict=True)]
+        scores = [calibrated(m, x).score(logit(m.score(x))[:, None]) for m, x in zip(models, views, strict=True)]
         for v in (0, 1):
             free = ~known & np.isnan(own[1 - v])
             p = scores[v]
@@ -81,12 +87,7 @@ def co_trained(text: np.ndarray, page: np.ndarray, y: np.ndarray, ids: np.ndarra
                 rows = rows[np.lexsort((ids[rows], -np.abs(p[rows] - 0.5)))][:most]
                 own[1 - v][rows] = label
         models = [fit(0), fit(1)]
-
-    if held.sum() < 2 or np.ptp(y[held]) == 0:
-        held = first
-    calibration = tuple(fitted(logit(m.score(x[held]))[:, None], y[held], 1.0) for m, x in zip(models, views, strict=True))
-    both = np.column_stack([logit(c.score(logit(m.score(x[held]))[:, None])) for m, x, c in zip(models, views, calibration, strict=True)])
-    return Views(names, models[0], models[1], calibration, fitted(both, y[held], 1.0))
+    return Views(names, tuple(models), tuple(calibrated(m, x) for m, x in zip(models, views, strict=True)), float(logit(np.array(good))))
 
 
 def quality_views(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", page: tuple[str, str, str] = ("lang", "source", "n_chars")) -> Views:
