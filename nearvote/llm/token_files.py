@@ -135,20 +135,22 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Two bytes for an id where the vocabulary allows it.
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.model, self.letters, self.split = self.tokenizer.model, dict(enumerate(byte_characters())), regex.compile(WORDS).findall
         self.known, self.latin, self.other = Kept(self.word), Kept(self.piece), Kept(self.whole)
 
     def word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         return self.known.one(piece) if piece.isalpha() else b"".join(map(self.known.one, self.split(piece)))
 
     def whole(self, piece: str) -> bytes:
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The ids as little-endian unsigned integers of 16 or 32 bits."""
         for kept in (self.known, self.latin, self.other):
             kept.turn()
         if BEYOND.search(text):
@@ -159,21 +161,39 @@ class WordBpe:
 _MADE: dict[str, WordBpe] = {}
 
 
+def encoder(path: str) -> WordBpe:
+    """One for each worker and file."""
+    if path not in _MADE:
+        _MADE[path] = WordBpe(path)
+    return _MADE[path]
+
+
 def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end: int = END) -> DataFrame:
-    """doc_id, n and ids (binary, little-endian 32 bits) of every whole text, its end id among them."""
+    """doc_id, n and ids (binary, as `WordBpe.encode`) of every whole text, its end id among them."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
-    last = np.array([end], "<u4").tobytes()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MADE:
-            _MADE[path] = WordBpe(path)
+        bpe = encoder(path)
+        last = array(bpe.code, [end]).tobytes()
         for batch in by_size(batches, "text"):
-            ids = [_MADE[path].encode(t) + last for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(b) // 4 for b in ids], pa.int32()), pa.array(ids, pa.binary())], schema=schema)
+            ids = [bpe.encode(t) + last for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(b) // len(last) for b in ids], pa.int32()), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text")).mapInArrow(work, "doc_id long, n int, ids binary")
 
 
+def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `begin`, how many ids of its part stand before each row."""
+    part, begin = None, 0
+    for batch in batches:
+        found = []
+        for p, n in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            part, begin = p, begin if p == part else 0
+            found.append(begin)
+            begin += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "begin"])
+
+
 # ---- files
 
 
@@ -189,6 +209,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     cuts = cuts_of(docs.select(F.col(id_col).cast("long").alias("d")).filter("d is not null"), "d", partitions(spark))
     rows = encoded(docs, tokenizer, id_col, text_col).withColumn("part", range_of(F.col("doc_id"), cuts).cast("int"))
     rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    rows = rows.mapInArrow(numbered, "doc_id long, n int, ids binary, part int, begin long")
     rows.write.option("compression", "zstd").parquet(plain := new_path(spark, "token-ids"))
     rows = spark.read.schema(rows.schema).parquet(plain)
 
@@ -198,33 +219,15 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     held = spark.sparkContext.broadcast(lengths)
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part, begin, docs_, sizes, ids = codes(held.value), None, 0, [], [], []
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            nonlocal begin, docs_, sizes, ids
-            if docs_:
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                bits, checkpoints, n_bits = packed(flat, held.value, made)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([begin], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                     pa.array([checkpoints], pa.list_(pa.int64())), pa.array([n_bits], pa.int64()), pa.array([bits], pa.binary())],
-                    names=["part", "begin", "doc_ids", "doc_sizes", "checkpoints", "n_bits", "bits"],
-                )
-                begin, docs_, sizes, ids = begin + len(flat), [], [], []
-
+        made, chunk = codes(held.value), Chunk()
         for batch in batches:
-            for d, n, b, p in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                if p != part:
-                    yield from chunk()
-                    part, begin = p, 0
-                docs_, sizes, ids = [*docs_, d], [*sizes, n], [*ids, b]
-                if sum(sizes) >= CHUNK:
-                    yield from chunk()
-        yield from chunk()
-
-    # again by parts: a reader may have cut a file or put two together
-    ordered = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.select("doc_id", "n", "ids", "part").mapInArrow(code, CHUNKS).write.option("compression", "none").parquet(f"{out}/chunks")
+            for row in batch.to_pylist():
+                if not chunk.follows(row):  # the reader has gone to another part, or to another place in this one
+                    yield from chunk.closed(held.value, made)
+                chunk.add(row)
+        yield from chunk.closed(held.value, made)
+
+    rows.mapInArrow(code, CHUNKS).write.option("compression", "none").parquet(f"{out}/chunks")
     sizes = {r["part"]: r["n"] for r in spark.read.schema(CHUNKS).parquet(f"{out}/chunks").groupBy("part").agg(F.sum(F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     starts, start = [], 0
     for p in sorted(sizes):
@@ -234,6 +237,36 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     return out
 
 
+class Chunk:
+    """Consecutive documents of one part, until they are coded."""
+
+    def __init__(self) -> None:
+        self.rows, self.size, self.next = [], 0, None
+
+    def follows(self, row: dict) -> bool:
+        return self.size < CHUNK and self.next == (row["part"], row["begin"])
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        self.size += row["n"]
+        self.next = row["part"], row["begin"] + row["n"]
+
+    def closed(self, lengths: np.ndarray, made: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            flat = np.concatenate([_ids(r["ids"], r["n"]) for r in self.rows])
+            bits, checkpoints, n_bits = packed(flat, lengths, made)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.rows[0]["part"]], pa.int32()), pa.array([self.rows[0]["begin"]], pa.int64()), pa.array([[r["doc_id"] for r in self.rows]], pa.list_(pa.int64())),
+                 pa.array([[r["n"] for r in self.rows]], pa.list_(pa.int32())), pa.array([checkpoints], pa.list_(pa.int64())), pa.array([n_bits], pa.int64()), pa.array([bits], pa.binary())],
+                names=["part", "begin", "doc_ids", "doc_sizes", "checkpoints", "n_bits", "bits"],
+            )
+        self.rows, self.size = [], 0
+
+
+def _ids(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
 CHUNKS = "part int, begin long, doc_ids array<long>, doc_sizes array<int>, checkpoints array<long>, n_bits long, bits binary"
 
 
@@ -243,14 +276,14 @@ def _counts(rows: DataFrame) -> np.ndarray:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(held))
-                got[: len(held)] += held
-                held = got
+            ids = [_ids(raw, n) for raw, n in zip(batch["ids"].to_pylist(), batch["n"].to_pylist(), strict=True)]
+            got = np.bincount(np.concatenate(ids) if ids else np.zeros(0, np.int64), minlength=len(held))
+            got[: len(held)] += held
+            held = got
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["id", "count"])
 
-    counted = rows.select("ids").mapInArrow(work, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
+    counted = rows.select("n", "ids").mapInArrow(work, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     found = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
     found[counted["id"].to_numpy()] = counted["count"].to_numpy()
     return found
