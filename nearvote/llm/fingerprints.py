@@ -1,10 +1,14 @@
 """Document fingerprints that add up: a homomorphic hash of the multiset of a text's paragraphs.
 
-A paragraph (a line) hashes to a vector of 160 lanes: 32 of 16 bits from the paragraph as it stands, and
-128 that are sums of small odd numbers from the clauses in it. A fingerprint is the sum of the vectors
-of all paragraphs, each lane modulo 2**16. So it doesn't depend on their order, and paragraphs can be
-added and taken away without the rest of the text. Equal texts have equal fingerprints. The second part
-is a random projection of the clause counts: its cosine estimates how many clauses two texts share.
+A paragraph (a line) hashes to a vector of 273 lanes of 32 bits: 16 from the paragraph as it stands, one
+that counts its units, and 256 that are sums over its units. A fingerprint is the sum of the vectors of
+all paragraphs, each lane modulo 2**32. So it doesn't depend on their order, and paragraphs can be added
+and taken away without the rest of the text. Equal texts have equal fingerprints.
+
+Units are what likeness is taken from: every token with the four before it in its line, whatever
+separates them, and every clause, which counts as much as four tokens. Each lane sums Cauchy numbers
+drawn by hash, so the median of the lanes' differences estimates how many units two texts don't share,
+each as often as it is repeated.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +26,69 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.common import by_size, cuts_of, filled, partitions, range_of, table
 
-EXACT, LIKE = 32, 128
+EXACT, LIKE = 16, 256
 CLAUSE = re.compile(r"[^\s.,;:!?|](?:[^.,;:!?|\n]*[^\s.,;:!?|])?")
+#: Scripts that don't part words by spaces: Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese.
+_UNSPACED = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Words of up to 24 characters, else single characters.
+TOKEN = re.compile(rf"(?<![^\W{_UNSPACED}])[^\W{_UNSPACED}]{{1,24}}(?![^\W{_UNSPACED}])|\S")
+#: Tokens before one that belong to its unit; how much a clause counts; the scale of the Cauchy numbers; units summed at once.
+BEFORE, CLAUSE_WEIGHT, SCALE, AT_ONCE = 4, 4, 8, 1024
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BITS = _mixed(np.arange(1, 2 * (65536 + LIKE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint16)
+_LEFT, _RIGHT = (np.lib.stride_tricks.sliding_window_view(half, LIKE) for half in _BITS.reshape(2, -1))
+_CAUCHY = np.rint(SCALE * np.tan(np.pi * ((np.arange(65536) + 0.5) / 65536 - 0.5))).astype(np.int32).view(np.uint32)
+
+
+def token_units(paragraphs: list[str]) -> np.ndarray:
+    """A 64-bit hash for each token of some paragraphs and the tokens before it in its own, BEFORE at most."""
+    found = [TOKEN.findall(p) for p in paragraphs]
+    sizes = np.array([len(t) for t in found], np.int64)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a token in its paragraph
+    h = _mixed(np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(found))), np.uint64, len(place)) + np.uint64(1))
+    units = h.copy()
+    for k in range(1, min(BEFORE, len(h) - 1) + 1):
+        units[k:] += np.where(place[k:] >= k, h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64), np.uint64(0))
+    return _mixed(units)
+
+
+def clause_units(paragraphs: list[str]) -> np.ndarray:
+    """A 64-bit hash for each clause of some paragraphs."""
+    return np.frombuffer(b"".join([hashlib.blake2b(c.encode(), digest_size=8, person=b"clause").digest() for p in paragraphs for c in CLAUSE.findall(p)]), "<u8")
+
+
+def lanes_of(units: np.ndarray) -> np.ndarray:
+    """The sums over units of the Cauchy numbers that each one's hash stands for; uint32, modulo 2**32."""
+    like = np.zeros(LIKE, np.uint32)
+    for k in range(0, len(units), AT_ONCE):
+        some = units[k : k + AT_ONCE]
+        at = _LEFT[some & np.uint64(0xFFFF)] ^ _RIGHT[(some >> np.uint64(16)) & np.uint64(0xFFFF)]
+        like += np.add.reduce(_CAUCHY.take(at), axis=0)
+    return like
+
+
+def whole_lanes(paragraphs: list[str]) -> np.ndarray:
+    """The lanes of paragraphs as they stand, summed."""
+    return np.frombuffer(b"".join([hashlib.blake2b(p.encode(), person=b"paragraph").digest() for p in paragraphs]), "<u4").reshape(-1, EXACT).sum(axis=0, dtype=np.uint32)
+
+
+def likeness_lanes(tokens: np.ndarray, clauses: np.ndarray) -> np.ndarray:
+    """The count and the sums of units."""
+    number = np.array([(len(tokens) + CLAUSE_WEIGHT * len(clauses)) % 2**32], np.uint32)
+    return np.concatenate([number, lanes_of(tokens) + np.uint32(CLAUSE_WEIGHT) * lanes_of(clauses)])
 
 
 def vectors(paragraphs: list[str]) -> np.ndarray:
-    """The sum of the vectors of some paragraphs; uint16 lanes, modulo 2**16."""
-    if not paragraphs:
-        return np.zeros(EXACT + LIKE, np.uint16)
-    whole = np.frombuffer(b"".join(hashlib.blake2b(p.encode(), person=b"paragraph").digest() for p in paragraphs), "<u2").reshape(-1, EXACT)
-    clauses = [c for p in paragraphs for c in CLAUSE.findall(p)]
-    like = np.zeros(LIKE, np.int64)
-    if clauses:
-        raw = np.frombuffer(b"".join([hashlib.blake2b(c.encode(), person=b"clause").digest() for c in clauses]), np.uint8).reshape(-1, LIKE // 2)
-        halves = np.concatenate([(raw >> 4).sum(axis=0, dtype=np.int64), (raw & 15).sum(axis=0, dtype=np.int64)])
-        like = 2 * halves - 15 * len(clauses)  # each nibble stands for an odd number from -15 to 15
-    return np.concatenate([whole.sum(axis=0, dtype=np.uint16), like.astype(np.uint16)])
+    """The sum of the vectors of some paragraphs; uint32 lanes, modulo 2**32."""
+    return np.concatenate([whole_lanes(paragraphs), likeness_lanes(token_units(paragraphs), clause_units(paragraphs))])
 
 
 def paragraphs_of(text: str) -> list[str]:
@@ -53,27 +106,39 @@ def changed(of: np.ndarray, removed: list[str], added: list[str]) -> np.ndarray:
 
 
 def edited_fingerprint(of: np.ndarray, before: str, after: str) -> np.ndarray:
-    """The fingerprint of `after` from that of `before`: only paragraphs behind their common beginning are hashed."""
+    """The fingerprint of `after` from that of `before`: only paragraphs behind their common beginning are hashed, only units behind it summed."""
     a, b = paragraphs_of(before), paragraphs_of(after)
     same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
-    return changed(of, a[same:], b[same:])
+    gone, new = ((whole_lanes(p[same:]), token_units(p[same:]), clause_units(p[same:])) for p in (a, b))
+    kept = [common_beginning(x, y) for x, y in zip(gone[1:], new[1:], strict=True)]
+    less, more = (np.concatenate([w, likeness_lanes(t[kept[0] :], c[kept[1] :])]) for w, t, c in (gone, new))
+    return of - less + more
+
+
+def common_beginning(x: np.ndarray, y: np.ndarray) -> int:
+    n = min(len(x), len(y))
+    apart = np.flatnonzero(x[:n] != y[:n])
+    return int(apart[0]) if len(apart) else n
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """1 for equal fingerprints, else the cosine of the likeness lanes, 0 at least."""
+    """1 for equal fingerprints, else an estimate of the share of units in common: twice the shared ones by those of both.
+
+    Its standard error is about a tenth of what isn't shared. Texts may differ in some 60 million units.
+    """
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[EXACT:].astype(np.int16).astype(np.float64) for v in (a, b))
-    size = float(np.sqrt((x @ x) * (y @ y)))
-    return min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
+    size = int(a[EXACT]) + int(b[EXACT])
+    apart = float(np.median(np.abs((a - b)[EXACT + 1 :].view(np.int32).astype(np.float64)))) / SCALE
+    return min(1.0, max(0.0, 1.0 - apart / size)) if size else 0.0
 
 
 def written(of: np.ndarray) -> str:
-    return base64.b64encode(of.astype("<u2").tobytes()).decode()
+    return base64.b64encode(of.astype("<u4").tobytes()).decode()
 
 
 def read(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u2")
+    return np.frombuffer(base64.b64decode(text), "<u4")
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +107,34 @@ def test_fingerprints_add_up():
     assert 0.5 < near < 0.85
 
 
+def overlap(a, b):
+    """Twice the shared units by those of both, counted."""
+    x, y = (Counter({("t", u): n for u, n in Counter(fingerprints.token_units(p).tolist()).items()} | {("c", u): n * fingerprints.CLAUSE_WEIGHT for u, n in Counter(fingerprints.clause_units(p).tolist()).items()}) for p in map(fingerprints.paragraphs_of, (a, b)))
+    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " ".join(f"word{i}" for i in range(600)), "f(a,b)=c;" + "".join(f"v{i}=g(v{i + 1})*2/" for i in range(200)), "".join(chr(0x4E00 + i * 7 % 5000) for i in range(900)), "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(30)),
+        "spam eggs " * 30_000, "the same line\n" * 70_000, "\n".join([f"line {i} of a list" for i in range(400)] + ["again"] * 1200), "one two three four five six seven eight nine",
+    ],
+    ids=["one-line", "minified", "unspaced", "one-run", "repeated-words", "repeated-lines", "half-repeated", "short"],
+)
+def test_likeness_without_punctuation_and_with_repeats(text):
+    cut = len(text) // 3
+    after = text[: len(text) - cut] + " ".join(f"other{i}" for i in range(cut))[:cut]
+    of = fingerprints.fingerprint(text)
+    made = fingerprints.edited_fingerprint(of, text, after)
+    assert np.array_equal(made, fingerprints.fingerprint(after))
+    assert abs(fingerprints.likeness(of, made) - overlap(text, after)) < 0.15 and overlap(text, after) > 0.3
+    assert fingerprints.likeness(of, made) > 0.3
+
+
+def test_repeated_paragraphs_do_not_cancel_out():
+    assert not np.array_equal(fingerprints.fingerprint("a\n" * 2**16 + "b"), fingerprints.fingerprint("b"))
+
+
 @pytest.mark.parametrize("parts", ["1", "6"])
 def test_edited_texts(spark, docs, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
