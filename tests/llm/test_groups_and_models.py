@@ -181,6 +181,27 @@ def test_co_training_uses_what_the_other_view_is_sure_of():
     assert np.ptp(q) < 0.2 and np.abs(p - t).max() < 0.2 and ((p > 0.5) == (y > 0)).mean() > 0.9
 
 
+def test_co_training_takes_all_sure_rows(spark, monkeypatch):
+    prepare(spark)
+    rng, rows = random.Random(4), []
+    for i in range(7000):
+        good = rng.random() < 0.5
+        source = "rare" if i >= 6960 else rng.choice("ab") if good else rng.choice("cd")
+        words = [rng.choice(["fine", "clear", "sound"] if good or source == "rare" else ["spam", "click", "prize"]) for _ in range(20)]
+        rows.append((i, " ".join(words), "en", source, 100, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, good int")
+    labels = docs.filter("doc_id < 1000").select("doc_id", F.col("good").alias("quality"))
+    seen = []
+    sums = cotraining.summed
+    monkeypatch.setattr(cotraining, "summed", lambda kept, now: seen.append((kept.count(), sums(kept, now))) or seen[-1][1])
+    views = cotraining.quality_views(docs.drop("good"), labels)
+    text, page = (len(m.weights) + 1 for m in views.models)
+    at = 2 * (1 + text + text**2)
+    assert seen[0][0] == 6000 and seen[0][1][at] + seen[0][1][at + 1 + page + page**2] > 5500  # all that the text is sure of, not 400 of 5,000
+    odds = {s: views.score(np.zeros((1, len(views.models[0].weights))), cotraining.page_matrix(["en"], [s], [100]))[1][0] for s in ("rare", "c")}
+    assert odds["rare"] > 0.7 > odds["c"]  # no labelled row has this source
+
+
 def test_quality_on_rows_that_were_held_out(spark):
     docs, labels = table(spark, SF.replace("0.001", "0.1"), "documents"), table(spark, SF.replace("0.001", "0.1"), "labels")
     got = cotraining.scored(docs, cotraining.quality_views(docs, labels.filter("doc_id % 2 = 0"))).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("quality", "good"), "doc_id").collect()
