@@ -28,15 +28,19 @@ SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: No match of the pattern crosses the place between a character and white space after it.
 PIECE = re.compile(SPACE + "*" + SPACE.replace("[", "[^", 1) + "+|" + SPACE + "+")
 TWO_SPACES = re.compile(SPACE + SPACE)
-#: What a worker keeps of pieces and of words, twice at most. Longer ones aren't kept. About 300 MB in all.
-KEPT, KEPT_CHARS = 500_000, 40
+#: Bytes that a generation of a table of pieces or words takes in a worker, about; the bytes of an entry beside
+#: its key's and value's own. Longer keys aren't kept.
+KEPT, ENTRY, KEPT_CHARS = 16 << 20, 200, 40
 
 
 class Kept:
-    """What `make` gives for a key, kept in two generations: what was used since the last turn survives the next one."""
+    """What `make` gives for a key, kept in two generations: what was used since the last turn survives the next one.
+
+    Both generations together take twice `most` bytes, and what one call of `joined` adds.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int = KEPT) -> None:
-        self.make, self.most, self.new, self.old = make, most, {}, {}
+        self.make, self.most, self.held, self.new, self.old = make, most, 0, {}, {}
 
     def one(self, key: str) -> bytes:
         found = self.new.get(key)
@@ -46,6 +50,7 @@ class Kept:
                 found = self.make(key)
             if len(key) <= KEPT_CHARS:
                 self.new[key] = found
+                self.held += len(key) + len(found) + ENTRY
         return found
 
     def joined(self, keys: list[str]) -> bytes:
@@ -58,8 +63,8 @@ class Kept:
         return b"".join(found)
 
     def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
 
 
 def byte_characters() -> list[str]:
@@ -160,7 +165,9 @@ class ByteBpe:
         return b"".join(map(self.known.one, self.words(piece)))
 
     def keyed(self, key: str) -> bytes:
-        return self.piece(key if key[:1] == "\n" else " " + key)
+        """The ids of the piece that a key stands for. A single word is kept under its key only."""
+        words = self.words(key if key[:1] == "\n" else " " + key)
+        return self.word(words[0]) if len(words) == 1 else b"".join(map(self.known.one, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes.

@@ -153,7 +153,9 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = docs.select("*", ident, key_of(source_col).alias("_key"), words_of(filled(text_col)).alias("_size"))
     rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64(text_col))).cast("long"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["length"].cast("int")))), "")
+    # the array of words is bound to a name, so it is made once for a row and not once for each piece
+    cut = lambda w: F.flatten(F.transform("_pieces", lambda p: F.slice(w, (p["begin"] + 1).cast("int"), p["length"].cast("int"))))
+    part = F.array_join(F.get(F.transform(F.array(words), cut), F.lit(0)), "")
     text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", ""))
     found = rows.join(takes, by).withColumn(text_col, text)
     if chars_col in docs.columns:
