@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nearvote.llm.bpe import Kept, byte_characters
 from nearvote.llm.common import by_size, cuts_of, filled, new_path, partitions, range_of, table
 
-#: Ids in a block; the longest code; ids in a chunk, about.
+#: Ids in a block; the longest code where that is long enough (see `longest_of`); ids in a chunk, about.
 BLOCK, LONGEST, CHUNK = 256, 16, 1 << 17
 END = 1
 
@@ -28,9 +28,15 @@ END = 1
 # ---- codes
 
 
-def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+def longest_of(symbols: int) -> int:
+    """The longest code for so many symbols: LONGEST where all have one of that length, else two bits more than equal codes need."""
+    return LONGEST if symbols <= 1 << LONGEST else (symbols - 1).bit_length() + 2
+
+
+def code_lengths(counts: np.ndarray, longest: int | None = None) -> np.ndarray:
     """The code length of each symbol, 0 where the count is 0: optimal for a longest length (package-merge)."""
     symbols = np.flatnonzero(counts)
+    longest = longest or longest_of(len(symbols))
     lengths = np.zeros(len(counts), np.uint8)
     if len(symbols) <= 1:
         lengths[symbols] = 1
@@ -72,8 +78,9 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return found
 
 
-def decoding_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """For all values of the next `longest` bits: the symbol, and its length."""
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all values of as many next bits as the longest code has: the symbol, and its length."""
+    longest = max(1, int(lengths.max(initial=0)))
     symbol, size = np.zeros(1 << longest, np.uint32), np.zeros(1 << longest, np.uint8)
     made = codes(lengths)
     for s in np.flatnonzero(lengths).tolist():
@@ -91,23 +98,31 @@ def packed(ids: np.ndarray, lengths: np.ndarray, made: np.ndarray) -> tuple[byte
     ends = np.cumsum(size)
     begins = ends - size
     total = int(ends[-1]) if len(ids) else 0
-    # a code and the bits before it in its first byte fill three bytes at most
-    value = made[ids].astype(np.int64) << (24 - size - (begins & 7))
-    at, n = begins >> 3, (total + 7) // 8 + 2
-    out = sum(np.bincount(at + k, weights=((value >> (16 - 8 * k)) & 255).astype(np.float64), minlength=n) for k in range(3)) if len(ids) else np.zeros(n)
+    # the bytes that a code and the bits before it in its first byte fill at most
+    wide = window_bytes(int(lengths.max(initial=1)))
+    value = made[ids].astype(np.int64) << (8 * wide - size - (begins & 7))
+    at, n = begins >> 3, (total + 7) // 8 + wide
+    out = sum(np.bincount(at + k, weights=((value >> (8 * (wide - 1 - k))) & 255).astype(np.float64), minlength=n) for k in range(wide)) if len(ids) else np.zeros(n)
     return out.astype(np.uint8)[: (total + 7) // 8].tobytes(), begins[::BLOCK], total
 
 
+def window_bytes(longest: int) -> int:
+    return (longest + 14) // 8
+
+
 def unpacked(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The n ids: every block is decoded from its checkpoint on, all blocks side by side."""
-    raw = np.frombuffer(bits + b"\0\0\0", np.uint8).astype(np.uint32)
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    longest = len(symbol).bit_length() - 1
+    wide = window_bytes(longest)
+    raw = np.frombuffer(bits + bytes(wide), np.uint8).astype(np.uint64 if wide > 4 else np.uint32)
+    window = sum(raw[k : len(raw) - wide + 1 + k] << raw.dtype.type(8 * (wide - 1 - k)) for k in range(wide))
+    mask, left = raw.dtype.type(len(symbol) - 1), 8 * wide - longest
     at = checkpoints.astype(np.int64)
     out = np.zeros((BLOCK, len(at)), np.uint32)
     for k in range(min(BLOCK, n)):
         live = len(at) - (k >= n - (len(at) - 1) * BLOCK)  # the last block may be shorter
         p = at[:live]
-        seen = (window[p >> 3] >> (8 - (p & 7)).astype(np.uint32)) & 0xFFFF
+        seen = (window[p >> 3] >> (left - (p & 7)).astype(raw.dtype)) & mask
         out[k, :live] = symbol[seen]
         at[:live] += size[seen]
     return out.T.reshape(-1)[:n]
