@@ -114,10 +114,13 @@ def fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 12,
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, id_col: str, text_col: str, carry: tuple = (), seed: int = 5) -> DataFrame:
     """At most `most` labelled documents, by a seeded order of ids, checkpointed: doc_id, text, y array<double> (null: unlabelled in that column), carry.
 
-    Of labels repeated under one id the largest counts; labels without an id, or without a document, don't.
+    Of labels repeated under one id the largest counts. Labels without an id, without a document or null
+    in all columns don't count, and don't use up the limit.
     """
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)])
-    drawn = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id", F.array(*[f"y{i}" for i in range(len(columns))]).alias("y"))
+    ys = [F.col(f"y{i}") for i in range(len(columns))]
+    known = known.filter(F.coalesce(*ys).isNotNull()).join(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", "left_semi")
+    drawn = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id", F.array(*ys).alias("y"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"), *carry)
     return rows.join(F.broadcast(drawn), "doc_id").checkpoint()  # bounded: `most` rows of two columns
 
