@@ -42,12 +42,18 @@ class Limits:
     mcc_risk: dict[str, float] = field(default_factory=lambda: dict(MCC_RISK))
 
 
+#: The names of the limits in a file of constants.
+LIMIT_NAMES = {
+    "amount": "max_amount", "installments": "max_installments", "amount_vs_average": "amount_vs_avg_ratio", "minutes": "max_minutes",
+    "km": "max_km", "tx_count_24h": "max_tx_count_24h", "merchant_average": "max_merchant_avg_amount",
+}
+
+
 def inverse(x: float) -> Column:
     """The single-precision reciprocal; constants are folded when the plan is made."""
     return (single(1.0) / single(x)).cast("float")
 
 
-
 def risk(mcc: Column, table: dict[str, float]) -> Column:
     """The quantized risk of a category."""
     pairs = [F.lit(x) for k, v in sorted(table.items()) for x in (k, int(round(v * 10_000)))]

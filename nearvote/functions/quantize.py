@@ -40,7 +40,3 @@ def q8_vector(v: Column) -> Column:
 def from_q16(q: Column) -> Column:
     """The single-precision value that a query is scored with."""
     return q.cast("float") * single(1 / Q16_SCALE)
-
-
-def from_q16_vector(v: Column) -> Column:
-    return F.transform(v, from_q16)

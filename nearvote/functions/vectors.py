@@ -14,13 +14,6 @@ def squared_distance(a: str | Column, b: str | Column, dims: int) -> Column:
     return reduce(add, [x * x for x in d])
 
 
-def box_distance(query: str | Column, low: str | Column, high: str | Column, dims: int) -> Column:
-    """The squared distance from a point to a box: no member of the box is nearer."""
-    at = lambda v, i: F.get(v, F.lit(i)).cast("long")
-    d = [F.greatest(at(low, i) - at(query, i), at(query, i) - at(high, i), F.lit(0).cast("long")) for i in range(dims)]
-    return reduce(add, [x * x for x in d])
-
-
 def clamped(x: Column) -> Column:
     """Into [0, 1]; single precision."""
     return F.least(F.greatest(x.cast("float"), F.lit(0.0).cast("float")), F.lit(1.0).cast("float"))

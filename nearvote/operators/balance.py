@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nearvote.functions.vectors import squared_distance
+from nearvote.operators.ivf import assigned
 
 #: A heavy cell is split into so many at most, by as many rounds of k-means over a sample of so many members.
 MOST_PARTS, ROUNDS, SAMPLE = 16, 12, 20_000
@@ -62,8 +63,8 @@ def rebalanced(refs: DataFrame, centroids: DataFrame, slack: float, passes: int
         at_home = current.join(held.withColumnRenamed("to", "cell_id"), "cell_id").withColumn("d", squared_distance("q16", "to_centroid", dims))
         place = F.row_number().over(W.partitionBy("cell_id").orderBy("d", "ref_id"))
         surplus = at_home.withColumn("place", place).filter(F.col("place") > cap).select("ref_id", "q16")
-        asks = surplus.join(held.join(F.broadcast(room), "to"), F.lit(True)).withColumn("d", squared_distance("q16", "to_centroid", dims))
-        one = asks.withColumn("r", F.row_number().over(W.partitionBy("ref_id").orderBy("d", "to"))).filter("r = 1")
-        taken = one.withColumn("r", F.row_number().over(W.partitionBy("to").orderBy("d", "ref_id"))).filter(F.col("r") <= F.col("room")).select("ref_id", F.col("to").alias("new"))
+        free = centroids.join(room.withColumnRenamed("to", "cell_id"), "cell_id", "left_semi")
+        asks = assigned(surplus, free).withColumnRenamed("cell_id", "to").join(held, "to").withColumn("d", squared_distance("q16", "to_centroid", dims))
+        taken = asks.join(F.broadcast(room), "to").withColumn("r", F.row_number().over(W.partitionBy("to").orderBy("d", "ref_id"))).filter(F.col("r") <= F.col("room")).select("ref_id", F.col("to").alias("new"))
         current = current.join(taken, "ref_id", "left").withColumn("cell_id", F.coalesce("new", "cell_id")).drop("new").checkpoint()
     return current

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -28,12 +29,16 @@ def composite(p99: Column, fp: Column, fn: Column, errors: Column, n: Column) ->
 def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999), group: list[str] | None = None) -> DataFrame:
     """Exact percentiles: of n sorted values the one at place floor(n * share), counted from 0.
 
-    Values are ranked by their counts: equal values stand once, so a group's window holds its distinct values.
+    Values are ranked by their counts, in ranges of values: a window holds the distinct values of one
+    range, and only the ranges' totals are added up in one place.
     """
     group = group or []
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.repartitionByRange(*[F.col(c) for c in (*group, value)]).withColumn("_range", F.spark_partition_id()).checkpoint()
     every = W.partitionBy(*group)
-    placed = counted.withColumns({"_all": F.sum("_n").over(every), "_end": F.sum("_n").over(every.orderBy(value))})
+    ranges = counted.groupBy(*group, "_range").agg(F.sum("_n").alias("_in")).withColumns({"_all": F.sum("_in").over(every), "_before": F.sum("_in").over(every.orderBy("_range")) - F.col("_in")})
+    placed = counted.join(F.broadcast(ranges.drop("_in")) if not group else ranges.drop("_in"), [*group, "_range"])
+    placed = placed.withColumn("_end", F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_range").orderBy(value)))
     at = lambda s: F.least(F.floor(F.col("_all") * F.lit(s)), F.col("_all") - 1)
     found = [F.min(F.when(F.col("_end") > at(s), F.col(value))).alias("p" + f"{s * 100:g}".replace(".", "_")) for s in shares]
     return placed.groupBy(*group).agg(F.max("_all").alias("n"), *found)
@@ -46,6 +51,12 @@ def disagreement(a: DataFrame, b: DataFrame, on: str = "query_id") -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("_a") != F.col("_b")).alias("otherwise"), F.avg((F.col("_a") != F.col("_b")).cast("int")).alias("share"), F.avg(apart).alias("mean_apart"), F.max(apart).alias("most_apart"))
 
 
+def recall(found: DataFrame, true: DataFrame, on: tuple[str, ...] = ("query_id", "ref_id")) -> DataFrame:
+    """One row: true neighbours, how many of them were found, and their share."""
+    both = true.select(*on).join(found.select(*on).distinct().withColumn("_found", F.lit(1)), list(on), "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbours"), F.count("_found").alias("found"), (F.count("_found") / F.count(F.lit(1))).alias("recall"))
+
+
 def histogram(results: DataFrame) -> DataFrame:
     return results.groupBy("fraud_score").agg(F.count(F.lit(1)).alias("queries"))
 
@@ -73,33 +84,64 @@ def without_warm_up(runs: DataFrame, arm: str = "arm", cycle: str = "cycle", ord
 
 
 def welch(runs: DataFrame, value: str, arm: str, first: str, second: str) -> DataFrame:
-    """One row: means of two arms, difference, t and degrees of freedom of Welch's test; t is null without spread."""
-    one = lambda name: runs.filter(F.col(arm) == name).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    a, b = one(first).select(*[F.col(c).alias(f"{c}1") for c in "nmv"]), one(second).select(*[F.col(c).alias(f"{c}2") for c in "nmv"])
-    both = a.join(b, F.lit(True))  # one row and one row
+    """One row: means and medians of two arms, their differences, and t, degrees of freedom and p of Welch's test.
+
+    t, df and p are null with fewer than two runs in an arm, or without spread.
+    """
+    of = lambda f, name: f(F.when(F.col(arm) == name, F.col(value)))
+    one = runs.agg(*[of(f, name).alias(f"{k}{i}") for i, name in ((1, first), (2, second)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("d", F.median))])
     s1, s2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    return both.select(
-        F.col("m1").alias("mean_first"), F.col("m2").alias("mean_second"), (F.col("m2") - F.col("m1")).alias("difference"),
-        F.when(s1 + s2 > 0, (F.col("m2") - F.col("m1")) / F.sqrt(s1 + s2)).alias("t"),
-        F.when(s1 + s2 > 0, (s1 + s2) * (s1 + s2) / (s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1))).alias("df"),
+    tested = (F.col("n1") > 1) & (F.col("n2") > 1) & (s1 + s2 > 0)
+    t, df = (F.col("m2") - F.col("m1")) / F.sqrt(s1 + s2), (s1 + s2) * (s1 + s2) / (s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1))
+    found = one.select(
+        F.col("n1").alias("runs_first"), F.col("n2").alias("runs_second"), F.col("m1").alias("mean_first"), F.col("m2").alias("mean_second"), (F.col("m2") - F.col("m1")).alias("difference"),
+        F.col("d1").alias("median_first"), F.col("d2").alias("median_second"), (F.col("d2") - F.col("d1")).alias("median_difference"),
+        F.when(tested, t).alias("t"), F.when(tested, df).alias("df"),
     )
+    return found.withColumn("p", p_value(F.col("t"), F.col("df")))
 
 
-def p_value(t: float, df: float) -> float:
-    """Two-sided, of Student's t: the tail as a regularized incomplete beta function, by numeric integration.
+def medians(runs: DataFrame, values: list[str], group: list[str] | None = None) -> DataFrame:
+    """The aggregate of several runs: their number, and the median of each value."""
+    return runs.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("runs"), *[F.median(v).alias(v) for v in values])
 
-    With x = tan(u) the density becomes a power of a cosine on a bounded interval; Gauss-Legendre nodes
-    integrate it to about 12 digits.
-    """
+
+def comparison(runs: DataFrame, values: list[str], arm: str, first: str, second: str) -> DataFrame:
+    """A row for each value (column `metric`): what `welch` says, and the change of the medians in percent (null from 0)."""
+    rows = []
+    for v in values:
+        found = welch(runs, v, arm, first, second).withColumn("change_pct", F.when(F.col("median_first") != 0, F.col("median_difference") * 100 / F.col("median_first")))
+        rows.append(found.select(F.lit(v).alias("metric"), "*"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+#: Points of the quadrature of `p_value`.
+POINTS = 64
+
+
+def quadrature() -> tuple[list[float], list[float]]:
     import numpy as np
 
-    if not math.isfinite(t):
-        return 0.0
-    nodes, weights = np.polynomial.legendre.leggauss(200)
-    low, high = math.atan(abs(t) / math.sqrt(df)), math.pi / 2
-    u = (high - low) / 2 * nodes + (high + low) / 2
-    area = float((weights * np.cos(u) ** (df - 1)).sum() * (high - low) / 2)
-    return min(1.0, 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi))
+    nodes, weights = np.polynomial.legendre.leggauss(POINTS)
+    return nodes.tolist(), weights.tolist()
+
+
+def p_value(t: Column, df: Column) -> Column:
+    """Two-sided, of Student's t: the share of the density's area beyond |t|, by numeric integration.
+
+    With x = sqrt(df) * tan(u) the density is a power of a cosine on a bounded interval; the area is
+    taken up to where nothing is left of it, by Gauss-Legendre points on either side of |t|.
+    """
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in zip(*quadrature(), strict=True)])
+    far = F.least(F.lit(math.pi / 2), 40 / F.sqrt(df))
+    at = F.least(F.atan(F.abs(t) / F.sqrt(df)), far)
+
+    def area(low: Column, high: Column) -> Column:
+        u = lambda p: (high - low) / 2 * p["x"] + (high + low) / 2
+        return F.aggregate(points, F.lit(0.0), lambda total, p: total + p["w"] * F.pow(F.greatest(F.cos(u(p)), F.lit(0.0)), df - 1)) * (high - low) / 2
+
+    inner, outer = area(F.lit(0.0), at), area(at, far)
+    return F.when(t.isNotNull(), F.least(outer / (inner + outer), F.lit(1.0)))
 
 
 def workload_stats(workload: DataFrame) -> DataFrame:

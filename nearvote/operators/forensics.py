@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from nearvote.operators.ivf import Index, Search, probed
+from nearvote.operators.ivf import Index, Search, ranks_of
 from nearvote.operators.knn import nearest
 
 
@@ -15,8 +15,9 @@ def neighbour_cells(index: Index, queries: DataFrame, how: Search, top: int = 20
     """
     cells = index.cells.count()
     how = how.within(cells)
-    true = nearest(index.refs, queries, top).join(index.refs.select("ref_id", "cell_id"), "ref_id")
-    order = probed(index, queries, cells, how.box_guided).select("query_id", "cell_id", "cell_rank")
+    true = nearest(index.refs, queries, top).join(index.refs.select("ref_id", "cell_id"), "ref_id").checkpoint()
+    held = true.groupBy("query_id").agg(F.sort_array(F.collect_set("cell_id")).alias("cells"))  # `top` at most
+    order = ranks_of(index, queries.join(held, "query_id"), how.box_guided)
     stage = F.when(F.col("cell_rank") <= how.probes, "S1").when(F.col("cell_rank") <= how.borderline_probes, "S2").otherwise("OUT")
     return true.join(order, ["query_id", "cell_id"]).withColumn("stage", stage)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def trained(telemetry: DataFrame, depths: tuple[int, ...] = (3, 4, 5, 6, 7, 8), least: int = 200, seed: int = 42) -> tuple[DecisionTreeClassificationModel, DataFrame]:
@@ -31,3 +33,28 @@ def trained(telemetry: DataFrame, depths: tuple[int, ...] = (3, 4, 5, 6, 7, 8),
     finally:
         ready.unpersist()
     return best[1], spark.createDataFrame(scores, "depth int, nodes int, tp long, fp long, fn long, f1 double")
+
+
+def as_column(model: DecisionTreeClassificationModel, names: list[str]) -> Column:
+    """The tree as one expression over the columns `names`: its prediction, inside generated code."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in model.toDebugString.splitlines()[1:] if x.strip()]
+
+    def branch(at: int) -> tuple[Column, int]:
+        depth, text = lines[at]
+        if text.startswith("Predict"):
+            return F.lit(float(text.split(":")[1])), at + 1
+        number, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", text).groups()
+        yes, at = branch(at + 1)
+        assert lines[at][0] == depth and lines[at][1].startswith("Else")
+        no, at = branch(at + 1)
+        return F.when(F.col(names[int(number)]) <= float(bound), yes).otherwise(no), at
+
+    return branch(0)[0]
+
+
+def save(model: DecisionTreeClassificationModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> DecisionTreeClassificationModel:
+    return DecisionTreeClassificationModel.load(path)

@@ -13,14 +13,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from nearvote.functions.vectors import squared_distance
-from nearvote.operators.knn import CELLS, K, decided, matrix_of, nearest, ranked
+from nearvote.operators.knn import BLOCK, CELLS, K, REF_BLOCK, Nearest, decided, matrix_of, ranked
 
 #: Cells of an index, at most; its centroids and boxes are broadcast: with 64 dimensions under 20 MB.
 MOST_CELLS = 65_536
+#: Probes (a query and a cell) that are broadcast, at most: with 64 dimensions under 40 MB.
+FEW_PROBES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -44,21 +46,35 @@ class Search:
 
 @dataclass(frozen=True)
 class Index:
-    """refs: ref_id, q16, q8, label, cell_id. cells: cell_id, centroid, size, start, low, high (null in empty cells)."""
+    """refs: ref_id, q16, q8, label, cell_id. cells: cell_id, centroid, size, start, low, high (null in empty cells).
+
+    What `build` returns is computed anew for each action; write it and read it again to search more than once.
+    """
 
     refs: DataFrame
     cells: DataFrame
     dims: int
 
     def write(self, path: str) -> None:
-        """References by cell, so that a search reads the files of the cells it probes."""
-        self.refs.repartition("cell_id").sortWithinPartitions("cell_id", "ref_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/refs")
+        """References by cell, so that a search reads the files of the cells it probes. A heavy cell is dealt to several tasks and files."""
+        salt = F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("size") / REF_BLOCK))
+        dealt = self.refs.join(F.broadcast(self.cells.select("cell_id", "size")), "cell_id").repartition("cell_id", salt).drop("size")
+        dealt.sortWithinPartitions("cell_id", "ref_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/refs")
         self.cells.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
 
+    def stored(self, path: str) -> Index:
+        self.write(path)
+        return Index.read(self.refs.sparkSession, path)
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         cells = spark.read.parquet(f"{path}/cells")
-        return Index(spark.read.parquet(f"{path}/refs"), cells, cells.select(F.size("centroid").alias("n")).first()["n"])
+        if cells.filter("size > 0").isEmpty():
+            return Index(spark.createDataFrame([], REFS), cells, _dims(cells))
+        return Index(spark.read.schema(REFS).parquet(f"{path}/refs"), cells, cells.select(F.size("centroid").alias("n")).first()["n"])
+
+
+REFS = "ref_id long, q16 array<smallint>, q8 array<tinyint>, label int, cell_id int"
 
 
 # ---- building
@@ -125,6 +141,13 @@ def build(refs: DataFrame, centroids: DataFrame) -> Index:
     return Index(in_cells, cell_table(in_cells, centroids), _dims(centroids))
 
 
+def recomputed_centroids(refs: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Centroids as the means of the members that cells have now, rounded half up; empty cells keep theirs."""
+    at = [F.floor(F.avg(F.get("q16", F.lit(i)).cast("long")) + 0.5).cast("int") for i in range(_dims(centroids))]
+    means = refs.groupBy("cell_id").agg(F.array(*at).alias("mean"))
+    return centroids.join(means, "cell_id", "left").select("cell_id", F.coalesce("mean", "centroid").alias("centroid"))
+
+
 def statistics(index: Index) -> DataFrame:
     """One row: cells, mean and largest size, empty cells."""
     return index.cells.agg(F.count(F.lit(1)).alias("cells"), F.avg("size").alias("mean_size"), F.max("size").alias("largest"), F.count_if(F.col("size") == 0).alias("empty"))
@@ -169,6 +192,23 @@ def reached(index: Index, queries: DataFrame, first_rank: int) -> DataFrame:
     return _queried(queries, "worst").mapInArrow(work, PROBES)
 
 
+def ranks_of(index: Index, wanted: DataFrame, guided: bool = False) -> DataFrame:
+    """wanted: query_id, q16, q8, cells (array). query_id, cell_id, cell_rank of these cells among all, as `probed` ranks them."""
+    held, dims = _cells(index), index.dims
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = held.value
+        for batch in batches:
+            out = []
+            for q, i, of in zip(matrix_of(batch["query"], dims), batch["query_id"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                rank = np.empty(len(cells.ids), np.int64)
+                rank[np.argsort(cells.to_boxes(q) if guided else cells.to_centroids(q), kind="stable")] = np.arange(1, len(cells.ids) + 1)
+                out += [(i, c, int(rank[k])) for c, k in zip(of, np.searchsorted(cells.ids, of).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "cell_id", "cell_rank"])
+
+    return _queried(wanted, "cells").mapInArrow(work, "query_id long, cell_id int, cell_rank int")
+
+
 @dataclass(frozen=True)
 class Cells:
     ids: np.ndarray
@@ -205,10 +245,74 @@ def _probes(row: dict, ids: np.ndarray, ranks: np.ndarray, distances: np.ndarray
 
 
 def candidates(index: Index, probes: DataFrame, most: int) -> DataFrame:
-    """The nearest references of the probed cells by 8-bit distance, `most` for each query, with their 16-bit distance."""
-    pairs = probes.join(index.refs.select("ref_id", "q16", "q8", "label", "cell_id"), "cell_id")
-    pairs = pairs.withColumns({"coarse": squared_distance("q8", "query_q8", index.dims), "distance": squared_distance("q16", "query", index.dims)})
-    return ranked(pairs.select("query_id", "ref_id", "label", "cell_rank", "coarse", "distance"), ["coarse", "cell_rank", "ref_id"], most, name="coarse_rank")
+    """The nearest references of the probed cells by 8-bit distance, `most` for each query, with their 16-bit distance.
+
+    Few probes go to the tasks that read their cells. More are dealt to a grid in each cell: a block of
+    its probes meets a block of its references in one task, so neither a cell with many references nor
+    one that many queries probe is a task of its own. Only candidates get a 16-bit distance.
+    """
+    spark = index.refs.sparkSession
+    refs = index.refs.select("ref_id", "q16", "q8", F.col("label").cast("long").alias("label"), "cell_id")
+    probes = probes.select("query_id", "query", "query_q8", "cell_id", "cell_rank")
+    held = probes.limit(FEW_PROBES + 1).toPandas()
+    if len(held) <= FEW_PROBES:
+        sent = spark.sparkContext.broadcast(Probes.of(held))
+        cells = sorted({int(c) for c in held["cell_id"]})
+        found = refs.filter(F.col("cell_id").isin(cells)).mapInArrow(lambda batches: _scanned(sent.value, batches, most), CANDIDATES)
+    else:
+        visits = probes.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks"))
+        blocks = F.broadcast(index.cells.select("cell_id", F.ceil(F.col("size") / REF_BLOCK).cast("int").alias("r_blocks")).join(visits, "cell_id").filter("r_blocks > 0"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        q = probes.join(blocks, "cell_id").withColumn("qb", block("query_id", "q_blocks")).withColumn("rb", every("r_blocks")).drop("q_blocks", "r_blocks")
+        r = refs.join(blocks, "cell_id").withColumn("rb", block("ref_id", "r_blocks")).withColumn("qb", every("q_blocks")).drop("q_blocks", "r_blocks")
+        by = ["cell_id", "qb", "rb"]
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(list(_scanned(Probes.of(a.to_pandas()), b.combine_chunks().to_batches(), most)))
+
+        found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(meet, CANDIDATES)
+    found = found.withColumns({"label": F.col("label").cast("int"), "cell_rank": F.col("cell_rank").cast("int")})
+    return ranked(found, ["coarse", "cell_rank", "ref_id"], most, name="coarse_rank")
+
+
+CANDIDATES = "query_id long, ref_id long, label long, cell_rank long, coarse long, distance long"
+
+
+@dataclass(frozen=True)
+class Probes:
+    """ids: of the queries, in order. By cell: numbers of the queries that probe it, and the rank that it has for each. Vectors by number."""
+
+    ids: np.ndarray
+    cells: dict[int, tuple[np.ndarray, np.ndarray]]
+    q8: np.ndarray
+    q16: np.ndarray
+
+    @staticmethod
+    def of(pdf: pd.DataFrame) -> Probes:
+        ids, first, at = np.unique(pdf["query_id"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        vectors = [np.stack(pdf[c].to_numpy()[first]).astype(np.float64) if len(ids) else np.zeros((0, 1)) for c in ("query_q8", "query")]
+        by = pd.DataFrame({"cell": pdf["cell_id"].to_numpy(), "q": at, "rank": pdf["cell_rank"].to_numpy(np.int64)})
+        return Probes(ids, {int(c): (g["q"].to_numpy(), g["rank"].to_numpy()) for c, g in by.groupby("cell")}, *vectors)
+
+
+def _scanned(probes: Probes, batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The candidates of some probes among some references: distances by 8 bits for all, by 16 bits for those that they let in."""
+    best = Nearest(len(probes.ids), most, 2)
+    for batch in batches:
+        cells = batch["cell_id"].to_numpy()
+        for cell in np.unique(cells):
+            of, ranks = probes.cells.get(int(cell), (np.zeros(0, np.int64),) * 2)
+            at, step = np.flatnonzero(cells == cell), max(most + 1, CELLS // max(1, len(of)))
+            for i in range(0, len(at) if len(of) else 0, step):
+                part = batch.take(pa.array(at[i : i + step]))
+                r8, r16 = (matrix_of(part[c], m.shape[1]) for c, m in (("q8", probes.q8), ("q16", probes.q16)))
+                x, labels = probes.q8[of], part["label"].to_numpy()
+                coarse = (x * x).sum(axis=1)[:, None] + (r8 * r8).sum(axis=1)[None, :] - 2 * (x @ r8.T)
+                fine = lambda q, r, of=of, r16=r16: ((probes.q16[of[q]] - r16[r]) ** 2).sum(axis=1)
+                best.add(of, coarse, ranks, part["ref_id"].to_numpy(), lambda q, r, fine=fine, labels=labels: [labels[r], fine(q, r).astype(np.int64)])
+    at, coarse, rank, ref, label, distance = best.rows()
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (probes.ids[at], ref, label, rank, coarse, distance)], names=["query_id", "ref_id", "label", "cell_rank", "coarse", "distance"])
 
 
 def reranked(pool: DataFrame) -> DataFrame:
@@ -245,7 +349,7 @@ def search(index: Index, queries: DataFrame, how: Search = Search()) -> DataFram
     """query_id, frauds, fraud_score, approved, mode (0 full, 1 stopped early, 2 borderline, 3 repaired), rows_scanned."""
     how = how.within(index.cells.count())
     reach = max(how.probes, how.borderline_probes)
-    every = probed(index, queries, reach, how.box_guided)
+    every = probed(index, queries, reach, how.box_guided).checkpoint()
     probes = every.filter(F.col("cell_rank") <= how.probes)
     sizes = index.cells.select("cell_id", "size")
     scanned = lambda p: p.join(F.broadcast(sizes), "cell_id").groupBy("query_id").agg(F.sum("size").alias("rows_scanned"))
@@ -277,6 +381,12 @@ def search(index: Index, queries: DataFrame, how: Search = Search()) -> DataFram
     return decided(found)
 
 
+def neighbours(index: Index, queries: DataFrame, how: Search = Search()) -> DataFrame:  # noqa: B008
+    """The K nearest in the probed cells: query_id, rank, ref_id, label, distance."""
+    how = how.within(index.cells.count())
+    return reranked(candidates(index, probed(index, queries, how.probes, how.box_guided).checkpoint(), how.candidates)).select("query_id", "rank", "ref_id", "label", "distance")
+
+
 def cell_visits(probes: DataFrame) -> DataFrame:
     """How many queries probe each cell."""
     return probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("visits"))
@@ -285,7 +395,7 @@ def cell_visits(probes: DataFrame) -> DataFrame:
 def what_if(index: Index, queries: DataFrame, how: Search, percentages: tuple[int, ...] = (60, 70, 75, 80, 85, 90)) -> DataFrame:
     """For each percentage: pct, checkpoint, queries that could stop there, of all; and how many of these would be answered otherwise."""
     how = how.within(index.cells.count())
-    probes = probed(index, queries, how.probes, how.box_guided)
+    probes = probed(index, queries, how.probes, how.box_guided).checkpoint()
     full = summary(reranked(candidates(index, probes, how.candidates))).select("query_id", F.col("frauds").alias("full"))
     rows = None
     for pct in percentages:
@@ -295,8 +405,3 @@ def what_if(index: Index, queries: DataFrame, how: Search, percentages: tuple[in
         one = one.select(F.lit(pct).alias("pct"), F.lit(at).alias("checkpoint"), "queries", "stopped", "changed")
         rows = one if rows is None else rows.unionByName(one)
     return rows
-
-
-def exact(index: Index, queries: DataFrame) -> DataFrame:
-    """The K nearest of all references."""
-    return nearest(index.refs, queries)

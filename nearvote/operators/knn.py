@@ -15,74 +15,107 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Neighbours that vote; the score's denominator also where there are fewer.
 K = 5
-#: Queries that one pass over the references answers: with 64 dimensions of 8 bytes, 4 MB in every task.
+#: Queries that meet a block of references in one task: with 64 dimensions of 8 bytes, 4 MB. So many are broadcast.
 BLOCK = 8192
+#: References of a block, where there are more queries than that.
+REF_BLOCK = 1 << 17
 #: Distances of one batch that a task holds, about: 32 MB.
 CELLS = 1 << 22
 
 
 def matrix_of(column: pa.Array, dims: int) -> np.ndarray:
     """The rows of a list column."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if dims < 0 else flat.reshape(-1, dims)
 
 
 class Nearest:
-    """The k least (distance, id) of each query so far."""
+    """Of each query the k least rows so far, by distance, rank and id, with some more columns of theirs."""
+
+    def __init__(self, queries: int, k: int, more: int = 1) -> None:
+        top = np.iinfo(np.int64).max
+        self.k, self.distance, self.rank, self.id = k, np.full((queries, k), top), np.full((queries, k), top), np.full((queries, k), top)
+        self.more = np.zeros((more, queries, k), np.int64)
+
+    def add(self, of: np.ndarray, d: np.ndarray, ranks: np.ndarray, ids: np.ndarray, more) -> None:
+        """d: for the queries `of` (rows) and some references (columns) their distances; ranks: of the queries; more(q, r): columns of pairs."""
+        worst = self.distance[of, -1]
+        near = d <= worst[:, None]
+        if near.sum() > 4 * self.k * len(of) and d.shape[1] > self.k:
+            near &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        q, r = np.nonzero(near)
+        if not len(q):
+            return
+        hit, at = np.unique(q, return_inverse=True)
+        rows = of[hit]
+        owner = np.concatenate([np.repeat(np.arange(len(hit)), self.k), at])
+        distance = np.concatenate([self.distance[rows].ravel(), d[q, r].astype(np.int64)])
+        rank, id_ = np.concatenate([self.rank[rows].ravel(), ranks[q]]), np.concatenate([self.id[rows].ravel(), ids[r]])
+        order = np.lexsort((id_, rank, distance, owner))
+        begins = np.searchsorted(owner[order], np.arange(len(hit)))
+        keep = order[(begins[:, None] + np.arange(self.k)[None, :]).ravel()]
+        old = len(hit) * self.k
+        columns = np.concatenate([self.more[:, rows].reshape(len(self.more), -1), np.zeros((len(self.more), len(q)), np.int64)], axis=1)
+        new = keep[keep >= old] - old
+        columns[:, new + old] = np.stack(more(q[new], r[new]))
+        shape = (len(hit), self.k)
+        self.distance[rows], self.rank[rows], self.id[rows] = distance[keep].reshape(shape), rank[keep].reshape(shape), id_[keep].reshape(shape)
+        self.more[:, rows] = columns[:, keep].reshape(len(self.more), *shape)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """Numbers of queries, distances, ranks, ids, and the further columns."""
+        q, at = np.nonzero(self.distance < np.iinfo(np.int64).max)
+        return q, self.distance[q, at], self.rank[q, at], self.id[q, at], *self.more[:, q, at]
+
+
+def nearest(refs: DataFrame, queries: DataFrame, k: int = K, vector: str = "q16", block: int = BLOCK, ref_block: int = REF_BLOCK) -> DataFrame:
+    """query_id, rank (from 1), ref_id, label, distance: the k nearest references of every query.
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k, self.distance, self.id, self.label = k, [np.zeros(0, np.int64)] * queries, [np.zeros(0, np.int64)] * queries, [np.zeros(0, np.int64)] * queries
+    Up to `block` queries go to all tasks, and the references are read once where they lie. More are
+    dealt to a grid: every block of queries meets every block of references in one task. A task keeps k
+    rows for each query, and these alone are shuffled. Products of integers below 2**53 are exact in
+    double precision.
+    """
+    count = queries.count()
+    r = refs.select(F.col("ref_id").cast("long").alias("ref_id"), F.col("label").cast("long").alias("label"), F.col(vector).cast("array<int>").alias("v"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<int>").alias("v"))
+    made = "query_id long, ref_id long, label long, distance long"
+    if count <= block:
+        held = refs.sparkSession.sparkContext.broadcast(_queries_of(q.toPandas()))
+        found = r.mapInArrow(lambda batches: _search(*held.value, batches, k), made)
+    else:
+        found = gridded(q, r, -(-count // block), -(-r.count() // ref_block), k, made)
+    return ranked(found.withColumn("label", F.col("label").cast("int")), ["distance", "ref_id"], k)
 
-    def add(self, d: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
-        """d: a row for each query."""
-        n = d.shape[1]
-        near = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if n > self.k else np.full(len(d), np.inf)
-        for q in range(len(d)):
-            at = np.flatnonzero(d[q] <= near[q])
-            dist, i, lab = np.concatenate([self.distance[q], d[q, at].astype(np.int64)]), np.concatenate([self.id[q], ids[at]]), np.concatenate([self.label[q], labels[at]])
-            order = np.lexsort((i, dist))[: self.k]
-            self.distance[q], self.id[q], self.label[q] = dist[order], i[order], lab[order]
 
+def _queries_of(pdf) -> tuple[np.ndarray, np.ndarray]:
+    return pdf["query_id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
 
-def nearest(refs: DataFrame, queries: DataFrame, k: int = K, vector: str = "q16", block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), ref_id, label, distance: the k nearest references of every query.
 
-    Queries go to the tasks in blocks of a fixed size, one pass over the references for each; a task
-    keeps k rows for each query, and these alone are shuffled. Products of integers below 2**53 are
-    exact in double precision.
-    """
-    spark = refs.sparkSession
-    count = queries.count()
-    parts = max(1, -(-count // block))
-    found = []
-    for part in range(parts):
-        rows = queries.select("query_id", vector).filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas() if parts > 1 else queries.select("query_id", vector).toPandas()
-        if len(rows):
-            found.append(_pass(refs, spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), np.stack(rows[vector].to_numpy()).astype(np.float64))), k, vector))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, ref_id long, label int, distance long")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return ranked(every, ["distance", "ref_id"], k)
-
-
-def _pass(refs: DataFrame, held, k: int, vector: str) -> DataFrame:
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = held.value
-        best, length = Nearest(len(ids), k), (q * q).sum(axis=1)
-        step = max(k + 1, CELLS // max(1, len(ids)))
-        for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                r = matrix_of(part["v"], q.shape[1])
-                best.add(length[:, None] + (r * r).sum(axis=1)[None, :] - 2 * (q @ r.T), part["ref_id"].to_numpy(), part["label"].to_numpy())
-        sizes = [len(x) for x in best.id]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, sizes)), *[pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (best.id, best.label, best.distance)]], names=["query_id", "ref_id", "label", "distance"]
-        )
-
-    rows = refs.select(F.col("ref_id").cast("long").alias("ref_id"), F.col("label").cast("long").alias("label"), F.col(vector).cast("array<int>").alias("v"))
-    return rows.mapInArrow(work, "query_id long, ref_id long, label long, distance long").withColumn("label", F.col("label").cast("int"))
+def gridded(queries: DataFrame, refs: DataFrame, q_blocks: int, r_blocks: int, k: int, made: str) -> DataFrame:
+    """Each block of queries against each block of references, one pair of blocks in a task at a time."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
+    q = queries.select("query_id", "v", block("query_id", q_blocks).alias("qb")).withColumn("rb", every(r_blocks))
+    r = refs.select("ref_id", "label", "v", block("ref_id", r_blocks).alias("rb")).withColumn("qb", every(q_blocks))
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = list(_search(a["query_id"].to_numpy(), matrix_of(a["v"].combine_chunks(), -1 if len(a) else 1), b.to_batches(), k))
+        return pa.Table.from_batches(found)
+
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(work, made)
+
+
+def _search(ids: np.ndarray, q: np.ndarray, batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    best, length, every = Nearest(len(ids), k), (q * q).sum(axis=1), np.arange(len(ids))
+    step = max(k + 1, CELLS // max(1, len(ids)))
+    for batch in batches:
+        for i in range(0, batch.num_rows if len(ids) else 0, step):
+            part = batch.slice(i, step)
+            r, labels = matrix_of(part["v"], q.shape[1]), part["label"].to_numpy()
+            best.add(every, length[:, None] + (r * r).sum(axis=1)[None, :] - 2 * (q @ r.T), np.zeros(len(ids), np.int64), part["ref_id"].to_numpy(), lambda _, at, labels=labels: [labels[at]])
+    at, distance, _, ref, label = best.rows()
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[at], ref, label, distance)], names=["query_id", "ref_id", "label", "distance"])
 
 
 def ranked(rows: DataFrame, order: list[str | Column], k: int, group: str = "query_id", name: str = "rank") -> DataFrame:
@@ -91,19 +124,14 @@ def ranked(rows: DataFrame, order: list[str | Column], k: int, group: str = "que
 
 
 def nearest_two_stage(refs: DataFrame, queries: DataFrame, candidates: int = 32, k: int = K) -> DataFrame:
-    """The `candidates` nearest by the 8-bit vectors, and of these the k nearest by the 16-bit ones."""
-    from nearvote.functions.vectors import squared_distance
-
-    coarse = nearest(refs, queries, max(k, candidates), "q8").withColumnRenamed("distance", "coarse").drop("rank", "label")
-    dims = _dims(refs)
-    rows = coarse.join(refs.select("ref_id", "q16", "label"), "ref_id").join(queries.select("query_id", F.col("q16").alias("query")), "query_id")
-    rows = rows.withColumn("distance", squared_distance("q16", "query", dims)).select("query_id", "ref_id", "label", "coarse", "distance")
-    return ranked(rows, ["distance", "coarse", "ref_id"], k)
-
-
-def _dims(refs: DataFrame) -> int:
-    first = refs.select(F.size("q16").alias("n")).take(1)
-    return first[0]["n"] if first else 0
+    """The `candidates` nearest by the 8-bit vectors, and of these the k nearest by the 16-bit ones: query_id, rank, ref_id, label, coarse, distance."""
+    from nearvote.operators import ivf
+
+    one = refs.select("ref_id", "q16", "q8", "label", F.lit(0).alias("cell_id"))
+    cells = refs.agg(F.count(F.lit(1)).alias("size")).select(F.lit(0).alias("cell_id"), "size")
+    probes = queries.select("query_id", F.col("q16").alias("query"), F.col("q8").alias("query_q8"), F.lit(0).alias("cell_id"), F.lit(1).alias("cell_rank"))
+    pool = ivf.candidates(ivf.Index(one, cells, 0), probes, max(k, candidates))
+    return ranked(pool.select("query_id", "ref_id", "label", "coarse", "distance"), ["distance", "coarse", "ref_id"], k)
 
 
 def voted(neighbours: DataFrame, queries: DataFrame | None = None) -> DataFrame:

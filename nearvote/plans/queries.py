@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nearvote.functions.features import MCC_RISK, feature_columns, risk, vectorized
-from nearvote.operators import evaluate, forensics, hard_queries, ivf, stress
+from nearvote.functions.quantize import from_q16, q8_vector
+from nearvote.operators import evaluate, forensics, hard_queries, ivf, replay, stress
 from nearvote.operators.balance import rebalanced, split_centroids
 from nearvote.operators.knn import decided, nearest, nearest_two_stage, voted
 from nearvote.operators.scorers import scorer
 from nearvote.plans.tables import (
-    ASSIGNED, CANDIDATES, CELLS, DECIDED, DIMS, EXACT, NLIST, PROBES, PROBES_SQL, TWO_STAGE, V,
+    ASSIGNED, CANDIDATES, CELLS, DECIDED, DIMS, EXACT, NLIST, PROBES, PROBES_SQL, TRAINED_PROBES, TWO_STAGE, V,
     box, centroids, index, queries, references, searched, table, transactions,
 )
+from nearvote.sources.readers import read_requests
+from nearvote.sources.shared import new_path
 from nearvote.sources.writers import responses
-from nearvote.streaming.scoring import score_stream
+from nearvote.streaming.scoring import as_queries, request_stream, score_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,6 +46,13 @@ def quantize_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references(spark, sf_dir).select(F.col("ref_id").alias("vec_id"), F.posexplode("q8").alias("dim", "q")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.col("q").cast("int").alias("q"))
 
 
+@query(f"WITH {V} SELECT vec_id, i - 1 AS dim, (q16[i]::FLOAT * 0.0001::FLOAT)::DOUBLE AS value FROM v, (SELECT unnest(range(1, {DIMS + 1})) AS i)")
+def dequantize_q16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-precision values of the 16-bit vectors."""
+    rows = references(spark, sf_dir).select(F.col("ref_id").alias("vec_id"), F.posexplode("q16").alias("dim", "q"))
+    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), from_q16(F.col("q")).cast("double").alias("value"))
+
+
 @query(f"WITH {EXACT} SELECT query_id, rank, ref_id, label, distance FROM nn")
 def knn_exact_q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(references(spark, sf_dir), queries(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id", "label", "distance")
@@ -65,7 +72,7 @@ def decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(voted(nearest(references(spark, sf_dir), queries(spark, sf_dir))))
 
 
-@query(f"""WITH {EXACT} SELECT query_id, '{{"approved":' || (frauds < 3)::VARCHAR || ',"fraud_score":' || round(frauds / 5.0::DOUBLE, 1)::VARCHAR || '}}' AS body FROM vote""")
+@query(f"""WITH {EXACT} SELECT query_id, '{{"approved":' || (frauds < 3)::VARCHAR || ',"fraud_score":' || ['0', '0.2', '0.4', '0.6', '0.8', '1'][frauds + 1] || '}}' AS body FROM vote""")
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(decision(spark, sf_dir))
 
@@ -105,6 +112,21 @@ def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.probed(index(spark, sf_dir), queries(spark, sf_dir), PROBES).select("query_id", "cell_id", "cell_rank", "cell_distance")
 
 
+@query(f"WITH {PROBES_SQL} SELECT query_id, cell_id::INTEGER AS cell_id, cell_rank::INTEGER AS cell_rank FROM every WHERE cell_rank <= 3")
+def ivf_top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest cells."""
+    return ivf.probed(index(spark, sf_dir), queries(spark, sf_dir), 3).select("query_id", "cell_id", "cell_rank")
+
+
+@query(f"""WITH {ASSIGNED}, m AS (SELECT cell_id, i, floor(avg(q16[i]) + 0.5)::INTEGER AS value FROM a, (SELECT unnest(range(1, {DIMS + 1})) AS i) GROUP BY cell_id, i)
+SELECT cell_id::INTEGER AS cell_id, (i - 1)::INTEGER AS dim, coalesce(value, centroid[i])::INTEGER AS value
+FROM (SELECT cell_id, centroid, unnest(range(1, {DIMS + 1})) AS i FROM cc) LEFT JOIN m USING (cell_id, i)""")
+def ivf_recomputed_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the cells' members."""
+    found = ivf.recomputed_centroids(index(spark, sf_dir).refs, centroids(spark, sf_dir))
+    return found.select("cell_id", F.posexplode("centroid").alias("dim", "value"))
+
+
 @query(f"""WITH {CELLS},
 e AS (SELECT v.vec_id AS query_id, cell_id, {box('v.q16', 'low', 'high')} AS cell_distance FROM v, cells WHERE v.vec_id % 100 = 0 AND size > 0)
 SELECT query_id, cell_id::INTEGER AS cell_id, cell_rank::INTEGER AS cell_rank, cell_distance
@@ -139,6 +161,18 @@ def ivf_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search(index(spark, sf_dir), queries(spark, sf_dir), ivf.Search(probes=PROBES, candidates=CANDIDATES, early_stop_pct=50))
 
 
+FIRST = ivf.checkpoint_of(PROBES, 34)
+
+
+@query(f"""WITH {EARLY}, {searched('h', f'SELECT * FROM every WHERE cell_rank <= {FIRST}')},
+earlier AS (SELECT h_s.*, 1 AS mode FROM h_s JOIN every USING (query_id) WHERE cell_rank = {FIRST + 1} AND frauds IN (0, 5) AND worst < cell_distance)
+SELECT {DECIDED} FROM (SELECT * FROM earlier UNION ALL SELECT * FROM early WHERE query_id NOT IN (SELECT query_id FROM earlier)
+  UNION ALL SELECT *, 0 AS mode FROM f_s WHERE query_id NOT IN (SELECT query_id FROM early UNION ALL SELECT query_id FROM earlier))""")
+def ivf_early_stop_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a checkpoint before the main one."""
+    return ivf.search(index(spark, sf_dir), queries(spark, sf_dir), ivf.Search(probes=PROBES, candidates=CANDIDATES, early_stop_pct=50, early_stop_pct_first=34))
+
+
 @query(f"""WITH {EARLY.replace('IN (0, 5)', 'NOT IN (2, 3)')} SELECT {DECIDED} FROM (SELECT * FROM early UNION ALL SELECT *, 0 AS mode FROM f_s WHERE query_id NOT IN (SELECT query_id FROM early))""")
 def ivf_early_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search(index(spark, sf_dir), queries(spark, sf_dir), ivf.Search(probes=PROBES, candidates=CANDIDATES, early_stop_pct=50, early_majority=True))
@@ -257,6 +291,48 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _confused(spark, sf_dir).select(*[F.round(found[c], 6).alias(c) for c in ("latency_score", "detection_score")])
 
 
+FOUND = f"{PROBES_SQL}, {FULL}, {TRUE}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM t_p) WHERE rank <= 5)"
+
+
+@query(f"""WITH {FOUND} SELECT count(*) AS neighbours, count(f_n.ref_id) AS found, count(f_n.ref_id) / count(*) AS recall FROM nn LEFT JOIN f_n USING (query_id, ref_id)""")
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the five nearest the search by cells finds."""
+    true = nearest(references(spark, sf_dir), queries(spark, sf_dir)).select("query_id", "ref_id")
+    return evaluate.recall(ivf.neighbours(index(spark, sf_dir), queries(spark, sf_dir), PLAIN), true)
+
+
+REPLAYED = (ivf.Search(probes=1, early_stop=False), ivf.Search(probes=2, early_stop=False), ivf.Search(probes=2, borderline_probes=10, early_stop=False))
+REPLAY_SQL = " UNION ALL ".join(
+    f"""SELECT {p} AS probes, {CANDIDATES} AS candidates, {b} AS borderline_probes, false AS box_guided, false AS box_repair, 75 AS early_stop_pct, count(*) AS queries,
+count(*) FILTER (x.frauds < 3 AND t.frauds >= 3) AS fn, count(*) FILTER (x.frauds >= 3 AND t.frauds < 3) AS fp, count(*) FILTER ((x.frauds < 3) <> (t.frauds < 3)) AS otherwise,
+avg(abs(x.frauds - t.frauds) / 5.0::DOUBLE) AS mean_apart, max(abs(x.frauds - t.frauds) / 5.0::DOUBLE) AS most_apart, avg(rows_scanned) AS mean_scanned,
+coalesce(min(query_id) FILTER (x.frauds < 3 AND t.frauds >= 3), -1) AS first_fn FROM {rows} x JOIN t USING (query_id)"""
+    for p, b, rows in ((1, 0, "f_s"), (2, 0, "g_s"), (2, 10, "(SELECT * FROM w_s UNION ALL SELECT * FROM g_s WHERE frauds NOT IN (2, 3))"))
+)
+
+
+@query(f"""WITH {TWO}, {searched('g', 'SELECT * FROM every WHERE cell_rank <= 2')},
+{searched('w', 'SELECT * FROM every WHERE cell_rank <= 10 AND query_id IN (SELECT query_id FROM g_s WHERE frauds IN (2, 3))')} {REPLAY_SQL}""")
+def replay_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations against a ground truth that is computed once and kept."""
+    q = queries(spark, sf_dir)
+    found = replay.replay(index(spark, sf_dir), q, replay.ground_truth(references(spark, sf_dir), q, new_path(spark, "truth")), REPLAYED)
+    return found.withColumn("first_fn", F.coalesce("first_fn", F.lit(-1).cast("long")))
+
+
+@query(f"""WITH {TWO} SELECT query_id, CASE WHEN f_s.frauds < 3 THEN 'fn' ELSE 'fp' END AS kind, round(f_s.frauds / 5.0::DOUBLE, 1) AS fraud_score, round(t.frauds / 5.0::DOUBLE, 1) AS true_score
+FROM f_s JOIN t USING (query_id) WHERE (f_s.frauds < 3) <> (t.frauds < 3) ORDER BY query_id LIMIT 30""")
+def first_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.differing(*_two(spark, sf_dir), most=30)
+
+
+@query(f"WITH {EXACT} SELECT query_id FROM vote WHERE frauds BETWEEN 2 AND 4")
+def hard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries whose true score is from 0.3 to 0.8."""
+    q = queries(spark, sf_dir)
+    return replay.between(q, replay.ground_truth(references(spark, sf_dir), q)).select("query_id")
+
+
 @query(f"WITH {EXACT} SELECT round(frauds / 5.0::DOUBLE, 1) AS fraud_score, count(*) AS queries FROM vote GROUP BY 1")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.histogram(decision(spark, sf_dir))
@@ -306,6 +382,32 @@ def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) for c in ("mean_first", "mean_second", "difference", "t")], F.round("df", 4).alias("df"))
 
 
+def _p_sql(t: str, df: str) -> str:
+    """The same quadrature as `evaluate.p_value`."""
+    x, w = (f"[{', '.join(map(repr, v))}]" for v in evaluate.quadrature())
+    area = lambda low, high: f"(list_sum(list_transform(range(1, {evaluate.POINTS + 1}), lambda i: {w}[i] * pow(greatest(cos(({high} - {low}) / 2 * {x}[i] + ({high} + {low}) / 2), 0), {df} - 1))) * ({high} - {low}) / 2)"
+    far = f"least(pi() / 2, 40 / sqrt({df}))"
+    at = f"least(atan(abs({t}) / sqrt({df})), {far})"
+    return f"{area(at, far)} / ({area('0', at)} + {area(at, far)})"
+
+
+COMPARED = ("mean_value", "most", "number")
+
+
+@query(f"""WITH r AS (SELECT user_id, user_id % 2 AS arm, avg(value) AS mean_value, max(value) AS most, count(*)::DOUBLE AS number FROM events GROUP BY user_id),
+u AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, arm, {m} AS value FROM r" for m in COMPARED)}),
+s AS (SELECT metric, arm, count(value) AS n, avg(value) AS m, var_samp(value) AS v, median(value) AS d FROM u GROUP BY metric, arm),
+x AS (SELECT a.metric, a.m AS m1, b.m AS m2, a.v / a.n AS s1, b.v / b.n AS s2, a.n AS n1, b.n AS n2, a.d AS d1, b.d AS d2 FROM s a JOIN s b USING (metric) WHERE a.arm = 0 AND b.arm = 1),
+y AS (SELECT *, CASE WHEN s1 + s2 > 0 THEN (m2 - m1) / sqrt(s1 + s2) END AS t, CASE WHEN s1 + s2 > 0 THEN (s1 + s2) * (s1 + s2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)) END AS df FROM x)
+SELECT metric, n1 AS runs_first, n2 AS runs_second, round(d1, 6) AS median_first, round(d2, 6) AS median_second, round(d2 - d1, 6) AS median_difference,
+round(CASE WHEN d1 <> 0 THEN (d2 - d1) * 100 / d1 END, 6) AS change_pct, round(t, 6) AS t, round({_p_sql('t', 'df')}, 6) AS p FROM y""")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arms of runs (users here) by several values."""
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean_value"), F.max("value").alias("most"), F.count(F.lit(1)).cast("double").alias("number"))
+    found = evaluate.comparison(runs.withColumn("arm", (F.col("user_id") % 2).cast("string")), list(COMPARED), "arm", "0", "1")
+    return found.select("metric", "runs_first", "runs_second", *[F.round(c, 6).alias(c) for c in ("median_first", "median_second", "median_difference", "change_pct", "t", "p")])
+
+
 @query("""SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) WHERE n > 1""")
 def runs_after_warm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").withColumn("started", F.struct("ts", "event_id"))
@@ -335,6 +437,41 @@ def miss_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forensics.coverage(forensics.neighbour_cells(index(spark, sf_dir), queries(spark, sf_dir), WIDE))
 
 
+# ---- requests as JSON
+
+REQUESTS_SQL = FEATURE_SQL + """, vecs AS (SELECT id, list(q ORDER BY dim) AS q16 FROM q GROUP BY id),
+rp AS (SELECT a.id, (b.id % 5 = 0)::INTEGER AS label, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(range(1, 15), lambda i: (a.q16[i] - b.q16[i]) * (a.q16[i] - b.q16[i]))), b.id) AS rank
+  FROM vecs a, vecs b WHERE a.id % 100 = 0)
+SELECT id::VARCHAR AS id, frauds < 3 AS approved, '{"approved":' || (frauds < 3)::VARCHAR || ',"fraud_score":' || ['0', '0.2', '0.4', '0.6', '0.8', '1'][frauds + 1] || '}' AS body
+FROM (SELECT id, sum(label)::INTEGER AS frauds FROM rp WHERE rank <= 5 GROUP BY id)"""
+
+
+def _labelled_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """References of 14 dimensions from all orders, and a folder with every hundredth order as a JSON request."""
+    orders, folder = transactions(spark, sf_dir), new_path(spark, "requests")
+    rows = vectorized(orders).select(F.col("id").alias("ref_id"), "q16", (F.col("id") % 5 == 0).cast("int").alias("label"))
+    orders.filter("id % 100 = 0").select(F.to_json(F.struct(*orders.columns)).alias("value")).write.text(f"{folder}/in")
+    return rows.withColumn("q8", q8_vector(F.transform("q16", from_q16))), folder
+
+
+@query(REQUESTS_SQL)
+def request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From JSON requests to JSON responses: parse, vectorize, search, decide, answer."""
+    refs, folder = _labelled_orders(spark, sf_dir)
+    asked = as_queries(read_requests(spark, f"{folder}/in"))
+    found = decided(voted(nearest(refs, asked), asked)).join(asked.select("query_id", "id"), "query_id")
+    return responses(found.withColumn("key", F.struct("id", "approved")), "key").select("key.*", "body")
+
+
+@query(REQUESTS_SQL)
+def request_stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of files of requests."""
+    refs, folder = _labelled_orders(spark, sf_dir)
+    answered = lambda df, n: responses(df.withColumn("key", F.struct("id", "approved")), "key").select("key.*", "body").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    score_stream(as_queries(request_stream(spark, f"{folder}/in")), ivf.Index(refs, refs.limit(0), 14), answered, f"{folder}/checkpoint", "brute").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 # ---- what SQL can't express
 
 
@@ -342,8 +479,8 @@ def miss_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_kmeans_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in an index built by k-means; decisions beside the exact ones."""
     refs = references(spark, sf_dir)
-    trained = ivf.build(refs, ivf.trained_centroids(refs, NLIST))
-    got = ivf.search(trained, queries(spark, sf_dir), ivf.Search(probes=8, candidates=CANDIDATES))
+    trained = ivf.build(refs, ivf.trained_centroids(refs, NLIST)).stored(new_path(spark, "index"))
+    got = ivf.search(trained, queries(spark, sf_dir), ivf.Search(probes=TRAINED_PROBES, candidates=CANDIDATES))
     return got.join(decision(spark, sf_dir).select("query_id", F.col("frauds").alias("exact")), "query_id")
 
 
@@ -351,7 +488,6 @@ def ivf_kmeans_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of cells after heavy ones are split and full ones have given members away."""
     refs = references(spark, sf_dir)
-    _checkpointed(spark)
     split = split_centroids(ivf.assigned(refs, centroids(spark, sf_dir)), centroids(spark, sf_dir), 60)
     even = rebalanced(ivf.assigned(refs, split), split, 0.5)
     return even.groupBy("cell_id").agg(F.count(F.lit(1)).alias("size"))
@@ -374,7 +510,7 @@ def stress_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DECISION)
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions from a stream, by the exact strategy."""
-    folder = f"{_checkpointed(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     queries(spark, sf_dir).repartition(3).write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema("query_id long, q16 array<smallint>, q8 array<tinyint>").parquet(f"{folder}/in")
     sink = lambda df, n: df.select("query_id", "frauds", "fraud_score", "approved").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
@@ -391,12 +527,3 @@ def hard_query_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [F.get("q16", F.lit(i)).cast("double").alias(f"f{i}") for i in range(14)]
     _, scores = hard_queries.trained(every.join(got, "query_id").select(*names, "mode"), depths=(3, 4), least=5)
     return scores
-
-
-def _checkpointed(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearvote-"))
-    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
-

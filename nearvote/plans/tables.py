@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nearvote.functions.quantize import q8_vector, q16_vector
 from nearvote.operators import ivf
+from nearvote.sources.shared import new_path, shared_dir
 
-DIMS, NLIST, PROBES, CANDIDATES = 64, 16, 6, 32
+#: With 12 cells of the fixed index, and 10 of one by k-means, recall of the five nearest is 0.95 and more (README).
+DIMS, NLIST, PROBES, TRAINED_PROBES, CANDIDATES = 64, 16, 12, 10, 32
 #: A row of `embeddings` counts as fraud from this label on.
 FRAUD_LABEL = 7
 
 
+#: Indexes that this application has stored, by folder of the tables.
+_STORED: dict[tuple[str, str], ivf.Index] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared_dir(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +40,11 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> ivf.Index:
-    return ivf.build(references(spark, sf_dir), centroids(spark, sf_dir))
+    """Built and stored by cell once for an application and folder; all queries read what is stored."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _STORED:
+        _STORED[at] = ivf.build(references(spark, sf_dir), centroids(spark, sf_dir)).stored(new_path(spark, "index"))
+    return _STORED[at]
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote import schemas
-from nearvote.functions.features import DIMS
+from nearvote.functions.features import DIMS, LIMIT_NAMES, Limits
 from nearvote.functions.quantize import q16_vector, q8_vector
 
 
@@ -16,7 +18,7 @@ def read_requests(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 
 def read_references(spark: SparkSession, path: str, dims: int = DIMS, multi_line: bool = True) -> DataFrame:
-    """Labelled vectors as JSON, also compressed: ref_id by content, q16, q8, label (1: fraud). Anything malformed raises.
+    """Labelled vectors as JSON, also compressed: ref_id (a hash of the content), q16, q8, label (1: fraud). Anything malformed raises.
 
     One array in one file is read by one task: write the result as Parquet before it is used often.
     """
@@ -25,10 +27,10 @@ def read_references(spark: SparkSession, path: str, dims: int = DIMS, multi_line
 
 
 def validated(rows: DataFrame, dims: int = DIMS) -> DataFrame:
-    """vector and label, checked and quantized; ref_id follows the order of the input."""
+    """vector and label, checked and quantized; ref_id is a hash of both, so it doesn't depend on files or partitions. Rows that are alike share it."""
     right = F.coalesce((F.size("vector") == dims) & F.col("label").isin("fraud", "legit"), F.lit(False))
     checked = rows.withColumn("_ok", F.when(right, True).otherwise(F.raise_error(F.lit("a reference needs all dimensions and a label of fraud or legit"))))
-    return checked.filter("_ok").select(F.monotonically_increasing_id().alias("ref_id"), q16_vector(F.col("vector")).alias("q16"), q8_vector(F.col("vector")).alias("q8"), (F.col("label") == "fraud").cast("int").alias("label"))
+    return checked.filter("_ok").select(F.xxhash64("vector", "label").alias("ref_id"), q16_vector(F.col("vector")).alias("q16"), q8_vector(F.col("vector")).alias("q8"), (F.col("label") == "fraud").cast("int").alias("label"))
 
 
 def read_workload(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -46,3 +48,20 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Summaries of runs as JSON, one to a file."""
     return spark.read.schema(schemas.RUN).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+
+
+def read_limits(spark: SparkSession, constants: str, risks: str | None = None) -> Limits:
+    """Constants of the features from JSON files: one object of numbers, and one of merchant categories (of four characters) and risks."""
+    said = json.loads(_text(spark, constants))
+    held = {field: float(said[name]) for field, name in LIMIT_NAMES.items()}
+    if risks is None:
+        return Limits(**held)
+    table = {k: float(v) for k, v in json.loads(_text(spark, risks)).items()}
+    if wrong := [k for k in table if len(k) != 4]:
+        raise ValueError(f"merchant categories have four characters, not {wrong[0]!r}")
+    return Limits(**held, mcc_risk=table)
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file, from wherever Spark reads."""
+    return spark.read.text(path, wholetext=True).first()["value"]

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+#: The scores in the responses.
+SCORES = ("0", "0.2", "0.4", "0.6", "0.8", "1")
+
+
 def responses(decisions: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """id and body: {"approved": ..., "fraud_score": ...}, one of six texts."""
-    body = F.to_json(F.struct("approved", F.col("fraud_score").cast("float").alias("fraud_score")))
+    """id and body: {"approved": ..., "fraud_score": ...}, one of six texts; a score is snapped to the nearest of them."""
+    at = F.least(F.greatest(F.round(F.col("fraud_score") * 5), F.lit(0)), F.lit(5)).cast("int")
+    body = F.get(F.array(*[F.lit(f'{{"approved":{"true" if i < 3 else "false"},"fraud_score":{s}}}') for i, s in enumerate(SCORES)]), at)
     return decisions.select(id_col, body.alias("body"))
 
 

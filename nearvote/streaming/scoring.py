@@ -26,7 +26,7 @@ def as_queries(transactions: DataFrame) -> DataFrame:
 
 
 def score_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, name: str = "ivf", how: Search = Search(), available_now: bool = True) -> StreamingQuery:  # noqa: B008
-    """Score a stream of queries (query_id, q16, q8) in micro-batches; `sink` gets the decisions and the number of the batch.
+    """Score a stream of queries (query_id, q16, q8, and id if there is one) in micro-batches; `sink` gets the decisions and the number of the batch.
 
     Ranking over rows isn't possible on a stream itself, so it is done in foreachBatch. With a sink that
     overwrites by batch number each query is answered once, also after a restart.
@@ -36,7 +36,8 @@ def score_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, in
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            sink(score(index, batch, how), number)
+            found = score(index, batch.drop("id"), how)
+            sink(found.join(batch.select("query_id", "id"), "query_id") if "id" in batch.columns else found, number)
         finally:
             batch.unpersist()
 

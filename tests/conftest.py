@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
@@ -18,6 +18,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     root = str(Path(__file__).resolve().parent.parent)
     session.sparkContext.environment["PYTHONPATH"] = root
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -9,11 +9,12 @@ from pyspark.sql import Row
 
 from nearvote.functions.features import vectorized
 from nearvote.functions.quantize import q8, q16
-from nearvote.operators import evaluate, ivf, stress
+from nearvote.operators import evaluate, hard_queries, ivf, replay, stress
 from nearvote.operators.balance import heavy_cells, rebalanced, split_centroids
 from nearvote.operators.knn import decided, nearest, voted
 from nearvote.operators.scorers import scorer
-from nearvote.sources.readers import read_references, read_requests, read_telemetry, read_workload
+from nearvote.sources.readers import read_limits, read_references, read_requests, read_runs, read_telemetry, read_workload
+from nearvote.sources.writers import responses, write_report, write_responses, write_runs
 from nearvote.streaming.scoring import as_queries
 
 DIMS = 14
@@ -55,9 +56,11 @@ def test_features_at_their_edges(spark, tmp_path):
 def test_rounding_is_half_to_even(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(0.00005,), (0.00015,), (9.0,), (-9.0,)], "x double").select(q16(F.col("x")).alias("a"), q8(F.col("x")).alias("b"))
-    assert [r["a"] for r in df.collect()] == [0, 2, 32767, -32768] or [r["a"] for r in df.collect()][2:] == [32767, -32768]
-    assert [r["b"] for r in df.collect()][2:] == [127, -128]
+    # the first three times 10000 are halves, in single precision too
+    values = [0.03125, 0.09375, 0.15625, 9.0, -9.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(q16(F.col("x")).alias("a"), q8(F.col("x")).alias("b"))
+    assert [r["a"] for r in df.collect()] == [312, 938, 1562, 32767, -32768]  # 312.5, 937.5, 1562.5
+    assert [r["b"] for r in df.collect()] == [4, 12, 20, 127, -128]
 
 
 def refs(spark, n=400, seed=3):
@@ -70,10 +73,11 @@ def as_query(df):
     return df.filter("ref_id % 20 = 0").withColumnRenamed("ref_id", "query_id").drop("label")
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_nearest_is_brute_force_for_any_partitions(spark, parts):
+@pytest.mark.parametrize(("parts", "block"), [(1, 100), (7, 100), (3, 7)])
+def test_nearest_is_brute_force_for_any_partitions(spark, parts, block):
+    """Queries sent to all tasks, and dealt to a grid of blocks."""
     x, df = refs(spark)
-    got = {(r["query_id"], r["rank"]): (r["ref_id"], r["distance"]) for r in nearest(df.repartition(parts), as_query(df), block=7).collect()}
+    got = {(r["query_id"], r["rank"]): (r["ref_id"], r["distance"]) for r in nearest(df.repartition(parts), as_query(df), block=block, ref_block=90).collect()}
     for q in range(0, 400, 20):
         d = ((x - x[q]) ** 2).sum(axis=1)
         for rank, i in enumerate(np.lexsort((np.arange(400), d))[:5], 1):
@@ -100,6 +104,102 @@ def test_search_of_all_cells_is_exact(spark):
     assert {r["query_id"]: r["frauds"] for r in repaired} == exact
 
 
+@pytest.mark.parametrize("few", [1 << 16, 0], ids=["sent", "grid"])
+def test_candidates_are_those_of_brute_force(spark, monkeypatch, few):
+    """Probes sent to the tasks, and dealt to a grid with several blocks in a cell."""
+    monkeypatch.setattr(ivf, "FEW_PROBES", few)
+    monkeypatch.setattr(ivf, "BLOCK", 3)
+    monkeypatch.setattr(ivf, "REF_BLOCK", 20)
+    x, df = refs(spark)
+    eight = np.rint(x * 127 / 10_000).astype(int)
+    built = ivf.build(df, df.filter("ref_id < 6").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
+    cell = ((x[:, None, :] - x[None, :6, :]) ** 2).sum(axis=2).argmin(axis=1)
+    got = {}
+    for r in ivf.candidates(built, ivf.probed(built, as_query(df), 3), 8).collect():
+        got.setdefault(r["query_id"], []).append((r["coarse_rank"], r["ref_id"], r["coarse"], r["distance"], r["label"]))
+    for q in range(0, 400, 20):
+        order = np.argsort(((x[:6] - x[q]) ** 2).sum(axis=1), kind="stable")[:3].tolist()
+        rows = sorted((int(((eight[i] - eight[q]) ** 2).sum()), order.index(cell[i]), i) for i in range(400) if cell[i] in order)[:8]
+        assert sorted(got[q]) == [(k, i, c, int(((x[i] - x[q]) ** 2).sum()), int(i % 3 == 0)) for k, (c, _, i) in enumerate(rows, 1)]
+    assert ivf.candidates(built, ivf.probed(built, as_query(df).limit(0), 3), 8).count() == 0
+
+
+def test_centroids_follow_their_members(spark):
+    x, df = refs(spark)
+    two = df.filter("ref_id < 2").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid")
+    far = two.unionByName(spark.createDataFrame([(2, [30_000] * DIMS)], two.schema))
+    cell = ((x[:, None, :] - x[None, :2, :]) ** 2).sum(axis=2).argmin(axis=1)
+    got = {r["cell_id"]: r["centroid"] for r in ivf.recomputed_centroids(ivf.assigned(df, far), far).collect()}
+    assert got == {c: np.floor(x[cell == c].mean(axis=0) + 0.5).astype(int).tolist() for c in (0, 1)} | {2: [30_000] * DIMS}
+
+
+def test_replay(spark, tmp_path):
+    _, df = refs(spark)
+    built = ivf.build(df, df.filter("ref_id < 10").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid")).stored(str(tmp_path / "index"))
+    truth = replay.ground_truth(df, as_query(df), str(tmp_path))
+    assert replay.ground_truth(df.limit(0), as_query(df), str(tmp_path)).orderBy("query_id").collect() == truth.orderBy("query_id").collect()  # read, not computed
+    assert replay.ground_truth(df.limit(0), as_query(df), str(tmp_path), "other").agg({"frauds": "sum"}).first()[0] == 0
+    few, all_ = replay.replay(built, as_query(df), truth, [ivf.Search(probes=1, early_stop=False), ivf.Search(probes=10, candidates=400, early_stop=False)]).orderBy("probes").collect()
+    assert (all_["queries"], all_["otherwise"], all_["most_apart"], all_["first_fn"], all_["mean_scanned"]) == (20, 0, 0.0, None, 400.0)
+    got = ivf.search(built, as_query(df), ivf.Search(probes=1, early_stop=False))
+    apart = replay.differing(got, truth).collect()
+    assert len(apart) == few["otherwise"] == few["fn"] + few["fp"] > 0 and len(replay.differing(got, truth, most=1).collect()) == 1
+    assert {r["kind"] for r in replay.differing(got, truth, "fn").collect()} <= {"fn"} and few["first_fn"] == min((r["query_id"] for r in apart if r["kind"] == "fn"), default=None)
+    hard = {r["query_id"] for r in truth.collect() if 0.3 <= r["fraud_score"] <= 0.8}
+    assert {r["query_id"] for r in replay.between(as_query(df), truth).collect()} == hard
+
+
+def test_configurations_as_text():
+    assert replay.parsed("np=4, KP=24,BNP=16,bbr=1,ESPCT=40,odd,a=b=c") == ivf.Search(probes=4, candidates=24, borderline_probes=16, box_repair=True, early_stop_pct=40)
+    with pytest.raises(ValueError, match="no setting"):
+        replay.parsed("speed=9")
+    assert len(replay.grid()) == 8 and replay.grid((1, 2), (32,), (0,), early_stop=False)[1] == ivf.Search(probes=2, candidates=32, early_stop=False)
+
+
+def test_tree_of_hard_queries(spark, tmp_path):
+    """The tree finds a rule, and as an expression and read back it says what the model says."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 3))
+    rows = spark.createDataFrame([(*map(float, v), 0 if v[0] > 0.6 and v[2] < 0.5 else 1) for v in x], "f0 double, f1 double, f2 double, mode int")
+    model, scores = hard_queries.trained(rows, depths=(1, 3), least=5)
+    by = {r["depth"]: r["f1"] for r in scores.collect()}
+    assert by[3] > 0.9 > by[1]
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=["f0", "f1", "f2"], outputCol="features").transform(rows)
+    hard_queries.save(model, str(tmp_path / "tree"))
+    again = hard_queries.load(str(tmp_path / "tree")).transform(ready).withColumn("said", hard_queries.as_column(model, ["f0", "f1", "f2"]))
+    assert again.filter(F.col("prediction") != F.col("said")).count() == 0 and again.filter("said = 1 and mode = 0").count() > 100
+
+
+def test_constants_from_files(spark, tmp_path):
+    names = dict(zip(("max_amount", "max_installments", "amount_vs_avg_ratio", "max_minutes", "max_km", "max_tx_count_24h", "max_merchant_avg_amount"), (82.24, 12, 10, 1440, 1000, 20, 10_000), strict=True))
+    (tmp_path / "c.json").write_text(json.dumps(names))
+    (tmp_path / "r.json").write_text(json.dumps({"5411": 0.9}))
+    limits = read_limits(spark, str(tmp_path / "c.json"), str(tmp_path / "r.json"))
+    (row,) = vectorized(read_requests(spark, written(tmp_path, [request()])), limits).collect()
+    assert row["q16"][0] == 5000 and row["q16"][12] == 9000 and read_limits(spark, str(tmp_path / "c.json")).mcc_risk["5411"] == 0.15
+    (tmp_path / "r.json").write_text(json.dumps({"541": 0.9}))
+    with pytest.raises(ValueError, match="four characters"):
+        read_limits(spark, str(tmp_path / "c.json"), str(tmp_path / "r.json"))
+
+
+def test_reports_and_responses(spark, tmp_path):
+    decisions = spark.createDataFrame([(i, i / 5) for i in range(6)] + [(9, 0.43)], "query_id long, fraud_score double")
+    bodies = {r["query_id"]: r["body"] for r in responses(decisions).collect()}
+    assert bodies[0] == '{"approved":true,"fraud_score":0}' and bodies[3] == '{"approved":false,"fraud_score":0.6}' and bodies[5] == '{"approved":false,"fraud_score":1}' and bodies[9] == '{"approved":true,"fraud_score":0.4}'
+    write_responses(decisions, str(tmp_path / "responses"))
+    assert spark.read.json(str(tmp_path / "responses")).count() == 7
+    write_report(decisions, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report"), header=True).columns == ["query_id", "fraud_score"]
+    run = spark.sql("select named_struct('p50', 1D, 'p90', 1.2D, 'p99', 2D, 'max', 9D) as latency, named_struct('final_score', 5708D) as scoring")
+    write_runs(run, str(tmp_path / "runs"))
+    (back,) = read_runs(spark, str(tmp_path / "runs") + "/*.json").collect()
+    assert back["latency"]["p99"] == 2.0 and back["scoring"]["final_score"] == 5708.0
+
+
 def test_index_on_disk(spark, tmp_path):
     _, df = refs(spark)
     built = ivf.build(df, df.filter("ref_id < 4").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
@@ -111,7 +211,6 @@ def test_index_on_disk(spark, tmp_path):
 
 
 def test_heavy_cells_split_and_full_ones_give_away(spark):
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir() or "/tmp/nearvote-tests")
     _, df = refs(spark)
     two = df.filter("ref_id < 2").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid")
     in_two = ivf.assigned(df, two)
@@ -140,8 +239,27 @@ def test_composite_score(spark):
     assert score(1.0, 2, 0, 0, 10)["detection_score"] == -3000.0
 
 
-def test_p_value():
-    assert abs(evaluate.p_value(2.228, 10) - 0.05) < 1e-4 and abs(evaluate.p_value(0.0, 5) - 1) < 1e-9 and evaluate.p_value(float("inf"), 5) == 0.0
+def test_p_value(spark):
+    """Against tabulated values, and against the tail integrated by small steps."""
+    from pyspark.sql import functions as F
+
+    cases = [(2.228, 10.0), (0.0, 5.0), (12.706, 1.0), (1.96, 1e6), (0.001, 1e6), (40.0, 30.0), (3.5, 2.7)]
+    got = [r["p"] for r in spark.createDataFrame(cases, "t double, df double").select(evaluate.p_value(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert [round(p, 3) for p in got[:3]] == [0.05, 1.0, 0.05] and abs(got[3] - 0.05) < 1e-4 and abs(got[4] - 0.9992) < 1e-4 and got[5] < 1e-20
+    x = np.linspace(0, 3.5, 200_001)
+    density = (1 + x * x / 2.7) ** (-(2.7 + 1) / 2) * math.exp(math.lgamma(3.7 / 2) - math.lgamma(2.7 / 2)) / math.sqrt(2.7 * math.pi)
+    assert abs(got[6] - (1 - 2 * np.trapezoid(density, x))) < 1e-6
+
+
+def test_comparison_of_runs(spark):
+    runs = spark.createDataFrame([("a", 1.0, 0.0), ("a", 2.0, 0.0), ("a", 4.0, 0.0), ("b", 3.0, 1.0), ("b", 5.0, 1.0), ("c", 9.0, 9.0)], "arm string, p99 double, fn double")
+    rows = {r["metric"]: r for r in evaluate.comparison(runs, ["p99", "fn"], "arm", "a", "b").collect()}
+    assert (rows["p99"]["median_first"], rows["p99"]["median_second"], rows["p99"]["change_pct"]) == (2.0, 4.0, 100.0) and 0 < rows["p99"]["p"] < 1
+    assert rows["fn"]["change_pct"] is None and rows["fn"]["t"] is None and rows["fn"]["p"] is None  # from 0, and without spread
+    (one,) = evaluate.comparison(runs, ["p99"], "arm", "a", "c").collect()
+    assert one["t"] is None and one["runs_second"] == 1
+    (m,) = evaluate.medians(runs.filter("arm = 'a'"), ["p99", "fn"]).collect()
+    assert (m["runs"], m["p99"], m["fn"]) == (3, 2.0, 0.0)
 
 
 def test_percentiles(spark):

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__
+from nearvote.operators import evaluate, ivf
+from nearvote.operators.knn import nearest
 from nearvote.plans import queries as plans
 from tests.conftest import SF, same
 
@@ -30,3 +32,24 @@ def test_kmeans_search_is_near_exact(spark):
     rows = plans.ivf_kmeans_search(spark, SF).collect()
     assert len(rows) == 5
     assert sum(abs(r["frauds"] - r["exact"]) for r in rows) <= 5
+
+
+def test_recall_of_both_indexes(spark, tmp_path):
+    """At least 0.9 of the five nearest, for every query of the larger table."""
+    large = SF.replace("0.001", "0.1")
+    assert plans.ivf_recall(spark, large).first()["recall"] >= 0.9
+    refs = plans.references(spark, large)
+    trained = ivf.build(refs, ivf.trained_centroids(refs, plans.NLIST)).stored(f"{tmp_path}/index")
+    true = nearest(refs, plans.queries(spark, large))
+    assert evaluate.recall(ivf.neighbours(trained, plans.queries(spark, large), ivf.Search(probes=plans.TRAINED_PROBES)), true).first()["recall"] >= 0.9
+
+
+def test_decisions_of_stress_sets(spark):
+    rows = {r["workload"]: r for r in plans.stress_decisions(spark, SF).collect()}
+    assert set(rows) == {"uniform", "jitter", "edge"} and rows["uniform"]["queries"] == rows["edge"]["queries"] == 50
+    assert all(0 <= r["share"] <= 1 and r["most_apart"] <= 1 for r in rows.values()) and sum(r["otherwise"] for r in rows.values()) <= 30
+
+
+def test_scores_of_trees(spark):
+    rows = plans.hard_query_tree(spark, SF).collect()
+    assert [r["depth"] for r in rows] == [3, 4] and all(0 <= r["f1"] <= 1 for r in rows)
