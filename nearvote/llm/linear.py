@@ -12,14 +12,17 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nearvote.llm.common import by_size, filled
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (5, 6, 7)
@@ -27,26 +30,46 @@ BEGINNINGS = (5, 6, 7)
 MOST_FEATURES = 300
 
 
+#: Characters of a long text that are looked at together.
+PIECE = 1 << 16
+SPACE = re.compile(r"\s")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, cut before white space, so that a long one never stands as one list of words."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = SPACE.search(text, at + PIECE)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def counts_of(text: str, known: frozenset[str] | None = None) -> tuple[dict[str, int], int]:
     """How often each word and each beginning ("x~") stands in a text, and the number of words; of `known` ones if given."""
-    words = WORDS.findall(text.lower())
-    if known is None:
-        found: dict[str, int] = {}
+    found: dict[str, int] = {}
+    number = 0
+    for piece in pieces(text):
+        words = WORDS.findall(piece.lower())
+        number += len(words)
+        if known is None:
+            for w in words:
+                found[w] = found.get(w, 0) + 1
+            continue
         for w in words:
-            found[w] = found.get(w, 0) + 1
+            if w in known:
+                found[w] = found.get(w, 0) + 1
+            for k in BEGINNINGS:
+                if len(w) >= k and (b := f"{w[:k]}~") in known:
+                    found[b] = found.get(b, 0) + 1
+    if known is None:
         for w, n in list(found.items()):
             for k in BEGINNINGS:
                 if len(w) >= k:
                     found[f"{w[:k]}~"] = found.get(f"{w[:k]}~", 0) + n
-        return found, len(words)
-    found = {}
-    for w in words:
-        if w in known:
-            found[w] = found.get(w, 0) + 1
-        for k in BEGINNINGS:
-            if len(w) >= k and (b := f"{w[:k]}~") in known:
-                found[b] = found.get(b, 0) + 1
-    return found, len(words)
+    return found, number
 
 
 def weighed(count: int, words: int) -> tuple[float, float]:
@@ -59,13 +82,18 @@ FORMS = ("bar", "sign", "upper", "digit", "repeat", "mean", "lines", "size")
 
 def form(text: str) -> list[float]:
     """Shares and sizes that tell how a text is written."""
-    raw, words = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256), text.split()
-    n, chars = max(len(words), 1), max(len(text), 1)
+    raw, n, same, last = np.zeros(256, np.int64), 0, 0, None
+    for piece in pieces(text):
+        raw += np.bincount(np.frombuffer(piece.encode(), np.uint8), minlength=256)
+        words = piece.split()
+        same += sum(map(eq, words, words[1:])) + bool(words and words[0] == last)
+        n, last = n + len(words), words[-1] if words else last
+    n, number, chars = max(n, 1), n, max(len(text), 1)
     letters = raw[65:91].sum() + raw[97:123].sum() + raw[0xC0:].sum()
     share = lambda x: float(np.log1p(20.0 * x))
     return [
         share(raw[ord("|")] / n), share(raw[list(b"%&$#*~^!")].sum() / n), share(raw[65:91].sum() / max(letters, 1)), share(raw[48:58].sum() / chars),
-        share(sum(map(eq, words, words[1:])) / n), min(chars / n, 40.0) / 10, share(raw[10] / n), float(np.log1p(len(words))) / 10,
+        share(same / n), min(chars / n, 40.0) / 10, share(raw[10] / n), float(np.log1p(number)) / 10,
     ]
 
 
