@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -32,8 +33,10 @@ CLAUSE = re.compile(r"[^\s.,;:!?|](?:[^.,;:!?|\n]*[^\s.,;:!?|])?")
 _UNSPACED = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Words of up to 24 characters, else single characters.
 TOKEN = re.compile(rf"(?<![^\W{_UNSPACED}])[^\W{_UNSPACED}]{{1,24}}(?![^\W{_UNSPACED}])|\S")
+#: The same where all characters are ASCII.
+TOKEN_ASCII = re.compile(r"(?<!\w)\w{1,24}(?!\w)|[^\s\x1c-\x1f]", re.ASCII)
 #: Tokens before one that belong to its unit; how much a clause counts; the scale of the Cauchy numbers; units summed at once.
-BEFORE, CLAUSE_WEIGHT, SCALE, AT_ONCE = 4, 4, 8, 1024
+BEFORE, CLAUSE_WEIGHT, SCALE, AT_ONCE = 4, 4, 8, 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,34 +47,76 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BITS = _mixed(np.arange(1, 2 * (65536 + LIKE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint16)
-_LEFT, _RIGHT = (np.lib.stride_tricks.sliding_window_view(half, LIKE) for half in _BITS.reshape(2, -1))
-_CAUCHY = np.rint(SCALE * np.tan(np.pi * ((np.arange(65536) + 0.5) / 65536 - 0.5))).astype(np.int32).view(np.uint32)
+#: Two streams of Cauchy numbers of half the scale; a window of either is what one half of a hash stands for in all lanes.
+_FIRST, _SECOND = (
+    np.lib.stride_tricks.sliding_window_view(half, LIKE)
+    for half in np.rint(SCALE / 2 * np.tan(np.pi * ((np.arange(65536) + 0.5) / 65536 - 0.5))).astype(np.int32).view(np.uint32)[_BITS].reshape(2, -1)
+)
+
+
+def tokens_of(paragraph: str) -> list[str]:
+    return (TOKEN_ASCII if paragraph.isascii() else TOKEN).findall(paragraph)
 
 
 def token_units(paragraphs: list[str]) -> np.ndarray:
     """A 64-bit hash for each token of some paragraphs and the tokens before it in its own, BEFORE at most."""
-    found = [TOKEN.findall(p) for p in paragraphs]
+    return _token_units(paragraphs)[0]
+
+
+def _token_units(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Those, and how many each paragraph has."""
+    found = [tokens_of(p) for p in paragraphs]
     sizes = np.array([len(t) for t in found], np.int64)
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a token in its paragraph
     h = _mixed(np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(found))), np.uint64, len(place)) + np.uint64(1))
     units = h.copy()
     for k in range(1, min(BEFORE, len(h) - 1) + 1):
         units[k:] += np.where(place[k:] >= k, h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64), np.uint64(0))
-    return _mixed(units)
+    return _mixed(units), sizes
 
 
 def clause_units(paragraphs: list[str]) -> np.ndarray:
     """A 64-bit hash for each clause of some paragraphs."""
-    return np.frombuffer(b"".join([hashlib.blake2b(c.encode(), digest_size=8, person=b"clause").digest() for p in paragraphs for c in CLAUSE.findall(p)]), "<u8")
+    return _clause_units(paragraphs)[0]
+
+
+def _clause_units(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = [CLAUSE.findall(p) for p in paragraphs]
+    units = np.frombuffer(b"".join([hashlib.blake2b(c.encode(), digest_size=8, person=b"clause").digest() for p in found for c in p]), "<u8")
+    return units, np.array([len(p) for p in found], np.int64)
+
+
+@dataclass(frozen=True)
+class Units:
+    """Paragraphs with the units of all of them, and how many each has."""
+
+    paragraphs: list[str]
+    tokens: tuple[np.ndarray, np.ndarray]
+    clauses: tuple[np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of(paragraphs: list[str]) -> Units:
+        return Units(paragraphs, _token_units(paragraphs), _clause_units(paragraphs))
+
+    def after(self, paragraphs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The units behind the first so many paragraphs."""
+        return tuple(units[sizes[:paragraphs].sum() :] for units, sizes in (self.tokens, self.clauses))
+
+    def vectors(self) -> np.ndarray:
+        """The sum of the vectors of the paragraphs; uint32 lanes, modulo 2**32."""
+        return np.concatenate([whole_lanes(self.paragraphs), likeness_lanes(self.tokens[0], self.clauses[0])])
 
 
 def lanes_of(units: np.ndarray) -> np.ndarray:
-    """The sums over units of the Cauchy numbers that each one's hash stands for; uint32, modulo 2**32."""
+    """The sums over units of the Cauchy numbers that each one's hash stands for; uint32, modulo 2**32.
+
+    A number is the sum of one from either stream: Cauchy again, of the whole scale.
+    """
     like = np.zeros(LIKE, np.uint32)
-    for k in range(0, len(units), AT_ONCE):
-        some = units[k : k + AT_ONCE]
-        at = _LEFT[some & np.uint64(0xFFFF)] ^ _RIGHT[(some >> np.uint64(16)) & np.uint64(0xFFFF)]
-        like += np.add.reduce(_CAUCHY.take(at), axis=0)
+    halves = (units & np.uint64(0xFFFF)).astype(np.intp), ((units >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.intp)
+    for of, at in zip((_FIRST, _SECOND), halves, strict=True):
+        for k in range(0, len(units), AT_ONCE):
+            like += np.add.reduce(of[at[k : k + AT_ONCE]], axis=0, dtype=np.uint32)
     return like
 
 
@@ -88,7 +133,7 @@ def likeness_lanes(tokens: np.ndarray, clauses: np.ndarray) -> np.ndarray:
 
 def vectors(paragraphs: list[str]) -> np.ndarray:
     """The sum of the vectors of some paragraphs; uint32 lanes, modulo 2**32."""
-    return np.concatenate([whole_lanes(paragraphs), likeness_lanes(token_units(paragraphs), clause_units(paragraphs))])
+    return Units.of(paragraphs).vectors()
 
 
 def paragraphs_of(text: str) -> list[str]:
@@ -105,11 +150,12 @@ def changed(of: np.ndarray, removed: list[str], added: list[str]) -> np.ndarray:
     return of - vectors(removed) + vectors(added)
 
 
-def edited_fingerprint(of: np.ndarray, before: str, after: str) -> np.ndarray:
-    """The fingerprint of `after` from that of `before`: only paragraphs behind their common beginning are hashed, only units behind it summed."""
-    a, b = paragraphs_of(before), paragraphs_of(after)
+def edited_fingerprint(of: np.ndarray, before: str | Units, after: str) -> np.ndarray:
+    """The fingerprint of `after` from that of `before` (its text or its units): only paragraphs behind their common beginning are hashed, only units behind it summed."""
+    old, b = Units.of(paragraphs_of(before)) if isinstance(before, str) else before, paragraphs_of(after)
+    a = old.paragraphs
     same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
-    gone, new = ((whole_lanes(p[same:]), token_units(p[same:]), clause_units(p[same:])) for p in (a, b))
+    gone, new = (whole_lanes(a[same:]), *old.after(same)), (whole_lanes(b[same:]), token_units(b[same:]), clause_units(b[same:]))
     kept = [common_beginning(x, y) for x, y in zip(gone[1:], new[1:], strict=True)]
     less, more = (np.concatenate([w, likeness_lanes(t[kept[0] :], c[kept[1] :])]) for w, t, c in (gone, new))
     return of - less + more
@@ -188,19 +234,20 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # id, text and fingerprint of the row that still lacks its next one
+        last: tuple | None = None  # id, text, units and fingerprint of the row that still lacks its next one
         for batch in batches:
             out = []
             for i, text, ahead in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["ahead"].to_pylist(), strict=True):
                 if ahead and last is None:
                     continue
-                made = fingerprint(text)
+                units = Units.of(paragraphs_of(text))
+                made = units.vectors()
                 if last is not None:
-                    k = len(last[1]) // 3
+                    of, k = last[3], len(last[1]) // 3
                     after = last[1][: len(last[1]) - k] + text[:k]
-                    other = edited_fingerprint(last[2], last[1], after)
-                    out.append((last[0], len(last[1]), hashlib.sha256(after.encode()).hexdigest(), written(last[2]), written(other), likeness(last[2], other), likeness(last[2], made)))
-                last = None if ahead else (i, text, made)
+                    other = edited_fingerprint(of, last[2], after)
+                    out.append((last[0], len(last[1]), hashlib.sha256(after.encode()).hexdigest(), written(of), written(other), likeness(of, other), likeness(of, made)))
+                last = None if ahead else (i, text, units, made)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     made = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
