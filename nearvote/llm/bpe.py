@@ -10,7 +10,6 @@ from the library's BPE model. So a long text is never held as one list of token
 from __future__ import annotations
 
 import base64
-import contextlib
 import heapq
 import re
 from array import array
@@ -30,7 +29,28 @@ PIECE = re.compile(SPACE + "*" + SPACE.replace("[", "[^", 1) + "+|" + SPACE + "+
 TWO_SPACES = re.compile(SPACE + SPACE)
 #: Bytes that a generation of a table of pieces or words takes in a worker, about; the bytes of an entry beside
 #: its key's and value's own. Longer keys aren't kept.
-KEPT, ENTRY, KEPT_CHARS = 16 << 20, 200, 40
+KEPT, ENTRY, KEPT_CHARS = 24 << 20, 200, 40
+
+
+#: Characters of a long text that are encoded together, and where it may be cut: before white space after another character.
+LONG = 1 << 19
+CUT = re.compile("(?<=" + SPACE.replace("[", "[^", 1) + ")" + SPACE)
+
+
+def in_parts(text: str) -> Iterator[str]:
+    """A text in parts of about LONG characters whose ids are, one after another, those of the text."""
+    at = 0
+    while len(text) - at > LONG and (cut := CUT.search(text, at + LONG)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def spaced(text: str) -> bool:
+    """Two white-space characters meet in a text. Of most texts four searches for a string tell, which are faster than the expression."""
+    if text.isascii() and not any(c in text for c in "\t\v\f\r"):
+        return any(two in text for two in ("  ", "\n\n", " \n", "\n "))
+    return TWO_SPACES.search(text) is not None
 
 
 class Kept:
@@ -40,31 +60,35 @@ class Kept:
     """
 
     def __init__(self, make: Callable[[str], bytes], most: int = KEPT) -> None:
-        self.make, self.most, self.held, self.new, self.old = make, most, 0, {}, {}
+        self.most, self.new = most, Generation(make, {})
 
     def one(self, key: str) -> bytes:
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            if len(key) <= KEPT_CHARS:
-                self.new[key] = found
-                self.held += len(key) + len(found) + ENTRY
-        return found
+        return self.new[key]
 
     def joined(self, keys: list[str]) -> bytes:
-        found = list(map(self.new.get, keys))
-        at = -1
-        with contextlib.suppress(ValueError):
-            while True:
-                at = found.index(None, at + 1)
-                found[at] = self.one(keys[at])
-        return b"".join(found)
+        return b"".join(map(self.new.__getitem__, keys))
 
     def turn(self) -> None:
-        if self.held > self.most:
-            self.old, self.new, self.held = self.new, {}, 0
+        if self.new.held > self.most:
+            self.new.old = {}
+            self.new = Generation(self.new.make, self.new)
+
+
+class Generation(dict):
+    """A table that looks for what it lacks in the one before it, or makes it."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict) -> None:
+        super().__init__()
+        self.make, self.old, self.held = make, old, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            self[key] = found
+            self.held += len(key) + len(found) + ENTRY
+        return found
 
 
 def byte_characters() -> list[str]:
@@ -177,10 +201,10 @@ class ByteBpe:
         """
         self.pieces.turn()
         self.known.turn()
-        return [self._encode(t) for t in texts]
+        return [self._encode(t) if len(t) <= LONG else b"".join(map(self._encode, in_parts(t))) for t in texts]
 
     def _encode(self, text: str) -> bytes:
-        if TWO_SPACES.search(text):
+        if spaced(text):
             return b"".join(map(self.piece, PIECE.findall(text)))
         first, *keys = text.replace("\n", " \n").split(" ")
         rest = self.pieces.joined(keys)

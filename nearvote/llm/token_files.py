@@ -9,6 +9,7 @@ the next block begins, so any block can be decoded by itself, and all of a chunk
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -17,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearvote.llm.bpe import Kept, byte_characters
-from nearvote.llm.common import by_size, cuts_of, filled, new_path, partitions, range_of, table
+from nearvote.llm.bpe import LONG, Kept, byte_characters, in_parts
+from nearvote.llm.common import by_size, cuts_of, filled, gone_at_exit, new_path, partitions, range_of, table
 
 #: Ids in a block; the longest code where that is long enough (see `longest_of`); ids in a chunk, about.
-BLOCK, LONGEST, CHUNK = 256, 16, 1 << 17
+BLOCK, LONGEST, CHUNK = 256, 16, 1 << 18
+#: Ids that are packed at once, whole blocks: what they need fits a processor's cache.
+PACKED = 64 * BLOCK
 END = 1
 
 
@@ -92,18 +95,26 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(ids: np.ndarray, lengths: np.ndarray, made: np.ndarray) -> tuple[bytes, np.ndarray, int]:
     """The bits of some ids, the bit at which each block begins, and the number of bits."""
-    size = lengths[ids].astype(np.int64)
-    if len(ids) and not size.all():
-        raise ValueError("an id has no code")
-    ends = np.cumsum(size)
-    begins = ends - size
+    wide, codes64 = lengths.astype(np.int64), made.astype(np.uint64)
+    ends = np.cumsum(wide.take(ids))
     total = int(ends[-1]) if len(ids) else 0
-    # the bytes that a code and the bits before it in its first byte fill at most
-    wide = window_bytes(int(lengths.max(initial=1)))
-    value = made[ids].astype(np.int64) << (8 * wide - size - (begins & 7))
-    at, n = begins >> 3, (total + 7) // 8 + wide
-    out = sum(np.bincount(at + k, weights=((value >> (8 * (wide - 1 - k))) & 255).astype(np.float64), minlength=n) for k in range(wide)) if len(ids) else np.zeros(n)
-    return out.astype(np.uint8)[: (total + 7) // 8].tobytes(), begins[::BLOCK], total
+    # a code lies in a window of 64 bits that begins with a word of 32; all codes of one window are put together
+    windows, checkpoints = np.zeros((total + 31) // 32 + 1, np.uint64), []
+    for i in range(0, len(ids), PACKED):
+        part = ids[i : i + PACKED]
+        size = wide.take(part)
+        if not size.all():
+            raise ValueError("an id has no code")
+        begins = ends[i : i + PACKED] - size
+        value = codes64.take(part) << (64 - size - (begins & 31)).view(np.uint64)
+        word = begins >> 5
+        first = np.flatnonzero(word[1:] != word[:-1]) + 1
+        first = np.concatenate(([0], first))
+        windows[word.take(first)] |= np.bitwise_or.reduceat(value, first)
+        checkpoints.append(begins[::BLOCK])
+    words = windows >> np.uint64(32)
+    words[1:] |= windows[:-1] & np.uint64(0xFFFFFFFF)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.int64), total
 
 
 def window_bytes(longest: int) -> int:
@@ -118,13 +129,13 @@ def unpacked(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, s
     window = sum(raw[k : len(raw) - wide + 1 + k] << raw.dtype.type(8 * (wide - 1 - k)) for k in range(wide))
     mask, left = raw.dtype.type(len(symbol) - 1), 8 * wide - longest
     at = checkpoints.astype(np.int64)
-    out = np.zeros((BLOCK, len(at)), np.uint32)
+    out, steps = np.zeros((BLOCK, len(at)), np.uint32), size.astype(np.int64)
     for k in range(min(BLOCK, n)):
         live = len(at) - (k >= n - (len(at) - 1) * BLOCK)  # the last block may be shorter
         p = at[:live]
-        seen = (window[p >> 3] >> (left - (p & 7)).astype(raw.dtype)) & mask
-        out[k, :live] = symbol[seen]
-        at[:live] += size[seen]
+        seen = (window.take(p >> 3) >> (left - (p & 7)).astype(raw.dtype)) & mask
+        symbol.take(seen, out=out[k, :live])
+        p += steps.take(seen)
     return out.T.reshape(-1)[:n]
 
 
@@ -133,7 +144,9 @@ def unpacked(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, s
 
 #: What the tokenizer of lower-case words matches, and characters beyond those whose lower case is one plain character each.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Bytes that a generation of a table takes, about.
+KEPT = 64 << 20
 
 
 class WordBpe:
@@ -147,19 +160,29 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Two bytes for an id where the vocabulary allows it.
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.model, self.letters, self.split = self.tokenizer.model, dict(enumerate(byte_characters())), regex.compile(WORDS).findall
-        self.known, self.latin, self.other = Kept(self.word), Kept(self.piece), Kept(self.whole)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in said["merges"]]
+        # the words that this worker keeps take the place of the model's own table
+        self.model = models.BPE(vocab=said["vocab"], merges=merges, cache_capacity=0, **{k: said[k] for k in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token") if said.get(k)})
+        self.letters, self.split = dict(enumerate(byte_characters())), regex.compile(WORDS).findall
+        self.known, self.latin, self.other = Kept(self.word, KEPT), Kept(self.piece, KEPT), Kept(self.whole, KEPT)
 
     def word(self, word: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        # letters of ASCII stand for themselves
+        said = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(said)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        return self.known.one(piece) if piece.isalpha() else b"".join(map(self.known.one, self.split(piece)))
+        """The ids of a piece. A single word is kept as a piece only."""
+        if piece.isalpha():
+            return self.word(piece)
+        return b"".join(map(self.known.one, self.split(piece)))
 
     def whole(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -168,7 +191,10 @@ class WordBpe:
         """The ids as little-endian unsigned integers of 16 or 32 bits."""
         for kept in (self.known, self.latin, self.other):
             kept.turn()
-        if BEYOND.search(text):
+        return self._encode(text) if len(text) <= LONG else b"".join(map(self._encode, in_parts(text)))
+
+    def _encode(self, text: str) -> bytes:
+        if "<|" in text or not text.isascii() and BEYOND.search(text):
             return self.other.joined(text.replace("\n", " ").split(" "))
         return self.latin.joined(text.lower().replace("\n", " ").split(" "))
 
@@ -226,6 +252,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     rows = rows.mapInArrow(numbered, "doc_id long, n int, ids binary, part int, begin long")
     rows.write.option("compression", "zstd").parquet(plain := new_path(spark, "token-ids"))
+    gone_at_exit(spark, plain)
     rows = spark.read.schema(rows.schema).parquet(plain)
 
     lengths = code_lengths(_counts(rows))
