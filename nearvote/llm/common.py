@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from nearvote.sources.shared import new_path, shared_dir
+
 #: Rows in an Arrow batch. Long texts are cut again by size inside the tasks.
 BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators need of a session: small Arrow batches and a checkpoint folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Set what the operators need of a session: small Arrow batches, unless they are smaller yet, and a checkpoint folder.
+
+    Results are lazy, so the setting stays: it is read when they are computed.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     shared_dir(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearvote-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return named or held
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage ends there, and any executor can read it."""
+    """Write a table into the shared folder and read it again: lineage ends there, and any executor can read it. It is gone when the driver ends."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,15 +90,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bits of a filter: 1 MB, however many keys it holds. A full filter lets all rows pass.
-FILTER_BITS = 1 << 23
-
+#: Bits of a filter for each key: so many as long as it stays within MOST_BITS (32 MB), and so many at least.
+KEY_BITS, LEAST_BITS, MOST_BITS = 64, 8, 1 << 28
 
-def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """A scalar subquery of one array of `bits` bits, set at xxhash64 of the rows of `keys`.
 
-    Its size doesn't depend on the number of keys, so every task can hold it.
-    """
+def bit_filter(keys: DataFrame, bits: int) -> Column:
+    """A scalar subquery of one array of `bits` bits (a power of two, 64 at least), set at xxhash64 of the rows of `keys`."""
     spark = keys.sparkSession
     at = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
     words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(_mask(F.col("at"))).alias("mask"))
@@ -109,10 +104,35 @@ def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
     return packed.select(F.transform("w", lambda x: x["mask"]).alias("bits")).scalar()
 
 
-def passes(filter_: Column, *keys: Column, bits: int = FILTER_BITS) -> Column:
+def passes(filter_: Column, bits: int, *keys: Column) -> Column:
     at = F.pmod(F.xxhash64(*keys), F.lit(bits))
     return F.get(filter_, F.shiftright(at, 6).cast("int")).bitwiseAND(_mask(at)) != 0
 
 
 def _mask(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def marked(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """`rows` with a boolean column `name`: true where the columns that `keys` has are those of a row of `keys`, seldom elsewhere.
+
+    `keys` is counted, so it should be a checkpoint. The rows meet a bit filter, sized by the count, in
+    their scan; of those without a key one in 64 passes, or one in 8 where there are many millions of
+    keys. More keys than the largest filter may hold are joined, and then none passes.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, max(64, 1 << (KEY_BITS * n).bit_length()))
+    if LEAST_BITS * n <= MOST_BITS and bits:
+        return rows.withColumn(name, passes(bit_filter(keys, bits), bits, *[F.col(c) for c in keys.columns]))
+    held = keys.distinct().select(*[F.col(c).alias(f"_{c}_of_key") for c in keys.columns], F.lit(True).alias("_is_key"))
+    both = rows.join(held, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_of_key")) for c in keys.columns]), "left")
+    return both.select(*rows.columns, F.coalesce("_is_key", F.lit(False)).alias(name))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `rows` whose columns that `gone` has are those of no row of `gone`. Only rows that a filter lets pass are shuffled."""
+    gone = gone.checkpoint()
+    both = marked(rows, gone, "_maybe")
+    other = gone.select(*[F.col(c).alias(f"_{c}_gone") for c in gone.columns]).distinct()
+    unsure = both.filter("_maybe").join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_gone")) for c in gone.columns]), "left_anti")
+    return both.filter("not _maybe").unionAll(unsure).drop("_maybe")

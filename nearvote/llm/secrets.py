@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearvote.llm.common import bit_filter, by_size, filled, passes, stored, table
+from nearvote.llm.common import by_size, filled, marked, stored, table
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20, re.ASCII, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
     Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 0, 0, re.ASCII, ("private key",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, re.ASCII, ("eyj",)),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 0, re.ASCII, ("eyj",)),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, re.ASCII, ("gh",)),
 )
 BASE_KINDS = ("assign", "access", "hex")
@@ -82,7 +82,7 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     array of (start, kind's place in `rules`, end, kind), empty where nothing was found. Null text counts
     as empty; null and repeated paths are allowed, one row out for each row in; an empty table gives no
     rows. Columns other than path and text don't matter. New ledger rows are written in the shared folder
-    before they are used, so that a lost executor repeats no scan.
+    before they are used, so that a lost executor repeats no scan; append them to a ledger of your own.
     """
     spark = versions.sparkSession
     ledger = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
@@ -95,7 +95,7 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     blobs = rows.groupBy("blob").agg(F.min("path").alias("of"))
     lacking = blobs.join(known, "blob", "left").select("blob", "of", F.array_except(kinds, F.coalesce("known", F.array().cast("array<string>"))).alias("lacking")).filter(F.size("lacking") > 0)
     lacking = lacking.checkpoint()
-    copies = rows.filter(passes(bit_filter(lacking.select("blob", "of")), F.col("blob"), F.col("path")))
+    copies = marked(rows, lacking.select("blob", F.col("of").alias("path")), "first").filter("first")
     texts = copies.join(lacking.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("of")))
     new = stored(scanned(texts, rules).dropDuplicates(["blob", "kind"]), "ledger")
 
