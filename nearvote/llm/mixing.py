@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from nearvote.llm.common import filled, table
+from nearvote.llm.common import filled, marked, table
 
 #: Words in a block.
 BLOCK = 32
@@ -84,11 +84,12 @@ def apportioned(parties: DataFrame, group: list[str], order: str, share: str, bo
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     share: float = 1.5, most: int = 2, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """Two tables: of documents (id, source, size, source_size, target, taken), and of the blocks that are taken.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: of documents (id, source, size, source_size, target, taken), of the blocks that are taken, and of what is repeated.
 
     The second has id, key (of the source), size, copy, pass, begin, length: that the words [begin, begin
-    + length) of a document are taken for the first, second, ... time; pieces of one block each.
+    + length) of a document are taken for the first, second, ... time; pieces of one block each. The
+    third has id, key and size where several rows have them alike.
 
     Null text has no words; a null source is a source of its own, the last in order. A source of no words
     has target 0, a document of no words has taken 0. Rows repeated under one id are documents of their
@@ -134,7 +135,7 @@ def mixed(
         F.col("id").alias(id_col), "key", "size", "copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("pass"),
         (F.col("from") - F.col("begin")).alias("begin"), (F.col("to") - F.col("from")).alias("length"),
     )
-    return result, blocks
+    return result, blocks, rows.filter("copies > 1").select(F.col("id").alias(id_col), "key", "size")
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
@@ -144,27 +145,34 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     hold, with the white space between their words, and `chars_col`, if there is one, its length. A
     document of which no word is taken isn't there. Other columns stay.
     """
-    _, blocks = mixed(docs, id_col, text_col, source_col, **how)
-    by = ["_id", "_key", "_size", "_copy"]
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_id")
-    takes = blocks.select(ident, F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "pass", F.struct("begin", "length").alias("piece"))
-    takes = takes.groupBy(*by, "pass").agg(F.array_sort(F.collect_list("piece")).alias("_pieces"), F.sum("piece.length").alias("_words")).drop("pass")
-
-    rows = docs.select("*", ident, key_of(source_col).alias("_key"), words_of(filled(text_col)).alias("_size"))
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64(text_col))).cast("long"))
+    _, blocks, repeated = mixed(docs, id_col, text_col, source_col, **how)
+    by = ["_mix_id", "_mix_key", "_mix_size"]
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_mix_id")
+    takes = blocks.select(ident, F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("copy").alias("_mix_copy"), "pass", F.struct("begin", "length").alias("piece"))
+    takes = takes.groupBy(*by, "_mix_copy", "pass").agg(F.array_sort(F.collect_list("piece")).alias("_mix_pieces"), F.sum("piece.length").alias("_mix_words")).drop("pass")
+
+    # only rows that are alike in id, source and size are numbered, so other texts go to one shuffle only
+    rows = docs.select("*", ident, key_of(source_col).alias("_mix_key"), words_of(filled(text_col)).alias("_mix_size"))
+    lone, nth = F.lit(1).cast("long"), F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(text_col))).cast("long")
+    alike = repeated.select(ident, F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size")).checkpoint()
+    if alike.isEmpty():
+        rows = rows.withColumn("_mix_copy", lone)
+    else:
+        both = marked(rows, alike, "_mix_alike")
+        rows = both.filter("not _mix_alike").withColumn("_mix_copy", lone).unionAll(both.filter("_mix_alike").withColumn("_mix_copy", nth))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     # the array of words is bound to a name, so it is made once for a row and not once for each piece
-    cut = lambda w: F.flatten(F.transform("_pieces", lambda p: F.slice(w, (p["begin"] + 1).cast("int"), p["length"].cast("int"))))
+    cut = lambda w: F.flatten(F.transform("_mix_pieces", lambda p: F.slice(w, (p["begin"] + 1).cast("int"), p["length"].cast("int"))))
     part = F.array_join(F.get(F.transform(F.array(words), cut), F.lit(0)), "")
-    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", ""))
-    found = rows.join(takes, by).withColumn(text_col, text)
+    text = F.when(F.col("_mix_words") == F.col("_mix_size"), F.col(text_col)).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", ""))
+    found = rows.join(takes, [*by, "_mix_copy"]).withColumn(text_col, text)
     if chars_col in docs.columns:
         found = found.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return found.select(*docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result, _ = mixed(table(spark, sf_dir, "documents"))
+    result, _, _ = mixed(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "size", "source_size", "target", "taken")
 
 
