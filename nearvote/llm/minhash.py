@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.llm.common import bit_filter, by_size, filled, passes, stored, table
+from nearvote.llm.common import by_size, filled, marked, stored, table
 from nearvote.llm.components import components
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ PERCENT = 75
 LEADERS = 8
 #: Members of a bucket that stand in one task when components of a bucket meet.
 SALT_ROWS = 1024
+#: Pairs of one document that stand in one task when sets are compared; up to so many such documents their list is broadcast: under 2 MB.
+HOT_PAIRS, FEW_HOT = 512, 100_000
 
 _MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(b"minhash %d" % i, digest_size=8).digest(), "little") | 1 for i in range(SAMPLES)], np.uint64)
 _PLACES = np.array([int.from_bytes(hashlib.blake2b(b"shingle %d" % i, digest_size=8).digest(), "little") | 1 for i in range(SHINGLE + 1)], np.uint64)
@@ -134,7 +136,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike. Texts are read again, for the documents of the pairs only."""
     pairs = pairs.select("a", "b").distinct().checkpoint()
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().checkpoint()
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", 4 << 20):
@@ -150,15 +152,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
                 alike.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    held = of_ids(docs, ids, id_col, text_col).mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi")
-    both = pairs.join(held.withColumnsRenamed({"id": "b", "set": "set_b"}), "b").join(held.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
+    held = of_ids(docs, ids, id_col, text_col).mapInArrow(sets, "id long, set binary")  # and some more, which no pair asks for
+    both = with_sets(with_sets(pairs, hot_ids(pairs, "b"), held, "b"), hot_ids(pairs, "a"), held, "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct().checkpoint()
 
 
+def hot_ids(pairs: DataFrame, side: str) -> DataFrame:
+    """id and salts: the documents of many pairs, and to how many tasks each one's pairs are dealt."""
+    counted = pairs.groupBy(side).count().filter(F.col("count") > HOT_PAIRS)
+    hot = counted.select(F.col(side).alias("id"), F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("salts")).checkpoint()
+    return F.broadcast(hot) if hot.count() <= FEW_HOT else hot
+
+
+def with_sets(pairs: DataFrame, hot: DataFrame, held: DataFrame, side: str) -> DataFrame:
+    """`pairs` with the set of `side`, by id and salt."""
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("salts")
+    right = held.join(hot, "id", "left").select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, [side, "salt"]).drop("salt")
+
+
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text of the rows whose ids are in `ids`, and of a few others that the filter lets pass."""
+    """id and text of the rows whose ids are in `ids` (a checkpoint), and of a few others that the filter lets pass."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(text_col).alias("text"))
-    return rows.filter(passes(bit_filter(ids), F.col("id")))
+    return marked(rows, ids, "wanted").filter("wanted").drop("wanted")
 
 
 def finely_sketched(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,8 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = shared.filter("members > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     counted = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("number")).filter("number > 1").drop("number")
+    largest = largest.checkpoint()  # so the join has an exchange on either side, and a hot bucket can be split
     rest = placed.join(largest, "bucket").checkpoint()
-    fine = finely_sketched(docs, rest.select(F.col("doc_id").alias("id")).distinct(), id_col, text_col)
+    fine = finely_sketched(docs, rest.select(F.col("doc_id").alias("id")).distinct().checkpoint(), id_col, text_col)
     rest = stored(rest.join(one, "doc_id").join(fine, "doc_id"), "shared-buckets")
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     sides = ["component", "n", "bands", "odd", "fine"]
