@@ -20,13 +20,12 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from nearvote.llm.bpe import encoder, lists, public_ranks
-from nearvote.llm.common import by_size, partitions, table
+from nearvote.llm.common import by_size, partitions, stored, table
 
 OPEN, CLOSE = "### ", " </turn>\n"
 #: The role that is learned from.
@@ -85,13 +84,14 @@ class Turns:
         self.bpe = encoder(path, pattern)
         self.fixed = lru_cache(1024)(self.one)
 
-    def one(self, text: str) -> np.ndarray:
-        return self.bpe.ids(self.bpe.encode([text])[0])
+    def one(self, text: str) -> bytes:
+        return self.bpe.encode([text])[0]
 
-    def ids(self, head: str, body: str) -> tuple[np.ndarray, int, int]:
-        """All ids of a turn, and begin and number of those of its text."""
-        h, b = self.fixed(head), self.one(body)
-        return np.concatenate([h, b, self.fixed(CLOSE)]), len(h), len(b)
+    def ids(self, head: str, body: str) -> tuple[bytes, int, int, int]:
+        """All ids of a turn as the encoder has them, begin and number of those of its text, and their number."""
+        h, b, c = self.fixed(head), self.one(body), self.fixed(CLOSE)
+        size = self.bpe.dtype.itemsize
+        return h + b + c, len(h) // size, len(b) // size, (len(h) + len(b) + len(c)) // size
 
 
 # ---- the tree
@@ -136,11 +136,19 @@ class PrefixTree:
 
     @property
     def nodes(self) -> DataFrame:
-        """Every node once, with position_ids of its tokens and loss_mask (1 for those that are learned)."""
-        n = F.size("ids")
+        """Every node once, with the ids of its tokens, their position_ids, and loss_mask (1 for those that are learned)."""
+        rows, (path, pattern) = self.rows.filter(~F.col("copied")).drop("copied"), (self.path, self.pattern)
+        names = [c for c in rows.columns if c != "ids"]
+        made = StructType([*[rows.schema[c] for c in names], *rows.sparkSession.createDataFrame([], "ids array<int>").schema.fields])
+
+        def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bpe = encoder(path, pattern)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], lists([bpe.ids(raw) for raw in batch["ids"].to_pylist()])], names=[*names, "ids"])
+
         learned = F.transform("ids", lambda _, i: (F.col("learned") & (i >= F.col("begin")) & (i < F.col("begin") + F.col("size"))).cast("int"))
-        ids = F.sequence("position", F.col("position") + n - 1)
-        return self.rows.filter(~F.col("copied")).drop("copied").withColumns({"position_ids": ids, "loss_mask": learned})
+        ids = F.sequence("position", F.col("position") + F.size("ids") - 1)
+        return rows.mapInArrow(listed, made).withColumns({"position_ids": ids, "loss_mask": learned})
 
 
 def prefix_tree(
@@ -159,18 +167,21 @@ def prefix_tree(
     and sizes stand in one row; its texts do so only where it is read back.
     """
     spark = turns.sparkSession
-    rows = formatted(turns, conv_col, turn_col, role_col, text_col)
-    held = rows.select("conv", "turn", "key", "head", "body")
-    sized = StructType([*held.schema.fields[:3], *spark.createDataFrame([], "n long").schema.fields])
+    written = formatted(turns, conv_col, turn_col, role_col, text_col)
+    kinds = [*[written.schema[c] for c in ("conv", "turn", "key", "learned")], *spark.createDataFrame([], "ids binary, begin int, size int, n int").schema.fields]
 
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Turns(path, pattern)
         for batch in by_size(batches, "body"):
-            n = [len(made.ids(h, b)[0]) for h, b in zip(batch["head"].to_pylist(), batch["body"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["conv", "turn", "key", "n"])
+            found = [made.ids(h, b) for h, b in zip(batch["head"].to_pylist(), batch["body"].to_pylist(), strict=True)]
+            new = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=[k.name for k in kinds])
+
+    # turns are encoded once, and from here on their ids take the place of their texts
+    rows = stored(written.select("conv", "turn", "key", "learned", "head", "body").mapInArrow(encoded, StructType(kinds)), "turns")
 
     # array_sort puts nulls inside a struct first
-    convs = held.mapInArrow(counted, sized).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "key", "n"))).alias("t"))
+    convs = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "key", F.col("n").cast("long").alias("n")))).alias("t"))
     whole = F.unhex(F.sha2(F.array_join(F.transform("t.key", F.hex), ""), 256))
     convs = convs.select("conv", F.col("t.key").alias("path"), F.col("t.n").alias("sizes"), whole.alias("leaf")).checkpoint()
 
@@ -220,18 +231,10 @@ def prefix_tree(
 
     wanted = leaves.mapInArrow(walked, walked_schema).withColumnsRenamed({"conv": "c", "key": "k"})
     # turns of one conversation with one key are alike
-    texts = rows.select("conv", "key", "head", "body", "learned").dropDuplicates(["conv", "key"])
-    nodes = texts.join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")))
-    nodes = nodes.select("range", "place", "depth", "position", "attends", "leaf", "copied", "learned", "head", "body")
-
-    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Turns(path, pattern)
-        for batch in by_size(batches, "body"):
-            found = [made.ids(h, b) for h, b in zip(batch["head"].to_pylist(), batch["body"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:8], lists([f[0] for f in found]), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=[*batch.schema.names[:8], "ids", "begin", "size"])
-
-    kinds = StructType([*nodes.schema.fields[:8], *spark.createDataFrame([], "ids array<int>, begin int, size int").schema.fields])
-    return PrefixTree(nodes.mapInArrow(encoded, kinds), convs.select("conv", "leaf"), path, pattern)
+    ids = rows.select("conv", "key", "learned", "ids", "begin", "size").dropDuplicates(["conv", "key"])
+    nodes = ids.join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")))
+    nodes = nodes.select("range", "place", "depth", "position", "attends", "leaf", "copied", "learned", "ids", "begin", "size")
+    return PrefixTree(nodes, convs.select("conv", "leaf"), path, pattern)
 
 
 def _begins(ranges: list) -> dict[int, tuple]:
@@ -266,7 +269,7 @@ def leaves_read(tree: PrefixTree) -> DataFrame:
         bpe, stack, out, held = encoder(path, pattern), [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.array(row["ids"], np.int64)
+                ids = bpe.ids(row["ids"])
                 masked = ids[row["begin"] : row["begin"] + row["size"]] if row["learned"] else ids[:0]
                 del stack[row["depth"] :]
                 stack.append((bpe.decode(ids), bpe.decode(masked), len(ids)))
