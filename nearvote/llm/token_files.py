@@ -145,8 +145,8 @@ def unpacked(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, s
 #: What the tokenizer of lower-case words matches, and characters beyond those whose lower case is one plain character each.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Bytes that a generation of a table takes, about.
-KEPT = 64 << 20
+#: Bytes that a generation of a table takes, about: of single words, of pieces of Latin letters, of other pieces.
+KEPT = 24 << 20, 128 << 20, 48 << 20
 
 
 class WordBpe:
@@ -171,7 +171,7 @@ class WordBpe:
         # the words that this worker keeps take the place of the model's own table
         self.model = models.BPE(vocab=said["vocab"], merges=merges, cache_capacity=0, **{k: said[k] for k in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token") if said.get(k)})
         self.letters, self.split = dict(enumerate(byte_characters())), regex.compile(WORDS).findall
-        self.known, self.latin, self.other = Kept(self.word, KEPT), Kept(self.piece, KEPT), Kept(self.whole, KEPT)
+        self.known, self.latin, self.other = map(Kept, (self.word, self.piece, self.whole), KEPT)
 
     def word(self, word: str) -> bytes:
         # letters of ASCII stand for themselves
