@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept; all but the
 last return the columns of documents.
+
+In all stages null text counts as empty, rows with a null id stay rows of their own, columns beside those
+of documents are kept as they are (up to the mix), and an empty table gives an empty one. Of rows repeated
+under one id, equal texts become one in exact_dedup; different ones stay, and share their fate in near_dedup.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.bpe import digests, public_ranks, round_trip
-from nearvote.llm.common import prepare, stored, table
+from nearvote.llm.common import prepare, stored, table, without
 from nearvote.llm.exact_dedup import deduplicated
 from nearvote.llm.minhash import near_duplicates
 from nearvote.llm.mixing import drawn
@@ -29,14 +33,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each component of near-duplicates the document with the smallest doc_id stays."""
+    """Operator 6: of each component of near-duplicates the document with the smallest doc_id stays. Texts without words stay."""
     prepare(spark)
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return without(docs, gone)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the blocks of words that the mix takes, as rows of documents; those taken twice stand twice."""
+    """Operator 9: the blocks of words that the mix takes, as rows of documents; those taken twice stand twice. Texts without words go."""
     prepare(spark)
     return drawn(docs)
 
