@@ -96,40 +96,64 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 @pytest.mark.parametrize("parts", ["1", "5"])
 def test_prefix_tree(spark, parts):
+    """Every distinct beginning once, in depth-first order; positions, intervals and masks against the read texts."""
     prepare(spark)
     rng = random.Random(2)
     rows = []
     for c in range(60):
-        rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"common {t}" if t < rng.randrange(4) else f"own {rng.randrange(3)} \\ ### </turn> #### \n{'x' * rng.randrange(5)}") for t in range(rng.randrange(1, 7))]
-    rows += [(70, 0, None, None), (70, None, "user", "first"), (71, 0, "a:b#\n\\", "role"), (72, 1, "user", "b"), (72, 1, "user", "a"), (72, 1, "user", "a"), (None, 0, "user", "lost"), (73, 0, "assistant", "long " * 50_000)]
-    df = spark.createDataFrame(rows, TURNS).withColumn("leaf", F.lit(1)).withColumn("key", F.lit(2))
+        rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"common {t}" if t < rng.randrange(4) else f"own {rng.randrange(3)} \\ ### </turn> #### \n{'x' * rng.randrange(5)} \\h </turn>\n### user: é𝄞") for t in range(rng.randrange(1, 7))]
+    rows += [(70, 0, None, None), (70, None, "user", "first"), (71, 0, "a:b#\n\\###", "role"), (72, 1, "user", "b"), (72, 1, "user", "a"), (72, 1, "user", "a"), (None, 0, "user", "lost"), (73, 0, "assistant", "long " * 50_000)]
+    rows += [(74, t, "user", f"turn {t % 7}") for t in range(3000)]
+    df = spark.createDataFrame(rows, TURNS).withColumn("leaf", F.lit(1)).withColumn("key", F.lit(2)).withColumn("range", F.lit(3))
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        tree = chat.prefix_tree(df)
-        back = {r["conv"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(tree).collect()}
+        tree = chat.prefix_tree(df, *bpe.public_ranks())
+        read = chat.read_back(tree).collect()
         nodes = sorted(tree.nodes.collect(), key=lambda n: n["place"])
-        assert chat.prefix_tree(df.limit(0)).nodes.count() == 0
+        assert chat.read_back(chat.prefix_tree(df.limit(0), *bpe.public_ranks())).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+    back = {r["conv"]: [(t["role"], t["text"]) for t in r["turns"]] for r in read}
     want = {}
     for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
         want.setdefault(c, []).append((r or "", x or ""))
     assert set(back) == set(want)
     assert all(sorted(back[c]) == sorted(want[c]) for c in want) and all(back[c] == want[c] for c in want if c != 72)
-    # every distinct beginning once, without gaps, and ancestors make up what stands before
+    assert all(r["loss"] == "".join(x for role, x in back[r["conv"]] if role == "assistant") for r in read)
+    assert all(r["n_tokens"] == r["positions"] == r["attended"] for r in read)
     assert len(nodes) == len({tuple(v[: k + 1]) for v in back.values() for k in range(len(v))})
-    assert [n["place"] for n in nodes] == np.cumsum([0, *[len(n["segment"]) for n in nodes]])[:-1].tolist()
-    stream = "".join(n["segment"] for n in nodes)
+    assert [n["place"] for n in nodes] == np.cumsum([0, *[len(n["ids"]) for n in nodes]])[:-1].tolist()
+    bpe_, stream = bpe.encoder(*bpe.public_ranks()), np.concatenate([n["ids"] for n in nodes])
     for n in nodes:
-        assert sum(a["end"] - a["start"] for a in n["attends"]) == n["position"] and all(a["end"] <= n["place"] for a in n["attends"])
-        assert "".join(stream[a["start"] : a["end"]] for a in n["attends"]).count(chat.CLOSE) >= n["depth"]
+        before = np.concatenate([stream[:0], *[stream[a["start"] : a["end"]] for a in n["attends"]]])
+        assert len(before) == n["position"] and all(a["end"] <= n["place"] for a in n["attends"])
+        assert n["position_ids"] == list(range(n["position"], n["position"] + len(n["ids"])))
+        turns = chat.parsed(bpe_.decode(np.concatenate([before, n["ids"]])).decode())
+        assert len(turns) == n["depth"] + 1 and n["learned"] == (turns[-1][0] == "assistant")
+        masked = bpe_.decode(np.array(n["ids"])[np.array(n["loss_mask"]) == 1]).decode()
+        assert "###" not in masked and "</turn" not in masked and chat.unescaped(masked) == (turns[-1][1] if n["learned"] else "")
 
 
-def test_op1_adds_control_strings(spark):
-    rows = {r["conv_id"]: r for r in chat.op1_chat_tree(spark, SF).collect()}
-    said = f"user\n{chat.ADDED}\nassistant\n{chat.ADDED}\n"
-    assert rows[-7]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and rows[-7]["loss_chars"] == len(chat.ADDED)
-    assert rows[-7]["loss_sha256"] == hashlib.sha256(chat.ADDED.encode()).hexdigest()
+def test_op1_against_brute_force(spark):
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    convs = {-7: [(0, "user", chat.ADDED), (1, "assistant", chat.ADDED)]}
+    for r in table(spark, SF, "conversations").collect():
+        convs.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    got = {r["conv_id"]: r for r in chat.op1_chat_tree(spark, SF).collect()}
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        turns, r = sorted(turns), got[c]
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), digest("".join(f"{role}\n{x}\n" for _, role, x in turns)))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), digest(loss)) and r["n_tokens"] == r["positions"] == r["attended"] > 0
+
+
+def test_a_conversation_of_many_turns_has_its_intervals_in_linear_time():
+    import time
+
+    begun = time.process_time()
+    found = list(chat.ancestry(list(range(0, 400_000, 2)), [2] * 200_000))
+    assert found[-1] == [{"start": 0, "end": 399_998}] and time.process_time() - begun < 5
 
 
 # ---- classifiers
@@ -153,6 +177,95 @@ def test_toxicity_on_rows_that_were_held_out(spark):
     assert sum(toxic) / len(toxic) > 0.6 and sum(r["rejected"] for r in got if r["toxic"] == 0) <= 2
 
 
+def naive_row(text, names):
+    """The columns of a text as the models have them, counted anew."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    row = []
+    for name in names:
+        n = sum(w.startswith(name[:-1]) for w in words) if name.endswith("~") else words.count(name)
+        row += [np.log1p(n), np.log1p(1000 * n / max(len(words), 50))]
+    split, raw = text.split(), text.encode()
+    share = lambda n, of: np.log1p(20 * n / max(of, 1))
+    letters = sum(b in range(65, 91) or b in range(97, 123) or b >= 0xC0 for b in raw)
+    row += [share(text.count("|"), len(split)), share(sum(text.count(c) for c in "%&$#*~^!"), len(split)), share(sum("A" <= c <= "Z" for c in text), letters)]
+    row += [share(sum("0" <= c <= "9" for c in text), len(text)), share(sum(a == b for a, b in zip(split, split[1:])), len(split))]  # noqa: B905
+    return np.array([*row, min(max(len(text), 1) / max(len(split), 1), 40) / 10, share(text.count("\n"), len(split)), np.log1p(len(split)) / 10])
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def odds(p):
+    q = min(max(p, 1e-4), 1 - 1e-4)
+    return np.log(q / (1 - q))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab ", "idiot", " x", "\n", "é", "word word ", "  ", "1", "|"]) for _ in range(300)) for _ in range(40)] + ["", " ", "x" * 900]
+    known = frozenset({"ab", "idiot", "word", "idiot~"})
+    whole = [(linear.counts_of(t), linear.counts_of(t, known), linear.form(t)) for t in texts]
+    monkeypatch.setattr(linear, "PIECE", 50)
+    assert whole == [(linear.counts_of(t), linear.counts_of(t, known), linear.form(t)) for t in texts]
+    assert all("".join(linear.pieces(t)) == t for t in texts)
+
+
+def test_op2_against_the_chain_computed_row_by_row(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    chain = toxicity.toxicity_chain(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        row, before = naive_row(text, chain.names), []
+        for category, model in zip(chain.categories, chain.models, strict=True):
+            p = sigmoid(np.append(row, [odds(b) for b in before]) @ model.weights + model.constant)
+            assert abs(got[i][f"p_{category}"] - p) < 1e-9
+            before.append(p)
+        assert got[i]["toxic"] == (got[i]["p_toxic"] >= chain.threshold)
+
+
+def test_later_models_learn_from_out_of_fold_predictions():
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(400, 3)), np.arange(400)
+    first = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    second = ((first > 0) & (x[:, 1] > 0)).astype(float)
+    chain = toxicity.fit_chain(x, [first, second], ids, ["a", "b", "c"], ["one", "two"])
+    fold, out = linear.folds_of(ids, toxicity.FOLDS), np.zeros(400)
+    for i in range(400):  # the model of a row has seen no row of its fold
+        if (fold[:i] != fold[i]).all():
+            out[fold == fold[i]] = linear.fitted(x[fold != fold[i]], first[fold != fold[i]], 3.0).score(x[fold == fold[i]])
+    z = np.column_stack([x, [odds(p) for p in out]])
+    want = linear.fitted(z, second, 3.0)
+    assert np.allclose(chain.models[1].weights, want.weights) and np.isclose(chain.models[1].constant, want.constant)
+    # the weights are where the penalized likelihood is greatest
+    spread, p = z.std(axis=0), want.score(z)
+    assert np.abs(((z - z.mean(axis=0)) / spread).T @ (p - second) + 3.0 * want.weights * spread).max() < 0.05
+    assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+
+
+def test_op7_against_both_views_computed_row_by_row(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    views = cotraining.quality_views(docs, labels)
+    got = {r["doc_id"]: r for r in cotraining.op7_quality(spark, SF).collect()}
+    rows = docs.collect()
+    assert set(got) == {r["doc_id"] for r in rows}
+    for r in rows:
+        both = naive_row(r["text"] or "", views.names), cotraining.page_matrix([r["lang"]], [r["source"]], [r["n_chars"]])[0]
+        t, p = (sigmoid(c.weights[0] * odds(sigmoid(x @ m.weights + m.constant)) + c.constant) for x, m, c in zip(both, views.models, views.calibration, strict=True))
+        q = sigmoid(odds(t) + odds(p) - views.prior)
+        r = got[r["doc_id"]]
+        assert abs(r["p_text"] - t) < 1e-6 and abs(r["p_page"] - p) < 1e-6 and abs(r["quality"] - q) < 1e-6 and r["kept"] == (r["quality"] >= 0.5)
+
+
+def test_labels_that_teach_nothing_do_not_use_up_the_limit(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None) for i in range(10)] + [(i, 1) for i in range(10, 15)] + [(i, 0) for i in range(100, 200)], "doc_id long, toxic int")
+    assert sorted(r["doc_id"] for r in linear.labelled_sample(docs, labels, ["toxic"], 6, "doc_id", "text").collect()) == [10, 11, 12, 13, 14]
+
+
 def test_classifiers_on_strange_tables(spark):
     prepare(spark)
     rows = spark.createDataFrame([(1, None, None, None, None), (1, "", "en", "s", -1), (None, "word " * 50_000, "en", "s", 9), (2, "\x00 | $$$", "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -236,3 +349,22 @@ def test_pipeline_against_brute_force(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect()
     assert sorted((r["doc_id"], r["ids"]) for r in out) == sorted((r["doc_id"], tik.encode_ordinary(r["text"])) for r in mix)
     assert len(a) >= len(b)
+
+
+def test_stages_on_strange_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and columns with names of the operators' own."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "one two three", "en", None, 13), (None, "one two three", "en", None, 13), (3, "long " * 100_000, "en", "s", 500_000), (3, "long " * 100_000, "en", "s", 500_000), (4, "a b c d e f g", "en", "t", 13), (4, "other words under one id", "en", "t", 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "_id", "key", "kept", "size", "copy", "n", "component", "range"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(1, None, None), (None, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, given, str(tmp_path)).cache()
+            if name != "byte_bpe":
+                assert made.columns == docs.columns
+            if name == "exact_dedup":
+                left = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in made.collect())
+                assert left in ([], [("2", 0), ("3", 500_000), ("4", 13), ("4", 24), ("None", 13)])
+            given = made
+    assert given.count() == 0 and set(given.columns) == {"doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"}

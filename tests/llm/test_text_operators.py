@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearvote.llm import bpe, exact_dedup, fingerprints, mixing, registry, secrets, token_files
+from nearvote.llm import bpe, common, exact_dedup, fingerprints, mixing, registry, secrets, token_files
 from nearvote.llm.common import new_path, prepare
 from tests.conftest import SF, same
 
@@ -61,9 +61,38 @@ def test_bpe_as_tiktoken_on_strange_texts(tik):
 
 
 def test_ranks_merge_leftmost_first():
+    import tiktoken
+
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 257, b"aaaa": 258, b"ba": 259}
-    assert bpe.by_ranks(b"baaaaa", ranks) == [ord("b"), 258, ord("a")] or b"".join({v: k for k, v in ranks.items()}[i] for i in bpe.by_ranks(b"baaaaa", ranks)) == b"baaaaa"
-    assert bpe.by_ranks(b"", ranks) == []
+    plain = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    assert bpe.by_ranks(b"baaaaa", ranks) == plain.encode_ordinary("baaaaa") == [ord("b"), 256, 257] and bpe.by_ranks(b"", ranks) == []
+    rng = random.Random(1)
+    for _ in range(300):
+        word = "".join(rng.choice("aaab") for _ in range(rng.randint(1, 30)))
+        assert bpe.by_ranks(word.encode(), ranks) == plain.encode_ordinary(word)
+
+
+def test_long_texts_in_parts(tik, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG", 7)
+    monkeypatch.setattr(token_files, "LONG", 7)
+    made, words, plain, rng = bpe.ByteBpe(*bpe.public_ranks()), token_files.WordBpe(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    parts = ["a", " ", "  ", "\n", "\t ", "'s", "é", "日本", "1", "!!", "\x85", "\x1c", "the", " the", "\r\n", "x" * 9, "\u3000", "<|x|>"]
+    for _ in range(2000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert "".join(bpe.in_parts(s)) == s
+        assert made.ids(made.encode([s])[0]).tolist() == tik.encode_ordinary(s)
+        assert np.frombuffer(words.encode(s), "<u2").tolist() == plain.encode(s, add_special_tokens=False).ids
+
+
+def test_tables_of_a_worker_are_bounded():
+    kept = bpe.Kept(lambda key: key.encode(), 100_000)
+    for k in range(50):
+        kept.turn()
+        assert kept.joined([f"word {k} {i}" for i in range(200)]) == b"".join(f"word {k} {i}".encode() for i in range(200))
+        assert (len(kept.new) + len(kept.new.old)) * bpe.ENTRY < 300_000
 
 
 def test_bpe_round_trip_of_all_rows(spark, docs, tik):
@@ -88,8 +117,30 @@ def test_exact_groups(docs):
     assert by[2] == [(3, 2, False)] and by[3] == [(3, 2, True)] and by[5] == [(5, 1, True)] and by[8] == [(8, 1, True)]
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns
-    assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == sorted(map(str, [3, 4, 4, 5, 6, 7, 8, 9, 10, 11, None]))
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == sorted(map(str, [3, 4, 5, 6, 7, 8, 9, 10, 11, None]))
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_text_stays_also_without_ids(spark):
+    rows = [(None, "x" * 9)] * 3 + [(7, "y" * 9)] * 2 + [(7, "z" * 9), (6, "z" * 9), (5, None), (5, "")]
+    left = exact_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"] or "") for r in left))) == sorted(map(str, [(None, "x" * 9), (7, "y" * 9), (7, "z" * 9), (5, "")]))
+
+
+@pytest.mark.parametrize("most", [common.MOST_BITS, 0], ids=["filter", "join"])
+def test_keys_by_filter_and_by_join(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(20_000).select(F.when(F.col("id") > 9, F.col("id")).alias("k"), F.lit("b").alias("text"))
+    for keys in (rows.filter("k is null or k % 10 = 0").select("k").distinct(), rows.select("k").limit(0)):
+        keys = keys.checkpoint()
+        got = common.marked(rows, keys, "in").groupBy("k", "in").count().collect()
+        held = {r["k"] for r in keys.collect()}
+        assert sum(r["count"] for r in got) == 20_000 and held <= {r["k"] for r in got if r["in"]}
+        assert sum(r["in"] for r in got) - len(held) <= (400 if most else 0)
+        left = [r["k"] for r in common.without(rows, keys).collect()]
+        assert sorted(map(str, left)) == sorted(str(r["k"]) for r in rows.collect() if r["k"] not in held)
+    if not most:
+        test_exact_groups(docs)
 
 
 # ---- fingerprints
@@ -131,6 +182,13 @@ def test_likeness_without_punctuation_and_with_repeats(text):
     assert fingerprints.likeness(of, made) > 0.3
 
 
+def test_both_token_patterns_agree_on_ascii():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "Zz", "9", "_", " ", "\t", "\x1c", "\x1f", ".", "-", "w" * 24, "w" * 25, "\x00", "\r"]) for _ in range(rng.randint(0, 12)))
+        assert fingerprints.TOKEN_ASCII.findall(text) == fingerprints.TOKEN.findall(text)
+
+
 def test_repeated_paragraphs_do_not_cancel_out():
     assert not np.array_equal(fingerprints.fingerprint("a\n" * 2**16 + "b"), fingerprints.fingerprint("b"))
 
@@ -152,6 +210,23 @@ def test_edited_texts(spark, docs, parts):
     assert got == sorted(want, key=str)
 
 
+def test_op5_against_counted_overlaps(spark):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.op5_fingerprints(spark, SF).collect()}
+    assert len(got) == len(rows)
+    apart = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for name, other in (("near_edited", edited), ("near_next", following)):
+            shared = overlap(t, other) if t or other else 1.0
+            apart.append(abs(got[i][name] - shared))
+            assert apart[-1] <= 0.45 * (1 - shared) + 1e-9  # some standard errors
+        assert (got[i]["fingerprint"] == got[i]["edited_fingerprint"]) == (t == edited)
+    assert np.mean(apart) < 0.1
+
+
 # ---- token files
 
 
@@ -165,6 +240,12 @@ def test_huffman_codes():
         assert (token_files.unpacked(bits, checkpoints, n, *token_files.decoding_table(lengths)) == ids).all()
     steep = token_files.code_lengths((2.0 ** np.arange(60)).astype(np.int64))
     assert steep.max() == token_files.LONGEST and (2.0 ** -steep.astype(float)).sum() == 1
+    # more symbols than codes of 16 bits
+    many = rng.permutation(np.concatenate([np.arange(70_000), rng.integers(0, 9, 5000)]))
+    lengths = token_files.code_lengths(np.bincount(many))
+    assert lengths.max() > 16 and (2.0 ** -lengths.astype(float)).sum() == 1
+    bits, checkpoints, _ = token_files.packed(many, lengths, token_files.codes(lengths))
+    assert (token_files.unpacked(bits, checkpoints, len(many), *token_files.decoding_table(lengths)) == many).all()
     # against plain Huffman where no limit is reached
     import heapq
 
@@ -197,7 +278,7 @@ def test_token_files_of_all_rows(spark, docs):
 
 
 def test_mix(spark, docs):
-    result, blocks = mixing.mixed(docs)
+    result, blocks, _ = mixing.mixed(docs)
     rows = result.collect()
     assert len(rows) == len(TEXTS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     total = sum(r["size"] for r in rows)
@@ -213,6 +294,20 @@ def test_mix(spark, docs):
     assert {(r["doc_id"], r["taken"]) for r in mixing.mixed(docs.repartition(5))[0].collect()} == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def test_mix_of_a_long_text_that_is_taken_in_part(spark):
+    """Linear in the text: the array of words is made once."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "x y", "en", "b", 3), (2, "y x", "en", "b", 3)], DOCS)
+    begun = time.time()
+    rows = mixing.drawn(docs, share=0.5).collect()
+    assert time.time() - begun < 60
+    got = next(r for r in rows if r["doc_id"] == 1)
+    words = got["text"].split()
+    assert abs(len(words) - 100_000) <= 64 and words == sorted(words, key=lambda w: int(w[1:])) and got["n_chars"] == len(got["text"])
+
+
 def test_seats_are_those_of_the_highest_quotients(spark):
     rng = np.random.default_rng(2)
     for n, seats in ((1, 3), (7, 2), (30, 500), (200, 40)):
@@ -241,3 +336,39 @@ def test_ledger_scans_only_what_it_lacks(spark, docs):
     assert sorted((r["kind"], r["n"]) for r in more.groupBy("kind").agg(F.count("*").alias("n")).collect()) == sorted((r.kind, 4 if r.kind == "hex" else 1) for r in rules)
     assert secrets.update(docs.limit(0), path_col="doc_id")[1].count() == 0
     assert secrets.update(docs, path_col="doc_id")[1].count() == len(TEXTS)
+
+
+def test_op10_against_plain_expressions(spark, tmp_path):
+    """Base kinds as the contract has them: greedy runs, then the lengths; every added kind is found."""
+    import re
+
+    base = (
+        ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+    )
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB+/=\n-----END RSA PRIVATE KEY-----"
+    jwt, hub = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "ghp_" + "aB3" * 12
+    texts += [f"é {key} x {jwt} y {hub} token={hub}", "token=short token='abcdef'secret:abcdef", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "f" * 23 + " " + "f" * 24, "TOKEN = a.b/c+d=", "secret\x20\x20=\x20'abc123' PASSWD:x_y-z.w", "", None, jwt * 3]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.op10_secret_ledger(spark, str(tmp_path)).collect()}
+    added = {"pem": key, "jwt": jwt, "github": hub}
+    for i, t, *_ in rows:
+        found = sorted((m.start(), n, m.end(), kind) for n, (kind, p, group, least) in enumerate(base) for m in p.finditer(t or "") if len(m[group]) >= least)
+        said = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found)
+        assert [got[i][f"n_{kind}"] for kind, *_ in base] == [sum(f[3] == kind for f in found) for kind, *_ in base]
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        spans = [s.split(":") for s in got[i]["spans"].split(",") if s]
+        assert ",".join(":".join(s) for s in spans if s[0] not in added) == said and spans == sorted(spans, key=lambda s: int(s[1]))
+    spans = [s.split(":") for s in got[len(texts) - 9]["spans"].split(",")]
+    assert {kind: texts[-9][int(a) : int(b)] for kind, a, b in spans if kind in added} == added
+
+
+def test_json_web_tokens_are_searched_in_linear_time():
+    import time
+
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    begun = time.process_time()
+    assert secrets.found_by(rule, __import__("re").compile(rule.pattern, rule.flags), "eyJ" * 100_000, "eyj" * 100_000) == []
+    assert time.process_time() - begun < 1
