@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -36,6 +37,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles and checkpoints nothing refers to any more, so that Spark deletes their files now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def gone_at_exit(spark: SparkSession, path: str) -> None:
     held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)

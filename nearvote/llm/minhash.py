@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.llm.common import by_size, filled, marked, stored, table
+from nearvote.llm.common import by_size, filled, let_go, marked, stored, table
 from nearvote.llm.components import components
 
 SHINGLE = 5
@@ -136,6 +136,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike. Texts are read again, for the documents of the pairs only."""
     pairs = pairs.select("a", "b").distinct().checkpoint()
+    let_go(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().checkpoint()
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     stars = stars.join(one.select(F.col("doc_id").alias("a"), "n", "odd"), "a").join(other.withColumnRenamed("other", "b"), "b").filter(may_be_alike(percent)).select("a", "b").checkpoint()
     first = components(confirmed(stars, docs, id_col, text_col, percent)).checkpoint()
+    let_go(docs.sparkSession)
 
     # buckets of three and more that several components share: all pairs of two have been compared
     placed = shared.filter("members > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -245,6 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = placed.join(largest, "bucket").checkpoint()
     fine = finely_sketched(docs, rest.select(F.col("doc_id").alias("id")).distinct().checkpoint(), id_col, text_col)
     rest = stored(rest.join(one, "doc_id").join(fine, "doc_id"), "shared-buckets")
+    let_go(docs.sparkSession)
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     sides = ["component", "n", "bands", "odd", "fine"]
     few = rest.filter("component <> largest").select("bucket", "band", "doc_id", *sides, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -252,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = few.join(every, ["bucket", "salt"]).filter((F.col("component") != F.col("other_component")) & may_be_alike(percent) & meet_first() & finely_alike(percent))
     across = across.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = confirmed(across, docs, id_col, text_col, percent)
+    let_go(docs.sparkSession)
 
     def named(pairs: DataFrame, column: str) -> DataFrame:
         return pairs.join(first.withColumnsRenamed({"node": column, "component": "c"}), column, "left").withColumn(column, F.coalesce("c", column)).drop("c")
