@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearvote.llm import bpe, chat, cotraining, exact_dedup, fingerprints, minhash, mixing, secrets, token_files, toxicity, word_table
+from nearvote.llm import align, bpe, chat, cotraining, exact_dedup, fingerprints, minhash, mixing, secrets, token_files, toxicity, word_table
 
 QUERIES = {
     "op1_chat_tree": chat.op1_chat_tree,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_ledger": secrets.op10_secret_ledger,
     "op11_word_table": word_table.op11_word_table,
+    "op13_alignment": align.op13_alignment,
 }
 
 ORACLE_SQL = {

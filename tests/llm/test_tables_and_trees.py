@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from nearvote.llm import registry, word_table
+from nearvote.llm import align, registry, word_table
 from nearvote.llm.common import prepare
 from tests.conftest import SF
 
@@ -79,3 +81,102 @@ def test_op11_on_the_table(spark, library):
         ids = library.encode(d["text"] or "", add_special_tokens=False).ids
         r = rows[d["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+# ---- alignment
+
+
+@pytest.fixture(scope="module")
+def both():
+    """The two libraries: a text's tokens as (id, bytes) of either side, or none where their bytes differ from a space and the text."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = align.public_files()
+    first, second = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
+    first.encode_special_tokens = True
+    byte_of = {c: i for i, c in enumerate(align.byte_characters())}
+
+    def piece(i):
+        said = second.id_to_piece(i)
+        return bytes([int(said[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", said) else said.replace("▁", " ").encode()
+
+    def tokens(text):
+        if not text:
+            return [], []
+        x = [(i, bytes(byte_of[c] for c in first.id_to_token(i))) for i in first.encode(f" {text}", add_special_tokens=False).ids]
+        y = [(i, piece(i)) for i in second.encode(text)]
+        said = f" {text}".encode()
+        return (x, y) if b"".join(t for _, t in x) == said == b"".join(t for _, t in y) else ([], [])
+
+    return tokens
+
+
+def brute(tokens, rows):
+    """What `aligned` returns, by two pointers over every text and plain counting."""
+    linked, out = [], []
+    for i, text in rows:
+        a, b = tokens(text)
+        links, groups, group, m, n, end_a, end_b = [], [], ([], []), 0, 0, 0, 0
+        while m < len(a) and n < len(b):
+            links.append((a[m][0], b[n][0]))
+            x, y = end_a + len(a[m][1]), end_b + len(b[n][1])
+            if x <= y:
+                group[0].append(a[m][0])
+                m, end_a = m + 1, x
+            if y <= x:
+                group[1].append(b[n][0])
+                n, end_b = n + 1, y
+            if x == y:
+                groups.append(",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1])))
+                group = ([], [])
+        linked.append(links)
+        out.append([str(i), len(a), len(b), len(groups), len(links), ";".join(groups)])
+    count = Counter(p for links in linked for p in set(links))
+    most = [{}, {}]
+    for p, c in count.items():
+        for side in (0, 1):
+            most[side][p[side]] = max(most[side].get(p[side], 0), c)
+    return [tuple([*o, *(sum(count[p] == most[side][p[side]] for p in links) for side in (0, 1)), sum(count[p] for p in links)]) for o, links in zip(out, linked, strict=True)], linked, count
+
+
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "n_best_b", "count_sum")
+
+
+@pytest.mark.parametrize("chunk", [align.CHUNK, 200], ids=["one", "many"])
+def test_alignment_is_that_of_two_pointers(spark, docs, both, monkeypatch, chunk):
+    monkeypatch.setattr(align, "CHUNK", chunk)
+    monkeypatch.setattr(align, "BATCH", 100 if chunk == 200 else align.BATCH)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, linked, count = brute(both, rows)
+    got = align.aligned(docs, *align.public_files()).collect()
+    assert sorted(tuple(str(r[c]) if c == "doc_id" else r[c] for c in COLUMNS) for r in got) == sorted(want)
+    assert any(w[1] == 0 and t for w, (_, t) in zip(want, rows, strict=True)) and sum(w[3] for w in want) > 1000
+    if chunk == 200:
+        found = Counter((str(r["doc_id"]), r["a"], r["b"], r["times"], r["count"]) for r in align.links(docs, *align.public_files()).collect())
+        assert found == Counter((str(i), *p, n, count[p]) for (i, _), links in zip(rows, linked, strict=True) for p, n in Counter(links).items())
+
+
+def test_segments_are_encoded_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(align, "LONG", 9)
+    made, rng = align.PieceBpe(align.public_files()[1]), random.Random(8)
+    assert made.apart
+    for _ in range(4000):
+        text = "".join(rng.choice(STRANGE) for _ in range(rng.randint(1, 25)))
+        if text:
+            ids, plain = made.encode(text), made.model.encode(text)
+            assert ids is None or align.np.frombuffer(ids, "<u4").tolist() == plain
+            assert (ids is None) == (made.bytes_of(plain) != f" {text}".encode())
+
+
+def test_alignment_of_an_empty_table(docs):
+    assert align.aligned(docs.limit(0), *align.public_files()).count() == 0
+    (one,) = align.aligned(docs.filter("doc_id = 2"), *align.public_files()).collect()
+    assert [one[c] for c in COLUMNS[1:]] == [0, 0, 0, 0, "", 0, 0, 0]
+
+
+def test_op13_on_the_table(spark, both):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((int(w[0]), *w[1:5], sha(w[5]) if w[5] else "", *w[6:]) for w in brute(both, rows)[0])
+    got = registry.QUERIES["op13_alignment"](spark, SF).withColumnRenamed("groups_sha256", "groups").collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == want
