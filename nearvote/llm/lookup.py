@@ -23,16 +23,20 @@ def chunk_numbers() -> Iterator[int]:
 
 
 def packed(numbers: np.ndarray, entries: int) -> bytes:
-    """Numbers of dictionary entries, in two bytes each where that is enough, compressed."""
+    """Numbers of dictionary entries, low bytes first, then higher ones, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(width(entries)).tobytes())
+    wide = width(entries)
+    planes = numbers.astype(wide).view(np.uint8).reshape(-1, wide.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpacked(raw: bytes, entries: int) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), width(entries))
+    wide = width(entries)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide.itemsize, -1).T).view(wide).reshape(-1)
 
 
 def width(entries: int) -> np.dtype:

@@ -10,20 +10,21 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.llm.bpe import Kept, byte_characters, flattened, lists
+from nearvote.llm.bpe import Kept, byte_characters, lists
 from nearvote.llm.common import by_size, filled, stored, table
 from nearvote.llm.lookup import by_chunk, chunk_numbers, packed, unpacked
 from nearvote.llm.token_files import BEYOND, WORDS
 
 #: Bytes of text, or of ids, in a chunk, about; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 16 << 20
 #: Pieces that a chunk keeps beside its words.
 PIECES = 1 << 17
 #: Ids that a vocabulary may have to be broadcast: with its pieces a few MB.
@@ -108,9 +109,13 @@ def worded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def chunk(number: int, ids: list, numbers: list[bytes], words: Dictionary) -> Iterator[pa.RecordBatch]:
         n = len(ids)
-        packs = [packed(np.frombuffer(x, np.int32), len(words)) for x in numbers]
+        # frequent words get small numbers, whose higher bytes take no room
+        often = np.argsort(-np.bincount(np.frombuffer(b"".join(numbers), np.int32), minlength=len(words)), kind="stable")
+        place, held = np.empty(len(words), np.int32), list(words)
+        place[often] = np.arange(len(words), dtype=np.int32)
+        packs = [packed(place[np.frombuffer(x, np.int32)], len(words)) for x in numbers]
         yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(packs, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([list(words)], pa.list_(pa.string()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([[held[k] for k in often.tolist()]], pa.list_(pa.string()))], schema=schema)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, numbered = splitter(path), chunk_numbers()
@@ -133,27 +138,36 @@ def worded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return stored(rows.mapInArrow(work, "chunk long, doc_id long, numbers binary, words array<string>"), "words")
 
 
-def word_table(chunks: DataFrame, path: str) -> DataFrame:
-    """word and ids: every distinct word, encoded once. Stored."""
-    schema = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+def encoding(path: str) -> Callable[[Column], Column]:
+    """The ids of a column of words. As a scalar function it keeps rows where they are, so a partitioning by word lasts."""
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("array<int>")
+    def ids_of(words: pd.Series) -> pd.Series:
+        bpe, special, letters = model(path)
+        return pd.Series([[special[w]] if w in special else [t.id for t in bpe.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
+
+    return ids_of
+
+
+_MODELS: dict[str, tuple] = {}
+
+
+def model(path: str) -> tuple:
+    """The library's model of one file, ids of special tokens, and the character of each byte."""
+    if path not in _MODELS:
         from tokenizers import Tokenizer, models
 
         with open(path, encoding="utf-8") as file:
-            said = json.load(file)
-        model = said["model"]
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **{k: model[k] for k in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token") if model.get(k)})
-        special = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
-        letters = dict(enumerate(byte_characters()))
-        for batch in batches:
-            words = batch["word"].to_pylist()
-            ids = [[special[w]] if w in special else [t.id for t in bpe.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32()))], schema=schema)
+            said = json.load(file)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in said["merges"]]
+        bpe = models.BPE(vocab=said["vocab"], merges=merges, cache_capacity=0, **{k: said[k] for k in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token") if said.get(k)})
+        _MODELS[path] = bpe, {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}, dict(enumerate(byte_characters()))
+    return _MODELS[path]
+
 
-    words = chunks.filter("words is not null").select(F.explode("words").alias("word")).distinct()
-    return stored(words.mapInArrow(work, "word string, ids array<int>"), "word-table")
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """word and ids: every distinct word of `words`, encoded once."""
+    return words.select("word").distinct().withColumn("ids", encoding(path)("word"))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -172,11 +186,6 @@ class Pieces(dict):
         raise ValueError(f"no piece has the id {i}")
 
 
-def _pieces_of(found: pa.Table) -> Pieces:
-    at = found.filter(pc.is_valid(found["id"]))
-    return Pieces(zip(at["id"].to_pylist(), at["piece"].to_pylist(), strict=True))
-
-
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids: id, ids array<int>, decoded string. As `encoded` and `decoded` in turn.
 
@@ -185,22 +194,23 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     the memory of a task grows with the longest text.
     """
     chunks = worded(docs, path, id_col, text_col)
-    words = chunks.filter("words is not null").select("chunk", F.posexplode("words").alias("number", "word"))
-    numbered = words.join(word_table(chunks, path), "word").select("chunk", "number", "ids")
+    # one exchange by word serves the table and the join with it
+    words = chunks.filter("words is not null").select("chunk", F.posexplode("words").alias("number", "word")).repartition("word")
+    numbered = stored(words.join(word_table(words, path), "word").select("chunk", "number", "ids"), "numbered")
     pieces = numbered.select("chunk", F.explode("ids").alias("id")).distinct().join(piece_table(docs.sparkSession, path), "id")
-    found = numbered.select("*", F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("piece"))
-    found = found.unionByName(pieces.select("chunk", "id", "piece"), allowMissingColumns=True)
+    # ids of a word by its number, and a piece by what its id lacks to -1
+    found = numbered.select("chunk", "number", F.array_join(F.col("ids").cast("array<string>"), " ").alias("said"))
+    found = found.unionByName(pieces.select("chunk", (F.lit(-1) - F.col("id")).alias("number"), F.col("piece").alias("said")))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
-        at = found.filter(pc.is_valid(found["number"]))
-        flat, ends = flattened(at["ids"].combine_chunks())
-        flat, order = flat.astype(np.int32), at["number"].to_numpy().tolist()
-        ids_of: list[bytes] = [b""] * len(order)
-        for n, a, b in zip(order, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            ids_of[n] = flat[a:b].tobytes()
-        piece_of = _pieces_of(found)
-        ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, unpacked(raw, len(order)).tolist())), np.int32) for raw in rows["numbers"].to_pylist()]
+        numbers = found["number"].to_numpy()
+        words, entries = found.filter(pa.array(numbers >= 0)), int((numbers >= 0).sum())
+        ids_of: list[bytes] = [b""] * entries
+        for n, said in zip(words["number"].to_pylist(), words["said"].to_pylist(), strict=True):
+            ids_of[n] = array("i", map(int, said.split())).tobytes()
+        piece_of = Pieces(zip((-1 - numbers[numbers < 0]).tolist(), found.filter(pa.array(numbers < 0))["said"].to_pylist(), strict=True))
+        ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, unpacked(raw, entries).tolist())), np.int32) for raw in rows["numbers"].to_pylist()]
         said = [" ".join(map(piece_of.__getitem__, x.tolist())) for x in ids]
         return pa.Table.from_arrays([rows["doc_id"], lists(ids), pa.array(said, pa.string())], schema=schema)
 
@@ -224,7 +234,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([one, pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([pc.unique(flattened_ids(batch["ids"])).to_pylist()], pa.list_(pa.int32()))], schema=schema)
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
-        piece_of = _pieces_of(found)
+        piece_of = Pieces(zip(found["id"].to_pylist(), found["piece"].to_pylist(), strict=True)) if found.num_rows else Pieces()
         said = [" ".join(map(piece_of.__getitem__, ids or ())) for ids in rows["ids"].to_pylist()]
         return pa.Table.from_arrays([rows["doc_id"], pa.array(said, pa.string())], names=["id", "decoded"])
 

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearvote.llm import align, registry, word_table
+from nearvote.llm import align, negatives, registry, word_table
 from nearvote.llm.common import prepare
 from tests.conftest import SF
 
@@ -165,7 +166,7 @@ def test_segments_are_encoded_as_the_library_does(monkeypatch):
         text = "".join(rng.choice(STRANGE) for _ in range(rng.randint(1, 25)))
         if text:
             ids, plain = made.encode(text), made.model.encode(text)
-            assert ids is None or align.np.frombuffer(ids, "<u4").tolist() == plain
+            assert ids is None or np.frombuffer(ids, "<u4").tolist() == plain
             assert (ids is None) == (made.bytes_of(plain) != f" {text}".encode())
 
 
@@ -180,3 +181,81 @@ def test_op13_on_the_table(spark, both):
     want = sorted((int(w[0]), *w[1:5], sha(w[5]) if w[5] else "", *w[6:]) for w in brute(both, rows)[0])
     got = registry.QUERIES["op13_alignment"](spark, SF).withColumnRenamed("groups_sha256", "groups").collect()
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == want
+
+
+# ---- hard negatives
+
+ROWS = "vec_id long, label int, v array<int>, anchor boolean, score long, rank int, class string"
+
+
+def mined_by_all_pairs(rows, positives=5, negatives=3, low=50, high=95):
+    """What `mined` returns, by every anchor against every row."""
+    rows = [(i, label, v, anchor) for i, label, v, anchor in rows if label is not None and v is not None and None not in v]
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    out = []
+    for a in rows:
+        if not a[3]:
+            continue
+        scored = sorted(((sum(x * y for x, y in zip(a[2], r[2], strict=False)), r) for r in rows if r is not a), key=lambda x: (-x[0], by_id(x[1])))
+        for ps, p in [x for x in scored if x[1][1] == a[1]][:positives]:
+            found = [(s, n) for s, n in scored if n[1] != a[1] and low * ps <= 100 * s <= high * ps][:negatives]
+            out += [(a[0], p[0], k, n[0], ps, s) for k, (s, n) in enumerate(found, 1)]
+    return sorted(map(str, out))
+
+
+def shown(df):
+    return sorted(str((r["anchor_id"], r["positive_id"], r["rank"], r["negative_id"], r["positive_score"], r["negative_score"])) for r in df.collect())
+
+
+def vectors(n=600, dims=5, seed=2):
+    """Clusters, many equal scores, copies under several labels, and rows that take no part."""
+    rng = np.random.default_rng(seed)
+    centers = rng.integers(-6, 9, (8, dims))
+    rows = []
+    for i in range(n):
+        v = [3, 3, 3, 1, 0] if i % 3 == 0 else (centers[i % 8] + rng.integers(-2, 3, dims)).tolist()
+        rows.append((i, int(rng.integers(0, 4)), [int(x) for x in v], i % 10 == 0))
+    return [*rows, (None, 1, [3, 3, 3, 1, 0], None), (None, 2, [2, 2, 2, 1, 0], False), (7, None, [1] * 5, False), (20, 3, None, True), (30, 3, [1, None, 1, 1, 1], True), (40, 1, [4, 4], True), (40, 1, [4, 4], True), (50, 9, [1] * 5, True), (60, 2, [], True)]
+
+
+@pytest.mark.parametrize(("group", "leaf"), [(64, 512), (3, 10)], ids=["leaves", "trees"])
+def test_negatives_are_those_of_all_pairs(spark, monkeypatch, group, leaf):
+    monkeypatch.setattr(negatives, "GROUP", group)
+    monkeypatch.setattr(negatives, "LEAF", leaf)
+    monkeypatch.setattr(negatives, "MEETING", 2 if leaf == 10 else 64)
+    prepare(spark)
+    rows = vectors()
+    df = spark.createDataFrame([(*r, 5, 5, "x") for r in rows], ROWS).repartition(3)
+    assert shown(negatives.mined(df)) == mined_by_all_pairs(rows)
+
+
+def test_negatives_of_large_numbers_and_of_few_rows(spark):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [int(x) for x in rng.integers(-(10**9), 10**9, 2)], i % 5 == 0) for i in range(40)]
+    df = spark.createDataFrame([(i, k, v, a, 5, 5, "x") for i, k, v, a in rows], ROWS)
+    assert shown(negatives.mined(df)) == mined_by_all_pairs(rows)
+    assert negatives.mined(df.limit(0)).count() == 0 and negatives.mined(df.filter("label = 1")).count() == 0 and negatives.mined(df.filter("not anchor")).count() == 0
+
+
+def test_a_pair_of_nodes_bounds_its_products(spark):
+    prepare(spark)
+    rows = spark.createDataFrame([(*r, 5, 5, "x") for r in vectors() if r[2] and len(r[2]) == 5 and None not in r[2]], ROWS).withColumn("rid", F.monotonically_increasing_id()).checkpoint()
+    nodes, leaves = negatives.tree(rows.select("rid", F.lit(0).alias("root"), F.col("v").cast("array<long>").alias("v")), 10)
+    assert leaves.count() == rows.count() and nodes.filter("leaf").agg(F.sum("size")).first()[0] == rows.count() and nodes.filter("leaf and size > 10 and exists(arrays_zip(low, high), x -> x.low < x.high)").count() == 0
+    of = lambda s: nodes.filter("leaf").select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("center", "radius", "low", "high")])
+    both = of("a").join(of("b").sample(0.3, 1)).toArrow().combine_chunks()
+    v = {}
+    for r in leaves.join(rows, "rid").collect():
+        v.setdefault(tuple(r["node"]), []).append(list(r["v"]))
+    for batch in both.to_batches():
+        least, most = negatives.bounds(batch)
+        for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), least, most, strict=True):
+            products = np.array(v[tuple(a.values())]) @ np.array(v[tuple(b.values())]).T
+            assert x <= products.min() and products.max() <= y
+
+
+def test_op12_as_sql(spark, duck):
+    from tests.conftest import same
+
+    same(registry.QUERIES["op12_hard_negatives"](spark, SF).toPandas(), duck.execute(registry.ORACLE_SQL["op12_hard_negatives"]).df())
