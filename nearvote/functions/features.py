@@ -1,8 +1,9 @@
 """The 14 features of a transaction, in their fixed order, as 16-bit integers.
 
-`transactions` have the nested columns of `schemas.REQUEST`. What is missing counts as zero or false;
+`transactions` have the nested columns of `schemas.REQUEST`. Missing numbers and flags count as zero and false;
 without a last transaction dimensions 5 and 6 are -1; an unknown category has a risk of one half; where
-the customer has no average the ratio is 1. Hours and weekdays are those of UTC, weeks begin on Monday.
+the customer has no average the ratio is 1. Hours and weekdays are those of UTC, weeks begin on Monday. A time
+that is missing or can't be read makes what depends on it null, and such a vector can't be searched.
 """
 
 from __future__ import annotations
@@ -65,9 +66,11 @@ def feature_columns(limits: Limits = Limits()) -> list[Column]:  # noqa: B008
     """One smallint expression for each feature, over the columns of a transaction."""
     zero = lambda c, kind="double": F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind))
     scaled = lambda c, top, kind="double": q16(clamped((zero(c, kind) * inverse(top)).cast("float")))
-    when = F.to_timestamp("transaction.requested_at")
+    when = F.try_to_timestamp("transaction.requested_at")
     last = F.col("last_transaction")
-    minutes = (F.greatest(F.unix_micros(when) - F.unix_micros(F.to_timestamp("last_transaction.timestamp")), F.lit(0)) * 10).cast("double") * (F.lit(1.0) / F.lit(600_000_000.0))
+    micros = F.unix_micros(when) - F.unix_micros(F.try_to_timestamp("last_transaction.timestamp"))
+    minutes = (F.when(micros.isNotNull(), F.greatest(micros, F.lit(0))) * 10).cast("double") * (F.lit(1.0) / F.lit(600_000_000.0))
+    since = F.when(minutes.isNotNull(), clamped((minutes * inverse(limits.minutes).cast("double")).cast("float")))
     average = zero("customer.avg_amount").cast("float")
     ratio = F.when(average > 0, ((zero("transaction.amount") / average.cast("double")).cast("float") * inverse(limits.amount_vs_average)).cast("float")).otherwise(single(1.0))
     absent = F.lit(-10_000).cast("smallint")
@@ -79,7 +82,7 @@ def feature_columns(limits: Limits = Limits()) -> list[Column]:  # noqa: B008
         q16(clamped(ratio)),
         q16(F.hour(when).cast("float") * inverse(23)),
         q16(F.weekday(when).cast("float") * inverse(6)),
-        F.when(last.isNull(), absent).otherwise(q16(clamped((minutes * inverse(limits.minutes).cast("double")).cast("float")))),
+        F.when(last.isNull(), absent).otherwise(q16(since)),
         F.when(last.isNull(), absent).otherwise(scaled("last_transaction.km_from_current", limits.km)),
         scaled("terminal.km_from_home", limits.km),
         q16(clamped(zero("customer.tx_count_24h", "float") * inverse(limits.tx_count_24h))),

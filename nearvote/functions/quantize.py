@@ -1,7 +1,7 @@
 """Integer forms of feature vectors.
 
 Arithmetic is single precision with rounding half to even, so results agree bit by bit with any engine
-that follows the same rule. Values are clamped before they are narrowed.
+that follows the same rule. Values are clamped before they are narrowed; null stays null.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ def single(value: float) -> Column:
 
 
 def _scaled(x: Column, scale: int, low: int, high: int) -> Column:
-    return F.greatest(F.least(F.rint(x.cast("float") * single(scale)), F.lit(float(high))), F.lit(float(low)))
+    return F.when(x.isNotNull(), F.greatest(F.least(F.rint(x.cast("float") * single(scale)), F.lit(float(high))), F.lit(float(low))))
 
 
 def q16(x: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -26,22 +27,35 @@ def composite(p99: Column, fp: Column, fn: Column, errors: Column, n: Column) ->
     return {"latency_score": latency, "detection_score": detection, "final_score": latency + detection}
 
 
-def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999), group: list[str] | None = None) -> DataFrame:
-    """Exact percentiles: of n sorted values the one at place floor(n * share), counted from 0.
+def placed(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Each group's distinct values with _all, how many values the group has, and _end, at which place the last of a value stands.
 
     Values are ranked by their counts, in ranges of values: a window holds the distinct values of one
     range, and only the ranges' totals are added up in one place.
     """
-    group = group or []
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.repartitionByRange(*[F.col(c) for c in (*group, value)]).withColumn("_range", F.spark_partition_id()).checkpoint()
     every = W.partitionBy(*group)
     ranges = counted.groupBy(*group, "_range").agg(F.sum("_n").alias("_in")).withColumns({"_all": F.sum("_in").over(every), "_before": F.sum("_in").over(every.orderBy("_range")) - F.col("_in")})
-    placed = counted.join(F.broadcast(ranges.drop("_in")) if not group else ranges.drop("_in"), [*group, "_range"])
-    placed = placed.withColumn("_end", F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_range").orderBy(value)))
+    ranges = ranges.drop("_in").withColumnsRenamed({c: f"_of_{c}" for c in (*group, "_range")})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, "_range")])
+    both = counted.join(ranges if group else F.broadcast(ranges), same).drop(*[f"_of_{c}" for c in (*group, "_range")])
+    return both.withColumn("_end", F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_range").orderBy(value)))
+
+
+def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999), group: list[str] | None = None) -> DataFrame:
+    """Exact percentiles: of n sorted values the one at place floor(n * share), counted from 0."""
+    group = group or []
     at = lambda s: F.least(F.floor(F.col("_all") * F.lit(s)), F.col("_all") - 1)
     found = [F.min(F.when(F.col("_end") > at(s), F.col(value))).alias("p" + f"{s * 100:g}".replace(".", "_")) for s in shares]
-    return placed.groupBy(*group).agg(F.max("_all").alias("n"), *found)
+    return placed(rows, value, group).groupBy(*group).agg(F.max("_all").alias("n"), *found)
+
+
+def middles(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """The group's columns and `median`: the mean of the two values in the middle, which may be one. Groups without values have no row."""
+    at = lambda n: F.min(F.when(F.col("_end") > n, F.col(value))).cast("double")
+    both = placed(rows, value, group).groupBy(*group).agg(at(F.floor((F.col("_all") - 1) / 2)).alias("low"), at(F.floor(F.col("_all") / 2)).alias("high"))
+    return both.select(*group, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def disagreement(a: DataFrame, b: DataFrame, on: str = "query_id") -> DataFrame:
@@ -75,7 +89,10 @@ def by_dimension(a: DataFrame, b: DataFrame, on: str, vector: str) -> DataFrame:
 
 def over_runs(runs: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Median, mean and sample deviation over runs."""
-    return runs.groupBy(*group).agg(F.count(value).alias("runs"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    found = runs.groupBy(*group).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    middle = middles(runs, value, group).withColumnsRenamed({c: f"_{c}" for c in group})
+    return found.join(middle, same, "left").select(*group, "runs", "median", "mean", "deviation")
 
 
 def without_warm_up(runs: DataFrame, arm: str = "arm", cycle: str = "cycle", order: str = "started") -> DataFrame:
@@ -89,7 +106,9 @@ def welch(runs: DataFrame, value: str, arm: str, first: str, second: str) -> Dat
     t, df and p are null with fewer than two runs in an arm, or without spread.
     """
     of = lambda f, name: f(F.when(F.col(arm) == name, F.col(value)))
-    one = runs.agg(*[of(f, name).alias(f"{k}{i}") for i, name in ((1, first), (2, second)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("d", F.median))])
+    one = runs.agg(*[of(f, name).alias(f"{k}{i}") for i, name in ((1, first), (2, second)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    middle = middles(runs.filter(F.col(arm).isin(first, second)), value, [arm]).checkpoint()  # two rows
+    one = one.select("*", *[middle.filter(F.col(arm) == name).select("median").scalar().alias(f"d{i}") for i, name in ((1, first), (2, second))])
     s1, s2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     tested = (F.col("n1") > 1) & (F.col("n2") > 1) & (s1 + s2 > 0)
     t, df = (F.col("m2") - F.col("m1")) / F.sqrt(s1 + s2), (s1 + s2) * (s1 + s2) / (s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1))
@@ -103,7 +122,15 @@ def welch(runs: DataFrame, value: str, arm: str, first: str, second: str) -> Dat
 
 def medians(runs: DataFrame, values: list[str], group: list[str] | None = None) -> DataFrame:
     """The aggregate of several runs: their number, and the median of each value."""
-    return runs.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("runs"), *[F.median(v).alias(v) for v in values])
+    group = group or []
+    found = runs.groupBy(*group).agg(F.count(F.lit(1)).alias("runs"))
+    for v in values:
+        middle = middles(runs, v, group).withColumnsRenamed({"median": v, **{c: f"_{c}" for c in group}})
+        if group:
+            found = found.join(middle, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]), "left").drop(*[f"_{c}" for c in group])
+        else:
+            found = found.select("*", middle.scalar().alias(v))
+    return found
 
 
 def comparison(runs: DataFrame, values: list[str], arm: str, first: str, second: str) -> DataFrame:

@@ -1,33 +1,40 @@
 """An index of cells for approximate search, and search in it.
 
 Building: centroids (k-means, or given), each reference to its nearest centroid, per cell its size,
-offset and bounding box. Search: the nearest cells of each query are joined with the references of
-those cells; the nearest by 8-bit vectors are ranked again by 16-bit ones. It can stop early for queries
-whose first cells agree, and widen the search for those whose vote is close or whose boxes allow more.
-All queries go through each step together, so a step is one join, whatever their number.
+offset and bounding box. Search: the references of each query's nearest cells are scanned by 8-bit
+vectors, and the nearest ranked again by 16-bit ones. It can stop early for queries whose first cells agree,
+go on for those whose vote is close or whose boxes allow more, and keep to a budget of rows.
+
+What a scan of some cells gives is a pool: of each query the nearest rows by 8 bits. Pools of different cells
+merge into that of all of them, so a later step scans further cells only. All queries go through
+each step together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from nearvote.operators.knn import BLOCK, CELLS, K, REF_BLOCK, Nearest, decided, matrix_of, ranked
+from nearvote.operators.knn import CELLS, K, QUERY_RUN, REF_BLOCK, Nearest, decided, left_of, matrix_of, passed, ranked, right_of
 
 #: Cells of an index, at most; its centroids and boxes are broadcast: with 64 dimensions under 20 MB.
 MOST_CELLS = 65_536
-#: Probes (a query and a cell) that are broadcast, at most: with 64 dimensions under 40 MB.
-FEW_PROBES = 1 << 16
+#: Queries, and probes (a query and a cell), that are broadcast, at most: with 64 dimensions under 30 MB, and 34 MB.
+FEW_QUERIES, FEW_PROBES = 1 << 15, 1 << 21
+#: References of a cell that are compared at once.
+TOGETHER = 8192
 
 
 @dataclass(frozen=True)
 class Search:
-    """How to search. Percentages are of the cells that are probed."""
+    """How to search. Percentages are of the cells that are probed; with a row budget (0: none) a query takes no further cell once it has scanned so many rows."""
 
     probes: int = 8
     candidates: int = 32
@@ -38,6 +45,7 @@ class Search:
     box_guided: bool = False
     box_repair: bool = False
     borderline_probes: int = 0
+    row_budget: int = 0
 
     def within(self, cells: int) -> Search:
         """The same with values that an index of so many cells can have."""
@@ -80,17 +88,90 @@ REFS = "ref_id long, q16 array<smallint>, q8 array<tinyint>, label int, cell_id
 # ---- building
 
 
-def trained_centroids(refs: DataFrame, cells: int, iterations: int = 15, seed: int = 42, sample: float = 1.0) -> DataFrame:
-    """cell_id and centroid (rounded to 16-bit units) by k-means over all references or a share of them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+#: Rows of the sample from which first centroids are drawn, for each cell and at most.
+SEED_ROWS, MOST_SEED_ROWS = 64, 1 << 16
+
+
+def trained_centroids(refs: DataFrame, cells: int, iterations: int = 15, seed: int = 42) -> DataFrame:
+    """cell_id and centroid by k-means over all references, from first centroids that are drawn far from each other (`seeds`)."""
+    return lloyd(refs, seeds(refs, cells, seed), iterations)
+
 
+def seeds(refs: DataFrame, cells: int, seed: int = 42) -> DataFrame:
+    """First centroids by k-means++: each is drawn with a chance in proportion to its squared distance from those before.
+
+    They are drawn from the references that come first by a hash of their ids, 64 for each cell and 65,536 at
+    most, so they depend on the seed alone.
+    """
     if cells > MOST_CELLS:
         raise ValueError(f"an index has {MOST_CELLS} cells at most")
-    rows = (refs if sample >= 1 else refs.sample(sample, seed)).select(array_to_vector(F.col("q16").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, maxIter=iterations, seed=seed, initMode="k-means||").fit(rows)
-    found = [(i, [int(round(x)) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return refs.sparkSession.createDataFrame(found, "cell_id int, centroid array<int>")
+    order = F.xxhash64("ref_id", F.lit(seed))
+    rows = refs.select("ref_id", F.col("q16").cast("array<int>").alias("v"), order.alias("h")).orderBy("h", "ref_id").limit(max(cells, min(SEED_ROWS * cells, MOST_SEED_ROWS))).toPandas()
+    x = np.stack(rows["v"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    rng, near, chosen = np.random.default_rng(seed), np.full(len(x), np.inf), []
+    for _ in range(min(cells, len(x))):
+        weight = np.cumsum(near) if chosen else np.arange(1.0, len(x) + 1)
+        at = int(np.searchsorted(weight, rng.random() * weight[-1], "right")) if weight[-1] > 0 else int(np.flatnonzero(np.isin(np.arange(len(x)), chosen, invert=True))[0])
+        chosen.append(min(at, len(x) - 1))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return refs.sparkSession.createDataFrame([(i, [int(v) for v in x[k]]) for i, k in enumerate(chosen)], "cell_id int, centroid array<int>")
+
+
+def lloyd(refs: DataFrame, centroids: DataFrame, iterations: int, settled: float = 0.005) -> DataFrame:
+    """cell_id and centroid after so many rounds of k-means, or fewer: it ends when less than a share of the references changes its cell.
+
+    In a round each task adds up, in integers, the members of every cell among its rows, and only these sums are
+    shuffled and added; so rounds agree whatever the partitions. A centroid is the mean, rounded half up. An empty
+    cell c begins anew at the first reference whose id is at least c * 2654435761 mod 2**32 mod their number, or at
+    the first of all. What changes its cell is counted in the following pass, which assigns by both sets of centroids.
+    """
+    ids, points = _points(centroids)
+    spark, dims, before = refs.sparkSession, points.shape[1], None
+    if not len(ids):
+        return centroids
+    for n in range(iterations + 1):
+        sums, moved, total = _sums(refs, points, before)
+        if n == iterations or (before is not None and moved < settled * total):
+            break
+        before, points = points, points.copy()
+        for cell, (size, at) in sums.items():
+            points[cell] = np.floor(at / size + 0.5)
+        for cell in sorted(set(range(len(ids))) - set(sums)):
+            at = int(ids[cell]) * 2654435761 % 2**32 % max(total, 1)
+            found = refs.select("ref_id", F.col("q16").cast("array<int>").alias("v")).orderBy(F.col("ref_id") < at, "ref_id").limit(1).collect()
+            if found:
+                points[cell] = found[0]["v"]
+    return spark.createDataFrame([(int(i), [int(v) for v in p]) for i, p in zip(ids, points, strict=True)], "cell_id int, centroid array<int>") if dims else centroids
+
+
+def _sums(refs: DataFrame, points: np.ndarray, before: np.ndarray | None) -> tuple[dict[int, tuple[int, np.ndarray]], int, int]:
+    """For each cell that has members their number and sum; how many references another set of centroids puts elsewhere; and their number."""
+    held = refs.sparkSession.sparkContext.broadcast((points, before))
+    dims = points.shape[1]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, before = held.value
+        sizes, sums, moved = np.zeros(len(points), np.int64), np.zeros((len(points), dims), np.int64), 0
+        step, right = max(1, CELLS // len(points)), right_of(points).T
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                x = matrix_of(batch.slice(i, step)["q16"], dims)
+                left = left_of(x)
+                near = (left @ right).argmin(axis=1)
+                if before is not None:
+                    moved += int(((left @ right_of(before).T).argmin(axis=1) != near).sum())
+                order = np.argsort(near, kind="stable")
+                cells, first = np.unique(near[order], return_index=True)
+                sizes += np.bincount(near, minlength=len(points))
+                sums[cells] += np.add.reduceat(x[order].astype(np.int64), first, axis=0)
+        at = np.flatnonzero(sizes)
+        ends = pa.array(np.arange(0, (len(at) + 1) * dims, dims), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(sizes[at], moved), pa.int64()), pa.ListArray.from_arrays(pa.concat_arrays([ends, ends[-1:]]), pa.array(sums[at].ravel()))], names=["cell", "size", "sums"])
+
+    parts = refs.select("q16").mapInArrow(work, "cell int, size long, sums array<long>")
+    total = parts.groupBy("cell").agg(F.sum("size").alias("size"), F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(dims)]).alias("sums")).collect()
+    found = {r["cell"]: (r["size"], np.array(r["sums"])) for r in total if r["cell"] >= 0}
+    return found, sum(r["size"] for r in total if r["cell"] < 0), sum(size for size, _ in found.values())
 
 
 def assigned(refs: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -156,40 +237,71 @@ def statistics(index: Index) -> DataFrame:
 # ---- search
 
 
-PROBES = "query_id long, query array<smallint>, query_q8 array<tinyint>, cell_id int, cell_rank int, cell_distance long"
+RANKED = "query_id long, query array<smallint>, query_q8 array<tinyint>, cells array<int>, distances array<long>, scanned array<long>"
 
 
-def probed(index: Index, queries: DataFrame, probes: int, guided: bool = False) -> DataFrame:
-    """query_id, query, query_q8, cell_id, cell_rank (from 1), cell_distance: the nearest cells of each query, by centroid or by box.
+def nearest_cells(index: Index, queries: DataFrame, probes: int, guided: bool = False, budget: int = 0) -> DataFrame:
+    """query_id, query, query_q8; cells: the nearest ones of each query, by centroid or by box; distances; scanned: rows of a cell and those before it.
 
-    By box, cells without members come last. Of equally near cells the lowest comes first.
+    By box, cells without members come last. Of equally near cells the lowest comes first. With a
+    budget the cells end where so many rows have been scanned.
     """
     held, dims = _cells(index), index.dims
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = held.value
-        for batch in batches:
-            for q, row in zip(matrix_of(batch["query"], dims), batch.to_pylist(), strict=True):
-                d = cells.to_boxes(q) if guided else cells.to_centroids(q)
-                order = np.argsort(d, kind="stable")[:probes]
-                yield _probes(row, cells.ids[order], np.arange(1, len(order) + 1), d[order])
+        step = max(1, CELLS // max(1, len(cells.ids)))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                q = matrix_of(batch["query"], dims or -1)
+                d = np.stack([cells.to_boxes(x) for x in q]) if guided else cells.to_all_centroids(q)
+                order = first_of(d, probes)
+                scanned = np.cumsum(cells.sizes[order], axis=1)
+                n = np.minimum(1 + (scanned < budget).sum(axis=1), order.shape[1]) if budget else np.full(len(q), order.shape[1])
+                kept = np.arange(order.shape[1])[None, :] < n[:, None]
+                ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[kept], t)) for x, t in ((cells.ids[order], pa.int32()), (np.take_along_axis(d, order, axis=1), pa.int64()), (scanned, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch["query_id"], batch["query"], batch["query_q8"], *lists], names=["query_id", "query", "query_q8", "cells", "distances", "scanned"])
+
+    return _queried(queries).mapInArrow(work, RANKED)
+
+
+def first_of(d: np.ndarray, k: int) -> np.ndarray:
+    """In each row the places of the k least values in order, of equal ones the lowest place first."""
+    n = d.shape[1]
+    if n <= 4 * k or int(d.max(initial=0)) >= (1 << 62) // n:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    key = d * n + np.arange(n)  # no two alike, so a part of them is enough
+    part = np.argpartition(key, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(part, np.argsort(np.take_along_axis(key, part, axis=1), axis=1), axis=1)
 
-    return _queried(queries).mapInArrow(work, PROBES)
+
+def probed(index: Index, queries: DataFrame, probes: int, guided: bool = False) -> DataFrame:
+    """query_id, query, query_q8, cell_id, cell_rank (from 1), cell_distance: a row for each cell of `nearest_cells`."""
+    rows = nearest_cells(index, queries, probes, guided).select("query_id", "query", "query_q8", F.posexplode(F.arrays_zip("cells", "distances")).alias("at", "cell"))
+    return rows.select("query_id", "query", "query_q8", F.col("cell.cells").alias("cell_id"), (F.col("at") + 1).alias("cell_rank"), F.col("cell.distances").alias("cell_distance"))
 
 
-def reached(index: Index, queries: DataFrame, first_rank: int) -> DataFrame:
-    """As `probed`: for queries with a column `worst`, all cells with members whose box is no farther than that; all, if it is null."""
+def reached(index: Index, rows: DataFrame, first_rank: int) -> DataFrame:
+    """rows: query_id, query, query_q8, cells (already scanned), worst. The same with all other cells with members whose box is no farther than `worst` (all, if it is null), their ranks, and how many rows they have."""
     held, dims = _cells(index), index.dims
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = held.value
         for batch in batches:
-            for q, row in zip(matrix_of(batch["query"], dims), batch.to_pylist(), strict=True):
-                d = cells.to_boxes(q)
-                at = np.flatnonzero((cells.sizes > 0) & (row["worst"] is None or d <= (row["worst"] or 0)))
-                yield _probes(row, cells.ids[at], first_rank + cells.ids[at], d[at])
+            found, more = [], []
+            for q, had, worst in zip(matrix_of(batch["query"], dims or -1), batch["cells"].to_pylist(), batch["worst"].to_pylist(), strict=True):
+                wanted = (cells.sizes > 0) & ~np.isin(cells.ids, had)
+                at = np.flatnonzero(wanted & (cells.to_boxes(q) <= worst) if worst is not None else wanted)
+                found.append(cells.ids[at])
+                more.append(int(cells.sizes[at].sum()))
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (flat, first_rank + flat)]
+            yield pa.RecordBatch.from_arrays([batch["query_id"], batch["query"], batch["query_q8"], *lists, pa.array(more, pa.int64())], names=["query_id", "query", "query_q8", "cells", "ranks", "more"])
 
-    return _queried(queries, "worst").mapInArrow(work, PROBES)
+    return rows.select("query_id", "query", "query_q8", "cells", "worst").mapInArrow(work, "query_id long, query array<smallint>, query_q8 array<tinyint>, cells array<int>, ranks array<int>, more long")
 
 
 def ranks_of(index: Index, wanted: DataFrame, guided: bool = False) -> DataFrame:
@@ -220,6 +332,9 @@ class Cells:
     def to_centroids(self, q: np.ndarray) -> np.ndarray:
         return ((self.centroids - q) ** 2).sum(axis=1).astype(np.int64)
 
+    def to_all_centroids(self, q: np.ndarray) -> np.ndarray:
+        return (left_of(q) @ right_of(self.centroids).T).astype(np.int64) if len(self.ids) else np.zeros((len(q), 0), np.int64)
+
     def to_boxes(self, q: np.ndarray) -> np.ndarray:
         d = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         return np.where(self.sizes > 0, (d * d).sum(axis=1), 2.0**62).astype(np.int64)
@@ -236,93 +351,153 @@ def _queried(queries: DataFrame, *more: str) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q16").cast("array<smallint>").alias("query"), F.col("q8").cast("array<tinyint>").alias("query_q8"), *more)
 
 
-def _probes(row: dict, ids: np.ndarray, ranks: np.ndarray, distances: np.ndarray) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([row["query_id"]] * n, pa.int64()), pa.array([row["query"]] * n, pa.list_(pa.int16())), pa.array([row["query_q8"]] * n, pa.list_(pa.int8())), pa.array(ids, pa.int32()), pa.array(ranks, pa.int32()), pa.array(distances, pa.int64())],
-        names=["query_id", "query", "query_q8", "cell_id", "cell_rank", "cell_distance"],
-    )
+CANDIDATES = "query_id long, part int, ref_id long, label int, cell_rank int, coarse long, distance long"
 
 
-def candidates(index: Index, probes: DataFrame, most: int) -> DataFrame:
-    """The nearest references of the probed cells by 8-bit distance, `most` for each query, with their 16-bit distance.
+def candidates(index: Index, asked: DataFrame, most: int) -> DataFrame:
+    """The nearest references of some cells by 8-bit distance, `most` for each query and part, with their 16-bit distance.
 
-    Few probes go to the tasks that read their cells. More are dealt to a grid in each cell: a block of
-    its probes meets a block of its references in one task, so neither a cell with many references nor
-    one that many queries probe is a task of its own. Only candidates get a 16-bit distance.
+    asked: query_id, part (one row for both), query, query_q8, cells, ranks (arrays). Queries are sent to the
+    tasks that read their cells where they are few. More stream past the references of their cells, which a
+    task holds in blocks: queries are copied for each block, references only for very long streams, so
+    neither a cell with many references nor one that many queries probe is a task of its own.
     """
     spark = index.refs.sparkSession
     refs = index.refs.select("ref_id", "q16", "q8", F.col("label").cast("long").alias("label"), "cell_id")
-    probes = probes.select("query_id", "query", "query_q8", "cell_id", "cell_rank")
-    held = probes.limit(FEW_PROBES + 1).toPandas()
-    if len(held) <= FEW_PROBES:
-        sent = spark.sparkContext.broadcast(Probes.of(held))
-        cells = sorted({int(c) for c in held["cell_id"]})
-        found = refs.filter(F.col("cell_id").isin(cells)).mapInArrow(lambda batches: _scanned(sent.value, batches, most), CANDIDATES)
+    asked = asked.select("query_id", "part", "query", "query_q8", "cells", "ranks")
+    held = asked.limit(FEW_QUERIES + 1).toArrow()
+    if held.num_rows <= FEW_QUERIES and (pc.sum(pc.list_value_length(held["cells"])).as_py() or 0) <= FEW_PROBES:
+        made = Probes.of(held)
+        sent = spark.sparkContext.broadcast(made)
+        found = refs.filter(F.col("cell_id").isin(sorted(made.cells))).mapInArrow(lambda batches: _scanned(sent.value, batches, most), CANDIDATES)
     else:
-        visits = probes.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks"))
-        blocks = F.broadcast(index.cells.select("cell_id", F.ceil(F.col("size") / REF_BLOCK).cast("int").alias("r_blocks")).join(visits, "cell_id").filter("r_blocks > 0"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        q = probes.join(blocks, "cell_id").withColumn("qb", block("query_id", "q_blocks")).withColumn("rb", every("r_blocks")).drop("q_blocks", "r_blocks")
-        r = refs.join(blocks, "cell_id").withColumn("rb", block("ref_id", "r_blocks")).withColumn("qb", every("q_blocks")).drop("q_blocks", "r_blocks")
-        by = ["cell_id", "qb", "rb"]
+        found = _streamed(index, refs, asked).mapInArrow(lambda batches: _passing(batches, most), CANDIDATES)
+    return pooled(found, most)
 
-        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(list(_scanned(Probes.of(a.to_pandas()), b.combine_chunks().to_batches(), most)))
 
-        found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(meet, CANDIDATES)
-    found = found.withColumns({"label": F.col("label").cast("int"), "cell_rank": F.col("cell_rank").cast("int")})
-    return ranked(found, ["coarse", "cell_rank", "ref_id"], most, name="coarse_rank")
-
-
-CANDIDATES = "query_id long, ref_id long, label long, cell_rank long, coarse long, distance long"
+def pooled(rows: DataFrame, most: int, group: tuple[str, ...] = ("query_id", "part")) -> DataFrame:
+    """Of candidates the nearest by 8 bits. A pool of pools is the pool of all their rows."""
+    return ranked(rows, ["coarse", "cell_rank", "ref_id"], most, group, "coarse_rank")
 
 
 @dataclass(frozen=True)
 class Probes:
-    """ids: of the queries, in order. By cell: numbers of the queries that probe it, and the rank that it has for each. Vectors by number."""
+    """ids and parts: of the rows of queries. By cell: numbers of the rows that probe it, and the rank that it has for each. Vectors by number; 8-bit ones ready for `right_of`."""
 
     ids: np.ndarray
+    parts: np.ndarray
     cells: dict[int, tuple[np.ndarray, np.ndarray]]
-    q8: np.ndarray
+    left: np.ndarray
     q16: np.ndarray
 
     @staticmethod
-    def of(pdf: pd.DataFrame) -> Probes:
-        ids, first, at = np.unique(pdf["query_id"].to_numpy(np.int64), return_index=True, return_inverse=True)
-        vectors = [np.stack(pdf[c].to_numpy()[first]).astype(np.float64) if len(ids) else np.zeros((0, 1)) for c in ("query_q8", "query")]
-        by = pd.DataFrame({"cell": pdf["cell_id"].to_numpy(), "q": at, "rank": pdf["cell_rank"].to_numpy(np.int64)})
-        return Probes(ids, {int(c): (g["q"].to_numpy(), g["rank"].to_numpy()) for c, g in by.groupby("cell")}, *vectors)
+    def of(rows: pa.Table) -> Probes:
+        rows = rows.combine_chunks()
+        column = lambda name: rows[name].combine_chunks() if rows.num_rows else rows[name]
+        ids, parts = rows["query_id"].to_numpy(), rows["part"].to_numpy()
+        if rows["query_id"].null_count or len(np.unique(np.stack([ids, parts]), axis=1).T) < len(ids):
+            raise ValueError("each query needs a query_id of its own")
+        if not rows.num_rows:
+            return Probes(ids, parts, {}, np.zeros((0, 3), np.float32), np.zeros((0, 1)))
+        q8, q16 = matrix_of(column("query_q8"), -1, _coarse_type(rows)), matrix_of(column("query"), -1)
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(rows["cells"]).to_numpy())
+        cells, ranks = (pc.list_flatten(rows[c]).to_numpy() for c in ("cells", "ranks"))
+        order = np.argsort(cells, kind="stable")
+        cuts = np.flatnonzero(np.diff(cells[order], prepend=-1, append=-1)) if len(order) else [0]
+        return Probes(ids, parts, {int(cells[order[i]]): (owner[order[i:j]], ranks[order[i:j]].astype(np.int64)) for i, j in pairwise(cuts)}, left_of(q8), q16)
+
+
+def _coarse_type(rows: pa.Table | pa.RecordBatch) -> type:
+    """Squared distances of 8-bit vectors are exact in single precision below 2**24."""
+    dims = len(rows["query_q8"][0]) if rows.num_rows else 0
+    return np.float32 if dims * 255**2 < 1 << 24 else np.float64
+
+
+def _compared(best: Nearest, of: np.ndarray, ranks: np.ndarray, probes: Probes, right: np.ndarray, q16: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+    """Distances by 8 bits for all references of a cell, by 16 bits for those that they let in."""
+    left, step = probes.left[of], max(best.k + 1, CELLS // max(1, len(of)))
+    for i in range(0, len(ids), step):
+        at = slice(i, i + step)
+
+        def more(q: np.ndarray, r: np.ndarray, at: slice = at) -> list[np.ndarray]:
+            return [labels[at][r], ((probes.q16[of[q]] - q16[at][r]) ** 2).sum(axis=1).astype(np.int64)]
+
+        best.add(of, left @ right[at].T, ranks, ids[at], more)
+
+
+def _found(probes: Probes, best: Nearest) -> pa.RecordBatch:
+    at, coarse, rank, ref, label, distance = best.rows()
+    columns = [(probes.ids[at], pa.int64()), (probes.parts[at], pa.int32()), (ref, pa.int64()), (label, pa.int32()), (rank, pa.int32()), (coarse, pa.int64()), (distance, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["query_id", "part", "ref_id", "label", "cell_rank", "coarse", "distance"])
 
 
 def _scanned(probes: Probes, batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The candidates of some probes among some references: distances by 8 bits for all, by 16 bits for those that they let in."""
+    """The candidates of some probes among some references."""
     best = Nearest(len(probes.ids), most, 2)
-    for batch in batches:
-        cells = batch["cell_id"].to_numpy()
-        for cell in np.unique(cells):
-            of, ranks = probes.cells.get(int(cell), (np.zeros(0, np.int64),) * 2)
-            at, step = np.flatnonzero(cells == cell), max(most + 1, CELLS // max(1, len(of)))
-            for i in range(0, len(at) if len(of) else 0, step):
-                part = batch.take(pa.array(at[i : i + step]))
-                r8, r16 = (matrix_of(part[c], m.shape[1]) for c, m in (("q8", probes.q8), ("q16", probes.q16)))
-                x, labels = probes.q8[of], part["label"].to_numpy()
-                coarse = (x * x).sum(axis=1)[:, None] + (r8 * r8).sum(axis=1)[None, :] - 2 * (x @ r8.T)
-                fine = lambda q, r, of=of, r16=r16: ((probes.q16[of[q]] - r16[r]) ** 2).sum(axis=1)
-                best.add(of, coarse, ranks, part["ref_id"].to_numpy(), lambda q, r, fine=fine, labels=labels: [labels[r], fine(q, r).astype(np.int64)])
-    at, coarse, rank, ref, label, distance = best.rows()
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (probes.ids[at], ref, label, rank, coarse, distance)], names=["query_id", "ref_id", "label", "cell_rank", "coarse", "distance"])
+    for cell, batch in by_cell(batches, probes.cells):
+        of, ranks = probes.cells[cell]
+        _compared(best, of, ranks, probes, right_of(matrix_of(batch["q8"], -1, probes.left.dtype)), matrix_of(batch["q16"], -1), batch["ref_id"].to_numpy(), batch["label"].to_numpy())
+    yield _found(probes, best)
 
 
-def reranked(pool: DataFrame) -> DataFrame:
+def by_cell(batches: Iterable[pa.RecordBatch], wanted: dict) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """References of one cell at a time, about TOGETHER of them. The files of an index hold them cell by cell; others are sorted within batches."""
+    cell, held, n = None, [], 0
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        cells = batch["cell_id"].to_numpy()
+        if np.count_nonzero(cells[1:] != cells[:-1]) > 2 * len(np.unique(cells)):
+            batch = batch.take(pa.array(np.argsort(cells, kind="stable")))
+            cells = np.sort(cells)
+        for i, j in pairwise(np.flatnonzero(np.diff(cells, prepend=-1, append=-1)).tolist()):
+            if int(cells[i]) in wanted:
+                if held and (cell != cells[i] or n >= TOGETHER):
+                    yield cell, whole()
+                    held, n = [], 0
+                cell, n = int(cells[i]), n + j - i
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield cell, whole()
+
+
+def _streamed(index: Index, refs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of each cell, block of references and run of queries: first the references (kind 0), then the queries."""
+    probes = asked.select("query_id", "part", "query", "query_q8", F.explode(F.arrays_zip("cells", "ranks")).alias("c")).select("*", F.col("c.cells").alias("cell_id"), F.col("c.ranks").alias("rank")).drop("c")
+    visits = probes.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_RUN).cast("int").alias("runs"))
+    blocks = F.broadcast(index.cells.select("cell_id", F.ceil(F.col("size") / REF_BLOCK).cast("int").alias("blocks")).join(visits, "cell_id").filter("blocks > 0"))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    empty = lambda kind: F.lit(None).cast(kind)
+    r = refs.join(blocks, "cell_id").select("cell_id", place("ref_id", "blocks").alias("block"), every("runs").alias("run"), F.lit(0).alias("kind"), F.col("ref_id").alias("id"), empty("int").alias("part"), empty("int").alias("rank"), "label", "q16", "q8")
+    q = probes.join(blocks, "cell_id").select("cell_id", every("blocks").alias("block"), place("query_id", "runs").alias("run"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "part", "rank", empty("long").alias("label"), F.col("query").alias("q16"), F.col("query_q8").alias("q8"))
+    keys = ["cell_id", "block", "run"]
+    return r.unionByName(q).repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+
+def _passing(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The candidates of the queries that pass blocks of references."""
+
+    def build(held: list[pa.RecordBatch]) -> tuple:
+        (block,) = pa.Table.from_batches(held).combine_chunks().to_batches()
+        dims = len(block["q8"][0])
+        kind = np.float32 if dims * 255**2 < 1 << 24 else np.float64
+        return right_of(matrix_of(block["q8"], dims, kind)), matrix_of(block["q16"], dims), block["id"].to_numpy(), block["label"].to_numpy()
+
+    for (right, q16, ids, labels), some in passed(batches, ("cell_id", "block", "run"), build):
+        probes = Probes(some["id"].to_numpy(), some["part"].to_numpy(), {}, left_of(matrix_of(some["q8"], -1, right.dtype)), matrix_of(some["q16"], -1))
+        best = Nearest(len(probes.ids), most, 2)
+        _compared(best, np.arange(len(probes.ids)), some["rank"].to_numpy().astype(np.int64), probes, right, q16, ids, labels)
+        yield _found(probes, best)
+
+
+def reranked(pool: DataFrame, group: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Of candidates the K nearest by 16-bit distance."""
-    return ranked(pool.select("query_id", "ref_id", "label", "cell_rank", "coarse", "distance"), ["distance", "coarse", "cell_rank", "ref_id"], K)
+    return ranked(pool.select(*group, "ref_id", "label", "cell_rank", "coarse", "distance"), ["distance", "coarse", "cell_rank", "ref_id"], K, group)
 
 
-def summary(neighbours: DataFrame) -> DataFrame:
+def summary(neighbours: DataFrame, group: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """query_id, frauds, worst (distance of the last of K; null where there are fewer)."""
-    return neighbours.groupBy("query_id").agg(F.sum("label").cast("int").alias("frauds"), F.max(F.when(F.col("rank") == K, F.col("distance"))).alias("worst"))
+    return neighbours.groupBy(*group).agg(F.sum("label").cast("int").alias("frauds"), F.max(F.when(F.col("rank") == K, F.col("distance"))).alias("worst"))
 
 
 def checkpoint_of(probes: int, pct: int) -> int:
@@ -331,60 +506,72 @@ def checkpoint_of(probes: int, pct: int) -> int:
     return at if 0 < at < probes else 0
 
 
-def agreed(frauds, majority: bool):
+def agreed(frauds: Column, majority: bool = False) -> Column:
     return (frauds <= 1) | (frauds >= K - 1) if majority else (frauds == 0) | (frauds == K)
 
 
-def stopped_early(index: Index, probes: DataFrame, how: Search, at: int) -> DataFrame:
-    """query_id, frauds of the queries that need no more than their first `at` cells.
+def between(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows of `nearest_cells` as `candidates` asks for them: the cells of ranks low + 1 to high."""
+    cells = F.slice("cells", F.lit(low + 1), F.lit(max(high - low, 0)))
+    return rows.select("query_id", F.lit(0).alias("part"), "query", "query_q8", cells.alias("cells"), F.transform(cells, lambda _, i: i + low + 1).alias("ranks")).filter(F.size("cells") > 0)
+
+
+def grown(index: Index, pool: DataFrame | None, asked: DataFrame, most: int) -> DataFrame:
+    """A pool with what some more cells hold."""
+    more = candidates(index, asked, most)
+    return (more if pool is None else pooled(pool.unionByName(more), most)).checkpoint()
 
-    Their neighbours agree, and the last one is nearer than the next cell's centroid.
-    """
-    first = summary(reranked(candidates(index, probes.filter(F.col("cell_rank") <= at), how.candidates)))
-    following = probes.filter(F.col("cell_rank") == at + 1).select("query_id", F.col("cell_distance").alias("next"))
-    return first.join(following, "query_id").filter(agreed(F.col("frauds"), how.early_majority) & (F.col("worst") < F.col("next"))).select("query_id", "frauds")
+
+def rows_until(n: int) -> Column:
+    """How many rows the first n cells of a row of `nearest_cells` have."""
+    return F.coalesce(F.get("scanned", F.least(F.lit(n), F.size("scanned")) - 1), F.lit(0).cast("long"))
 
 
 def search(index: Index, queries: DataFrame, how: Search = Search()) -> DataFrame:  # noqa: B008
-    """query_id, frauds, fraud_score, approved, mode (0 full, 1 stopped early, 2 borderline, 3 repaired), rows_scanned."""
+    """query_id, frauds, fraud_score, approved, mode (0 full, 1 stopped early, 2 borderline, 3 repaired), rows_scanned, for every query.
+
+    Each cell of a query is scanned once. Queries whose cells are empty have no frauds. Raises if a query_id repeats.
+    """
     how = how.within(index.cells.count())
     reach = max(how.probes, how.borderline_probes)
-    every = probed(index, queries, reach, how.box_guided).checkpoint()
-    probes = every.filter(F.col("cell_rank") <= how.probes)
-    sizes = index.cells.select("cell_id", "size")
-    scanned = lambda p: p.join(F.broadcast(sizes), "cell_id").groupBy("query_id").agg(F.sum("size").alias("rows_scanned"))
-
-    done, rest = [], probes
+    rest = nearest_cells(index, queries, reach, how.box_guided, how.row_budget).checkpoint()
+    pool, at, done = None, 0, []
     for pct in (how.early_stop_pct_first, how.early_stop_pct) if how.early_stop and not how.box_repair else ():
-        if at := checkpoint_of(how.probes, pct):
-            locked = stopped_early(index, rest, how, at)
-            done.append(locked.join(scanned(rest.filter(F.col("cell_rank") <= at)), "query_id").withColumn("mode", F.lit(1)))
-            rest = rest.join(locked.select("query_id"), "query_id", "left_anti")
-
-    full = summary(reranked(candidates(index, rest, how.candidates)))
-    result = full.join(scanned(rest), "query_id").withColumn("mode", F.lit(0))
+        if (stop := checkpoint_of(how.probes, pct)) > at:
+            pool, at = grown(index, pool, between(rest, at, stop), how.candidates), stop
+            # neighbours agree, and the last one is nearer than the next cell's centroid
+            sure = agreed(F.col("frauds"), how.early_majority) & (F.col("worst") < F.get("distances", F.lit(stop)))
+            found = rest.join(summary(reranked(pool)), "query_id").filter(sure).select("query_id", "frauds", F.lit(1).alias("mode"), rows_until(stop).alias("rows_scanned")).checkpoint()
+            done.append(found)
+            rest, pool = (x.join(found.select("query_id"), "query_id", "left_anti") for x in (rest, pool))
+
+    pool = grown(index, pool, between(rest, at, how.probes), how.candidates)
+    voted = lambda rows, pool: rows.join(summary(reranked(pool)), "query_id", "left").withColumn("frauds", F.coalesce("frauds", F.lit(0)))
+    answer = lambda rows, mode, scanned: rows.select("query_id", "frauds", mode.alias("mode"), scanned.alias("rows_scanned"))
+    full = voted(rest, pool)
     if how.box_repair:
-        boxes = reached(index, queries.join(full.select("query_id", "worst"), "query_id"), how.probes + 1)
-        more = boxes.join(rest.select("query_id", "cell_id"), ["query_id", "cell_id"], "left_anti")
-        both = rest.unionByName(more.select(*rest.columns))
-        wider = summary(reranked(candidates(index, both, how.candidates))).join(scanned(both), "query_id")
-        result = wider.join(more.select("query_id").distinct().withColumn("repaired", F.lit(3)), "query_id", "left").withColumn("mode", F.coalesce("repaired", F.lit(0))).drop("repaired")
+        full = full.withColumn("cells", F.slice("cells", 1, how.probes)).checkpoint()
+        boxes = reached(index, full, how.probes + 1).checkpoint()
+        pool = grown(index, pool, boxes.select("*", F.lit(0).alias("part")).filter(F.size("cells") > 0), how.candidates)
+        wider = voted(full.drop("frauds", "worst", "cells").join(boxes.select("query_id", "cells", "more"), "query_id"), pool)
+        done.append(answer(wider, F.when(F.size("cells") > 0, 3).otherwise(0), rows_until(how.probes) + F.col("more")))
     elif how.borderline_probes > how.probes:
-        close = result.filter(F.col("frauds").isin(2, 3)).select("query_id")
-        wide = every.join(close, "query_id", "left_semi")
-        wider = summary(reranked(candidates(index, wide, how.candidates))).join(scanned(wide), "query_id").withColumn("mode", F.lit(2))
-        result = result.join(close, "query_id", "left_anti").unionByName(wider)
-
-    found = result.select("query_id", "frauds", "mode", "rows_scanned")
-    for d in done:
-        found = found.unionByName(d.select("query_id", "frauds", "mode", "rows_scanned"))
-    return decided(found)
+        full = full.checkpoint()
+        close = F.col("frauds").isin(2, 3)
+        done.append(answer(full.filter(~close), F.lit(0), rows_until(how.probes)))
+        wide = full.filter(close).drop("frauds", "worst")
+        pool = grown(index, pool.join(wide.select("query_id"), "query_id", "left_semi"), between(wide, how.probes, reach), how.candidates)
+        done.append(answer(voted(wide, pool), F.lit(2), rows_until(reach)))
+    else:
+        done.append(answer(full, F.lit(0), rows_until(how.probes)))
+    return decided(reduce(DataFrame.unionByName, done))
 
 
 def neighbours(index: Index, queries: DataFrame, how: Search = Search()) -> DataFrame:  # noqa: B008
     """The K nearest in the probed cells: query_id, rank, ref_id, label, distance."""
     how = how.within(index.cells.count())
-    return reranked(candidates(index, probed(index, queries, how.probes, how.box_guided).checkpoint(), how.candidates)).select("query_id", "rank", "ref_id", "label", "distance")
+    rows = nearest_cells(index, queries, how.probes, how.box_guided, how.row_budget).checkpoint()
+    return reranked(candidates(index, between(rows, 0, how.probes), how.candidates)).select("query_id", "rank", "ref_id", "label", "distance")
 
 
 def cell_visits(probes: DataFrame) -> DataFrame:
@@ -392,16 +579,46 @@ def cell_visits(probes: DataFrame) -> DataFrame:
     return probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("visits"))
 
 
-def what_if(index: Index, queries: DataFrame, how: Search, percentages: tuple[int, ...] = (60, 70, 75, 80, 85, 90)) -> DataFrame:
-    """For each percentage: pct, checkpoint, queries that could stop there, of all; and how many of these would be answered otherwise."""
+PERCENTAGES = (60, 70, 75, 80, 85, 90)
+
+
+def what_if_answers(index: Index, queries: DataFrame, how: Search, percentages: tuple[int, ...] = PERCENTAGES) -> DataFrame:
+    """query_id, pct, checkpoint, frauds, unanimous, slack, passed, full: how each query would stop after a percentage of its cells.
+
+    slack (double): how much farther the next cell's centroid is than the last neighbour, infinite where no cell is
+    left, and minus infinity where there are fewer than K neighbours. It passes if its neighbours agree and slack
+    is above zero. full: frauds of the whole search. All percentages come from one scan: cells between two
+    checkpoints make a pool, and the pools up to a checkpoint are merged.
+    """
     how = how.within(index.cells.count())
-    probes = probed(index, queries, how.probes, how.box_guided).checkpoint()
-    full = summary(reranked(candidates(index, probes, how.candidates))).select("query_id", F.col("frauds").alias("full"))
-    rows = None
-    for pct in percentages:
-        at = checkpoint_of(how.probes, pct)
-        stop = stopped_early(index, probes, how, at) if at else full.limit(0).select("query_id", F.col("full").alias("frauds"))
-        one = full.join(stop, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.count("frauds").alias("stopped"), F.count_if((F.col("frauds") < 3) != (F.col("full") < 3)).alias("changed"))
-        one = one.select(F.lit(pct).alias("pct"), F.lit(at).alias("checkpoint"), "queries", "stopped", "changed")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    at = {pct: min(max(how.probes * pct // 100, 1), how.probes) for pct in percentages}
+    stops = sorted({*at.values(), how.probes})
+    rows = nearest_cells(index, queries, how.probes, how.box_guided, how.row_budget).checkpoint()
+    spans = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(low).alias("low"), F.lit(high - low).alias("n")) for k, (low, high) in enumerate(pairwise([0, *stops]))]))
+    asked = rows.withColumn("s", spans).withColumn("held", F.slice("cells", F.col("s.low") + 1, F.col("s.n"))).select("query_id", "s.part", "query", "query_q8", F.col("held").alias("cells"), F.transform("held", lambda _, i: i + F.col("s.low") + 1).alias("ranks"))
+    pools = candidates(index, asked.filter(F.size("cells") > 0), how.candidates)
+    by = ("query_id", "upto")
+    upto = pools.withColumn("upto", F.explode(F.sequence(F.col("part"), F.lit(len(stops) - 1))))
+    votes = summary(reranked(pooled(upto, how.candidates, by), by), by)
+    held = rows.select("query_id", "distances", F.posexplode(F.array(*map(F.lit, stops))).alias("upto", "stop")).join(votes, list(by), "left")
+    held = held.select("query_id", "stop", F.coalesce("frauds", F.lit(0)).alias("frauds"), "worst", F.get("distances", F.col("stop")).alias("next")).checkpoint()
+    asked_for = F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.lit(c).alias("checkpoint")) for p, c in at.items()]))
+    each = held.select(F.col("stop").alias("checkpoint"), *[c for c in held.columns if c != "stop"]).join(F.broadcast(held.sparkSession.range(1).select(asked_for.alias("x")).select("x.*")), "checkpoint")
+    same = F.col("worst").isNotNull() & agreed(F.col("frauds"))
+    slack = F.when(F.col("worst").isNull(), F.lit(float("-inf"))).when(F.col("next").isNull(), F.lit(float("inf"))).otherwise((F.col("next") - F.col("worst")).cast("double"))
+    full = held.filter(F.col("stop") == how.probes).select("query_id", F.col("frauds").alias("full"))
+    return each.join(full, "query_id").select(
+        "query_id", "pct", "checkpoint", "frauds", same.alias("unanimous"), slack.alias("slack"), (same & (slack > 0)).alias("passed"), "full",
+    )
+
+
+def least_passing(answers: DataFrame) -> DataFrame:
+    """query_id, least_pct: the smallest percentage after which a query may stop, -1 if there is none."""
+    return answers.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("passed"), F.col("pct"))), F.lit(-1)).alias("least_pct"))
+
+
+def what_if(index: Index, queries: DataFrame, how: Search, percentages: tuple[int, ...] = PERCENTAGES) -> DataFrame:
+    """For each percentage: pct, checkpoint, queries, how many could stop there, and how many of these would be answered otherwise."""
+    rows = what_if_answers(index, queries, how, percentages)
+    changed = F.count_if(F.col("passed") & ((F.col("frauds") < 3) != (F.col("full") < 3)))
+    return rows.groupBy("pct", "checkpoint").agg(F.count(F.lit(1)).alias("queries"), F.count_if("passed").alias("stopped"), changed.alias("changed"))

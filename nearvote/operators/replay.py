@@ -43,8 +43,10 @@ def grid(probes: Iterable[int] = (8,), candidates: Iterable[int] = (32, 48), bor
 
 
 def ground_truth(refs: DataFrame, queries: DataFrame, cache: str | None = None, tag: str = "plain") -> DataFrame:
-    """query_id, frauds, fraud_score, approved by exact search. With `cache`, a folder, the table is kept there by number of queries and tag, and read if it is there."""
-    spark, path = refs.sparkSession, f"{cache}/truth-{tag}-{queries.count()}"
+    """query_id, frauds, fraud_score, approved by exact search. With `cache`, a folder, the table is kept there by what the queries are and a tag for the references, and read if it is there."""
+    spark = refs.sparkSession
+    of = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("query_id", "q16")), F.lit(0)).alias("h"), F.coalesce(F.sum(F.xxhash64("q16", "query_id").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    path = f"{cache}/truth-{tag}-{of['n']}-{of['h'] & (1 << 64) - 1:x}-{int(of['s']) & (1 << 64) - 1:x}"
     if cache and (held := _read(spark, path)) is not None:
         return held
     found = decided(voted(nearest(refs, queries), queries))

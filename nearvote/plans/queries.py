@@ -8,16 +8,16 @@ from nearvote.functions.features import MCC_RISK, feature_columns, risk, vectori
 from nearvote.functions.quantize import from_q16, q8_vector
 from nearvote.operators import evaluate, forensics, hard_queries, ivf, replay, stress
 from nearvote.operators.balance import rebalanced, split_centroids
-from nearvote.operators.knn import decided, nearest, nearest_two_stage, voted
+from nearvote.operators.knn import decided, nearest, nearest_single, nearest_two_stage, voted
 from nearvote.operators.scorers import scorer
 from nearvote.plans.tables import (
-    ASSIGNED, CANDIDATES, CELLS, DECIDED, DIMS, EXACT, NLIST, PROBES, PROBES_SQL, TRAINED_PROBES, TWO_STAGE, V,
-    box, centroids, index, queries, references, searched, table, transactions,
+    ASSIGNED, CANDIDATES, CELLS, DECIDED, DIMS, EXACT, FRAUD_LABEL, NLIST, PROBES, PROBES_SQL, TRAINED_PROBES, TWO_STAGE, V,
+    box, centroids, distance, index, queries, references, searched, table, transactions,
 )
-from nearvote.sources.readers import read_requests
+from nearvote.sources.readers import read_raw_workload, read_requests
 from nearvote.sources.shared import new_path
 from nearvote.sources.writers import responses
-from nearvote.streaming.scoring import as_queries, request_stream, score_stream
+from nearvote.streaming.scoring import answered, as_queries, request_stream, score_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,6 +83,17 @@ def knn_two_stage_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id", "label", "coarse", "distance")
 
 
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS ref_id, (b.label >= {FRAUD_LABEL})::INTEGER AS label,
+  list_reduce(list_transform(range(1, {DIMS + 1}), lambda i: (b.embedding[i] - a.embedding[i]) * (b.embedding[i] - a.embedding[i])), lambda x, y: x + y) AS distance
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank, ref_id, label, distance::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM p) WHERE rank <= 5""")
+def knn_exact_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the vectors themselves, in single precision."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("v"), (F.col("label") >= FRAUD_LABEL).cast("int").alias("label"))
+    found = nearest_single(rows, rows.filter("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "v"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id", "label", F.col("distance").cast("double").alias("distance"))
+
+
 # ---- index
 
 
@@ -194,13 +205,41 @@ def ivf_bbox_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search(index(spark, sf_dir), queries(spark, sf_dir), ivf.Search(probes=2, candidates=CANDIDATES, box_repair=True))
 
 
-@query(f"""WITH {PROBES_SQL}, {FULL}, {searched('g', f'SELECT * FROM every WHERE cell_rank <= {AT}')}, {searched('h', f'SELECT * FROM every WHERE cell_rank <= {ivf.checkpoint_of(PROBES, 80)}')},
-s AS (SELECT 50 AS pct, {AT} AS checkpoint, g_s.* FROM g_s UNION ALL SELECT 80, {ivf.checkpoint_of(PROBES, 80)}, h_s.* FROM h_s),
-ok AS (SELECT s.pct, s.query_id, s.frauds FROM s JOIN every e ON e.query_id = s.query_id AND e.cell_rank = s.checkpoint + 1 WHERE s.frauds IN (0, 5) AND s.worst < e.cell_distance)
-SELECT x.pct, x.checkpoint, count(*) AS queries, count(ok.frauds) AS stopped, count(*) FILTER ((ok.frauds < 3) <> (f_s.frauds < 3)) AS changed
-FROM (VALUES (50, {AT}), (80, {ivf.checkpoint_of(PROBES, 80)})) x(pct, checkpoint) CROSS JOIN f_s LEFT JOIN ok ON ok.pct = x.pct AND ok.query_id = f_s.query_id GROUP BY x.pct, x.checkpoint""")
+BUDGET = 120
+
+
+@query(f"""WITH {PROBES_SQL}, u AS (SELECT e.*, sum(size) OVER (PARTITION BY query_id ORDER BY cell_rank) - size AS before FROM every e JOIN cells USING (cell_id)),
+{searched('f', f'SELECT * FROM u WHERE cell_rank <= {PROBES} AND before < {BUDGET}')} SELECT {DECIDED} FROM (SELECT *, 0 AS mode FROM f_s)""")
+def ivf_row_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No further cell once a query has scanned so many rows."""
+    return ivf.search(index(spark, sf_dir), queries(spark, sf_dir), ivf.Search(probes=PROBES, candidates=CANDIDATES, early_stop=False, row_budget=BUDGET))
+
+
+TENTHS = tuple(range(10, 101, 10))
+STOPS = {pct: max(PROBES * pct // 100, 1) for pct in TENTHS}
+WHAT_IF = f"""{PROBES_SQL}, {FULL}, {", ".join(searched(f"w{pct}", f"SELECT * FROM every WHERE cell_rank <= {at}") for pct, at in STOPS.items())},
+s AS ({" UNION ALL ".join(f"SELECT {pct} AS pct, {at} AS checkpoint, * FROM w{pct}_s" for pct, at in STOPS.items())}),
+answers AS (SELECT s.query_id, s.pct, s.checkpoint, s.frauds, s.worst IS NOT NULL AND s.frauds IN (0, 5) AS unanimous,
+  CASE WHEN s.worst IS NULL THEN '-infinity'::DOUBLE WHEN cell_distance IS NULL THEN 'infinity'::DOUBLE ELSE (cell_distance - s.worst)::DOUBLE END AS slack,
+  s.worst IS NOT NULL AND s.frauds IN (0, 5) AND (cell_distance IS NULL OR s.worst < cell_distance) AS passed, f_s.frauds AS whole
+  FROM s JOIN f_s USING (query_id) LEFT JOIN every e ON e.query_id = s.query_id AND e.cell_rank = s.checkpoint + 1 AND s.checkpoint < {PROBES})"""
+
+
+@query(f"""WITH {WHAT_IF} SELECT pct, checkpoint, count(*) AS queries, count(*) FILTER (passed) AS stopped, count(*) FILTER (passed AND (frauds < 3) <> (whole < 3)) AS changed FROM answers GROUP BY pct, checkpoint""")
 def ivf_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.what_if(index(spark, sf_dir), queries(spark, sf_dir), PLAIN, (50, 80))
+    """Stopping after each tenth of the cells, from one scan."""
+    return ivf.what_if(index(spark, sf_dir), queries(spark, sf_dir), PLAIN, TENTHS)
+
+
+@query(f"WITH {WHAT_IF} SELECT query_id, pct, checkpoint, frauds, unanimous, slack, passed, whole AS frauds_of_all FROM answers")
+def ivf_what_if_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.what_if_answers(index(spark, sf_dir), queries(spark, sf_dir), PLAIN, TENTHS).withColumnRenamed("full", "frauds_of_all")
+
+
+@query(f"WITH {WHAT_IF} SELECT query_id, coalesce(min(pct) FILTER (passed), -1) AS least_pct FROM answers GROUP BY query_id")
+def ivf_least_passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest share of the cells after which a query may stop."""
+    return ivf.least_passing(ivf.what_if_answers(index(spark, sf_dir), queries(spark, sf_dir), PLAIN, TENTHS))
 
 
 # ---- features
@@ -443,47 +482,126 @@ REQUESTS_SQL = FEATURE_SQL + """, vecs AS (SELECT id, list(q ORDER BY dim) AS q1
 rp AS (SELECT a.id, (b.id % 5 = 0)::INTEGER AS label, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(range(1, 15), lambda i: (a.q16[i] - b.q16[i]) * (a.q16[i] - b.q16[i]))), b.id) AS rank
   FROM vecs a, vecs b WHERE a.id % 100 = 0)
 SELECT id::VARCHAR AS id, frauds < 3 AS approved, '{"approved":' || (frauds < 3)::VARCHAR || ',"fraud_score":' || ['0', '0.2', '0.4', '0.6', '0.8', '1'][frauds + 1] || '}' AS body
-FROM (SELECT id, sum(label)::INTEGER AS frauds FROM rp WHERE rank <= 5 GROUP BY id)"""
+FROM (SELECT id, sum(label)::INTEGER AS frauds FROM rp WHERE rank <= 5 GROUP BY id), range(2)"""
 
 
 def _labelled_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """References of 14 dimensions from all orders, and a folder with every hundredth order as a JSON request."""
+    """References of 14 dimensions from all orders, and a folder of requests.
+
+    Every hundredth order is there twice as a JSON request, once cut off in the middle, and once without its time.
+    """
     orders, folder = transactions(spark, sf_dir), new_path(spark, "requests")
     rows = vectorized(orders).select(F.col("id").alias("ref_id"), "q16", (F.col("id") % 5 == 0).cast("int").alias("label"))
-    orders.filter("id % 100 = 0").select(F.to_json(F.struct(*orders.columns)).alias("value")).write.text(f"{folder}/in")
+    sent = orders.filter("id % 100 = 0")
+    whole = sent.select(F.to_json(F.struct(*sent.columns)).alias("value"))
+    timeless = sent.withColumn("transaction", F.col("transaction").dropFields("requested_at"))
+    bad = whole.select(F.substring("value", 1, 60).alias("value")).unionByName(timeless.select(F.to_json(F.struct(*timeless.columns)).alias("value")))
+    whole.unionByName(whole).unionByName(bad).write.text(f"{folder}/in")
     return rows.withColumn("q8", q8_vector(F.transform("q16", from_q16))), folder
 
 
+def _bodies(rows: DataFrame) -> DataFrame:
+    return responses(rows.withColumn("key", F.struct("id", "approved")), "key").select("key.*", "body")
+
+
 @query(REQUESTS_SQL)
 def request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From JSON requests to JSON responses: parse, vectorize, search, decide, answer."""
+    """From JSON requests to JSON responses: parse, vectorize, search, decide, answer; each request comes twice."""
     refs, folder = _labelled_orders(spark, sf_dir)
-    asked = as_queries(read_requests(spark, f"{folder}/in"))
-    found = decided(voted(nearest(refs, asked), asked)).join(asked.select("query_id", "id"), "query_id")
-    return responses(found.withColumn("key", F.struct("id", "approved")), "key").select("key.*", "body")
+    asked = as_queries(read_requests(spark, f"{folder}/in")).filter("reason is null")
+    return _bodies(answered(asked, lambda q: decided(voted(nearest(refs, q), q))))
 
 
 @query(REQUESTS_SQL)
 def request_stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream of files of requests."""
+    return _streamed(spark, sf_dir)[0]
+
+
+@query("""SELECT reason, CASE WHEN reason = 'incomplete' THEN o_orderkey::VARCHAR ELSE '' END AS id, count(*) AS requests
+FROM orders, (VALUES ('malformed'), ('incomplete')) r(reason) WHERE o_orderkey % 100 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY ALL""")
+def request_stream_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream rejects, and why."""
+    return _streamed(spark, sf_dir)[1].groupBy("reason", F.when(F.col("reason") == "incomplete", F.col("id")).otherwise("").alias("id")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     refs, folder = _labelled_orders(spark, sf_dir)
-    answered = lambda df, n: responses(df.withColumn("key", F.struct("id", "approved")), "key").select("key.*", "body").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    score_stream(as_queries(request_stream(spark, f"{folder}/in")), ivf.Index(refs, refs.limit(0), 14), answered, f"{folder}/checkpoint", "brute").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    to = lambda name, made: lambda df, n: made(df).write.mode("overwrite").parquet(f"{folder}/{name}/batch={n}")
+    asked = as_queries(request_stream(spark, f"{folder}/in"))
+    score_stream(asked, ivf.Index(refs, refs.limit(0), 14), to("out", _bodies), f"{folder}/checkpoint", "brute", rejected=to("rejected", lambda df: df)).awaitTermination()
+    return tuple(spark.read.parquet(f"{folder}/{name}").drop("batch") for name in ("out", "rejected"))
 
 
-# ---- what SQL can't express
+@query("""WITH l AS (SELECT l_orderkey, count(*)::INTEGER AS lines, max(l_suppkey) AS supplier FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey::VARCHAR AS id, lines AS installments, lines AS raw_installments, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS raw_time, 'order ' || o_orderkey AS raw_note, o_orderkey % 2 = 0 AS expected_approved
+FROM orders JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)""")
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a workload as they were sent beside their parsed columns; the note is a field that the schema lacks."""
+    orders, folder = transactions(spark, sf_dir).filter("id % 10 = 0"), new_path(spark, "workload")
+    request = F.struct(F.col("id").cast("string").alias("id"), "transaction", "customer", "merchant", "terminal", "last_transaction", F.concat(F.lit("order "), "id").alias("note"))
+    entry = F.struct(request.alias("request"), (F.col("id") % 2 == 0).alias("expected_approved"), F.lit(0.2).alias("expected_fraud_score"))
+    orders.select(F.to_json(F.struct(F.array(entry).alias("entries"))).alias("value")).write.text(folder)
+    rows = read_raw_workload(spark, folder, multi_line=False)
+    raw = lambda path, kind: F.variant_get("raw", path, kind)
+    return rows.select("id", F.col("transaction.installments").alias("installments"), raw("$.transaction.installments", "int").alias("raw_installments"), raw("$.transaction.requested_at", "string").alias("raw_time"), raw("$.note", "string").alias("raw_note"), "expected_approved")
 
 
-@query()
+# ---- k-means and balance
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """CTEs c0 to c<rounds>: centroids (cell_id, centroid) after so many rounds from the first references."""
+    found = [f"c0 AS (SELECT vec_id AS cell_id, q16 AS centroid FROM v WHERE vec_id < {NLIST})"]
+    for n in range(1, rounds + 1):
+        found.append(f"""m{n} AS (SELECT cell_id, i, floor(avg(q16[i]) + 0.5)::BIGINT AS value FROM (SELECT v.q16, cell_id, row_number() OVER (PARTITION BY vec_id ORDER BY {distance('v.q16', 'centroid')}, cell_id) AS r FROM v, c{n - 1}),
+  (SELECT unnest(range(1, {DIMS + 1})) AS i) WHERE r = 1 GROUP BY cell_id, i),
+e{n} AS (SELECT cell_id, arg_min(v.q16, {{'before': vec_id < (cell_id * 2654435761 % 4294967296) % (SELECT count(*) FROM v), 'id': vec_id}}) AS fresh FROM c{n - 1}, v GROUP BY cell_id),
+c{n} AS (SELECT cell_id, coalesce(mean, fresh) AS centroid FROM e{n} LEFT JOIN (SELECT cell_id, list(value ORDER BY i) AS mean FROM m{n} GROUP BY cell_id) USING (cell_id))""")
+    return ", ".join(found)
+
+
+ROUNDS = 3
+
+
+@query(f"WITH {V}, {_lloyd_sql(ROUNDS)} SELECT cell_id::INTEGER AS cell_id, (i - 1)::INTEGER AS dim, centroid[i]::INTEGER AS value FROM c{ROUNDS}, (SELECT unnest(range(1, {DIMS + 1})) AS i)")
+def ivf_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids after three rounds of k-means from the first references."""
+    found = ivf.lloyd(references(spark, sf_dir), centroids(spark, sf_dir), ROUNDS, settled=0)
+    return found.select("cell_id", F.posexplode("centroid").alias("dim", "value"))
+
+
+TRAINED_SQL = PROBES_SQL.replace(f"cc AS (SELECT vec_id AS cell_id, q16 AS centroid FROM v WHERE vec_id < {NLIST})", f"{_lloyd_sql(ROUNDS)}, cc AS (SELECT * FROM c{ROUNDS})")
+TRAINED_AT = ivf.checkpoint_of(TRAINED_PROBES, 75)
+
+
+@query(f"""WITH {TRAINED_SQL}, {searched('f', f'SELECT * FROM every WHERE cell_rank <= {TRAINED_PROBES}')}, {searched('g', f'SELECT * FROM every WHERE cell_rank <= {TRAINED_AT}')},
+early AS (SELECT g_s.*, 1 AS mode FROM g_s JOIN every USING (query_id) WHERE cell_rank = {TRAINED_AT + 1} AND frauds IN (0, 5) AND worst < cell_distance), {TRUE}
+SELECT d.*, t.frauds AS exact FROM (SELECT {DECIDED} FROM (SELECT * FROM early UNION ALL SELECT *, 0 AS mode FROM f_s WHERE query_id NOT IN (SELECT query_id FROM early))) d JOIN t USING (query_id)""")
 def ivf_kmeans_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in an index built by k-means; decisions beside the exact ones."""
     refs = references(spark, sf_dir)
-    trained = ivf.build(refs, ivf.trained_centroids(refs, NLIST)).stored(new_path(spark, "index"))
+    trained = ivf.build(refs, ivf.lloyd(refs, centroids(spark, sf_dir), ROUNDS, settled=0)).stored(new_path(spark, "index"))
     got = ivf.search(trained, queries(spark, sf_dir), ivf.Search(probes=TRAINED_PROBES, candidates=CANDIDATES))
     return got.join(decision(spark, sf_dir).select("query_id", F.col("frauds").alias("exact")), "query_id")
 
 
+@query(f"""WITH {ASSIGNED}, z AS (SELECT cell_id, count(*) AS size FROM a GROUP BY cell_id), cap AS (SELECT ceil((SELECT count(*) FROM a) / {NLIST}::DOUBLE * 1.1)::BIGINT AS cap),
+room AS (SELECT cc.cell_id AS to_cell, centroid, cap - coalesce(size, 0) AS room FROM cc LEFT JOIN z USING (cell_id), cap WHERE cap > coalesce(size, 0)),
+home AS (SELECT ref_id, cell_id, q16, row_number() OVER (PARTITION BY cell_id ORDER BY {distance('q16', 'centroid')}, ref_id) AS place FROM a JOIN cc USING (cell_id)),
+asks AS (SELECT ref_id, to_cell, room, {distance('q16', 'centroid')} AS d FROM home, cap, room WHERE place > cap),
+first AS (SELECT * FROM asks QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY d, to_cell) = 1),
+taken AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY to_cell ORDER BY d, ref_id) <= room)
+SELECT ref_id, coalesce(to_cell, cell_id)::INTEGER AS cell_id FROM a LEFT JOIN taken USING (ref_id)""")
+def ivf_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells after full ones have given members away once."""
+    refs, first = references(spark, sf_dir), centroids(spark, sf_dir)
+    return rebalanced(ivf.assigned(refs, first), first, 0.1, passes=1).select("ref_id", "cell_id")
+
+
+# ---- what SQL can't express
+
+
 @query()
 def ivf_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of cells after heavy ones are split and full ones have given members away."""

@@ -14,8 +14,8 @@ DIMS, NLIST, PROBES, TRAINED_PROBES, CANDIDATES = 64, 16, 12, 10, 32
 FRAUD_LABEL = 7
 
 
-#: Indexes that this application has stored, by folder of the tables.
-_STORED: dict[tuple[str, str], ivf.Index] = {}
+#: Indexes that this application has stored, by folder, time and size of the table.
+_STORED: dict[tuple[str, str, int, int], ivf.Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & (F.size("embedding") == DIMS))
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & (F.size("embedding") == DIMS) & ~F.exists("embedding", lambda x: x.isNull()))
     return rows.select(F.col("vec_id").alias("ref_id"), q16_vector(F.col("embedding")).alias("q16"), q8_vector(F.col("embedding")).alias("q8"), (F.col("label") >= FRAUD_LABEL).cast("int").alias("label"))
 
 
@@ -41,7 +41,9 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> ivf.Index:
     """Built and stored by cell once for an application and folder; all queries read what is stored."""
-    at = spark.sparkContext.applicationId, sf_dir
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = spark.sparkContext.applicationId, sf_dir, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()
     if at not in _STORED:
         _STORED[at] = ivf.build(references(spark, sf_dir), centroids(spark, sf_dir)).stored(new_path(spark, "index"))
     return _STORED[at]

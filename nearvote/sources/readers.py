@@ -40,6 +40,18 @@ def read_workload(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows if limit is None else rows.limit(limit)
 
 
+def read_raw_workload(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """As `read_workload`, with each request as it was sent beside the parsed columns: `raw`, a VARIANT, also of fields that the schema lacks."""
+    whole = spark.read.option("singleVariantColumn", "v").option("multiLine", multi_line).json(path)
+    each = whole.lateralJoin(spark.tvf.variant_explode(F.variant_get(F.col("v").outer(), "$.entries", "variant"))).select(F.col("value").alias("e"))
+    parsed = F.from_json(F.to_json(F.variant_get("e", "$.request", "variant")), schemas.REQUEST)
+    rows = each.select(
+        parsed.alias("request"), F.variant_get("e", "$.expected_approved", "boolean").alias("expected_approved"),
+        F.variant_get("e", "$.expected_fraud_score", "float").alias("expected_fraud_score"), F.variant_get("e", "$.request", "variant").alias("raw"),
+    )
+    return rows.select("request.*", "expected_approved", "expected_fraud_score", "raw")
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Files of comma-separated values without a header: features of a query, rows scanned, mode."""
     return spark.read.schema(schemas.TELEMETRY).csv(path)

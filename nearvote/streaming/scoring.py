@@ -1,4 +1,9 @@
-"""Scoring of streams: requests are stateless, so each micro-batch goes through the batch functions."""
+"""Scoring of requests: in batches and as streams, each micro-batch through the batch functions.
+
+Rows keep what identifies them; the search sees each distinct vector once, and answers are joined back by
+vector. So a request that is sent again, or without an id, gets the answer that it gets alone. What can't be
+searched goes to a second output with its reason.
+"""
 
 from __future__ import annotations
 
@@ -13,31 +18,48 @@ from nearvote.functions.quantize import q8_vector
 from nearvote.operators.ivf import Index, Search
 from nearvote.operators.scorers import scorer
 
+Sink = Callable[[DataFrame, int], None]
+
 
 def request_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of requests from files of JSON lines; each row scored by its `id`."""
-    return spark.readStream.schema(schemas.REQUEST).json(path)
+    """A stream of requests from files of JSON lines; a line that can't be read is in _corrupt."""
+    stream = spark.readStream.schema(f"{schemas.REQUEST}, _corrupt string").option("mode", "PERMISSIVE")
+    return stream.option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
 def as_queries(transactions: DataFrame) -> DataFrame:
-    """query_id (a hash of the id), id, q16, q8."""
+    """id, q16, q8, and reason why a request can't be answered: malformed (its line is in `line`), incomplete (without a time that can be read), or null."""
     rows = vectorized(transactions)
-    return rows.select(F.xxhash64("id").alias("query_id"), "id", "q16", q8_vector(F.transform("q16", lambda x: x / F.lit(10_000.0))).alias("q8"))
+    line = F.col("_corrupt") if "_corrupt" in rows.columns else F.lit(None).cast("string")
+    reason = F.when(line.isNotNull(), "malformed").when(F.exists("q16", lambda x: x.isNull()), "incomplete")
+    return rows.select("id", "q16", q8_vector(F.transform("q16", lambda x: x / F.lit(10_000.0))).alias("q8"), reason.alias("reason"), line.alias("line"))
+
+
+def answered(rows: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (q16, q8 and any others) with what `score` says of their vectors: one row out for each row in, whatever their ids."""
+    asked = rows.select("q16", "q8").distinct().withColumn("query_id", F.monotonically_increasing_id()).checkpoint()
+    found = score(asked).join(asked, "query_id").drop("query_id")
+    return rows.join(found, ["q16", "q8"])
 
 
-def score_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, name: str = "ivf", how: Search = Search(), available_now: bool = True) -> StreamingQuery:  # noqa: B008
-    """Score a stream of queries (query_id, q16, q8, and id if there is one) in micro-batches; `sink` gets the decisions and the number of the batch.
+def score_stream(
+    queries: DataFrame, index: Index, sink: Sink, checkpoint: str, name: str = "ivf", how: Search = Search(), available_now: bool = True, rejected: Sink | None = None,  # noqa: B008
+) -> StreamingQuery:
+    """Score a stream of queries (q16, q8, and others) in micro-batches.
 
-    Ranking over rows isn't possible on a stream itself, so it is done in foreachBatch. With a sink that
-    overwrites by batch number each query is answered once, also after a restart.
+    `sink` gets the rows with their decisions and the number of the batch, `rejected` those with a `reason`.
+    Ranking over rows isn't possible on a stream itself, so it is done in foreachBatch. With sinks that
+    overwrite by batch number each row is answered, or rejected, once, also after a restart.
     """
     score = scorer(name)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            found = score(index, batch.drop("id"), how)
-            sink(found.join(batch.select("query_id", "id"), "query_id") if "id" in batch.columns else found, number)
+            good = batch.filter("reason is null").drop("reason", "line") if "reason" in batch.columns else batch
+            sink(answered(good, lambda asked: score(index, asked, how)), number)
+            if rejected is not None and "reason" in batch.columns:
+                rejected(batch.filter("reason is not null").select("id", "reason", "line"), number)
         finally:
             batch.unpersist()
 

@@ -5,17 +5,17 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from nearvote.functions.features import vectorized
 from nearvote.functions.quantize import q8, q16
-from nearvote.operators import evaluate, hard_queries, ivf, replay, stress
+from nearvote.operators import balance, evaluate, hard_queries, ivf, replay, stress
 from nearvote.operators.balance import heavy_cells, rebalanced, split_centroids
-from nearvote.operators.knn import decided, nearest, voted
+from nearvote.operators.knn import decided, nearest, nearest_single, shape, streamed, voted
 from nearvote.operators.scorers import scorer
-from nearvote.sources.readers import read_limits, read_references, read_requests, read_runs, read_telemetry, read_workload
+from nearvote.sources.readers import read_limits, read_raw_workload, read_references, read_requests, read_runs, read_telemetry, read_workload
 from nearvote.sources.writers import responses, write_report, write_responses, write_runs
-from nearvote.streaming.scoring import as_queries
+from nearvote.streaming.scoring import answered, as_queries, request_stream, score_stream
 
 DIMS = 14
 
@@ -104,24 +104,25 @@ def test_search_of_all_cells_is_exact(spark):
     assert {r["query_id"]: r["frauds"] for r in repaired} == exact
 
 
-@pytest.mark.parametrize("few", [1 << 16, 0], ids=["sent", "grid"])
+@pytest.mark.parametrize("few", [1 << 16, 0], ids=["sent", "streamed"])
 def test_candidates_are_those_of_brute_force(spark, monkeypatch, few):
-    """Probes sent to the tasks, and dealt to a grid with several blocks in a cell."""
-    monkeypatch.setattr(ivf, "FEW_PROBES", few)
-    monkeypatch.setattr(ivf, "BLOCK", 3)
+    """Queries sent to the tasks, and streaming past several blocks of a cell, for which references are copied too."""
+    monkeypatch.setattr(ivf, "FEW_QUERIES", few)
+    monkeypatch.setattr(ivf, "QUERY_RUN", 7)
     monkeypatch.setattr(ivf, "REF_BLOCK", 20)
+    asked = lambda q: ivf.between(ivf.nearest_cells(built, q, 3), 0, 3)
     x, df = refs(spark)
     eight = np.rint(x * 127 / 10_000).astype(int)
     built = ivf.build(df, df.filter("ref_id < 6").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
     cell = ((x[:, None, :] - x[None, :6, :]) ** 2).sum(axis=2).argmin(axis=1)
     got = {}
-    for r in ivf.candidates(built, ivf.probed(built, as_query(df), 3), 8).collect():
+    for r in ivf.candidates(built, asked(as_query(df)), 8).collect():
         got.setdefault(r["query_id"], []).append((r["coarse_rank"], r["ref_id"], r["coarse"], r["distance"], r["label"]))
     for q in range(0, 400, 20):
         order = np.argsort(((x[:6] - x[q]) ** 2).sum(axis=1), kind="stable")[:3].tolist()
         rows = sorted((int(((eight[i] - eight[q]) ** 2).sum()), order.index(cell[i]), i) for i in range(400) if cell[i] in order)[:8]
         assert sorted(got[q]) == [(k, i, c, int(((x[i] - x[q]) ** 2).sum()), int(i % 3 == 0)) for k, (c, _, i) in enumerate(rows, 1)]
-    assert ivf.candidates(built, ivf.probed(built, as_query(df).limit(0), 3), 8).count() == 0
+    assert ivf.candidates(built, asked(as_query(df).limit(0)), 8).count() == 0
 
 
 def test_centroids_follow_their_members(spark):
@@ -293,4 +294,166 @@ def test_readers(spark, tmp_path):
 
 def test_queries_of_requests(spark, tmp_path):
     (q,) = as_queries(read_requests(spark, written(tmp_path, [request()])).cache()).collect()
-    assert q["id"] == "a" and len(q["q16"]) == len(q["q8"]) == DIMS
+    assert q["id"] == "a" and len(q["q16"]) == len(q["q8"]) == DIMS and q["reason"] is None
+
+
+def test_each_request_gets_the_answer_that_it_gets_alone(spark, tmp_path):
+    """Repeated, without an id, under the id of another, malformed and incomplete, in a batch and in a stream."""
+    x, df = refs(spark)
+    other = request(id=None, transaction={"amount": 9000.0, "installments": 12, "requested_at": "2026-03-11T04:45:53Z"}, merchant={"id": "m9", "mcc": "7801", "avg_amount": 9000.0})
+    timeless = request(transaction={"amount": 1.0, "installments": 1})
+    unread = request(transaction={"amount": 1.0, "installments": 1, "requested_at": "soon"})
+    before = request(last_transaction={"timestamp": "yesterday", "km_from_current": 1.0})
+    lines = [json.dumps(r) for r in (request(), request(), other, other | {"id": "a"}, timeless, unread, before)] + ['{"id": "cut', "none", "null"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "rows.json").write_text("\n".join(lines))
+    rows = as_queries(read_requests(spark, str(tmp_path / "in"))).cache()
+    score = lambda q: decided(voted(nearest(df, q), q))
+    answers = answered(rows.filter("reason is null"), score).collect()
+    want = {}
+    for r in (request(), other):
+        (q,) = as_queries(read_requests(spark, written(tmp_path, [r]))).withColumn("query_id", F.lit(1)).select("query_id", "q16", "q8").collect()
+        d = ((x - np.array(q["q16"])) ** 2).sum(axis=1)
+        want[tuple(q["q16"])] = sum(int(i % 3 == 0) for i in np.lexsort((np.arange(400), d))[:5])
+    assert len(want) == 2 and sorted(str(a["id"]) for a in answers) == ["None", "a", "a", "a"]
+    assert all(a["frauds"] == want[tuple(a["q16"])] for a in answers)
+    reasons = sorted(r["reason"] for r in rows.filter("reason is not null").collect())
+    assert reasons == ["incomplete"] * 3 + ["malformed"] * 3
+
+    out, bad = [], []
+    index = ivf.Index(df, df.limit(0), DIMS)
+    stream = as_queries(request_stream(spark, str(tmp_path / "in")))
+    score_stream(stream, index, lambda rows, _: out.extend(rows.collect()), str(tmp_path / "checkpoint"), "brute", rejected=lambda rows, _: bad.extend(rows.collect())).awaitTermination()
+    assert sorted((str(r["id"]), r["frauds"]) for r in out) == sorted((str(r["id"]), r["frauds"]) for r in answers)
+    assert sorted(r["reason"] for r in bad) == reasons and any(r["line"] == "none" for r in bad)
+
+
+def test_a_query_id_must_not_repeat(spark):
+    _, df = refs(spark)
+    twice = as_query(df).unionByName(as_query(df))
+    built = ivf.build(df, df.filter("ref_id < 4").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
+    for found in (lambda: nearest(df, twice), lambda: nearest(df, twice, block=3), lambda: ivf.search(built, twice)):
+        with pytest.raises(ValueError, match="query_id"):
+            found().collect()
+
+
+def test_a_query_of_empty_cells_has_no_frauds(spark):
+    _, df = refs(spark)
+    two = spark.createDataFrame([(0, [5000] * DIMS), (1, [30_000] * DIMS)], "cell_id int, centroid array<int>")
+    built = ivf.build(df, two)
+    asked = spark.createDataFrame([(1, [30_000] * DIMS, [127] * DIMS), (2, [5000] * DIMS, [64] * DIMS)], "query_id long, q16 array<smallint>, q8 array<tinyint>")
+    for how in (ivf.Search(probes=1), ivf.Search(probes=1, early_stop=False, borderline_probes=2)):
+        rows = {r["query_id"]: (r["frauds"], r["approved"], r["rows_scanned"]) for r in ivf.search(built, asked, how).collect()}
+        assert rows[1] == (0, True, 0) and rows[2][2] >= 400 and len(rows) == 2
+    (one,) = [r for r in ivf.search(built, asked, ivf.Search(probes=1, box_repair=True)).collect() if r["query_id"] == 1]
+    assert one["rows_scanned"] == 400 and one["mode"] == 3
+
+
+def test_nulls_are_not_the_largest_number(spark):
+    df = spark.createDataFrame([([1.0, None],)], "v array<double>").select(F.transform("v", q16).alias("a"), F.transform("v", q8).alias("b"))
+    assert list(df.first()) == [[10_000, None], [127, None]]
+
+
+def test_queries_are_copied_for_blocks_and_references_for_runs():
+    assert shape(3_000_000, 100_000_000, 8) == (23, 96)  # not one copy of references for each block of queries
+    assert shape(1_000_000, 100_000, 8) == (8, 1) and shape(100, 100, 8) == (1, 1) and shape(0, 0, 8) == (1, 1)
+
+
+def test_many_queries_pass_without_copies_of_references(spark):
+    x, df = refs(spark)
+    q = as_query(df).select("query_id", F.col("q16").cast("array<int>").alias("v"))
+    r = df.select("ref_id", F.col("label").cast("long").alias("label"), F.col("q16").cast("array<int>").alias("v"))
+    rows = {k: n for k, n in streamed(q, r, 5, 1).groupBy("kind").count().collect()}
+    assert rows == {0: 400, 1: 100}
+    rows = {k: n for k, n in streamed(q, r, 5, 2).groupBy("kind").count().collect()}
+    assert rows == {0: 800, 1: 100}
+    one, two = (nearest(df, as_query(df), block=b, ref_block=60, run=9).orderBy("query_id", "rank").collect() for b in (100, 3))
+    assert one == two
+
+
+@pytest.mark.parametrize("block", [100, 3])
+def test_single_precision_search(spark, block):
+    """Sums in the order of dimensions, of nearly equal and of equal distances."""
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 20), np.float32)
+    x[50:120] = x[3] + rng.random((70, 20), np.float32) * np.float32(1e-7)
+    x[120:140] = x[4]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 2) for i in range(300)], "ref_id long, v array<float>, label int").repartition(3)
+    asked = df.filter("ref_id % 10 < 5").selectExpr("ref_id as query_id", "v")
+    got = {}
+    for r in nearest_single(df, asked, block=block, ref_block=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["ref_id"], np.float32(r["distance"])))
+    assert len(got) == 150
+    for q, found in got.items():
+        d = np.zeros(300, np.float32)
+        for k in range(20):
+            d += (x[:, k] - x[q, k]) * (x[:, k] - x[q, k])
+        order = np.lexsort((np.arange(300), d))[:5]
+        assert found == [(int(i), d[i]) for i in order]
+
+
+def test_early_stop_scans_no_cell_twice(spark, monkeypatch):
+    _, df = refs(spark)
+    built = ivf.build(df, df.filter("ref_id < 10").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
+    seen, plain = [], ivf.candidates
+    monkeypatch.setattr(ivf, "candidates", lambda index, asked, most: (seen.extend((r["query_id"], c) for r in asked.collect() for c in r["cells"]), plain(index, asked, most))[1])
+    for how in (ivf.Search(probes=8, early_stop_pct=50, early_stop_pct_first=25), ivf.Search(probes=2, box_repair=True), ivf.Search(probes=2, borderline_probes=6, early_stop=False)):
+        seen.clear()
+        ivf.search(built, as_query(df), how).collect()
+        assert len(seen) == len(set(seen)) and len(seen) >= 40
+    seen.clear()
+    rows = ivf.what_if_answers(built, as_query(df), ivf.Search(probes=8), (10, 30, 50, 70, 90, 100)).collect()
+    assert len(seen) == len(set(seen)) == 160 and len(rows) == 120
+    assert all(r["slack"] == float("inf") and r["frauds"] == r["full"] for r in rows if r["pct"] == 100)
+    least = {r["query_id"]: r["least_pct"] for r in ivf.least_passing(ivf.what_if_answers(built, as_query(df), ivf.Search(probes=8), (10, 30, 50, 70, 90, 100))).collect()}
+    assert all(least[q] == min([r["pct"] for r in rows if r["query_id"] == q and r["passed"]], default=-1) for q in least)
+
+
+def test_row_budget(spark):
+    _, df = refs(spark)
+    built = ivf.build(df, df.filter("ref_id < 10").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid"))
+    largest = built.cells.agg({"size": "max"}).first()[0]
+    rows = ivf.search(built, as_query(df), ivf.Search(probes=10, row_budget=100, early_stop=False)).collect()
+    assert len(rows) == 20 and all(100 <= r["rows_scanned"] < 100 + largest for r in rows)
+
+
+def test_k_means_in_rounds(spark):
+    """Against NumPy, with a cell that gets empty and begins anew; the same for any partitions."""
+    x, df = refs(spark)
+    first = df.filter("ref_id < 4").selectExpr("cast(ref_id as int) cell_id", "cast(q16 as array<int>) centroid").unionByName(spark.createDataFrame([(4, [32_000] * DIMS)], "cell_id int, centroid array<int>"))
+    c = np.vstack([x[:4], np.full((1, DIMS), 32_000)]).astype(float)
+    for _ in range(3):
+        near = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.stack([np.floor(x[near == k].mean(axis=0) + 0.5) if (near == k).any() else x[k * 2654435761 % 2**32 % 400] for k in range(5)])
+    for parts in (1, 5):
+        got = {r["cell_id"]: r["centroid"] for r in ivf.lloyd(df.repartition(parts), first, 3, settled=0).collect()}
+        assert got == {k: c[k].astype(int).tolist() for k in range(5)}
+    assert ivf.trained_centroids(df, 7).orderBy("cell_id").collect() == ivf.trained_centroids(df.repartition(5), 7).orderBy("cell_id").collect()
+    assert ivf.trained_centroids(df.limit(3), 7).count() == 3 and ivf.trained_centroids(df.limit(0), 7).count() == 0
+
+
+def test_first_places_by_counting(spark, monkeypatch):
+    """Ties at the place, ids of either sign, cells with more places than rows, and digits of any size."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(c), int(d)) for i, c, d in zip(rng.permutation(1000) * 10**15 - 5 * 10**17, rng.integers(0, 4, 1000), rng.integers(0, 30, 1000) ** 8, strict=True)]
+    df = spark.createDataFrame(rows, "ref_id long, cell int, d long").repartition(4)
+    places = {0: 100, 1: 5000, 2: 1, 9: 7}
+    for bits in (16, 4):
+        monkeypatch.setattr(balance, "DIGIT", bits)
+        got = balance.first_places(df, spark.createDataFrame(list(places.items()), "cell int, place int"), "cell").collect()
+        want = [r for c, n in places.items() for r in sorted((d, i, c) for i, c2, d in rows if c2 == c)[:n]]
+        assert sorted((r["d"], r["ref_id"], r["cell"]) for r in got) == sorted(want)
+
+
+def test_medians_by_counting(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", 8.0), (None, 5.0), ("b", None)]
+    df = spark.createDataFrame(rows, "arm string, v double")
+    assert {r["arm"]: r["median"] for r in evaluate.middles(df, "v", ["arm"]).collect()} == {"a": 2.0, None: 5.0}
+    assert {r["arm"]: (r["runs"], r["median"]) for r in evaluate.over_runs(df, "v", ["arm"]).collect()} == {"a": (4, 2.0), None: (1, 5.0), "b": (0, None)}
+
+
+def test_raw_workload(spark, tmp_path):
+    sent = request() | {"note": {"deep": [1, None, "x"]}}
+    (tmp_path / "w.json").write_text(json.dumps({"entries": [{"request": sent, "expected_approved": True, "expected_fraud_score": 0.2}, {"request": request(id="b"), "expected_approved": False, "expected_fraud_score": 0.8}]}))
+    rows = {r["id"]: r for r in read_raw_workload(spark, str(tmp_path / "w.json")).withColumn("text", F.to_json("raw")).drop("raw").collect()}
+    assert json.loads(rows["a"]["text"]) == sent and rows["a"]["transaction"]["installments"] == 2 and rows["a"]["expected_approved"] and not rows["b"]["expected_approved"]
