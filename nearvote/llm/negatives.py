@@ -22,12 +22,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from nearvote.llm.common import stored, table
+from nearvote.llm.common import let_go, stored, table
 
 #: Anchors and candidates of a leaf, at most; where points can't be told apart or the tree ends, of a block of a leaf, about.
 GROUP, LEAF = 64, 512
 #: Dimensions at whose means a node is split, at most, and levels of a tree.
-BITS, DEPTH = 4, 14
+BITS, DEPTH = 6, 10
 #: Nodes of a level that are broadcast: with 64 dimensions, 4 MB.
 FEW_NODES = 2048
 #: Blocks of anchors that meet a block of candidates in one task.
@@ -44,7 +44,8 @@ def _sum(of: Column) -> Column:
 def tree(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     """points: rid, root, v. Nodes (node, parent, size, center, radius, low, high, leaf) and the leaves' points (rid, node, block).
 
-    Each value of `root` has a tree of its own. A node is a struct of root and path, four bits a level.
+    Each value of `root` has a tree of its own. A node is a struct of root and path, six bits a level. `one` is
+    the same for all nodes.
     """
     held = points.select("rid", "v", F.struct("root", F.lit(1).cast("long").alias("path")).alias("node"))
     nodes, leaves = [], []
@@ -62,16 +63,17 @@ def tree(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
         near = of.select("node", "center", "split", "leaf", "size")
         side = F.aggregate("split", F.lit(0).cast("long"), lambda n, x: n * 2 + F.when(F.get("v", x["dim"]) > x["at"], 1).otherwise(0))
         apart = _sum(F.zip_with("v", "center", lambda x, c: (x - c) * (x - c)))
-        held = held.join(F.broadcast(near) if of.count() <= FEW_NODES else near, "node")
+        n = of.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(~F.col("leaf")).alias("open")).first()
+        held = held.join(F.broadcast(near) if n["nodes"] <= FEW_NODES else near, "node")
         held = held.select("rid", "v", "node", "leaf", "size", (F.col("node.path") * (1 << BITS) + side).alias("child"), apart.alias("apart")).checkpoint()
         radius = held.groupBy("node").agg(F.sqrt(F.max("apart")).alias("radius"))
         nodes.append(of.join(radius, "node").drop("split"))
         block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / leaf)).cast("int")
         leaves.append(held.filter("leaf").select("rid", "node", block.alias("block")))
-        if of.filter("not leaf").isEmpty():
+        if not n["open"]:
             break
         held = held.filter("not leaf").select("rid", "v", F.struct("node.root", F.col("child").alias("path")).alias("node"))
-    every = reduce(DataFrame.unionByName, nodes).withColumn("parent", F.struct("node.root", F.expr(f"node.path div {1 << BITS}").alias("path")))
+    every = reduce(DataFrame.unionByName, nodes).withColumns({"parent": F.struct("node.root", F.expr(f"node.path div {1 << BITS}").alias("path")), "one": F.lit(0)})
     return every.checkpoint(), reduce(DataFrame.unionByName, leaves).checkpoint()
 
 
@@ -148,7 +150,7 @@ def answers(windows: DataFrame, pairs: DataFrame, points: DataFrame, k: int, sam
     packed = windows.groupBy("a", F.col("block").alias("a_block")).agg(F.collect_list(F.struct("class", "label", "v", "w", "lo", "hi")).alias("windows"))
     asked = pairs.join(packed, "a").withColumn("part", F.xxhash64("a", "a_block")).drop("a", "a_block")
     salts = pairs.join(packed.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").groupBy("b").agg(F.ceil(F.sum("n") / MEETING).cast("int").alias("salts"))
-    blocks = points.groupBy("b").agg(F.collect_set("block").alias("blocks")).join(salts, "b").checkpoint()
+    blocks = points.groupBy("b").agg(F.collect_set("block").alias("blocks")).join(salts, "b")
     left = asked.join(blocks, "b").select("b", F.explode("blocks").alias("block"), F.pmod("part", "salts").cast("int").alias("salt"), "windows")
     right = points.join(blocks.select("b", "salts"), "b").select(F.col("b").alias("of"), F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("of_salt"), "rid", "vec_id", "label", "v")
     made = "class long, w long, score long, vec_id long, rid long"
@@ -188,7 +190,6 @@ def best(windows: pa.Array, there: pa.Table, k: int, same: bool) -> pa.Table:
 
 def search(windows: DataFrame, a_nodes: DataFrame, b_nodes: DataFrame, points: DataFrame, roots: Column, k: int, same: bool, target: Column) -> DataFrame:
     """Two steps: a leaf of candidates for each leaf of anchors, then all pairs of leaves that may beat what that gave."""
-    windows = windows.checkpoint()
     of_leaf = windows.groupBy("a").agg(target.alias("target"))
     leaves = a_nodes.filter("leaf").select(F.col("node").alias("a"), "center", F.struct(roots.alias("root"), F.lit(1).cast("long").alias("path")).alias("start")).join(of_leaf, "a")
     first = answers(windows, greedy(leaves, b_nodes), points, k, same)
@@ -232,8 +233,9 @@ def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVE
     n_nodes, n_leaves = tree(points.select("rid", F.lit(0).alias("root"), "v"), LEAF)
     # so many percent of a score, rounded down or up, without its product
     share = lambda percent, up: F.expr(f"((score - pmod(score, 100)) div 100) * {percent} + (pmod(score, 100) * {percent} + {up}) div 100")
+    let_go(rows.sparkSession)
     asked = found.select("class", "score").distinct().select("class", F.col("score").alias("w"), share(low, 99).alias("lo"), share(high, 0).alias("hi")).filter("lo <= hi")
-    against = search(asking.join(asked, "class"), a_nodes, n_nodes, placed(n_leaves), F.lit(0), negatives, False, F.avg("hi"))
+    against = search(asking.join(asked, "class").checkpoint(), a_nodes, n_nodes, placed(n_leaves), F.col("one"), negatives, False, F.avg("hi"))
     against = against.groupBy("class", F.col("w").alias("positive_score")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("negatives"))
 
     own = found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "rid", "vec_id", "score"))).alias("found"))
