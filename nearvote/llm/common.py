@@ -37,6 +37,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete what `stored` has written. All that is read from now on must begin at tables and checkpoints written since."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver notice which shuffles and checkpoints nothing refers to any more, so that Spark deletes their files now."""
     gc.collect()

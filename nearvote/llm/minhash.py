@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.llm.common import by_size, filled, let_go, marked, stored, table
+from nearvote.llm.common import by_size, filled, let_go, marked, removed, stored, table
 from nearvote.llm.components import components
 
 SHINGLE = 5
@@ -112,9 +112,14 @@ def most_bits(percent: int = PERCENT, samples: int = SAMPLES, bits: int = BITS,
     return int(np.flatnonzero(np.cumsum(chance) >= 1 - miss)[0])
 
 
+def key_of(of: np.ndarray) -> bytes:
+    """16 bytes that stand for a set."""
+    return hashlib.blake2b(of.tobytes(), digest_size=16).digest()
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), key (16 bytes of a hash of the set), bands array<long>, odd array<long>; both empty for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+    """doc_id, text_hash, n (set size), key (of the set), bands array<long>, odd array<long>; both empty for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -124,24 +129,31 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 of = shingles(text)
                 s = samples(of) if len(of) else None
                 n.append(len(of))
-                keys.append(hashlib.blake2b(of.tobytes(), digest_size=16).digest())
+                keys.append(key_of(of))
                 band.append(none if s is None else bands(s).view(np.int64))
                 odd.append(none if s is None else odd_sketch(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), filled(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, text_hash long, n long, key binary, bands array<long>, odd array<long>")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n long, key binary, bands array<long>, odd array<long>")
+def text_hash(text_col: str = "text") -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(filled(text_col))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike. Texts are read again, for the documents of the pairs only."""
-    pairs = pairs.select("a", "b").distinct().checkpoint()
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are alike. Texts are read again, for the documents of the pairs only."""
+    of = lambda s: nodes.select(F.col("node").alias(s), F.col("rep").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"))
+    pairs = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").checkpoint()
     let_go(docs.sparkSession)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().checkpoint()
+    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct().checkpoint()
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "set"])
+            found = [shingles(t) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([key_of(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "key", "set"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,24 +165,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
                 alike.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    held = of_ids(docs, ids, id_col, text_col).mapInArrow(sets, "id long, set binary")  # and some more, which no pair asks for
+    held = of_ids(docs, ids, id_col, text_col).mapInArrow(sets, "id long, key binary, set binary")  # and some more, which no pair asks for
     both = with_sets(with_sets(pairs, hot_ids(pairs, "b"), held, "b"), hot_ids(pairs, "a"), held, "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct().checkpoint()
 
 
 def hot_ids(pairs: DataFrame, side: str) -> DataFrame:
-    """id and salts: the documents of many pairs, and to how many tasks each one's pairs are dealt."""
-    counted = pairs.groupBy(side).count().filter(F.col("count") > HOT_PAIRS)
-    hot = counted.select(F.col(side).alias("id"), F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("salts")).checkpoint()
+    """id, key and salts: the documents of many pairs, and to how many tasks each one's pairs are dealt."""
+    counted = pairs.groupBy(F.col(f"{side}_id").alias("id"), F.col(f"{side}_key").alias("key")).count().filter(F.col("count") > HOT_PAIRS)
+    hot = counted.select("id", "key", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("salts")).checkpoint()
     return F.broadcast(hot) if hot.count() <= FEW_HOT else hot
 
 
 def with_sets(pairs: DataFrame, hot: DataFrame, held: DataFrame, side: str) -> DataFrame:
-    """`pairs` with the set of `side`, by id and salt."""
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("salts")
-    right = held.join(hot, "id", "left").select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return left.join(right, [side, "salt"]).drop("salt")
+    """`pairs` with the set of `side`, by id, key and salt."""
+    salts, of = F.coalesce("salts", F.lit(1)), {"id": f"{side}_id", "key": f"{side}_key"}
+    left = pairs.join(hot.withColumnsRenamed(of), list(of.values()), "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("salts")
+    right = held.join(hot, list(of), "left").select(*[F.col(k).alias(v) for k, v in of.items()], F.col("set").alias(f"set_{side}"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, [*of.values(), "salt"]).drop("salt", *of.values())
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,17 +191,19 @@ def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
     return marked(rows, ids, "wanted").filter("wanted").drop("wanted")
 
 
-def finely_sketched(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and fine array<long>, the second sketch, of the documents of `ids` (a column id). Their texts are read again."""
+def finely_sketched(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and fine array<long>, the second sketch, of `nodes` (node, rep, key). Their texts are read again."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = mixed(np.arange(1, FINE_SAMPLES + 1, dtype=np.uint64) * _B) | np.uint64(1)
         for batch in by_size(batches, "text", 4 << 20):
-            found = [odd_sketch(samples(of, multipliers), FINE_BITS).view(np.int64) if len(of := shingles(t)) else np.zeros(0, np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+            sets = [shingles(t) for t in batch["text"].to_pylist()]
+            found = [odd_sketch(samples(of, multipliers), FINE_BITS).view(np.int64) if len(of) else np.zeros(0, np.int64) for of in sets]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([key_of(x) for x in sets], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "key", "fine"])
 
-    found = of_ids(docs, ids, id_col, text_col).mapInArrow(work, "doc_id long, fine array<long>")
-    return found.groupBy("doc_id").agg(F.first("fine").alias("fine"))
+    nodes = nodes.select("node", "rep", "key").checkpoint()
+    found = of_ids(docs, nodes.select(F.col("rep").alias("id")).distinct().checkpoint(), id_col, text_col).mapInArrow(work, "rep long, key binary, fine array<long>")
+    return found.join(nodes, ["rep", "key"]).groupBy("node").agg(F.first("fine").alias("fine"))
 
 
 def may_be_alike(percent: int) -> Column:
@@ -211,64 +225,71 @@ def finely_alike(percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id that links reach, its own included) and kept (that is its own).
+    """id, text_hash, n_shingles, component_id (the smallest id that links reach, its own included) and kept (that is its own).
 
     Null text counts as empty. Documents without words link with nothing. Documents of equal sets are in
     one component, also under a null id, which is never the smallest; of a set that only null ids have,
-    component_id is null and all stay. Rows repeated under one id have equal rows out; if their texts
-    differ, one of them stands for the id in links with other sets. An empty table gives no rows. Other
-    columns don't matter.
+    component_id is null and all stay. Rows repeated under one id have a row each, and if their texts differ,
+    each is linked by its own text; `text_hash` (of `text_hash()`) tells them apart. An empty table gives no
+    rows. Other columns don't matter.
     """
-    all_rows = stored(sketched(docs, id_col, text_col), "sketches")
-    sets = all_rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    one = all_rows.join(sets.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n", "bands", "odd")
-    one = one.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    one = stored(one, "representatives")
-
-    # orders of ids: exclusive or with a mask is a bijection, so the least value gives its id back
+    spark = docs.sparkSession
+    sketches = stored(sketched(docs, id_col, text_col), "sketches")
+    # a node for each set: a document with an id stands for it
+    of_key = sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "odd")])
+    nodes = stored(of_key.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    all_rows = stored(sketches.select("doc_id", "text_hash", "n", "key"), "sets")
+    removed(sketches)
+
+    # orders of nodes: exclusive or with a mask is a bijection, so the least value gives its node back
     masks = F.array(*[F.lit(int(m) >> 2) for m in _MULTIPLIERS[:LEADERS]])
-    met = one.select("doc_id", F.posexplode("bands").alias("band", "bucket")).withColumn("mask", F.get(masks, F.col("band") % LEADERS))
-    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("doc_id").bitwiseXOR(F.col("mask"))).alias("least")).filter("members > 1")
+    met = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).withColumn("mask", F.get(masks, F.col("band") % LEADERS))
+    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("node").bitwiseXOR(F.col("mask"))).alias("least")).filter("members > 1")
     buckets = buckets.checkpoint()
-    shared = met.join(buckets, "bucket").select("bucket", "band", "members", "doc_id", F.col("least").bitwiseXOR(F.col("mask")).alias("leader"))
+    shared = met.join(buckets, "bucket").select("bucket", "band", "members", "node", F.col("least").bitwiseXOR(F.col("mask")).alias("leader"))
     shared = shared.checkpoint()
+    let_go(spark)
 
-    other = one.select(F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"))
-    stars = shared.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    stars = stars.join(one.select(F.col("doc_id").alias("a"), "n", "odd"), "a").join(other.withColumnRenamed("other", "b"), "b").filter(may_be_alike(percent)).select("a", "b").checkpoint()
-    first = components(confirmed(stars, docs, id_col, text_col, percent)).checkpoint()
-    let_go(docs.sparkSession)
+    side = lambda s, other="": nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{other}{c}") for c in ("n", "odd")])
+    stars = shared.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    stars = stars.join(side("a"), "a").join(side("b", "other_"), "b").filter(may_be_alike(percent)).select("a", "b").checkpoint()
+    first = components(confirmed(stars, nodes, docs, id_col, text_col, percent)).checkpoint()
+    let_go(spark)
 
     # buckets of three and more that several components share: all pairs of two have been compared
-    placed = shared.filter("members > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = shared.filter("members > 2").join(first, "node", "left").select("bucket", "band", "members", "node", F.coalesce("component", "node").alias("component"))
     counted = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("number")).filter("number > 1").drop("number")
     largest = largest.checkpoint()  # so the join has an exchange on either side, and a hot bucket can be split
     rest = placed.join(largest, "bucket").checkpoint()
-    fine = finely_sketched(docs, rest.select(F.col("doc_id").alias("id")).distinct().checkpoint(), id_col, text_col)
-    rest = stored(rest.join(one, "doc_id").join(fine, "doc_id"), "shared-buckets")
-    let_go(docs.sparkSession)
+    some = nodes.join(rest.select("node").distinct(), "node", "left_semi")
+    fine = finely_sketched(docs, some, id_col, text_col)
+    rest = stored(rest.join(nodes.select("node", "n", "bands", "odd"), "node").join(fine, "node"), "shared-buckets")
+    let_go(spark)
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     sides = ["component", "n", "bands", "odd", "fine"]
-    few = rest.filter("component <> largest").select("bucket", "band", "doc_id", *sides, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    every = rest.select("bucket", F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in sides], F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    few = rest.filter("component <> largest").select("bucket", "band", "node", *sides, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    every = rest.select("bucket", F.col("node").alias("other"), *[F.col(c).alias(f"other_{c}") for c in sides], F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
     across = few.join(every, ["bucket", "salt"]).filter((F.col("component") != F.col("other_component")) & may_be_alike(percent) & meet_first() & finely_alike(percent))
-    across = across.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = confirmed(across, docs, id_col, text_col, percent)
-    let_go(docs.sparkSession)
+    across = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
+    removed(rest)
+    second = confirmed(across, nodes, docs, id_col, text_col, percent)
+    let_go(spark)
 
     def named(pairs: DataFrame, column: str) -> DataFrame:
         return pairs.join(first.withColumnsRenamed({"node": column, "component": "c"}), column, "left").withColumn(column, F.coalesce("c", column)).drop("c")
 
     joined = components(named(named(second, "a"), "b"))
     final = first.unionByName(second.select(F.col("a").alias("node")).unionByName(second.select(F.col("b").alias("node"))).distinct().join(first, "node", "left_anti").withColumn("component", F.col("node")))
-    final = final.join(joined.select(F.col("component").alias("joined"), F.col("node").alias("component")), "component", "left").select(F.col("node").alias("rep"), F.coalesce("joined", "component").alias("component"))
+    final = final.join(joined.select(F.col("component").alias("joined"), F.col("node").alias("component")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
-    of_set = sets.join(final, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    of_node = nodes.select("node", "key", "rep").join(final, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component")).checkpoint()
+    smallest = of_node.groupBy("component").agg(F.min("rep").alias("least"))
+    of_set = of_node.join(smallest, "component").select("key", "least")
     lone = F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit(b"-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    result = all_rows.select("doc_id", "n", lone.alias("key")).join(of_set, "key", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return result.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    result = all_rows.select("doc_id", "text_hash", "n", lone.alias("key")).join(of_set, "key", "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return result.select(F.col("doc_id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
