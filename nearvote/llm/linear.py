@@ -175,6 +175,36 @@ def telling(sample: DataFrame, column: int, most: int, least: int = 4) -> DataFr
     return scored.filter("gain > 2").orderBy(F.desc("gain"), "name").limit(most).select("name", "purity")
 
 
+def telling_by_fold(sample: DataFrame, column: int, most: int, folds: int, least: int = 4) -> list[list[str]]:
+    """What `telling` names for the sample without each fold (of `folds_of` ids), and last for all of it.
+
+    Texts are counted once, by feature and fold; what reaches the driver is at most `most` names a fold.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, "text"):
+            of = folds_of(batch["doc_id"].to_numpy(), folds)
+            for text, y, fold in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), of.tolist(), strict=True):
+                found = [*counts_of(text)[0], ""]  # the empty name stands for the text itself
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.float64()), pa.array([fold] * len(found), pa.int32())], names=["name", "y", "fold"])
+
+    rows = sample.select("doc_id", "text", F.get("y", F.lit(column)).alias("y")).filter("y is not null").mapInArrow(work, "name string, y double, fold int")
+    kept = [F.lit(True) if k == folds else F.col("fold") != k for k in range(folds + 1)]
+    seen = rows.groupBy("name").agg(*[f.alias(f"{c}{k}") for k, of in enumerate(kept) for c, f in (("n", F.count_if(of)), ("a", F.sum(F.when(of, F.col("y")).otherwise(0.0))))]).checkpoint()
+    every = seen.filter("name = ''").first()
+    chosen = []
+    for k in range(folds + 1):
+        if every is None or not every[f"n{k}"]:
+            chosen.append([])
+            continue
+        rate = min(max(every[f"a{k}"] / every[f"n{k}"], 1e-6), 1 - 1e-6)
+        p = F.least(F.greatest(F.col(f"a{k}") / F.col(f"n{k}"), F.lit(1e-9)), F.lit(1 - 1e-9))
+        gain = F.col(f"n{k}") * (p * F.log(p / rate) + (1 - p) * F.log((1 - p) / (1 - rate)))
+        top = seen.filter((F.col(f"n{k}") >= least) & (F.col("name") != "")).withColumn("gain", gain).filter("gain > 2").orderBy(F.desc("gain"), "name").limit(most)
+        chosen.append(sorted(r["name"] for r in top.select("name").collect()))
+    return chosen
+
+
 def collected(sample: DataFrame, names: list[str], carry: tuple[str, ...] = ()) -> pd.DataFrame:
     """The sample's features on the driver, sorted by id: doc_id, y, at and n (places and counts of the known features), words, form, carry."""
 

@@ -2,8 +2,9 @@
 
 Categories are predicted one after another; each linear model gets the probabilities of the earlier
 categories beside the features of the text. In training those probabilities are out-of-fold: a row's
-come from models that haven't seen it, so that later models learn how far earlier ones can be relied
-on. All models are fitted on a bounded sample of labelled rows; all texts are scored whole.
+come from models that haven't seen it, nor were their features chosen on it, so that later models learn how
+far earlier ones can be relied on, and the threshold is taken on rows that are new to the models. All models
+are fitted on a bounded sample of labelled rows; all texts are scored whole.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.common import by_size, filled, table
-from nearvote.llm.linear import Linear, collected, fitted, folds_of, labelled_sample, matrix, telling, text_matrix
+from nearvote.llm.linear import FORMS, Linear, collected, fitted, folds_of, labelled_sample, matrix, telling_by_fold, text_matrix
 
 #: Labelled rows that the models are fitted on, at most.
 MOST_LABELLED = 6000
-#: Features of a model, and folds of the out-of-fold predictions.
-FEATURES, FOLDS = 200, 4
-#: A feature with at least this share of toxic texts indicates toxicity.
-PURE = 0.9
+#: Features that are chosen for each category, and folds of the out-of-fold predictions.
+FEATURES, FOLDS = 120, 4
+#: The categories in order: name, column of the labels, and the value there that is the category.
+CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
 @dataclass(frozen=True)
@@ -48,20 +49,22 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def fit_chain(x: np.ndarray, ys: list[np.ndarray], ids: np.ndarray, names: list[str], categories: list[str], folds: int = FOLDS, penalty: float = 3.0) -> Chain:
+def fit_chain(x: np.ndarray, ys: list[np.ndarray], ids: np.ndarray, names: list[str], categories: list[str], folds: int = FOLDS, penalty: float = 3.0, chosen: list[np.ndarray] | None = None) -> Chain:
     """One model for each category, in order. `ys`: 0 or 1, or NaN for rows that a category doesn't learn from.
 
-    The threshold is where the out-of-fold predictions of the last category have the best F1, the middle
+    chosen: which columns of x the models of each fold may look at, and last those of the chain itself; all, if
+    not given. The threshold is where the out-of-fold predictions of the last category have the best F1, the middle
     between the neighbours there; above 1 if the sample has no positive row.
     """
     fold, earlier, models = folds_of(ids, folds), np.zeros((len(x), 0)), []
+    chosen = chosen or [np.ones(x.shape[1], bool)] * (folds + 1)
     for y in ys:
         known = ~np.isnan(y)
-        z = np.column_stack([x, logit(earlier)])
+        z = lambda k, of, earlier=earlier: np.column_stack([x[of][:, chosen[k]], logit(earlier[of])])
         out = np.zeros(len(x))
         for k in range(folds):
-            out[fold == k] = fitted(z[known & (fold != k)], y[known & (fold != k)], penalty).score(z[fold == k])
-        models.append(fitted(z[known], y[known], penalty))
+            out[fold == k] = fitted(z(k, known & (fold != k)), y[known & (fold != k)], penalty).score(z(k, fold == k))
+        models.append(fitted(z(folds, known), y[known], penalty))
         earlier = np.column_stack([earlier, out])
     known = ~np.isnan(ys[-1])
     return Chain(names, categories, models, best_threshold(earlier[known, -1] if len(x) else np.zeros(0), ys[-1][known]))
@@ -77,23 +80,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[at]] + (p[order[at + 1]] if at + 1 < len(p) else 0.0)) / 2)
 
 
-def toxicity_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """The chain harsh, dense, toxic for one column of labels.
+def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str, int], ...] = CATEGORIES, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """The chain of the given categories, low_quality and then toxic by default; texts are rejected by the last.
 
-    Features that indicate toxicity are those found almost only in texts labelled toxic. harsh: labelled
-    toxic and such a feature stands in it; dense: such features make up three words of it or more; toxic:
-    the label. Without labelled rows all probabilities are near 0 and nothing is rejected.
+    Each category has its own labels, which rows may lack. The features that tell most about each are chosen
+    on the labelled sample, for the models of a fold without that fold. Without labelled rows all
+    probabilities are near 0 and nothing is rejected.
     """
-    sample = labelled_sample(docs, labels, [label], most, id_col, text_col)
-    found = telling(sample, 0, FEATURES).toPandas()
-    names = sorted(found["name"])
-    pure = np.array([n in set(found["name"][found["purity"] >= PURE]) for n in names], bool)
+    sample = labelled_sample(docs, labels, [column for _, column, _ in categories], most, id_col, text_col)
+    found = [telling_by_fold(sample, i, FEATURES, FOLDS) for i in range(len(categories))]
+    by_fold = [set().union(*(of[k] for of in found)) for k in range(FOLDS + 1)]
+    names = sorted(set().union(*by_fold))
     got = collected(sample, names)
     x = matrix(got["at"], got["n"], got["words"], got["form"], len(names))
-    y = np.array([v[0] if v[0] is not None else np.nan for v in got["y"]], np.float64)
-    hits = np.array([sum(c for i, c in zip(a, n, strict=True) if pure[i] and not names[i].endswith("~")) + max((c for i, c in zip(a, n, strict=True) if pure[i] and names[i].endswith("~")), default=0) for a, n in zip(got["at"], got["n"], strict=True)], np.float64)
-    derived = [np.where(np.isnan(y), y, (y > 0) & (hits >= k)) for k in (1, 3)]
-    return fit_chain(x, [*derived, y], got["doc_id"].to_numpy(), names, ["harsh", "dense", "toxic"])
+    chosen = [np.concatenate([np.repeat([n in of for n in names], 2), np.ones(len(FORMS), bool)]) if names else np.ones(len(FORMS), bool) for of in by_fold]
+    ys = [np.array([np.nan if v[i] is None else float(v[i] == value) for v in got["y"]], np.float64) for i, (_, _, value) in enumerate(categories)]
+    return fit_chain(x, ys, got["doc_id"].to_numpy(), sorted(by_fold[-1]), [name for name, _, _ in categories], chosen=chosen)
 
 
 def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

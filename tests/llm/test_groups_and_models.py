@@ -72,6 +72,18 @@ def test_null_ids_and_empty_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_linked_each_by_its_own(spark):
+    prepare(spark)
+    rng = random.Random(4)
+    one, two, three = ([f"{k}{rng.randrange(900)}" for _ in range(60)] for k in "abc")
+    near = lambda words: " ".join([*words[:-1], "end"])
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (7, " ".join(three)), (3, near(one)), (9, near(two)), (1, near(near(two).split()) + " more"), (7, " ".join(one))]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (3, 3, True), (7, 1, False), (7, 3, False), (7, 3, False), (7, 7, True), (9, 1, False)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[2], rows[3], rows[5]])
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 2000).astype(np.uint64)
@@ -171,12 +183,26 @@ def test_logistic_regression_finds_a_separable_class():
 def test_toxicity_on_rows_that_were_held_out(spark):
     docs, labels = table(spark, SF.replace("0.001", "0.01"), "documents"), table(spark, SF.replace("0.001", "0.01"), "labels")
     chain = toxicity.toxicity_chain(docs, labels.filter("doc_id % 2 = 0"))
-    assert chain.categories == ["harsh", "dense", "toxic"] and len(chain.models[2].weights) == len(chain.models[0].weights) + 2
+    assert chain.categories == ["low_quality", "toxic"] and len(chain.models[1].weights) == len(chain.models[0].weights) + 1 == 2 * len(chain.names) + len(linear.FORMS) + 1
     got = toxicity.scored(docs, chain).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     toxic = [r["rejected"] for r in got if r["toxic"] == 1]
     assert sum(toxic) / len(toxic) > 0.6 and sum(r["rejected"] for r in got if r["toxic"] == 0) <= 2
 
 
+def test_features_of_a_fold_are_chosen_without_it(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    sample = linear.labelled_sample(docs, labels, ["quality", "toxic"], 6000, "doc_id", "text")
+    for column in (0, 1):
+        got = linear.telling_by_fold(sample, column, 30, 3)
+        ids = [r["doc_id"] for r in sample.collect()]
+        fold = dict(zip(ids, linear.folds_of(np.array(ids), 3).tolist(), strict=True))
+        for k in range(4):
+            kept = [i for i in ids if fold[i] != k]
+            want = linear.telling(sample.filter(F.col("doc_id").isin(kept)), column, 30).collect()
+            assert got[k] == sorted(r["name"] for r in want)
+        assert linear.telling_by_fold(sample.limit(0), column, 30, 3) == [[]] * 4
+
+
 def naive_row(text, names):
     """The columns of a text as the models have them, counted anew."""
     words = re.findall(r"[^\W\d_]+", text.lower())
@@ -245,6 +271,65 @@ def test_later_models_learn_from_out_of_fold_predictions():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
 
 
+def converged(x, y, weight, penalty, mean, spread):
+    """Weighted logistic regression on columns less `mean` and by `spread`, by plain gradient steps of falling loss; log odds of any rows."""
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    keep = np.append(np.full(x.shape[1], penalty), 1e-6)
+    loss = lambda b: np.sum(weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ b))) + 0.5 * keep @ (b * b)
+    b, step = np.zeros(z.shape[1]), 1.0
+    for _ in range(5000):
+        gradient = z.T @ (weight * (sigmoid(z @ b) - y)) + keep * b
+        while loss(b - step * gradient) > loss(b) and step > 1e-12:
+            step /= 2
+        b, step = b - step * gradient, step * 2
+        if np.abs(gradient).max() < 1e-6:
+            break
+    return lambda rows: np.column_stack([(rows - mean) / spread, np.ones(len(rows))]) @ b
+
+
+def test_co_training_against_labels_kept_row_by_row():
+    """Three rounds in which every row's label and weight is written down, and models are fitted by gradient steps."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    true = (rng.random(n) < 0.4).astype(float)
+    views = [true[:, None] * d + rng.normal(size=(n, len(d))) for d in (np.array([2.2, 1.5, 0.0]), np.array([1.9, -1.6]))]
+    ids = rng.permutation(n)
+    y = np.where(np.arange(n) < 300, true, np.nan)
+    got = cotraining.co_trained(*views, y, ids, [])
+
+    known = ~np.isnan(y)
+    held = known & (linear.folds_of(ids, 3) == 0)
+    first, good = known & ~held, y[known].mean()
+    scale = [(x[first].mean(axis=0), x[first].std(axis=0)) for x in views]
+    models = [converged(x[first], y[first], np.ones(first.sum()), 3.0, *s) for x, s in zip(views, scale, strict=True)]
+
+    def calibrated(v):
+        z = np.array([odds(p) for p in sigmoid(models[v](views[v]))])[:, None]
+        return sigmoid(converged(z[held], y[held], np.ones(held.sum()), 1.0, z[held].mean(axis=0), z[held].std(axis=0))(z))
+
+    given = [np.full(n, np.nan), np.full(n, np.nan)]
+    for _ in range(cotraining.ROUNDS):
+        sure = [calibrated(0), calibrated(1)]
+        for i in np.flatnonzero(~known):
+            for v in (0, 1):
+                p = sure[1 - v][i]
+                if np.isnan(given[v][i]) and (p >= 0.97 or p <= 0.03):
+                    given[v][i] = float(p > 0.5)
+        for v in (0, 1):
+            counts = [(given[v] == c).sum() for c in (0, 1)]
+            together = max(400, min(counts[0] / (1 - good), counts[1] / good))
+            weight = np.where(first, 1.0, 0.0)
+            for c, share in ((0, 1 - good), (1, good)):
+                weight[given[v] == c] = min(1.0, together * share / max(counts[c], 1))
+            label, use = np.where(first, y, given[v]), weight > 0
+            models[v] = converged(views[v][use], label[use], weight[use], 3.0, *scale[v])
+    assert all(200 < (~np.isnan(g)).sum() < n - 300 for g in given)
+    p = [calibrated(0), calibrated(1)]
+    both = sigmoid(np.array([odds(a) + odds(b) for a, b in zip(*p, strict=True)]) - np.log(good / (1 - good)))
+    for mine, want in zip(got.score(*views), (*p, both), strict=True):
+        assert np.abs(mine - want).max() < 0.02
+
+
 def test_op7_against_both_views_computed_row_by_row(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     views = cotraining.quality_views(docs, labels)

@@ -372,3 +372,30 @@ def test_json_web_tokens_are_searched_in_linear_time():
     begun = time.process_time()
     assert secrets.found_by(rule, __import__("re").compile(rule.pattern, rule.flags), "eyJ" * 100_000, "eyj" * 100_000) == []
     assert time.process_time() - begun < 1
+
+
+# ---- the registered queries on the whole table
+
+
+def test_op3_on_the_table(spark, tik):
+    rows = {r["doc_id"]: r for r in registry.QUERIES["op3_byte_bpe"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        ids, r = tik.encode_ordinary(d["text"] or ""), rows[d["doc_id"]]
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((d["text"] or "").encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_op8_on_the_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in registry.QUERIES["op8_token_files"](spark, SF).collect()}
+    start, want = 0, {}
+    for d in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = [*plain.encode(d["text"] or "", add_special_tokens=False).ids, 1]
+        want[d["doc_id"]] = start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert rows == want
