@@ -20,6 +20,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from nearvote.operators.knn import CELLS, K, QUERY_RUN, REF_BLOCK, Nearest, decided, left_of, matrix_of, passed, ranked, right_of
@@ -240,13 +241,13 @@ def statistics(index: Index) -> DataFrame:
 RANKED = "query_id long, query array<smallint>, query_q8 array<tinyint>, cells array<int>, distances array<long>, scanned array<long>"
 
 
-def nearest_cells(index: Index, queries: DataFrame, probes: int, guided: bool = False, budget: int = 0) -> DataFrame:
+def nearest_cells(index: Index, queries: DataFrame, probes: int, guided: bool = False, budget: int = 0, held: Broadcast[Cells] | None = None) -> DataFrame:
     """query_id, query, query_q8; cells: the nearest ones of each query, by centroid or by box; distances; scanned: rows of a cell and those before it.
 
     By box, cells without members come last. Of equally near cells the lowest comes first. With a
     budget the cells end where so many rows have been scanned.
     """
-    held, dims = _cells(index), index.dims
+    held, dims = held or _cells(index), index.dims
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = held.value
@@ -255,13 +256,12 @@ def nearest_cells(index: Index, queries: DataFrame, probes: int, guided: bool =
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
                 q = matrix_of(batch["query"], dims or -1)
-                d = np.stack([cells.to_boxes(x) for x in q]) if guided else cells.to_all_centroids(q)
-                order = first_of(d, probes)
+                order, d = cells.nearest(q, probes, guided)
                 scanned = np.cumsum(cells.sizes[order], axis=1)
                 n = np.minimum(1 + (scanned < budget).sum(axis=1), order.shape[1]) if budget else np.full(len(q), order.shape[1])
                 kept = np.arange(order.shape[1])[None, :] < n[:, None]
                 ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[kept], t)) for x, t in ((cells.ids[order], pa.int32()), (np.take_along_axis(d, order, axis=1), pa.int64()), (scanned, pa.int64()))]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[kept], t)) for x, t in ((cells.ids[order], pa.int32()), (d, pa.int64()), (scanned, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch["query_id"], batch["query"], batch["query_q8"], *lists], names=["query_id", "query", "query_q8", "cells", "distances", "scanned"])
 
     return _queried(queries).mapInArrow(work, RANKED)
@@ -321,6 +321,48 @@ def ranks_of(index: Index, wanted: DataFrame, guided: bool = False) -> DataFrame
     return _queried(wanted, "cells").mapInArrow(work, "query_id long, cell_id int, cell_rank int")
 
 
+@dataclass(frozen=True)
+class Groups:
+    """Cells in groups that lie together: places of cells group by group, where each group begins, a ball around its centroids and a box around its boxes."""
+
+    places: np.ndarray
+    begins: np.ndarray
+    centers: np.ndarray
+    radii: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(cells: Cells) -> Groups:
+        """About as many groups as each has cells, by a few rounds of k-means over the centroids."""
+        c, n = cells.centroids, max(1, int(len(cells.ids) ** 0.5))
+        centers = c[np.linspace(0, len(c) - 1, n).astype(int)]
+        for _ in range(5):
+            near = (left_of(c) @ right_of(centers).T).argmin(axis=1)
+            centers = np.stack([c[near == g].mean(axis=0) if (near == g).any() else centers[g] for g in range(n)])
+        near = (left_of(c) @ right_of(centers).T).argmin(axis=1)
+        places = np.argsort(near, kind="stable")
+        held = [places[near[places] == g] for g in range(n)]
+        held = [(g, x) for g, x in enumerate(held) if len(x)]
+        full = [x[cells.sizes[x] > 0] for _, x in held]
+        box = lambda of, f, none: np.stack([f(of[x], axis=0) if len(x) else np.full(c.shape[1], none) for x in full])
+        begins = np.cumsum([0, *(len(x) for _, x in held)])
+        radii = np.array([np.sqrt(((c[x] - centers[g]) ** 2).sum(axis=1)).max() for g, x in held])
+        return Groups(np.concatenate([x for _, x in held]), begins, centers[[g for g, _ in held]], radii, box(cells.low, np.min, 2.0**30), box(cells.high, np.max, -(2.0**30)))
+
+    def bounds(self, q: np.ndarray, guided: bool) -> np.ndarray:
+        """For each query and group what the distance of any of its cells is at least."""
+        if guided:
+            apart = [np.maximum(np.maximum(self.low - x, x - self.high), 0) for x in q]
+            return np.minimum(np.stack([(d * d).sum(axis=1) for d in apart]), 2.0**62)
+        d = np.sqrt(np.maximum(left_of(q) @ right_of(self.centers).T, 0))
+        return np.maximum(d * (1 - 1e-9) - self.radii[None, :] * (1 + 1e-9) - 1e-3, 0) ** 2  # less what rounding may take
+
+
+#: Cells from which groups are looked at first.
+GROUPED = 2048
+
+
 @dataclass(frozen=True)
 class Cells:
     ids: np.ndarray
@@ -328,6 +370,41 @@ class Cells:
     sizes: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    groups: Groups | None = None
+
+    def nearest(self, q: np.ndarray, k: int, guided: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each query places and distances of the k nearest cells, of equally near ones the lowest first.
+
+        Of many cells only those in groups are compared whose bound is within the k-th distance of the nearest
+        groups; so the ranks are those of all cells.
+        """
+        if self.groups is None or 4 * k > len(self.ids):
+            d = np.stack([self.to_boxes(x) for x in q]) if guided else self.to_all_centroids(q)
+            order = first_of(d, k)
+            return order, np.take_along_axis(d, order, axis=1)
+        found = [self._nearest(x, bound, k, guided) for x, bound in zip(q, self.groups.bounds(q, guided), strict=True)]
+        return np.stack([p for p, _ in found]), np.stack([d for _, d in found])
+
+    def _nearest(self, q: np.ndarray, bound: np.ndarray, k: int, guided: bool) -> tuple[np.ndarray, np.ndarray]:
+        order, sizes = np.argsort(bound), np.diff(self.groups.begins)
+        first = int(np.searchsorted(np.cumsum(sizes[order]), 2 * k)) + 1
+        places = self._places(order[:first])
+        d = self.to_some(q, places, guided)
+        rest = order[first:][bound[order[first:]] <= np.partition(d, k - 1)[k - 1]]
+        if len(rest):
+            more = self._places(rest)
+            places, d = np.concatenate([places, more]), np.concatenate([d, self.to_some(q, more, guided)])
+        at = np.lexsort((places, d))[:k]
+        return places[at], d[at]
+
+    def _places(self, groups: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.groups.places[self.groups.begins[g] : self.groups.begins[g + 1]] for g in groups])
+
+    def to_some(self, q: np.ndarray, places: np.ndarray, guided: bool) -> np.ndarray:
+        if not guided:
+            return ((self.centroids[places] - q) ** 2).sum(axis=1).astype(np.int64)
+        d = np.maximum(np.maximum(self.low[places] - q, q - self.high[places]), 0)
+        return np.where(self.sizes[places] > 0, (d * d).sum(axis=1), 2.0**62).astype(np.int64)
 
     def to_centroids(self, q: np.ndarray) -> np.ndarray:
         return ((self.centroids - q) ** 2).sum(axis=1).astype(np.int64)
@@ -336,35 +413,43 @@ class Cells:
         return (left_of(q) @ right_of(self.centroids).T).astype(np.int64) if len(self.ids) else np.zeros((len(q), 0), np.int64)
 
     def to_boxes(self, q: np.ndarray) -> np.ndarray:
-        d = np.maximum(np.maximum(self.low - q, q - self.high), 0)
-        return np.where(self.sizes > 0, (d * d).sum(axis=1), 2.0**62).astype(np.int64)
+        return self.to_some(q, np.arange(len(self.ids)), True)
 
 
-def _cells(index: Index):
-    ids, centroids = _points(index.cells)
-    pdf = index.cells.orderBy("cell_id").select("size", "low", "high").toPandas()
+def _cells(index: Index) -> Broadcast[Cells]:
+    """All cells, a table of bounded size, for the tasks."""
+    pdf = index.cells.select("cell_id", "centroid", "size", "low", "high").limit(MOST_CELLS + 1).toPandas().sort_values("cell_id")
+    if len(pdf) > MOST_CELLS:
+        raise ValueError(f"an index has {MOST_CELLS} cells at most")
+    ids = pdf["cell_id"].to_numpy(np.int64)
+    centroids = np.stack(pdf["centroid"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
     box = lambda c: np.stack([np.zeros(index.dims) if v is None else np.asarray(v, np.float64) for v in pdf[c]]) if len(pdf) else centroids
-    return index.refs.sparkSession.sparkContext.broadcast(Cells(ids, centroids, pdf["size"].to_numpy(np.int64), box("low"), box("high")))
+    cells = Cells(ids, centroids, pdf["size"].to_numpy(np.int64), box("low"), box("high"))
+    return index.refs.sparkSession.sparkContext.broadcast(replace(cells, groups=Groups.of(cells)) if len(ids) >= GROUPED else cells)
 
 
 def _queried(queries: DataFrame, *more: str) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q16").cast("array<smallint>").alias("query"), F.col("q8").cast("array<tinyint>").alias("query_q8"), *more)
 
 
+#: Farther than any two 8-bit vectors are.
+FAR = 1 << 62
 CANDIDATES = "query_id long, part int, ref_id long, label int, cell_rank int, coarse long, distance long"
 
 
 def candidates(index: Index, asked: DataFrame, most: int) -> DataFrame:
     """The nearest references of some cells by 8-bit distance, `most` for each query and part, with their 16-bit distance.
 
-    asked: query_id, part (one row for both), query, query_q8, cells, ranks (arrays). Queries are sent to the
+    asked: query_id, part (one row for both), query, query_q8, cells, ranks (arrays), and perhaps bound: only
+    references nearer than it by 8 bits count, so tasks give back few rows. Queries are sent to the
     tasks that read their cells where they are few. More stream past the references of their cells, which a
     task holds in blocks: queries are copied for each block, references only for very long streams, so
     neither a cell with many references nor one that many queries probe is a task of its own.
     """
     spark = index.refs.sparkSession
     refs = index.refs.select("ref_id", "q16", "q8", F.col("label").cast("long").alias("label"), "cell_id")
-    asked = asked.select("query_id", "part", "query", "query_q8", "cells", "ranks")
+    bound = F.coalesce("bound", F.lit(FAR)) if "bound" in asked.columns else F.lit(FAR)
+    asked = asked.select("query_id", "part", "query", "query_q8", "cells", "ranks", bound.alias("bound"))
     held = asked.limit(FEW_QUERIES + 1).toArrow()
     if held.num_rows <= FEW_QUERIES and (pc.sum(pc.list_value_length(held["cells"])).as_py() or 0) <= FEW_PROBES:
         made = Probes.of(held)
@@ -389,6 +474,7 @@ class Probes:
     cells: dict[int, tuple[np.ndarray, np.ndarray]]
     left: np.ndarray
     q16: np.ndarray
+    bounds: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Probes:
@@ -398,13 +484,13 @@ class Probes:
         if rows["query_id"].null_count or len(np.unique(np.stack([ids, parts]), axis=1).T) < len(ids):
             raise ValueError("each query needs a query_id of its own")
         if not rows.num_rows:
-            return Probes(ids, parts, {}, np.zeros((0, 3), np.float32), np.zeros((0, 1)))
+            return Probes(ids, parts, {}, np.zeros((0, 3), np.float32), np.zeros((0, 1)), ids)
         q8, q16 = matrix_of(column("query_q8"), -1, _coarse_type(rows)), matrix_of(column("query"), -1)
         owner = np.repeat(np.arange(len(ids)), pc.list_value_length(rows["cells"]).to_numpy())
         cells, ranks = (pc.list_flatten(rows[c]).to_numpy() for c in ("cells", "ranks"))
         order = np.argsort(cells, kind="stable")
         cuts = np.flatnonzero(np.diff(cells[order], prepend=-1, append=-1)) if len(order) else [0]
-        return Probes(ids, parts, {int(cells[order[i]]): (owner[order[i:j]], ranks[order[i:j]].astype(np.int64)) for i, j in pairwise(cuts)}, left_of(q8), q16)
+        return Probes(ids, parts, {int(cells[order[i]]): (owner[order[i:j]], ranks[order[i:j]].astype(np.int64)) for i, j in pairwise(cuts)}, left_of(q8), q16, rows["bound"].to_numpy())
 
 
 def _coarse_type(rows: pa.Table | pa.RecordBatch) -> type:
@@ -433,7 +519,7 @@ def _found(probes: Probes, best: Nearest) -> pa.RecordBatch:
 
 def _scanned(probes: Probes, batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The candidates of some probes among some references."""
-    best = Nearest(len(probes.ids), most, 2)
+    best = Nearest(len(probes.ids), most, 2, probes.bounds)
     for cell, batch in by_cell(batches, probes.cells):
         of, ranks = probes.cells[cell]
         _compared(best, of, ranks, probes, right_of(matrix_of(batch["q8"], -1, probes.left.dtype)), matrix_of(batch["q16"], -1), batch["ref_id"].to_numpy(), batch["label"].to_numpy())
@@ -462,14 +548,14 @@ def by_cell(batches: Iterable[pa.RecordBatch], wanted: dict) -> Iterator[tuple[i
 
 def _streamed(index: Index, refs: DataFrame, asked: DataFrame) -> DataFrame:
     """Of each cell, block of references and run of queries: first the references (kind 0), then the queries."""
-    probes = asked.select("query_id", "part", "query", "query_q8", F.explode(F.arrays_zip("cells", "ranks")).alias("c")).select("*", F.col("c.cells").alias("cell_id"), F.col("c.ranks").alias("rank")).drop("c")
+    probes = asked.select("query_id", "part", "query", "query_q8", "bound", F.explode(F.arrays_zip("cells", "ranks")).alias("c")).select("*", F.col("c.cells").alias("cell_id"), F.col("c.ranks").alias("rank")).drop("c")
     visits = probes.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_RUN).cast("int").alias("runs"))
     blocks = F.broadcast(index.cells.select("cell_id", F.ceil(F.col("size") / REF_BLOCK).cast("int").alias("blocks")).join(visits, "cell_id").filter("blocks > 0"))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     empty = lambda kind: F.lit(None).cast(kind)
-    r = refs.join(blocks, "cell_id").select("cell_id", place("ref_id", "blocks").alias("block"), every("runs").alias("run"), F.lit(0).alias("kind"), F.col("ref_id").alias("id"), empty("int").alias("part"), empty("int").alias("rank"), "label", "q16", "q8")
-    q = probes.join(blocks, "cell_id").select("cell_id", every("blocks").alias("block"), place("query_id", "runs").alias("run"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "part", "rank", empty("long").alias("label"), F.col("query").alias("q16"), F.col("query_q8").alias("q8"))
+    r = refs.join(blocks, "cell_id").select("cell_id", place("ref_id", "blocks").alias("block"), every("runs").alias("run"), F.lit(0).alias("kind"), F.col("ref_id").alias("id"), empty("int").alias("part"), empty("int").alias("rank"), empty("long").alias("bound"), "label", "q16", "q8")
+    q = probes.join(blocks, "cell_id").select("cell_id", every("blocks").alias("block"), place("query_id", "runs").alias("run"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "part", "rank", "bound", empty("long").alias("label"), F.col("query").alias("q16"), F.col("query_q8").alias("q8"))
     keys = ["cell_id", "block", "run"]
     return r.unionByName(q).repartition(*keys).sortWithinPartitions(*keys, "kind")
 
@@ -484,8 +570,8 @@ def _passing(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
         return right_of(matrix_of(block["q8"], dims, kind)), matrix_of(block["q16"], dims), block["id"].to_numpy(), block["label"].to_numpy()
 
     for (right, q16, ids, labels), some in passed(batches, ("cell_id", "block", "run"), build):
-        probes = Probes(some["id"].to_numpy(), some["part"].to_numpy(), {}, left_of(matrix_of(some["q8"], -1, right.dtype)), matrix_of(some["q16"], -1))
-        best = Nearest(len(probes.ids), most, 2)
+        probes = Probes(some["id"].to_numpy(), some["part"].to_numpy(), {}, left_of(matrix_of(some["q8"], -1, right.dtype)), matrix_of(some["q16"], -1), some["bound"].to_numpy())
+        best = Nearest(len(probes.ids), most, 2, probes.bounds)
         _compared(best, np.arange(len(probes.ids)), some["rank"].to_numpy().astype(np.int64), probes, right, q16, ids, labels)
         yield _found(probes, best)
 
@@ -517,9 +603,11 @@ def between(rows: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def grown(index: Index, pool: DataFrame | None, asked: DataFrame, most: int) -> DataFrame:
-    """A pool with what some more cells hold."""
-    more = candidates(index, asked, most)
-    return (more if pool is None else pooled(pool.unionByName(more), most)).checkpoint()
+    """A pool with what some more cells hold, all of higher ranks: of these only rows nearer than the last of a full pool count."""
+    if pool is None:
+        return candidates(index, asked, most).checkpoint()
+    last = pool.filter(F.col("coarse_rank") == most).select("query_id", F.col("coarse").alias("bound"))
+    return pooled(pool.unionByName(candidates(index, asked.join(last, "query_id", "left"), most)), most).checkpoint()
 
 
 def rows_until(n: int) -> Column:
@@ -532,22 +620,24 @@ def search(index: Index, queries: DataFrame, how: Search = Search()) -> DataFram
 
     Each cell of a query is scanned once. Queries whose cells are empty have no frauds. Raises if a query_id repeats.
     """
-    how = how.within(index.cells.count())
+    cells = _cells(index)
+    how = how.within(len(cells.value.ids))
     reach = max(how.probes, how.borderline_probes)
-    rest = nearest_cells(index, queries, reach, how.box_guided, how.row_budget).checkpoint()
+    rest = nearest_cells(index, queries, reach, how.box_guided, how.row_budget, cells).checkpoint()
+    voted = lambda rows, pool: rows.join(summary(reranked(pool)), "query_id", "left").withColumn("frauds", F.coalesce("frauds", F.lit(0)))
+    answer = lambda rows, mode, scanned: rows.select("query_id", "frauds", mode.alias("mode"), scanned.alias("rows_scanned"))
     pool, at, done = None, 0, []
     for pct in (how.early_stop_pct_first, how.early_stop_pct) if how.early_stop and not how.box_repair else ():
         if (stop := checkpoint_of(how.probes, pct)) > at:
             pool, at = grown(index, pool, between(rest, at, stop), how.candidates), stop
             # neighbours agree, and the last one is nearer than the next cell's centroid
             sure = agreed(F.col("frauds"), how.early_majority) & (F.col("worst") < F.get("distances", F.lit(stop)))
-            found = rest.join(summary(reranked(pool)), "query_id").filter(sure).select("query_id", "frauds", F.lit(1).alias("mode"), rows_until(stop).alias("rows_scanned")).checkpoint()
-            done.append(found)
-            rest, pool = (x.join(found.select("query_id"), "query_id", "left_anti") for x in (rest, pool))
+            both = voted(rest, pool).withColumn("sure", F.coalesce(sure, F.lit(False))).checkpoint()
+            done.append(answer(both.filter("sure"), F.lit(1), rows_until(stop)))
+            rest = both.filter("not sure").drop("frauds", "worst", "sure")
+            pool = pool.join(rest.select("query_id"), "query_id", "left_semi")
 
     pool = grown(index, pool, between(rest, at, how.probes), how.candidates)
-    voted = lambda rows, pool: rows.join(summary(reranked(pool)), "query_id", "left").withColumn("frauds", F.coalesce("frauds", F.lit(0)))
-    answer = lambda rows, mode, scanned: rows.select("query_id", "frauds", mode.alias("mode"), scanned.alias("rows_scanned"))
     full = voted(rest, pool)
     if how.box_repair:
         full = full.withColumn("cells", F.slice("cells", 1, how.probes)).checkpoint()
@@ -569,8 +659,9 @@ def search(index: Index, queries: DataFrame, how: Search = Search()) -> DataFram
 
 def neighbours(index: Index, queries: DataFrame, how: Search = Search()) -> DataFrame:  # noqa: B008
     """The K nearest in the probed cells: query_id, rank, ref_id, label, distance."""
-    how = how.within(index.cells.count())
-    rows = nearest_cells(index, queries, how.probes, how.box_guided, how.row_budget).checkpoint()
+    cells = _cells(index)
+    how = how.within(len(cells.value.ids))
+    rows = nearest_cells(index, queries, how.probes, how.box_guided, how.row_budget, cells).checkpoint()
     return reranked(candidates(index, between(rows, 0, how.probes), how.candidates)).select("query_id", "rank", "ref_id", "label", "distance")
 
 

@@ -42,16 +42,17 @@ def right_of(r: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """Of each query the k least rows so far, by distance, rank and id, with some more columns of theirs."""
+    """Of each query the k least rows so far, by distance, rank and id, with some more columns of theirs; with `bounds` only such as are nearer."""
 
-    def __init__(self, queries: int, k: int, more: int = 1) -> None:
+    def __init__(self, queries: int, k: int, more: int = 1, bounds: np.ndarray | None = None) -> None:
         top = np.iinfo(np.int64).max
         self.k, self.distance, self.rank, self.id = k, np.full((queries, k), top), np.full((queries, k), top), np.full((queries, k), top)
-        self.more = np.zeros((more, queries, k), np.int64)
+        self.more, self.bounds = np.zeros((more, queries, k), np.int64), bounds
 
     def add(self, of: np.ndarray, d: np.ndarray, ranks: np.ndarray, ids: np.ndarray, more) -> None:
         """d: for the queries `of` (rows) and some references (columns) their distances; ranks: of the queries; more(q, r): columns of pairs."""
-        near = d <= self.distance[of, -1].astype(d.dtype)[:, None]
+        worst = self.distance[of, -1] if self.bounds is None else np.minimum(self.distance[of, -1], self.bounds[of] - 1)
+        near = d <= worst.astype(d.dtype)[:, None]
         if d.shape[1] > self.k and near.sum() > 4 * self.k * len(of):
             near &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
         q, r = np.nonzero(near)

@@ -611,18 +611,44 @@ def ivf_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return even.groupBy("cell_id").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query()
+STRESSED = 50
+
+
+def _drawn_sql(row: str, seed: int, i: str = "i") -> str:
+    return f"(('0x' || substr(md5({row} || '/{seed}/' || {i}), 1, 10))::BIGINT / {float(1 << 40)}::DOUBLE)"
+
+
+_NOISE = f"sqrt(-2 * ln(1 - {_drawn_sql('vec_id', 42)})) * cos(2 * pi() * {_drawn_sql('vec_id', 43)})"
+STRESS_SQL = f"""WITH {ASSIGNED},
+w AS (SELECT 'uniform/' || id AS query_id, list_transform(range(0, {DIMS}), lambda i: {_drawn_sql('id', 7)}) AS v FROM range({STRESSED}) r(id)
+  UNION ALL SELECT 'jitter/' || vec_id, list_transform(range(0, {DIMS}), lambda i: greatest(least(embedding[i + 1]::DOUBLE + 0.05::DOUBLE * ({_NOISE}), 1::DOUBLE), 0::DOUBLE)) FROM embeddings WHERE vec_id % 100 = 0
+  UNION ALL SELECT 'edge/' || id, list_transform(range(1, {DIMS + 1}), lambda i: (x.centroid[i] * (1::DOUBLE - t) + y.centroid[i] * t) / 10000::DOUBLE)
+    FROM (SELECT id, floor({_drawn_sql('id', 13, "'0'")} * {NLIST}) AS f, floor({_drawn_sql('id', 13, "'1'")} * {NLIST}) AS g, 0.4::DOUBLE + 0.2::DOUBLE * {_drawn_sql('id', 13, "'2'")} AS t FROM range({STRESSED}) r(id)) e
+    JOIN cc x ON x.cell_id = f JOIN cc y ON y.cell_id = g),
+s AS (SELECT query_id, list_transform(v, lambda x: greatest(-32768, least(32767, round_even(x::FLOAT * 10000::FLOAT, 0)))::BIGINT) AS q16,
+  list_transform(v, lambda x: greatest(-128, least(127, round_even(x::FLOAT * 127::FLOAT, 0)))::BIGINT) AS q8 FROM w),
+every AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cell_distance, cell_id) AS cell_rank
+  FROM (SELECT query_id, s.q16 AS query, s.q8 AS query_q8, cell_id, {distance('s.q16', 'centroid')} AS cell_distance FROM s, cc)),
+{searched('f', 'SELECT * FROM every WHERE cell_rank <= 6')}, {searched('g', 'SELECT * FROM every WHERE cell_rank <= 4')},
+early AS (SELECT g_s.query_id, frauds FROM g_s JOIN every USING (query_id) WHERE cell_rank = 5 AND frauds IN (0, 5) AND worst < cell_distance),
+got AS (SELECT * FROM early UNION ALL SELECT query_id, frauds FROM f_s WHERE query_id NOT IN (SELECT query_id FROM early)),
+t AS (SELECT query_id, sum(label)::INTEGER AS true_frauds FROM (SELECT s.query_id, label, row_number() OVER (PARTITION BY s.query_id ORDER BY {distance('s.q16', 'v.q16')}, vec_id) AS r FROM s, v) WHERE r <= 5 GROUP BY query_id)
+SELECT split_part(query_id, '/', 1) AS workload, count(*) AS queries, count(*) FILTER ((frauds < 3) <> (true_frauds < 3)) AS otherwise, round(avg(((frauds < 3) <> (true_frauds < 3))::INTEGER), 9) AS share,
+  round(avg(abs(frauds - true_frauds) / 5.0::DOUBLE), 9) AS mean_apart, max(abs(frauds - true_frauds) / 5.0::DOUBLE) AS most_apart FROM got JOIN t USING (query_id) GROUP BY 1"""
+
+
+@query(STRESS_SQL)
 def stress_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How searches of uniform, jittered and in-between queries differ from exact ones."""
     built = index(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sets = {"uniform": stress.uniform(spark, 50, DIMS), "jitter": stress.jittered(vectors, 0.05, DIMS), "edge": stress.between_cells(spark, centroids(spark, sf_dir), 50, DIMS)}
+    sets = {"uniform": stress.uniform(spark, STRESSED, DIMS), "jitter": stress.jittered(vectors, 0.05, DIMS), "edge": stress.between_cells(spark, centroids(spark, sf_dir), STRESSED, DIMS)}
     rows = None
     for name, q in sets.items():
-        q = q.persist()
+        q = q.checkpoint()
         one = evaluate.disagreement(scorer("ivf")(built, q, ivf.Search(probes=6)), scorer("bruteq16")(built, q, ivf.Search())).withColumn("workload", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return rows.withColumns({c: F.round(c, 9) for c in ("share", "mean_apart")})
 
 
 @query(DECISION)

@@ -17,11 +17,20 @@ def read_requests(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def read_references(spark: SparkSession, path: str, dims: int = DIMS, multi_line: bool = True) -> DataFrame:
+#: A string, which stays, or a comma before a closing bracket.
+LAST_COMMA = r'("(?:[^"\\]|\\.)*")|,(?=\s*[\]}])'
+
+
+def read_references(spark: SparkSession, path: str, dims: int = DIMS, multi_line: bool = True, last_commas: bool = False) -> DataFrame:
     """Labelled vectors as JSON, also compressed: ref_id (a hash of the content), q16, q8, label (1: fraud). Anything malformed raises.
 
-    One array in one file is read by one task: write the result as Parquet before it is used often.
+    One array in one file is read by one task: write the result as Parquet before it is used often. With
+    `last_commas` each file is one array, in which a comma may stand before a closing bracket.
     """
+    if last_commas:
+        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", LAST_COMMA, "$1").alias("value"))
+        each = F.from_json("value", f"array<struct<{schemas.REFERENCE}>>", {"mode": "FAILFAST", "allowComments": "true"})
+        return validated(text.select(F.explode(each).alias("r")).select("r.*"), dims)
     rows = spark.read.schema(schemas.REFERENCE).option("multiLine", multi_line).option("allowComments", True).option("mode", "FAILFAST").json(path)
     return validated(rows, dims)
 

@@ -173,6 +173,12 @@ def test_tree_of_hard_queries(spark, tmp_path):
     hard_queries.save(model, str(tmp_path / "tree"))
     again = hard_queries.load(str(tmp_path / "tree")).transform(ready).withColumn("said", hard_queries.as_column(model, ["f0", "f1", "f2"]))
     assert again.filter(F.col("prediction") != F.col("said")).count() == 0 and again.filter("said = 1 and mode = 0").count() > 100
+    # the scores are those of the rows held out, counted anew
+    held = again.filter(F.pmod(F.xxhash64("f0", "f1", "f2", F.lit(42)), F.lit(5)) == 0).collect()
+    count = lambda said, mode: sum(r["said"] == said and (r["mode"] == 0) == mode for r in held)
+    (best,) = [r for r in scores.collect() if r["depth"] == 3]
+    assert (best["tp"], best["fp"], best["fn"]) == (count(1.0, True), count(1.0, False), count(0.0, True)) and 60 < len(held) < 180
+    assert abs(best["f1"] - 2 * best["tp"] / (2 * best["tp"] + best["fp"] + best["fn"])) < 1e-12
 
 
 def test_constants_from_files(spark, tmp_path):
@@ -457,3 +463,31 @@ def test_raw_workload(spark, tmp_path):
     (tmp_path / "w.json").write_text(json.dumps({"entries": [{"request": sent, "expected_approved": True, "expected_fraud_score": 0.2}, {"request": request(id="b"), "expected_approved": False, "expected_fraud_score": 0.8}]}))
     rows = {r["id"]: r for r in read_raw_workload(spark, str(tmp_path / "w.json")).withColumn("text", F.to_json("raw")).drop("raw").collect()}
     assert json.loads(rows["a"]["text"]) == sent and rows["a"]["transaction"]["installments"] == 2 and rows["a"]["expected_approved"] and not rows["b"]["expected_approved"]
+
+
+def test_cells_in_groups_are_ranked_as_all_cells(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centers = rng.integers(0, 10_000, (12, 6))
+    c = (centers[rng.integers(0, 12, 3000)] + rng.integers(-300, 300, (3000, 6))).astype(float)
+    c[100:110] = c[5]
+    low, sizes = c - rng.integers(0, 50, c.shape), rng.integers(0, 3, 3000)
+    plain = ivf.Cells(np.arange(3000), c, sizes, low, c + 40)
+    held = ivf.replace(plain, groups=ivf.Groups.of(plain))
+    q = np.vstack([rng.integers(0, 10_000, (40, 6)), c[:40]]).astype(float)
+    compared, plain_some = [], ivf.Cells.to_some
+    monkeypatch.setattr(ivf.Cells, "to_some", lambda self, x, places, guided: (compared.append(len(places)), plain_some(self, x, places, guided))[1])
+    for guided in (False, True):
+        compared.clear()
+        got = held.nearest(q, 9, guided)
+        assert sum(compared) < 0.5 * 3000 * len(q)
+        want = plain.nearest(q, 9, guided)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
+def test_commas_before_closing_brackets(spark, tmp_path):
+    (tmp_path / "refs.json").write_text('[{"vector": [' + "0.5, " * DIMS + '], "label": "fraud",}, {"label": "legit", "vector": [' + ", ".join(["-1"] * DIMS) + " ,\n]},\n]")
+    got = read_references(spark, str(tmp_path / "refs.json"), last_commas=True).collect()
+    assert sorted((r["q16"][0], r["label"]) for r in got) == [(-10_000, 0), (5000, 1)]
+    (tmp_path / "refs.json").write_text('[{"vector": [0.5], "label": "fraud"}]')
+    with pytest.raises(Exception, match="reference needs"):
+        read_references(spark, str(tmp_path / "refs.json"), last_commas=True).collect()
