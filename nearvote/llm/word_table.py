@@ -1,8 +1,9 @@
 """BPE by a table of distinct words: Spark splits texts into words, each distinct word is encoded once, ids are joined back by position.
 
-A text is a sequence of numbers in the word dictionary of its chunk (`lookup`). The distinct words of all
-dictionaries are encoded with the tokenizers library's model and joined back; the word at each position
-gives its ids. Decoding joins the ids of each chunk with the table of ids and pieces in the same way.
+A text is a sequence of numbers in the word dictionary of its chunk (`lookup`). The words of all dictionaries
+are one table, sorted, in which each distinct word is encoded once with the tokenizers library's model. Ids go
+back to the dictionaries, and the word at each position of a text gives its ids. Decoding joins the ids of each
+chunk with the table of ids and pieces.
 """
 
 from __future__ import annotations
@@ -10,16 +11,16 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.bpe import Kept, byte_characters, lists
-from nearvote.llm.common import by_size, filled, stored, table
+from nearvote.llm.common import by_size, filled, let_go, removed, stored, table
 from nearvote.llm.lookup import by_chunk, chunk_numbers, packed, unpacked
 from nearvote.llm.token_files import BEYOND, WORDS
 
@@ -138,17 +139,6 @@ def worded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return stored(rows.mapInArrow(work, "chunk long, doc_id long, numbers binary, words array<string>"), "words")
 
 
-def encoding(path: str) -> Callable[[Column], Column]:
-    """The ids of a column of words. As a scalar function it keeps rows where they are, so a partitioning by word lasts."""
-
-    @F.pandas_udf("array<int>")
-    def ids_of(words: pd.Series) -> pd.Series:
-        bpe, special, letters = model(path)
-        return pd.Series([[special[w]] if w in special else [t.id for t in bpe.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
-
-    return ids_of
-
-
 _MODELS: dict[str, tuple] = {}
 
 
@@ -165,9 +155,55 @@ def model(path: str) -> tuple:
     return _MODELS[path]
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """word and ids: every distinct word of `words`, encoded once."""
-    return words.select("word").distinct().withColumn("ids", encoding(path)("word"))
+#: Entries of dictionaries that a task packs together.
+ENTRIES = 1 << 20
+ANY = 1 << 31
+
+
+def numbered_ids(words: DataFrame, path: str) -> DataFrame:
+    """chunk, numbers, sizes, ids (packed) of rows of chunk, number, word: for entries of a chunk's dictionary how many ids each has, and these one after another.
+
+    All rows of a word come together in one partition, where it is encoded once. A chunk has a word once, so no
+    word is hot: it has as many rows as there are chunks.
+    """
+    schema = pa.schema([("chunk", pa.int64()), *((n, pa.binary()) for n in ("numbers", "sizes", "ids"))])
+
+    def flushed(held: dict[int, tuple[array, array, array]]) -> pa.RecordBatch:
+        columns = [[packed(np.array(x[k], np.int32), ANY) for x in held.values()] for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, special, letters = model(path)
+        last, ids, held, n = None, [], defaultdict(lambda: (array("i"), array("i"), array("i"))), 0
+        for batch in batches:
+            for word, chunk, number in zip(batch["word"].to_pylist(), batch["chunk"].to_pylist(), batch["number"].to_pylist(), strict=True):
+                if word != last:
+                    last = word
+                    ids = [special[word]] if word in special else [t.id for t in bpe.tokenize(word.encode().decode("latin-1").translate(letters))]
+                numbers, sizes, flat = held[chunk]
+                numbers.append(number)
+                sizes.append(len(ids))
+                flat.extend(ids)
+            n += batch.num_rows
+            if n >= ENTRIES:
+                yield flushed(held)
+                n = 0
+                held.clear()
+        if held:
+            yield flushed(held)
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(work, "chunk long, numbers binary, sizes binary, ids binary")
+
+
+def ids_of_chunks(numbered: DataFrame) -> DataFrame:
+    """chunk and id: the distinct ids of each chunk."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(unpacked(raw, ANY)) for raw in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["chunk"], lists(found)], names=["chunk", "ids"])
+
+    return numbered.select("chunk", "ids").mapInArrow(work, "chunk long, ids array<int>").select("chunk", F.explode("ids").alias("id")).distinct()
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -194,27 +230,31 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     the memory of a task grows with the longest text.
     """
     chunks = worded(docs, path, id_col, text_col)
-    # one exchange by word serves the table and the join with it
-    words = chunks.filter("words is not null").select("chunk", F.posexplode("words").alias("number", "word")).repartition("word")
-    numbered = stored(words.join(word_table(words, path), "word").select("chunk", "number", "ids"), "numbered")
-    pieces = numbered.select("chunk", F.explode("ids").alias("id")).distinct().join(piece_table(docs.sparkSession, path), "id")
-    # ids of a word by its number, and a piece by what its id lacks to -1
-    found = numbered.select("chunk", "number", F.array_join(F.col("ids").cast("array<string>"), " ").alias("said"))
-    found = found.unionByName(pieces.select("chunk", (F.lit(-1) - F.col("id")).alias("number"), F.col("piece").alias("said")))
+    rows = stored(chunks.filter("words is null").select("chunk", "doc_id", "numbers"), "numbers")
+    words = stored(chunks.filter("words is not null").select("chunk", "words"), "dictionaries")
+    removed(chunks)
+    numbered = stored(numbered_ids(words.select("chunk", F.posexplode("words").alias("number", "word")), path), "numbered")
+    removed(words)
+    let_go(docs.sparkSession)
+    pieces = ids_of_chunks(numbered).join(piece_table(docs.sparkSession, path), "id").select("chunk", "id", "piece")
+    found = numbered.unionByName(pieces, allowMissingColumns=True)
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
-        numbers = found["number"].to_numpy()
-        words, entries = found.filter(pa.array(numbers >= 0)), int((numbers >= 0).sum())
+        of_words = found.filter(pc.is_valid(found["numbers"]))
+        parts = [[unpacked(raw, ANY) for raw in of_words[c].to_pylist()] for c in ("numbers", "sizes", "ids")]
+        entries = sum(map(len, parts[0]))
         ids_of: list[bytes] = [b""] * entries
-        for n, said in zip(words["number"].to_pylist(), words["said"].to_pylist(), strict=True):
-            ids_of[n] = array("i", map(int, said.split())).tobytes()
-        piece_of = Pieces(zip((-1 - numbers[numbers < 0]).tolist(), found.filter(pa.array(numbers < 0))["said"].to_pylist(), strict=True))
+        for numbers, sizes, ids in zip(*parts, strict=True):
+            ends, raw = (4 * np.cumsum(sizes)).tolist(), ids.tobytes()
+            for n, begin, end in zip(numbers.tolist(), [0, *ends], ends):  # noqa: B905
+                ids_of[n] = raw[begin:end]
+        of_pieces = found.filter(pc.is_valid(found["id"]))
+        piece_of = Pieces(zip(of_pieces["id"].to_pylist(), of_pieces["piece"].to_pylist(), strict=True))
         ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, unpacked(raw, entries).tolist())), np.int32) for raw in rows["numbers"].to_pylist()]
         said = [" ".join(map(piece_of.__getitem__, x.tolist())) for x in ids]
         return pa.Table.from_arrays([rows["doc_id"], lists(ids), pa.array(said, pa.string())], schema=schema)
 
-    rows = chunks.filter("words is null").select("chunk", "doc_id", "numbers")
     return by_chunk(rows, found, meet, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
