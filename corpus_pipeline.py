@@ -5,7 +5,7 @@ last return the columns of documents.
 
 In all stages null text counts as empty, rows with a null id stay rows of their own, columns beside those
 of documents are kept as they are (up to the mix), and an empty table gives an empty one. Of rows repeated
-under one id, equal texts become one in exact_dedup; different ones stay, and share their fate in near_dedup.
+under one id, equal texts become one in exact_dedup; different ones are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nearvote.llm.bpe import digests, public_ranks, round_trip
 from nearvote.llm.common import prepare, stored, table, without
 from nearvote.llm.exact_dedup import deduplicated
-from nearvote.llm.minhash import near_duplicates
+from nearvote.llm.minhash import near_duplicates, text_hash
 from nearvote.llm.mixing import drawn
 from nearvote.llm.toxicity import toxicity_chain, without_toxic
 
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each component of near-duplicates the document with the smallest doc_id stays. Texts without words stay."""
     prepare(spark)
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return without(docs, gone)
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    return without(docs.withColumn("_text_hash", text_hash()), gone).drop("_text_hash")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
