@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.sources.shared import new_path, shared_dir
+from nearvote.sources.shared import gone_at_exit, new_path, shared_dir, stored  # noqa: F401
 
 #: Rows in an Arrow batch. Long texts are cut again by size inside the tasks.
 BATCH_ROWS = 256
@@ -29,14 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage ends there, and any executor can read it. It is gone when the driver ends."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    gone_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def removed(df: DataFrame) -> None:
     """Delete what `stored` has written. All that is read from now on must begin at tables and checkpoints written since."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -51,11 +43,6 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def gone_at_exit(spark: SparkSession, path: str) -> None:
-    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,11 +43,12 @@ def answered(rows: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 def score_stream(
-    queries: DataFrame, index: Index, sink: Sink, checkpoint: str, name: str = "ivf", how: Search = Search(), available_now: bool = True, rejected: Sink | None = None,  # noqa: B008
+    queries: DataFrame, index: Index | None, sink: Sink | None, checkpoint: str, name: str = "ivf", how: Search = Search(), available_now: bool = True, rejected: Sink | None = None,  # noqa: B008
 ) -> StreamingQuery:
     """Score a stream of queries (q16, q8, and others) in micro-batches.
 
     `sink` gets the rows with their decisions and the number of the batch, `rejected` those with a `reason`.
+    Without a sink nothing is scored, and no index is needed: a stream that only says what it rejects.
     Ranking over rows isn't possible on a stream itself, so it is done in foreachBatch. With sinks that
     overwrite by batch number each row is answered, or rejected, once, also after a restart.
     """
@@ -56,8 +57,9 @@ def score_stream(
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            good = batch.filter("reason is null").drop("reason", "line") if "reason" in batch.columns else batch
-            sink(answered(good, lambda asked: score(index, asked, how)), number)
+            if sink is not None:
+                good = batch.filter("reason is null").drop("reason", "line") if "reason" in batch.columns else batch
+                sink(answered(good, lambda asked: score(index, asked, how)), number)
             if rejected is not None and "reason" in batch.columns:
                 rejected(batch.filter("reason is not null").select("id", "reason", "line"), number)
         finally:

@@ -53,3 +53,24 @@ def test_decisions_of_stress_sets(spark):
 def test_scores_of_trees(spark):
     rows = plans.hard_query_tree(spark, SF).collect()
     assert [r["depth"] for r in rows] == [3, 4] and all(0 <= r["f1"] <= 1 for r in rows)
+
+
+def test_what_a_stream_rejects_is_not_searched(spark, duck, monkeypatch):
+    monkeypatch.setattr("nearvote.streaming.scoring.answered", None)
+    name = "request_stream_rejections"
+    same(plans.QUERIES[name](spark, SF).toPandas(), duck.execute(plans.ORACLE_SQL[name]).df())
+
+
+def test_orders_are_numbered_once(spark, monkeypatch):
+    """Requests and references come from one pass over the orders."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    made = plans.transactions
+    monkeypatch.setattr(plans, "transactions", lambda *a: (rows := made(*a).coalesce(1)).mapInArrow(counted, rows.schema))
+    refs, folder = plans._labelled_orders(spark, SF)
+    assert refs.count() == refs.select("q16").distinct().join(refs, "q16").count() and spark.read.text(f"{folder}/in").count() > 0
+    assert passes.value == 1
