@@ -90,8 +90,9 @@ class Nearest:
 def nearest(refs: DataFrame, queries: DataFrame, k: int = K, vector: str = "q16", block: int = BLOCK, ref_block: int = REF_BLOCK, run: int = QUERY_RUN) -> DataFrame:
     """query_id, rank (from 1), ref_id, label, distance: the k nearest references of every query, by integer vectors.
 
-    Up to `block` queries go to all tasks, and the references are read once where they lie. More of them
-    stream past blocks of references (`streamed`). A task keeps k rows for each query, and these alone are
+    Up to `block` queries go to all tasks, and the references are read once where they lie. More of them scan
+    those cells of references that may hold one of their nearest (`boxes`), or, where that is most of them,
+    stream past blocks of all references (`streamed`). A task keeps k rows for each query, and these alone are
     shuffled. Products of integers below 2**53 are exact in double precision. Raises if a query_id repeats or is null.
     """
     r = refs.select(F.col("ref_id").cast("long").alias("ref_id"), F.col("label").cast("long").alias("label"), F.col(vector).cast("array<int>").alias("v"))
@@ -125,6 +126,11 @@ def searched(r: DataFrame, q: DataFrame, k: int, block: int, ref_block: int, run
         return r.mapInArrow(lambda batches: by(*held.value, map(blocked, batches), k), made)
     if q.agg(F.count_distinct("query_id")).first()[0] < count:
         raise ValueError("each query needs a query_id of its own")
+    if by is integers:
+        from nearvote.operators import boxes
+
+        if (found := boxes.searched(r, q, k, count)) is not None:
+            return found
 
     def build(batches: list[pa.RecordBatch]) -> list[tuple]:
         return [blocked(b) for b in pa.Table.from_batches(batches).combine_chunks().to_batches()]
@@ -177,9 +183,9 @@ def blocked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.to_numpy(), batch["label"].to_numpy(), matrix_of(batch["v"], -1 if batch.num_rows else 1, np.float32 if pa.types.is_float32(batch["v"].type.value_type) else np.float64)
 
 
-def integers(ids: np.ndarray, q: np.ndarray, blocks: Iterable[tuple], k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest of some blocks, by integer vectors."""
-    best, left, every = Nearest(len(ids), k), left_of(q.astype(np.float64)), np.arange(len(ids))
+def integers(ids: np.ndarray, q: np.ndarray, blocks: Iterable[tuple], k: int, bounds: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The k nearest of some blocks, by integer vectors; with `bounds` only such as are nearer."""
+    best, left, every = Nearest(len(ids), k, bounds=bounds), left_of(q.astype(np.float64)), np.arange(len(ids))
     step = max(k + 1, CELLS // max(1, len(ids)))
     for refs, labels, vectors in blocks:
         for i in range(0, len(refs) if len(ids) else 0, step):

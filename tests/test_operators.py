@@ -9,7 +9,7 @@ from pyspark.sql import Row, functions as F
 
 from nearvote.functions.features import vectorized
 from nearvote.functions.quantize import q8, q16
-from nearvote.operators import balance, evaluate, hard_queries, ivf, replay, stress
+from nearvote.operators import balance, boxes, evaluate, hard_queries, ivf, knn, replay, stress
 from nearvote.operators.balance import heavy_cells, rebalanced, split_centroids
 from nearvote.operators.knn import decided, nearest, nearest_single, shape, streamed, voted
 from nearvote.operators.scorers import scorer
@@ -491,3 +491,37 @@ def test_commas_before_closing_brackets(spark, tmp_path):
     (tmp_path / "refs.json").write_text('[{"vector": [0.5], "label": "fraud"}]')
     with pytest.raises(Exception, match="reference needs"):
         read_references(spark, str(tmp_path / "refs.json"), last_commas=True).collect()
+
+
+def clustered(spark, n, clusters=3):
+    """References in clusters on a coarse grid, many at one place and many as near as others; every seventh is a copy of vector 0."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, clusters, (n, 1)) * (27_000 // clusters) + rng.integers(0, 4, (n, DIMS)) * 100
+    x[::7] = x[0]
+    order = rng.permutation(n)  # ids say nothing of places
+    rows = [(int(i), v.tolist(), int(i) % 3 % 2) for i, v in zip(order, x, strict=True)]
+    return order, x, spark.createDataFrame(rows, "ref_id long, q16 array<smallint>, label int")
+
+
+def test_search_by_boxes_is_exact_and_scans_few(spark):
+    """Ties across cells, copies, queries far from all and of cells with fewer than k references."""
+    order, x, df = clustered(spark, 3000)
+    asked = np.concatenate([x[:150], x[:30] + 50, np.full((2, DIMS), 30_000), np.full((1, DIMS), -9000)])
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, v array<int>")
+    r = df.select("ref_id", F.col("label").cast("long").alias("label"), F.col("q16").cast("array<int>").alias("v"))
+    for cell, seen in ((64, 1 << 16), (2, 1 << 16), (64, 100)):
+        found = knn.ranked(boxes.searched(r, q, 5, len(asked), seen=seen, cell=cell, most_share=1.1), ["distance", "ref_id"], 5)
+        got = {(a["query_id"], a["rank"]): (a["ref_id"], a["distance"]) for a in found.collect()}
+        assert len(got) == 5 * len(asked)
+        for i, v in enumerate(asked):
+            d = ((x - v) ** 2).sum(axis=1)
+            assert [got[i, k + 1] for k in range(5)] == [(int(order[j]), int(d[j])) for j in np.lexsort((order, d))[:5]]
+    assert boxes.searched(r, q, 5, len(asked), cell=64, most_share=0.03) is None  # then all pairs are compared
+
+
+def test_many_queries_of_clusters_are_not_compared_with_all_references(spark, monkeypatch):
+    order, x, df = clustered(spark, 40_000, 27)
+    q = df.filter("ref_id % 100 = 1").select(F.col("ref_id").alias("query_id"), "q16")
+    want = nearest(df, q).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(knn, "streamed", None)
+    assert nearest(df, q, block=9).orderBy("query_id", "rank").collect() == want
