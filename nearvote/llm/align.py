@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from nearvote.llm.token_files import BEYOND
 
 #: Bytes of text in a chunk, and in a batch that is aligned at once, about; a longer text is one by itself.
 CHUNK, BATCH = 8 << 20, 1 << 20
+#: Bytes that a generation of a worker's table takes here, about: there are three tables of two, one made out of another.
+KEPT = 56 << 20
 #: Ids of one side whose maxima are broadcast: under 4 MB.
 MOST_IDS = 1 << 18
 
@@ -53,7 +56,7 @@ class FileByteBpe(ByteBpe):
         self.dtype = np.dtype("<u2" if len(self.table) <= 1 << 16 else "<u4")
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.lengths = np.array([len(t) for t in self.table], np.int64)
-        self.pieces, self.known = Kept(self.keyed), Kept(self.word)
+        self.pieces, self.known = Kept(self.keyed, KEPT), Kept(self.word, KEPT)
 
     def words(self, piece: str) -> list[str]:
         if not piece.isascii() and BEYOND.search(piece):
@@ -85,7 +88,7 @@ class PieceBpe:
         self.dtype, self.wrong = np.dtype("<u4"), len(said)
         self.space = self.model.piece_to_id("▁")
         self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in said) and said[self.space] == "▁"
-        self.segments = Kept(self.segment)
+        self.segments = Kept(self.segment, KEPT)
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -96,7 +99,7 @@ class PieceBpe:
             ids, said = self.model.encode(key)[1:], key  # the model puts a space before every text
         else:
             ids, said = self.model.encode(key) if key else [self.space], f" {key}"
-        return np.array(ids if self.bytes_of(ids) == said.encode() else [self.wrong], self.dtype).tobytes()
+        return array("I", ids if self.bytes_of(ids) == said.encode() else (self.wrong,)).tobytes()
 
     def keys(self, said: str) -> list[str]:
         if "  " in said or " \n" in said:

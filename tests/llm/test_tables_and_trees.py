@@ -259,3 +259,13 @@ def test_op12_as_sql(spark, duck):
     from tests.conftest import same
 
     same(registry.QUERIES["op12_hard_negatives"](spark, SF).toPandas(), duck.execute(registry.ORACLE_SQL["op12_hard_negatives"]).df())
+
+
+def test_alignment_tables_hold_the_words_of_a_large_part():
+    """140,000 distinct words are encoded once, though tables may turn between texts."""
+    made, calls = align.PieceBpe(align.public_files()[1]), []
+    made.segments.new.make = lambda key: calls.append(key) or made.segment(key)
+    words = [f"w{i:x}" for i in range(140_000)]
+    texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    first, again = ([made.encode(t) for t in texts] for _ in range(2))
+    assert first == again and len(calls) == len(words)
