@@ -2,8 +2,8 @@
 
 A text is a sequence of numbers in the word dictionary of its chunk (`lookup`). The words of all dictionaries
 are one table, sorted, in which each distinct word is encoded once with the tokenizers library's model. Ids go
-back to the dictionaries, and the word at each position of a text gives its ids. Decoding joins the ids of each
-chunk with the table of ids and pieces.
+back to the dictionaries, and the word at each position of a text gives its ids. Decoding looks them up in the
+table of ids and pieces, which is broadcast; a vocabulary that is too large for it is joined with the ids of each chunk.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.bpe import Kept, byte_characters, lists
@@ -222,6 +223,18 @@ class Pieces(dict):
         raise ValueError(f"no piece has the id {i}")
 
 
+def known_pieces(spark: SparkSession, path: str) -> Broadcast[Pieces] | None:
+    """All pieces of a vocabulary that is small enough to be broadcast.
+
+    The ids of each chunk need no table then. Each task of words has some ids of each chunk, so before they
+    are made distinct their rows grow with tasks times chunks.
+    """
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return spark.sparkContext.broadcast(Pieces((i, piece) for piece, i in vocabulary.items())) if len(vocabulary) <= MOST_IDS else None
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids: id, ids array<int>, decoded string. As `encoded` and `decoded` in turn.
 
@@ -236,8 +249,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     numbered = stored(numbered_ids(words.select("chunk", F.posexplode("words").alias("number", "word")), path), "numbered")
     removed(words)
     let_go(docs.sparkSession)
-    pieces = ids_of_chunks(numbered).join(piece_table(docs.sparkSession, path), "id").select("chunk", "id", "piece")
-    found = numbered.unionByName(pieces, allowMissingColumns=True)
+    every = known_pieces(docs.sparkSession, path)
+    found = numbered if every else numbered.unionByName(ids_of_chunks(numbered).join(piece_table(docs.sparkSession, path), "id").select("chunk", "id", "piece"), allowMissingColumns=True)
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -249,8 +262,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ends, raw = (4 * np.cumsum(sizes)).tolist(), ids.tobytes()
             for n, begin, end in zip(numbers.tolist(), [0, *ends], ends):  # noqa: B905
                 ids_of[n] = raw[begin:end]
-        of_pieces = found.filter(pc.is_valid(found["id"]))
-        piece_of = Pieces(zip(of_pieces["id"].to_pylist(), of_pieces["piece"].to_pylist(), strict=True))
+        if every:
+            piece_of = every.value
+        else:
+            of_pieces = found.filter(pc.is_valid(found["id"]))
+            piece_of = Pieces(zip(of_pieces["id"].to_pylist(), of_pieces["piece"].to_pylist(), strict=True))
         ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, unpacked(raw, entries).tolist())), np.int32) for raw in rows["numbers"].to_pylist()]
         said = [" ".join(map(piece_of.__getitem__, x.tolist())) for x in ids]
         return pa.Table.from_arrays([rows["doc_id"], lists(ids), pa.array(said, pa.string())], schema=schema)

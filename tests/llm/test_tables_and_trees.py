@@ -269,3 +269,22 @@ def test_alignment_tables_hold_the_words_of_a_large_part():
     texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
     first, again = ([made.encode(t) for t in texts] for _ in range(2))
     assert first == again and len(calls) == len(words)
+
+
+@pytest.mark.parametrize("most", [word_table.MOST_IDS, 0], ids=["sent", "joined"])
+def test_round_trip_makes_no_rows_of_tasks_times_chunks(spark, monkeypatch, most):
+    """Ids of a chunk aren't made rows where the vocabulary is sent to the tasks; results are those of the join."""
+    monkeypatch.setattr(word_table, "MOST_IDS", most)
+    monkeypatch.setattr(word_table, "CHUNK", 50)
+    if most:
+        monkeypatch.setattr(word_table, "ids_of_chunks", None)
+    from tokenizers import Tokenizer
+
+    path = word_table.vocabulary_file()
+    library = Tokenizer.from_file(path)
+    texts = [f"Plain word {i}, naïve 東京 [UNK] </s>\n{'x' * i}" for i in range(40)] + ["", None]
+    rows = word_table.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path).collect()
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["ids"], r["decoded"]) == (ids, library.decode(ids, skip_special_tokens=False))
+    assert len(rows) == len(texts)
