@@ -42,13 +42,20 @@ def _sum(of: Column) -> Column:
 
 
 def tree(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """points: rid, root, v. Nodes (node, parent, size, center, radius, low, high, leaf) and the leaves' points (rid, node, block).
+    """Nodes and the leaves' points (rid, node, block), as in `grown`."""
+    nodes, leaves, _ = grown(points, leaf)
+    return nodes, leaves.select("rid", "node", "block")
 
-    Each value of `root` has a tree of its own. A node is a struct of root and path, six bits a level. `one` is
-    the same for all nodes.
+
+def grown(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int]:
+    """points: rid, root, v and more. Nodes (node, size, blocks, center, radius, low, high, leaf, next), the leaves' points (node, block, and all but root) and how many levels there are.
+
+    Each value of `root` has a tree of its own. A node is a struct of root and path, six bits a level. `next` has
+    a node's children, of a leaf the leaf itself, so to go down takes no join. `one` is the same for all nodes.
     """
-    held = points.select("rid", "v", F.struct("root", F.lit(1).cast("long").alias("path")).alias("node"))
-    nodes, leaves = [], []
+    own = [c for c in points.columns if c != "root"]
+    held = points.select(*own, F.struct("root", F.lit(1).cast("long").alias("path")).alias("node"))
+    nodes, levels = [], []
     for depth in range(DEPTH):
         summary = Summarizer.metrics("count", "mean", "variance", "min", "max").summary(array_to_vector(F.col("v").cast("array<double>")))
         of = held.groupBy("node").agg(summary.alias("s"))
@@ -65,35 +72,31 @@ def tree(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
         apart = _sum(F.zip_with("v", "center", lambda x, c: (x - c) * (x - c)))
         n = of.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(~F.col("leaf")).alias("open")).first()
         held = held.join(F.broadcast(near) if n["nodes"] <= FEW_NODES else near, "node")
-        held = held.select("rid", "v", "node", "leaf", "size", (F.col("node.path") * (1 << BITS) + side).alias("child"), apart.alias("apart")).checkpoint()
-        radius = held.groupBy("node").agg(F.sqrt(F.max("apart")).alias("radius"))
-        nodes.append(of.join(radius, "node").drop("split"))
-        block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / leaf)).cast("int")
-        leaves.append(held.filter("leaf").select("rid", "node", block.alias("block")))
+        held = held.select(*own, "node", "leaf", "size", (F.col("node.path") * (1 << BITS) + side).alias("child"), apart.alias("apart")).checkpoint()
+        nodes.append(of.drop("split"))
+        levels.append(held)
         if not n["open"]:
             break
-        held = held.filter("not leaf").select("rid", "v", F.struct("node.root", F.col("child").alias("path")).alias("node"))
-    every = reduce(DataFrame.unionByName, nodes).withColumns({"parent": F.struct("node.root", F.expr(f"node.path div {1 << BITS}").alias("path")), "one": F.lit(0)})
-    return every.checkpoint(), reduce(DataFrame.unionByName, leaves).checkpoint()
-
-
-def children(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("node.path > 1")
-
-
-def greedy(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """groups: a, center, start (a node), target. a and b: one leaf of each group's tree, reached by the child whose center's product is nearest to the target, or largest if that is null."""
-    of = groups.select("a", F.col("center").alias("ac"), "target")
-    kids = children(nodes).select("parent", F.col("node").alias("b"), F.col("center").alias("bc"), "leaf")
-    at = groups.select("a", F.col("start").alias("b")).join(nodes.select(F.col("node").alias("b"), "leaf"), "b").checkpoint()
-    done = [at.filter("leaf").select("a", "b")]
-    while not (rest := at.filter("not leaf").select("a", F.col("b").alias("parent"))).isEmpty():
-        product = _sum(F.zip_with("ac", "bc", lambda x, y: x * y))
-        good = F.when(F.col("target").isNull(), product).otherwise(-F.abs(product - F.col("target")))
-        best = rest.join(kids, "parent").join(of, "a").groupBy("a").agg(F.max_by(F.struct("b", "leaf"), F.struct(good, "b.path")).alias("x"))
-        at = best.select("a", "x.b", "x.leaf").checkpoint()
-        done.append(at.filter("leaf").select("a", "b"))
-    return reduce(DataFrame.unionByName, done)
+        held = held.filter("not leaf").select(*own, F.struct("node.root", F.col("child").alias("path")).alias("node"))
+    every = reduce(DataFrame.unionByName, levels)
+    below = every.groupBy("node").agg(F.sqrt(F.max("apart")).alias("radius"), F.collect_set(F.when(~F.col("leaf"), F.col("child"))).alias("kids"))
+    blocks = F.ceil(F.col("size") / leaf).cast("int")
+    kids = F.transform("kids", lambda c: F.struct(F.col("node.root").alias("root"), c.alias("path")))
+    made = reduce(DataFrame.unionByName, nodes).join(below, "node").withColumns({"next": F.when(F.col("leaf"), F.array("node")).otherwise(kids), "blocks": blocks, "one": F.lit(0)})
+    return made.drop("kids").checkpoint(), every.filter("leaf").select(*own, "node", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block")), len(levels)
+
+
+def greedy(groups: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """groups: a, a_blocks, center, start (a node), target. a, b, a_blocks, b_blocks: one leaf of each group's tree, reached by the child whose center's product is nearest to the target, or largest if that is null."""
+    known = nodes.select(F.col("node").alias("b"), F.col("center").alias("bc"), "next", F.col("blocks").alias("b_blocks"))
+    at = groups.select("a", "a_blocks", F.col("center").alias("ac"), "target", F.array("start").alias("next"))
+    product = _sum(F.zip_with("ac", "bc", lambda x, y: x * y))
+    good = F.when(F.col("target").isNull(), product).otherwise(-F.abs(product - F.col("target")))
+    for _ in range(levels):
+        each = at.select("a", "a_blocks", "ac", "target", F.explode("next").alias("b")).join(known, "b")
+        best = F.max_by(F.struct("b", "next", "b_blocks"), F.struct(good, "b.path")).alias("x")
+        at = each.groupBy("a").agg(*[F.first(c).alias(c) for c in ("a_blocks", "ac", "target")], best).select("a", "a_blocks", "ac", "target", "x.*")
+    return at.select("a", "b", "a_blocks", "b_blocks").checkpoint()
 
 
 def upward(limits: DataFrame) -> DataFrame:
@@ -115,44 +118,39 @@ def bounds(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(corners.min(axis=0).sum(axis=1), middle - reach) - slack, np.minimum(corners.max(axis=0).sum(axis=1), middle + reach) + slack
 
 
-def descended(a_nodes: DataFrame, b_nodes: DataFrame, limits: DataFrame, start: DataFrame) -> DataFrame:
-    """a, b: the pairs of leaves that may hold a score from `least` to `most` of their group, beginning with the pairs `start`."""
-    side = lambda nodes, s, *more: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("center", "radius", "low", "high", "leaf")], *more)
-    first, second = side(a_nodes.join(limits, "node"), "a", "least", "most"), side(b_nodes, "b")
-    kids = lambda nodes, s: children(nodes).select(F.col("parent").alias(s), F.col("node").alias(f"{s}_child"))
+def descended(a_nodes: DataFrame, b_nodes: DataFrame, start: DataFrame, levels: int) -> DataFrame:
+    """a, b, a_blocks, b_blocks: the pairs of leaves that may hold a score from `least` to `most` of their group (columns of a_nodes), beginning with the pairs `start`."""
+    side = lambda nodes, s, *more: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("center", "radius", "low", "high", "next", "blocks")], *more)
+    first, second = side(a_nodes, "a", "least", "most"), side(b_nodes, "b")
+    names = ["a", "b", "a_next", "b_next", "a_blocks", "b_blocks"]
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least, most = bounds(batch)
             kept = (most >= batch["least"].to_numpy()) & (least <= batch["most"].to_numpy())
-            yield batch.select(["a", "b", "a_leaf", "b_leaf"]).filter(pa.array(kept))
+            yield batch.select(names).filter(pa.array(kept))
 
-    held, done = start, []
-    while True:
+    held = start
+    for level in range(levels):
+        if level:  # a pair of leaves stays as it is
+            held = held.select(F.explode("a_next").alias("a"), "b_next").select("a", F.explode("b_next").alias("b")).repartition("a", "b")
         both = held.join(first, "a").join(second, "b")
-        schema = both.select("a", "b", "a_leaf", "b_leaf").schema
-        held = both.mapInArrow(keep, schema).checkpoint()
-        done.append(held.filter("a_leaf and b_leaf").select("a", "b"))
-        rest = held.filter("not (a_leaf and b_leaf)").select("a", "b")
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        rest = rest.join(kids(a_nodes, "a"), "a", "left").join(kids(b_nodes, "b"), "b", "left")
-        held = rest.select(F.coalesce("a_child", "a").alias("a"), F.coalesce("b_child", "b").alias("b"))
+        held = both.mapInArrow(keep, both.select(names).schema)
+    return held.select("a", "b", "a_blocks", "b_blocks").checkpoint()
 
 
 def answers(windows: DataFrame, pairs: DataFrame, points: DataFrame, k: int, same: bool) -> DataFrame:
     """class, w, score, vec_id, rid: of each window the k best points of the leaves that its leaf is paired with.
 
-    windows: a, block, class, label, v, w, lo, hi. points: b, block, rid, vec_id, label, v. A point answers
+    windows: a, block, class, label, v, w, lo, hi. pairs: a, b, a_blocks, b_blocks. points: b, block, rid, vec_id, label, v. A point answers
     if its label is the same, or another, and its score from lo to hi; higher scores come first, then smaller ids.
     The windows of a leaf travel to the blocks of candidates; a block that many ask for is dealt to several tasks.
     """
     packed = windows.groupBy("a", F.col("block").alias("a_block")).agg(F.collect_list(F.struct("class", "label", "v", "w", "lo", "hi")).alias("windows"))
-    asked = pairs.join(packed, "a").withColumn("part", F.xxhash64("a", "a_block")).drop("a", "a_block")
-    salts = pairs.join(packed.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").groupBy("b").agg(F.ceil(F.sum("n") / MEETING).cast("int").alias("salts"))
-    blocks = points.groupBy("b").agg(F.collect_set("block").alias("blocks")).join(salts, "b")
-    left = asked.join(blocks, "b").select("b", F.explode("blocks").alias("block"), F.pmod("part", "salts").cast("int").alias("salt"), "windows")
-    right = points.join(blocks.select("b", "salts"), "b").select(F.col("b").alias("of"), F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("of_salt"), "rid", "vec_id", "label", "v")
+    salts = pairs.groupBy("b").agg(F.ceil(F.sum("a_blocks") / MEETING).cast("int").alias("salts"))
+    asked = pairs.join(salts, "b").join(packed, "a").withColumn("salt", F.pmod(F.xxhash64("a", "a_block"), "salts").cast("int"))
+    left = asked.select("b", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)).alias("block"), "salt", "windows")
+    right = points.join(salts, "b").select(F.col("b").alias("of"), F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("of_salt"), "rid", "vec_id", "label", "v")
     made = "class long, w long, score long, vec_id long, rid long"
 
     def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
@@ -188,16 +186,16 @@ def best(windows: pa.Array, there: pa.Table, k: int, same: bool) -> pa.Table:
     return pa.table({"class": of("class").to_numpy()[w], "w": of("w").to_numpy()[w], "score": score, "vec_id": there["vec_id"].take(pa.array(r)), "rid": there["rid"].take(pa.array(r))}).combine_chunks()
 
 
-def search(windows: DataFrame, a_nodes: DataFrame, b_nodes: DataFrame, points: DataFrame, roots: Column, k: int, same: bool, target: Column) -> DataFrame:
+def search(windows: DataFrame, a_nodes: DataFrame, b_nodes: DataFrame, points: DataFrame, levels: tuple[int, int], roots: Column, k: int, same: bool, target: Column) -> DataFrame:
     """Two steps: a leaf of candidates for each leaf of anchors, then all pairs of leaves that may beat what that gave."""
-    of_leaf = windows.groupBy("a").agg(target.alias("target"))
-    leaves = a_nodes.filter("leaf").select(F.col("node").alias("a"), "center", F.struct(roots.alias("root"), F.lit(1).cast("long").alias("path")).alias("start")).join(of_leaf, "a")
-    first = answers(windows, greedy(leaves, b_nodes), points, k, same)
+    root = F.struct(roots.alias("root"), F.lit(1).cast("long").alias("path"))
+    leaves = a_nodes.filter("leaf").select(F.col("node").alias("a"), F.col("blocks").alias("a_blocks"), "center", root.alias("start")).join(windows.groupBy("a").agg(target.alias("target")), "a")
+    first = answers(windows, greedy(leaves, b_nodes, levels[1]), points, k, same)
     floor = first.groupBy("class", "w").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
     windows = windows.join(floor, ["class", "w"], "left").withColumn("lo", F.greatest("lo", "floor")).drop("floor").checkpoint()
-    limits = upward(windows.groupBy("a").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))).checkpoint()
-    start = a_nodes.filter("node.path = 1").select(F.col("node").alias("a"), F.struct(roots.alias("root"), F.lit(1).cast("long").alias("path")).alias("b"))
-    return answers(windows, descended(a_nodes, b_nodes, limits, start), points, k, same)
+    a_nodes = a_nodes.join(upward(windows.select("a", F.col("lo").alias("least"), F.col("hi").alias("most"))), "node").checkpoint()
+    start = a_nodes.filter("node.path = 1").select(F.col("node").alias("a"), root.alias("b"))
+    return answers(windows, descended(a_nodes, b_nodes, start, max(levels)), points, k, same)
 
 
 def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -221,21 +219,22 @@ def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVE
     of_class = W.partitionBy("label", "v").orderBy(F.asc_nulls_last("vec_id"), "rid")
     points = rows.withColumn("n", F.row_number().over(of_class)).filter(F.col("n") <= max(positives + 1, negatives)).drop("n", "anchor").checkpoint()
 
-    a_nodes, a_leaves = tree(classes.select("rid", F.col("label").alias("root"), "v"), GROUP)
-    asking = classes.join(a_leaves, "rid").select(F.col("node").alias("a"), "block", F.col("rid").alias("class"), "label", "v").checkpoint()
-    placed = lambda leaves: points.join(leaves, "rid").select(F.col("node").alias("b"), "block", "rid", "vec_id", "label", "v").checkpoint()
+    a_nodes, a_leaves, a_levels = grown(classes.select("rid", F.col("label").alias("root"), "label", "v"), GROUP)
+    asking = a_leaves.select(F.col("node").alias("a"), "block", F.col("rid").alias("class"), "label", "v")
+    placed = lambda leaves: leaves.select(F.col("node").alias("b"), "block", "rid", "vec_id", "label", "v")
 
-    p_nodes, p_leaves = tree(points.select("rid", F.col("label").alias("root"), "v"), LEAF)
+    p_nodes, p_leaves, p_levels = grown(points.withColumn("root", F.col("label")), LEAF)
     whole = asking.withColumns({"w": F.lit(0).cast("long"), "lo": F.lit(LEAST), "hi": F.lit(MOST)})
     # one more than asked for, since the anchor itself is among them
-    found = search(whole, a_nodes, p_nodes, placed(p_leaves), F.col("node.root"), positives + 1, True, F.first(F.lit(None).cast("double"))).checkpoint()
+    found = search(whole, a_nodes, p_nodes, placed(p_leaves), (a_levels, p_levels), F.col("node.root"), positives + 1, True, F.first(F.lit(None).cast("double"))).checkpoint()
+    del whole, p_nodes, p_leaves
+    let_go(rows.sparkSession)
 
-    n_nodes, n_leaves = tree(points.select("rid", F.lit(0).alias("root"), "v"), LEAF)
+    n_nodes, n_leaves, n_levels = grown(points.withColumn("root", F.lit(0)), LEAF)
     # so many percent of a score, rounded down or up, without its product
     share = lambda percent, up: F.expr(f"((score - pmod(score, 100)) div 100) * {percent} + (pmod(score, 100) * {percent} + {up}) div 100")
-    let_go(rows.sparkSession)
     asked = found.select("class", "score").distinct().select("class", F.col("score").alias("w"), share(low, 99).alias("lo"), share(high, 0).alias("hi")).filter("lo <= hi")
-    against = search(asking.join(asked, "class").checkpoint(), a_nodes, n_nodes, placed(n_leaves), F.col("one"), negatives, False, F.avg("hi"))
+    against = search(asking.join(asked, "class").checkpoint(), a_nodes, n_nodes, placed(n_leaves), (a_levels, n_levels), F.col("one"), negatives, False, F.avg("hi"))
     against = against.groupBy("class", F.col("w").alias("positive_score")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("negatives"))
 
     own = found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "rid", "vec_id", "score"))).alias("found"))

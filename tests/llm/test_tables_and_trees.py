@@ -261,6 +261,14 @@ def test_op12_as_sql(spark, duck):
     same(registry.QUERIES["op12_hard_negatives"](spark, SF).toPandas(), duck.execute(registry.ORACLE_SQL["op12_hard_negatives"]).df())
 
 
+def test_op12_takes_few_jobs(spark):
+    """Each job leaves its plan and metrics with the driver, whose memory grew with them; there were 164."""
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    registry.QUERIES["op12_hard_negatives"](spark, SF).collect()
+    assert jobs() - before <= 140
+
+
 def test_alignment_tables_hold_the_words_of_a_large_part():
     """140,000 distinct words are encoded once, though tables may turn between texts."""
     made, calls = align.PieceBpe(align.public_files()[1]), []
