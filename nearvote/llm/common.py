@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearvote.sources.shared import gone_at_exit, new_path, shared_dir, stored  # noqa: F401
+from nearvote.sources.shared import bucketed, gone_at_exit, new_path, shared_dir, stored  # noqa: F401
 
 #: Rows in an Arrow batch. Long texts are cut again by size inside the tasks.
 BATCH_ROWS = 256

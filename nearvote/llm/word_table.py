@@ -1,17 +1,19 @@
 """BPE by a table of distinct words: Spark splits texts into words, each distinct word is encoded once, ids are joined back by position.
 
-A text is a sequence of numbers in the word dictionary of its chunk (`lookup`). The words of all dictionaries
-are one table, sorted, in which each distinct word is encoded once with the tokenizers library's model. Ids go
-back to the dictionaries, and the word at each position of a text gives its ids. Decoding looks them up in the
-table of ids and pieces, which is broadcast; a vocabulary that is too large for it is joined with the ids of each chunk.
+A text is a sequence of numbers in the word dictionary of its chunk (`lookup`). A dictionary is cut into parts by
+the words' hashes, each sorted and packed; a part of all dictionaries meets in one task, where each distinct word is
+encoded once with the tokenizers library's model. Ids go back to the dictionaries, and the word at each position of
+a text gives its ids. The table of texts is dealt by chunk when it is written, so only packed words and ids are
+shuffled. Decoding looks ids up in the table of ids and pieces, which is broadcast; a vocabulary that is too large
+for it is joined with the ids of each chunk.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.bpe import Kept, byte_characters, lists
-from nearvote.llm.common import by_size, filled, let_go, removed, stored, table
+from nearvote.llm.common import bucketed, by_size, filled, let_go, partitions, stored, table
 from nearvote.llm.lookup import by_chunk, chunk_numbers, packed, unpacked
 from nearvote.llm.token_files import BEYOND, WORDS
 
@@ -29,6 +31,8 @@ from nearvote.llm.token_files import BEYOND, WORDS
 CHUNK = 16 << 20
 #: Pieces that a chunk keeps beside its words.
 PIECES = 1 << 17
+#: Parts of a dictionary: as many as shuffle partitions, and so many at most, that a part is worth packing.
+PARTS = 512
 #: Ids that a vocabulary may have to be broadcast: with its pieces a few MB.
 MOST_IDS = 1 << 18
 
@@ -106,18 +110,28 @@ def splitter(path: str) -> Splitter:
 
 
 def worded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each chunk a row for each document (chunk, doc_id, numbers) and one with its words (chunk, words). Stored."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))])
+    """Of each chunk a row for each document (chunk, doc_id, numbers), one for each part of its words (chunk, part, words), and one with the words' numbers in the order of the parts (chunk, part -1, numbers). Stored, dealt by chunk."""
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("part", pa.int32()), ("words", pa.binary())])
+    parts = min(PARTS, partitions(docs.sparkSession))
 
     def chunk(number: int, ids: list, numbers: list[bytes], words: Dictionary) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
+        import zstandard
+
+        n, entries = len(ids), len(words)
         # frequent words get small numbers, whose higher bytes take no room
-        often = np.argsort(-np.bincount(np.frombuffer(b"".join(numbers), np.int32), minlength=len(words)), kind="stable")
-        place, held = np.empty(len(words), np.int32), list(words)
-        place[often] = np.arange(len(words), dtype=np.int32)
-        packs = [packed(place[np.frombuffer(x, np.int32)], len(words)) for x in numbers]
-        yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(packs, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([[held[k] for k in often.tolist()]], pa.list_(pa.string()))], schema=schema)
+        often = np.argsort(-np.bincount(np.frombuffer(b"".join(numbers), np.int32), minlength=entries), kind="stable")
+        place = np.empty(entries, np.int32)
+        place[often] = np.arange(entries, dtype=np.int32)
+        packs = [packed(place[np.frombuffer(x, np.int32)], entries) for x in numbers]
+        yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(packs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        of_part: dict[int, list[str]] = {}
+        for word in words:
+            of_part.setdefault(zlib.crc32(word.encode()) % parts, []).append(word)
+        compress = zstandard.ZstdCompressor(level=9).compress
+        said = [compress("\n".join(sorted(of_part[k])).encode()) for k in sorted(of_part)]
+        order = packed(place[[words[w] for k in sorted(of_part) for w in sorted(of_part[k])]], entries)
+        m = len(said) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([number] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([order] + [None] * (m - 1), pa.binary()), pa.array([-1, *sorted(of_part)], pa.int32()), pa.array([None, *said], pa.binary())], schema=schema)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, numbered = splitter(path), chunk_numbers()
@@ -137,7 +151,7 @@ def worded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield from chunk(next(numbered), ids, numbers, words)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
-    return stored(rows.mapInArrow(work, "chunk long, doc_id long, numbers binary, words array<string>"), "words")
+    return bucketed(rows.mapInArrow(work, "chunk long, doc_id long, numbers binary, part int, words binary"), "words", "chunk", partitions(docs.sparkSession))
 
 
 _MODELS: dict[str, tuple] = {}
@@ -156,44 +170,40 @@ def model(path: str) -> tuple:
     return _MODELS[path]
 
 
-#: Entries of dictionaries that a task packs together.
-ENTRIES = 1 << 20
 ANY = 1 << 31
 
 
 def numbered_ids(words: DataFrame, path: str) -> DataFrame:
-    """chunk, numbers, sizes, ids (packed) of rows of chunk, number, word: for entries of a chunk's dictionary how many ids each has, and these one after another.
+    """chunk, part, sizes, ids (packed) of rows of chunk, part, words: how many ids each word has, and these one after another.
 
-    All rows of a word come together in one partition, where it is encoded once. A chunk has a word once, so no
-    word is hot: it has as many rows as there are chunks.
+    A part of all chunks comes together in one partition, where each distinct word is encoded once. A chunk has a
+    word once, so no word is hot; a task holds the distinct words of one part, and the entries of one row.
     """
-    schema = pa.schema([("chunk", pa.int64()), *((n, pa.binary()) for n in ("numbers", "sizes", "ids"))])
-
-    def flushed(held: dict[int, tuple[array, array, array]]) -> pa.RecordBatch:
-        columns = [[packed(np.array(x[k], np.int32), ANY) for x in held.values()] for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         bpe, special, letters = model(path)
-        last, ids, held, n = None, [], defaultdict(lambda: (array("i"), array("i"), array("i"))), 0
+
+        class Ids(dict):
+            def __missing__(self, word: str) -> bytes:
+                found = [special[word]] if word in special else [t.id for t in bpe.tokenize(word.encode().decode("latin-1").translate(letters))]
+                self[word] = raw = array("i", found).tobytes()
+                return raw
+
+        last, known = None, Ids()
         for batch in batches:
-            for word, chunk, number in zip(batch["word"].to_pylist(), batch["chunk"].to_pylist(), batch["number"].to_pylist(), strict=True):
-                if word != last:
-                    last = word
-                    ids = [special[word]] if word in special else [t.id for t in bpe.tokenize(word.encode().decode("latin-1").translate(letters))]
-                numbers, sizes, flat = held[chunk]
-                numbers.append(number)
-                sizes.append(len(ids))
-                flat.extend(ids)
-            n += batch.num_rows
-            if n >= ENTRIES:
-                yield flushed(held)
-                n = 0
-                held.clear()
-        if held:
-            yield flushed(held)
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(work, "chunk long, numbers binary, sizes binary, ids binary")
+            sizes, ids = [], []
+            for part, raw in zip(batch["part"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                if part != last:
+                    last, known = part, Ids()
+                found = [known[w] for w in zstandard.ZstdDecompressor().decompress(raw).decode().split("\n")]
+                sizes.append(packed(np.array([len(x) >> 2 for x in found], np.int32), ANY))
+                ids.append(packed(np.frombuffer(b"".join(found), np.int32), ANY))
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["part"], pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], schema=schema)
+
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(work, "chunk long, part int, sizes binary, ids binary")
 
 
 def ids_of_chunks(numbered: DataFrame) -> DataFrame:
@@ -243,25 +253,23 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     the memory of a task grows with the longest text.
     """
     chunks = worded(docs, path, id_col, text_col)
-    rows = stored(chunks.filter("words is null").select("chunk", "doc_id", "numbers"), "numbers")
-    words = stored(chunks.filter("words is not null").select("chunk", "words"), "dictionaries")
-    removed(chunks)
-    numbered = stored(numbered_ids(words.select("chunk", F.posexplode("words").alias("number", "word")), path), "numbered")
-    removed(words)
+    rows = chunks.filter("part is null or part < 0").select("chunk", "doc_id", "numbers", "part")
+    numbered = stored(numbered_ids(chunks.filter("part >= 0").select("chunk", "part", "words"), path), "numbered")
     let_go(docs.sparkSession)
     every = known_pieces(docs.sparkSession, path)
     found = numbered if every else numbered.unionByName(ids_of_chunks(numbered).join(piece_table(docs.sparkSession, path), "id").select("chunk", "id", "piece"), allowMissingColumns=True)
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
-        of_words = found.filter(pc.is_valid(found["numbers"]))
-        parts = [[unpacked(raw, ANY) for raw in of_words[c].to_pylist()] for c in ("numbers", "sizes", "ids")]
-        entries = sum(map(len, parts[0]))
+        heads = pc.is_valid(rows["part"])
+        order, rows = rows.filter(heads), rows.filter(pc.invert(heads))
+        of_words = found.filter(pc.is_valid(found["sizes"])).sort_by("part")
+        sizes, flat = (np.concatenate([np.zeros(0, np.int32), *(unpacked(raw, ANY) for raw in of_words[c].to_pylist())]) for c in ("sizes", "ids"))
+        entries, raw = len(sizes), flat.tobytes()
         ids_of: list[bytes] = [b""] * entries
-        for numbers, sizes, ids in zip(*parts, strict=True):
-            ends, raw = (4 * np.cumsum(sizes)).tolist(), ids.tobytes()
-            for n, begin, end in zip(numbers.tolist(), [0, *ends], ends):  # noqa: B905
-                ids_of[n] = raw[begin:end]
+        ends = (4 * np.cumsum(sizes, dtype=np.int64)).tolist()
+        for n, begin, end in zip(unpacked(order["numbers"][0].as_py(), entries).tolist(), [0, *ends], ends):  # noqa: B905
+            ids_of[n] = raw[begin:end]
         if every:
             piece_of = every.value
         else:

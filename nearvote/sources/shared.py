@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As `stored`, dealt by a column: what groups or joins by it later reads the table where it lies, without a shuffle."""
+    path, made = new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(made)
+    gone_at_exit(df.sparkSession, path)
+    found = df.sparkSession.table(made)
+    found.schema  # resolved, so the name isn't needed any more; files of a table with a path stay
+    df.sparkSession.sql(f"DROP TABLE {made}")
+    return found
+
+
 def gone_at_exit(spark: SparkSession, path: str) -> None:
     held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)

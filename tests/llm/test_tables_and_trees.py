@@ -296,3 +296,11 @@ def test_round_trip_makes_no_rows_of_tasks_times_chunks(spark, monkeypatch, most
         ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert (r["ids"], r["decoded"]) == (ids, library.decode(ids, skip_special_tokens=False))
     assert len(rows) == len(texts)
+
+
+def test_texts_of_chunks_are_not_shuffled(spark, docs, monkeypatch):
+    """They are dealt by chunk when they are written, so no second copy takes disk; the table leaves no name behind."""
+    monkeypatch.setattr(word_table, "CHUNK", 100)
+    plan = word_table.round_trip(docs, word_table.vocabulary_file())._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "numbers" not in "".join(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("words_")]
