@@ -68,6 +68,9 @@ class Kept:
     def joined(self, keys: list[str]) -> bytes:
         return b"".join(map(self.new.__getitem__, keys))
 
+    def each(self, keys: list[str]) -> list[bytes]:
+        return list(map(self.new.__getitem__, keys))
+
     def turn(self) -> None:
         if self.new.held > self.most:
             self.new.old = {}

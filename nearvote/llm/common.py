@@ -66,6 +66,19 @@ def by_size(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20)
             yield batch.slice(begun)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Put batches together until the texts of each hold `least` bytes, but for the last one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cuts_of(df: DataFrame, column: str, parts: int) -> list:
     """Up to parts - 1 values that cut the column into ranges of like row counts, to about a quarter.
 

@@ -16,10 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearvote.llm.bpe import LONG, Kept, byte_characters, in_parts
-from nearvote.llm.common import by_size, cuts_of, filled, gone_at_exit, new_path, partitions, range_of, table
+from nearvote.llm.common import by_size, cuts_of, filled, gathered, gone_at_exit, new_path, partitions, range_of, table
 
 #: Ids in a block; the longest code where that is long enough (see `longest_of`); ids in a chunk, about.
 BLOCK, LONGEST, CHUNK = 256, 16, 1 << 18
@@ -145,8 +146,14 @@ def unpacked(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, s
 #: What the tokenizer of lower-case words matches, and characters beyond those whose lower case is one plain character each.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Bytes that a generation of a table takes, about: of single words, of pieces of Latin letters, of other pieces.
+#: Texts that the table of Latin pieces doesn't serve, as Arrow's expressions have it.
+STRANGE = r"<\||[^\x00-\x{12f}\x{131}-\x{24f}]"
+#: What the pattern takes together behind a word; an apostrophe may begin a match of its own.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Bytes that a generation of a table takes, about: of words that aren't letters alone, of pieces of Latin letters, of other pieces.
 KEPT = 24 << 20, 128 << 20, 48 << 20
+#: Bytes of texts that are encoded together.
+TOGETHER = 4 << 20
 
 
 class WordBpe:
@@ -154,8 +161,9 @@ class WordBpe:
 
     White space is dropped, so a text is cut at spaces and line feeds. Pieces that a worker has met are
     taken from its table, else cut into words by the file's pattern; ids of new words come from the
-    library's model. Texts with other than Latin letters, or with what may be a special token, go
-    through the whole tokenizer piece by piece.
+    library's model. A word of letters is a piece too and kept as one, wherever it was met. Texts with
+    other than Latin letters, or with what may be a special token, go through the whole tokenizer piece
+    by piece. Of a column of texts each distinct piece is looked up once.
     """
 
     def __init__(self, path: str) -> None:
@@ -182,7 +190,9 @@ class WordBpe:
         """The ids of a piece. A single word is kept as a piece only."""
         if piece.isalpha():
             return self.word(piece)
-        return b"".join(map(self.known.one, self.split(piece)))
+        head = piece.rstrip(MARKS)
+        words = [head, piece[len(head) :]] if head.isalpha() else self.split(piece)
+        return b"".join([(self.latin if w.isalpha() else self.known).one(w) for w in words])
 
     def whole(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -193,6 +203,24 @@ class WordBpe:
             kept.turn()
         return self._encode(text) if len(text) <= LONG else b"".join(map(self._encode, in_parts(text)))
 
+    def encode_all(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each text of a column, as `encode`. Long texts and strange ones are encoded one by one."""
+        for kept in (self.known, self.latin, self.other):
+            kept.turn()
+        alone = pc.or_(pc.match_substring_regex(texts, STRANGE), pc.greater(pc.binary_length(texts), LONG))
+        plain = pc.replace_substring(pc.utf8_lower(texts.filter(pc.invert(alone))), "\n", " ")
+        # every text has a piece, be it the empty one
+        pieces = pc.split_pattern(plain, " ")
+        at = pieces.flatten().dictionary_encode()
+        ids = pa.array(self.latin.each(at.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(at.indices)
+        # the ids of a text's pieces lie one behind another, so only ends are taken anew
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64)]).take(np.cumsum([0, *pc.list_value_length(pieces).to_numpy()]))
+        joined = pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(ends.astype(np.int32)), ids.buffers()[2]])
+        if len(plain) == len(texts):
+            return joined
+        rest = iter(joined.to_pylist())
+        return pa.array([self.encode(t) if a else next(rest) for t, a in zip(texts.to_pylist(), alone.to_pylist(), strict=True)], pa.binary())
+
     def _encode(self, text: str) -> bytes:
         if "<|" in text or not text.isascii() and BEYOND.search(text):
             return self.other.joined(text.replace("\n", " ").split(" "))
@@ -216,9 +244,9 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end: int = E
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         last = array(bpe.code, [end]).tobytes()
-        for batch in by_size(batches, "text"):
-            ids = [bpe.encode(t) + last for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(b) // len(last) for b in ids], pa.int32()), pa.array(ids, pa.binary())], schema=schema)
+        for batch in gathered(by_size(batches, "text"), "text", TOGETHER):
+            ids = pc.binary_join_element_wise(bpe.encode_all(batch["text"]), pa.scalar(last, pa.binary()), pa.scalar(b"", pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pc.divide(pc.binary_length(ids), len(last)).cast(pa.int32()), ids], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text")).mapInArrow(work, "doc_id long, n int, ids binary")
 

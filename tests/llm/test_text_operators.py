@@ -260,6 +260,46 @@ def test_huffman_codes():
     assert int((token_files.code_lengths(counts).astype(np.int64) * counts).sum()) == cost
 
 
+def test_a_word_is_encoded_once_with_and_without_marks(monkeypatch):
+    import public_tokenizers
+
+    made, asked = token_files.WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    word = token_files.WordBpe.word
+    monkeypatch.setattr(made, "word", lambda w: asked.append(w) or word(made, w))
+    made.known.new.make = made.word
+    text = "horsebarn horsebarn, Horsebarn.\nhorsebarn's (horsebarn) horsebarn"
+    assert made.encode(text)
+    assert asked.count("horsebarn") == 1
+
+
+@pytest.mark.parametrize("long", [7, token_files.LONG])
+def test_columns_of_texts_are_encoded_as_the_library_does(monkeypatch, long):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "LONG", long)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    made, plain = token_files.WordBpe(path), Tokenizer.from_file(path)
+    latin = ["a", " ", "  ", "\n", "\t ", "'s", "'", "É", "ß", "1", "!!", ",", "_", "\x85", "\x1c", "\xa0", "The", " the", "\r\n", "x" * 50, "Ÿ", "ǆ", "²", "ª"]
+    for parts in (latin, [*latin, "日本", "İ", "\u0301", "\u3000", "<|x|>", "<|endoftext|>", "ſ", "Σ"]):
+        for _ in range(60):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(0, 40))]
+            got = made.encode_all(pa.array(["dropped", *texts], pa.string()).slice(1))
+            assert [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    every = [chr(c) for c in range(0x250) if chr(c) != "\u0130"]
+    got = made.encode_all(pa.array([f"{c} a{c} {c}B a{c}b" for c in every]))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()] == [plain.encode(f"{c} a{c} {c}B a{c}b", add_special_tokens=False).ids for c in every]
+
+
+def test_batches_are_put_together():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(["aa", None, "", "bbb", "c" * 9, "d"])]
+    assert [b["k"].to_pylist() for b in common.gathered(batches, "text", 5)] == [[0, 1, 2, 3], [4], [5]]
+    assert list(common.gathered([], "text", 5)) == []
+
+
 def test_token_files_of_all_rows(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
