@@ -9,6 +9,10 @@ Units are what likeness is taken from: every token with the four before it in it
 separates them, and every clause, which counts as much as four tokens. Each lane sums Cauchy numbers
 drawn by hash, so the median of the lanes' differences estimates how many units two texts don't share,
 each as often as it is repeated.
+
+Tokens and clauses are found in the code points of many texts at once, by classes of characters. Of a
+text and the edited one only what differs is looked at, and what it has from the next text is summed
+where that one is: each unit's numbers are added once, between places where a sum must begin or end.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ TOKEN = re.compile(rf"(?<![^\W{_UNSPACED}])[^\W{_UNSPACED}]{{1,24}}(?![^\W{_UNSP
 TOKEN_ASCII = re.compile(r"(?<!\w)\w{1,24}(?!\w)|[^\s\x1c-\x1f]", re.ASCII)
 #: Tokens before one that belong to its unit; how much a clause counts; the scale of the Cauchy numbers; units summed at once.
 BEFORE, CLAUSE_WEIGHT, SCALE, AT_ONCE = 4, 4, 8, 256
+#: Characters of a word that is one token; characters of texts that are taken apart together, about.
+LONGEST_WORD, TOGETHER = 24, 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,36 +60,136 @@ _FIRST, _SECOND = (
 )
 
 
+#: What ends a clause, besides the end of its line.
+_DELIMITER = np.zeros(0x110000, bool)
+_DELIMITER[[ord(c) for c in ".,;:!?|"]] = True
+#: What a byte adds to a CRC-32: that of one byte without the turning of bits at both ends.
+_STEP = np.array([zlib.crc32(bytes([b ^ 0xFF])) for b in range(256)], np.uint32) ^ np.uint32(0xFF000000)
+
+
 def tokens_of(paragraph: str) -> list[str]:
+    """The tokens as expressions have them; `found_in` has the same."""
     return (TOKEN_ASCII if paragraph.isascii() else TOKEN).findall(paragraph)
 
 
-def token_units(paragraphs: list[str]) -> np.ndarray:
-    """A 64-bit hash for each token of some paragraphs and the tokens before it in its own, BEFORE at most."""
-    return _token_units(paragraphs)[0]
+@cache
+def _classes() -> np.ndarray:
+    """Of each code point: 0 for white space, 1 for characters of words, 2 for others."""
+    every = "".join(map(chr, range(0x110000)))
+    found = np.full(len(every), 2, np.uint8)
+    for k, of in enumerate((r"\s+", rf"[^\W{_UNSPACED}]+")):
+        for m in re.finditer(of, every):
+            found[m.start() : m.end()] = k
+    return found
+
+
+def _crc32(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """zlib.crc32 of stretches of some bytes, each of one byte at least."""
+    if not len(begins):
+        return np.zeros(0, np.uint32)
+    order = np.argsort(-sizes.astype(np.int16), kind="stable")  # the longest ones first, so that those with a k-th byte stand together
+    at, state = begins[order], np.full(len(begins), 0xFFFFFFFF, np.uint32)
+    with_byte = len(begins) - np.cumsum(np.bincount(sizes))
+    for k, n in enumerate([len(begins), *with_byte[1:-1].tolist()]):
+        now = state[:n]
+        state[:n] = _STEP[(now & np.uint32(0xFF)) ^ raw[at[:n] + k]] ^ (now >> np.uint32(8))
+    found = np.empty_like(state)
+    found[order] = ~state
+    return found
+
 
+class Digests(dict):
+    """The hash of each clause, made once."""
 
-def _token_units(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Those, and how many each paragraph has."""
-    found = [tokens_of(p) for p in paragraphs]
-    sizes = np.array([len(t) for t in found], np.int64)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a token in its paragraph
-    h = _mixed(np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(found))), np.uint64, len(place)) + np.uint64(1))
+    def __missing__(self, clause: bytes) -> bytes:
+        self[clause] = found = hashlib.blake2b(clause, digest_size=8, person=b"clause").digest()
+        return found
+
+
+@dataclass(frozen=True)
+class Found:
+    """The units of some texts, one text behind another: their hashes, the code point of its text at which each ends, and where each text's begin, and the last one's end."""
+
+    units: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+
+    def of(self, text: int) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(self.bounds[text], self.bounds[text + 1])
+        return self.units[here], self.ends[here]
+
+    @staticmethod
+    def joined(parts: list[Found]) -> Found:
+        sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(x.bounds) for x in parts]])
+        return Found(np.concatenate([x.units for x in parts]), np.concatenate([x.ends for x in parts]), np.cumsum(sizes))
+
+
+def found_in(texts: list[str], digests: Digests | None = None) -> tuple[Found, Found]:
+    """The units of the tokens of texts, and those of their clauses. Lines of a text don't share units."""
+    digests, parts, begun, size = Digests() if digests is None else digests, [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= TOGETHER or i == len(texts) - 1:
+            parts.append(_found_in(texts[begun : i + 1], digests))
+            begun, size = i + 1, 0
+    if not parts:
+        return (Found(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)),) * 2
+    return tuple(Found.joined(list(p)) for p in zip(*parts, strict=True))
+
+
+def _found_in(texts: list[str], digests: Digests) -> tuple[Found, Found]:
+    joined = "\n".join(texts)
+    points, raw = np.frombuffer(joined.encode("utf-32-le"), "<u4"), joined.encode()
+    classes = _classes().take(points)
+    # words of up to 24 characters are tokens, characters of longer ones and others but white space are each one
+    word = np.zeros(len(points) + 2, np.int8)
+    word[1:-1] = classes == 1
+    turns = np.flatnonzero(word[1:] != word[:-1])
+    first, size = turns[::2], turns[1::2] - turns[::2]
+    sizes = np.zeros(len(points), np.uint8)
+    sizes[classes == 2] = 1
+    short = size <= LONGEST_WORD
+    sizes[first[short]] = size[short]
+    for a, n in zip(first[~short].tolist(), size[~short].tolist(), strict=True):
+        sizes[a : a + n] = 1
+    begins = np.flatnonzero(sizes)
+    sizes = sizes.take(begins).astype(np.int64)
+    ends = begins + sizes
+    at, to = begins, ends  # in bytes
+    if len(raw) > len(points):
+        places = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+        at, to = places.take(begins), places.take(ends)
+    h = _mixed(_crc32(np.frombuffer(raw, np.uint8), at, to - at).astype(np.uint64) + np.uint64(1))
+    lines = np.diff(np.searchsorted(begins, np.concatenate([[0], np.flatnonzero(points == 10) + 1, [len(points)]])))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(lines) - lines, lines)  # of a token in its line
     units = h.copy()
     for k in range(1, min(BEFORE, len(h) - 1) + 1):
         units[k:] += np.where(place[k:] >= k, h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64), np.uint64(0))
-    return _mixed(units), sizes
+    # a clause is a run of tokens in a line without a delimiter, which is always a token of its own
+    inside = ~_DELIMITER.take(points.take(begins))
+    new = inside & (place == 0)
+    new[1:] |= inside[1:] & ~inside[:-1]
+    done = inside.copy()
+    done[:-1] &= ~inside[1:] | (place[1:] == 0)
+    new, done = np.flatnonzero(new), np.flatnonzero(done)
+    clauses = np.frombuffer(b"".join([digests[raw[a:b]] for a, b in zip(at.take(new).tolist(), to.take(done).tolist(), strict=True)]), "<u8")
+    begun = np.cumsum([0, *[len(t) + 1 for t in texts]])  # of each text
 
+    def found(units: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Found:
+        bounds = np.searchsorted(begins, begun)
+        return Found(units, ends - np.repeat(begun[:-1], np.diff(bounds)), bounds)
 
-def clause_units(paragraphs: list[str]) -> np.ndarray:
-    """A 64-bit hash for each clause of some paragraphs."""
-    return _clause_units(paragraphs)[0]
+    return found(_mixed(units), begins, ends), found(clauses, begins.take(new), ends.take(done))
+
+
+def token_units(paragraphs: list[str]) -> np.ndarray:
+    """A 64-bit hash for each token of some paragraphs and the tokens before it in its own, BEFORE at most."""
+    return found_in(paragraphs)[0].units
 
 
-def _clause_units(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [CLAUSE.findall(p) for p in paragraphs]
-    units = np.frombuffer(b"".join([hashlib.blake2b(c.encode(), digest_size=8, person=b"clause").digest() for p in found for c in p]), "<u8")
-    return units, np.array([len(p) for p in found], np.int64)
+def clause_units(paragraphs: list[str]) -> np.ndarray:
+    """A 64-bit hash for each clause of some paragraphs."""
+    return found_in(paragraphs)[1].units
 
 
 @dataclass(frozen=True)
@@ -96,7 +202,7 @@ class Units:
 
     @staticmethod
     def of(paragraphs: list[str]) -> Units:
-        return Units(paragraphs, _token_units(paragraphs), _clause_units(paragraphs))
+        return Units(paragraphs, *((x.units, np.diff(x.bounds)) for x in found_in(paragraphs)))
 
     def after(self, paragraphs: int) -> tuple[np.ndarray, np.ndarray]:
         """The units behind the first so many paragraphs."""
@@ -120,6 +226,24 @@ def lanes_of(units: np.ndarray) -> np.ndarray:
     return like
 
 
+def lanes_between(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """`lanes_of` the units between each bound and the next; bounds ascend from 0 to the number of units."""
+    like = np.zeros((len(bounds) - 1, LIKE), np.uint32)
+    first, second = (units & np.uint64(0xFFFF)).astype(np.intp), ((units >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.intp)
+    # what lies between two bounds and is summed at once
+    cuts = np.union1d(bounds, np.arange(0, len(units), AT_ONCE))
+    begins, sums = cuts[:-1].tolist(), np.searchsorted(bounds, cuts[:-1], "right") - 1
+    held = -1
+    for a, b, to in zip(begins, cuts[1:].tolist(), sums.tolist(), strict=True):
+        if a // AT_ONCE != held:
+            held = a // AT_ONCE
+            here = slice(held * AT_ONCE, (held + 1) * AT_ONCE)
+            numbers = _FIRST[first[here]]
+            numbers += _SECOND[second[here]]
+        like[to] += np.add.reduce(numbers[a - here.start : b - here.start], axis=0, dtype=np.uint32)
+    return like
+
+
 def whole_lanes(paragraphs: list[str]) -> np.ndarray:
     """The lanes of paragraphs as they stand, summed."""
     return np.frombuffer(b"".join([hashlib.blake2b(p.encode(), person=b"paragraph").digest() for p in paragraphs]), "<u4").reshape(-1, EXACT).sum(axis=0, dtype=np.uint32)
@@ -179,6 +303,75 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, max(0.0, 1.0 - apart / size)) if size else 0.0
 
 
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`likeness` of the rows of two arrays of fingerprints."""
+    size = a[:, EXACT].astype(np.int64) + b[:, EXACT]
+    apart = np.median(np.abs((a - b)[:, EXACT + 1 :].view(np.int32).astype(np.float64)), axis=1) / SCALE
+    found = np.where(size > 0, np.clip(1.0 - apart / np.maximum(size, 1), 0.0, 1.0), 0.0)
+    return np.where((a == b).all(axis=1), 1.0, found)
+
+
+def edits(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of texts each of which the next one follows: the edited texts and their fingerprints of all but the last, and the fingerprints of all."""
+    cuts = [len(t) - len(t) // 3 for t in texts[:-1]]
+    after = [t[:c] + following[: len(t) - c] for t, c, following in zip(texts[:-1], cuts, texts[1:], strict=True)]
+    # lines are the same up to that of the cut
+    lines = [t.rfind("\n", 0, c) + 1 for t, c in zip(texts[:-1], cuts, strict=True)]
+    digests = Digests()
+    have, tails = found_in(texts, digests), found_in([a[p:] for a, p in zip(after, lines, strict=True)], digests)
+    whole = [(whole_lanes(paragraphs_of(t[: p - 1]) if p > 1 else [""] * p), whole_lanes(t[p:].split("\n") if t else []), whole_lanes(a[p:].split("\n") if a else [])) for t, a, p in zip(texts[:-1], after, lines, strict=True)]
+    made = np.zeros((len(texts), EXACT + 1 + LIKE), np.uint32)
+    for i, (w, gone, _) in enumerate(whole):
+        made[i, :EXACT] = w + gone
+    made[-1, :EXACT] = whole_lanes(paragraphs_of(texts[-1]))
+    other = made[:-1].copy()
+    for i, (_, gone, new) in enumerate(whole):
+        other[i, :EXACT] += new - gone
+    for weight, of, tail in zip((1, CLAUSE_WEIGHT), have, tails, strict=True):
+        # of each text: the unit at which what the edit removes begins; the units that the edited text before it has from it
+        gone, shared = of.bounds[1:].copy(), np.repeat(of.bounds[:-1, None], 2, axis=1)
+        rest, sizes = [], []
+        for i, (c, p) in enumerate(zip(cuts, lines, strict=True)):
+            (units, ends), (new, new_ends), (following, following_ends) = of.of(i), tail.of(i), of.of(i + 1)
+            begun = int(np.searchsorted(ends, p, "right"))
+            same = common_beginning(units[begun:], new)
+            gone[i] = of.bounds[i] + begun + same
+            x, y, n = in_common(new[same:], new_ends[same:] + (p - c), following, following_ends)
+            shared[i + 1] = of.bounds[i + 1] + y, of.bounds[i + 1] + y + n
+            rest += [new[same : same + x], new[same + x + n :]]
+            sizes.append(len(new) - same - n)
+        bounds = np.sort(np.concatenate([of.bounds, gone, shared.ravel()]))
+        sums = np.concatenate([np.zeros((1, LIKE), np.uint32), np.cumsum(lanes_between(of.units, bounds), axis=0, dtype=np.uint32)])
+        until = lambda at: sums[np.searchsorted(bounds, at)]  # noqa: B023, E731
+        more = lanes_between(np.concatenate([np.zeros(0, np.uint64), *rest]), np.cumsum([0, *sizes]))
+        all_of = until(of.bounds[1:]) - until(of.bounds[:-1])
+        fewer = until(of.bounds[1:-1]) - until(gone[:-1])
+        taken = until(shared[1:, 1]) - until(shared[1:, 0])
+        made[:, EXACT + 1 :] += np.uint32(weight) * all_of
+        other[:, EXACT + 1 :] += np.uint32(weight) * (all_of[:-1] - fewer + taken + more)
+        number = np.diff(of.bounds)
+        made[:, EXACT] += (weight * number).astype(np.uint32)
+        new_number = gone[:-1] - of.bounds[:-2] + shared[1:, 1] - shared[1:, 0] + np.array(sizes, np.int64)
+        other[:, EXACT] += (weight * new_number).astype(np.uint32)
+    return after, other, made
+
+
+def in_common(new: np.ndarray, new_ends: np.ndarray, old: np.ndarray, old_ends: np.ndarray) -> tuple[int, int, int]:
+    """Where units that end at the same places begin to be the same ones, in `new` and in `old`, and how many are, one behind another.
+
+    A unit reaches back over few tokens, so behind a cut the same ones begin soon or not at all.
+    """
+    a = int(np.searchsorted(new_ends, 1))
+    some = slice(a, a + 4 * BEFORE)
+    at = np.searchsorted(old_ends, new_ends[some])
+    near = np.minimum(at, len(old) - 1)
+    same = np.flatnonzero((old_ends[near] == new_ends[some]) & (old[near] == new[some])) if len(old) else at[:0]
+    if not len(same):
+        return len(new), 0, 0
+    x, y = a + int(same[0]), int(near[same[0]])
+    return x, y, common_beginning(new[x:], old[y:])
+
+
 def written(of: np.ndarray) -> str:
     return base64.b64encode(of.astype("<u4").tobytes()).decode()
 
@@ -234,21 +427,19 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # id, text, units and fingerprint of the row that still lacks its next one
-        for batch in batches:
-            out = []
-            for i, text, ahead in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["ahead"].to_pylist(), strict=True):
-                if ahead and last is None:
-                    continue
-                units = Units.of(paragraphs_of(text))
-                made = units.vectors()
-                if last is not None:
-                    of, k = last[3], len(last[1]) // 3
-                    after = last[1][: len(last[1]) - k] + text[:k]
-                    other = edited_fingerprint(of, last[2], after)
-                    out.append((last[0], len(last[1]), hashlib.sha256(after.encode()).hexdigest(), written(of), written(other), likeness(of, other), likeness(of, made)))
-                last = None if ahead else (i, text, units, made)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        last: list[tuple] = []  # id and text of the row that still lacks its next one
+        for batch in by_size(batches, "text"):
+            rows = [*last, *zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["ahead"].to_pylist(), strict=True)]
+            # rows ahead stand at the end; only the first of them follows a row, if there is one
+            own = sum(not r[2] for r in rows)
+            rows = rows[: own + 1] if own else []
+            last = rows[-1:] if own == len(rows) else []
+            ids, texts = [r[0] for r in rows[:-1]], [r[1] for r in rows]
+            if not ids:
+                continue
+            after, other, of = edits(texts)
+            columns = ids, [len(t) for t in texts[:-1]], [hashlib.sha256(a.encode()).hexdigest() for a in after], [written(x) for x in of[:-1]], [written(x) for x in other], likenesses(of[:-1], other), likenesses(of[:-1], of[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     made = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_descending_order(docs, id_col, text_col).mapInArrow(work, made).withColumnRenamed("id", id_col)

@@ -189,6 +189,73 @@ def test_both_token_patterns_agree_on_ascii():
         assert fingerprints.TOKEN_ASCII.findall(text) == fingerprints.TOKEN.findall(text)
 
 
+STRANGE = ["a", "Zz", "9", "_", " ", "\t", "\x1c", "\x1f", ".", "-", "w" * 24, "w" * 25, "é" * 24, "é" * 25, "\x00", "\r", "\n", "\n\n", "é", "日本", "ไทย", "\U0001f600", "|", ", ", "\u3000", "\x85", "one two three ", "four five six "]
+
+
+def strange_texts(seed, most=12):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(STRANGE) for _ in range(rng.choice([0, 1, 2, 3, 5, 20, 60]))) for _ in range(rng.randint(2, most))]
+    return texts if seed % 3 else [rng.choice(texts) for _ in texts]
+
+
+def test_units_are_those_of_the_expressions(monkeypatch):
+    for together in (1, 50, fingerprints.TOGETHER):
+        monkeypatch.setattr(fingerprints, "TOGETHER", together)
+        for seed in range(60):
+            texts = strange_texts(seed)
+            tokens, clauses = fingerprints.found_in(texts)
+            for i, text in enumerate(texts):
+                want, said = [], []
+                for line in text.split("\n"):
+                    h = [int(fingerprints._mixed(np.array([zlib.crc32(t.encode()) + 1], np.uint64))[0]) for t in fingerprints.tokens_of(line)]
+                    want += [(h[j] + sum(h[j - k] * (0x9E3779B97F4A7C15 * (2 * k + 1)) for k in range(1, min(j, fingerprints.BEFORE) + 1))) % 2**64 for j in range(len(h))]
+                    said += [hashlib.blake2b(c.encode(), digest_size=8, person=b"clause").digest() for c in fingerprints.CLAUSE.findall(line)]
+                assert tokens.of(i)[0].tolist() == fingerprints._mixed(np.array(want, np.uint64)).tolist()
+                assert clauses.of(i)[0].tobytes() == b"".join(said)
+                assert all((np.diff(x.of(i)[1]) > 0).all() and (x.of(i)[1] <= len(text)).all() for x in (tokens, clauses))
+
+
+def test_edits_are_those_of_whole_texts():
+    for seed in range(150):
+        texts = strange_texts(seed)
+        after, other, made = fingerprints.edits(texts)
+        assert after == [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts[:-1], texts[1:], strict=True)]
+        for got, of in ((made, texts), (other, after)):
+            assert np.array_equal(got, [fingerprints.fingerprint(t) for t in of])
+        for a, b in ((made[:-1], other), (made[:-1], made[1:])):
+            assert fingerprints.likenesses(a, b).tolist() == [fingerprints.likeness(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_numbers_of_a_unit_are_added_once(monkeypatch):
+    """Neither what an edit removes nor what it takes from the next text is summed again."""
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.n = of, 0
+
+        def __getitem__(self, at):
+            self.n += len(at)
+            return self.of[at]
+
+    class Rows:  # a partition of them
+        def mapInArrow(self, work, _):
+            texts = ["\n".join(", ".join(f"word{i} is of line {k}" for i in range(9)) for k in range(j, j + 30)) for j in range(0, 400, 40)]
+            self.units = sum(len(f(fingerprints.paragraphs_of(t))) for t in texts for f in (fingerprints.token_units, fingerprints.clause_units))
+            batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts), 0, -1)), "text": texts, "ahead": [False] * (len(texts) - 1) + [True]})
+            self.rows = sum(b.num_rows for b in work(iter([batch])))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    numbers = Counted(fingerprints._FIRST)
+    monkeypatch.setattr(fingerprints, "_FIRST", numbers)
+    monkeypatch.setattr(fingerprints, "in_descending_order", lambda *_: Rows())
+    got = fingerprints.edited(None)
+    assert got.rows == 9 and got.units <= numbers.n <= 1.1 * got.units
+
+
 def test_repeated_paragraphs_do_not_cancel_out():
     assert not np.array_equal(fingerprints.fingerprint("a\n" * 2**16 + "b"), fingerprints.fingerprint("b"))
 
