@@ -87,7 +87,7 @@ def _crc32(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray
     """zlib.crc32 of stretches of some bytes, each of one byte at least."""
     if not len(begins):
         return np.zeros(0, np.uint32)
-    order = np.argsort(-sizes.astype(np.int16), kind="stable")  # the longest ones first, so that those with a k-th byte stand together
+    order = np.argsort(-sizes.astype(np.int16), kind="stable").astype(np.int32 if len(sizes) < 1 << 31 else np.int64)  # the longest ones first, so that those with a k-th byte stand together
     at, state = begins[order], np.full(len(begins), 0xFFFFFFFF, np.uint32)
     with_byte = len(begins) - np.cumsum(np.bincount(sizes))
     for k, n in enumerate([len(begins), *with_byte[1:-1].tolist()]):
@@ -153,18 +153,24 @@ def _found_in(texts: list[str], digests: Digests) -> tuple[Found, Found]:
     for a, n in zip(first[~short].tolist(), size[~short].tolist(), strict=True):
         sizes[a : a + n] = 1
     begins = np.flatnonzero(sizes)
-    sizes = sizes.take(begins).astype(np.int64)
-    ends = begins + sizes
+    ends = begins + sizes.take(begins)
+    del classes, word, sizes, turns, first, size, short
     at, to = begins, ends  # in bytes
     if len(raw) > len(points):
-        places = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+        widths = np.ones(len(points), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            widths += points >= least
+        places = np.zeros(len(points) + 1, np.int32 if len(raw) < 1 << 31 else np.int64)
+        np.cumsum(widths, out=places[1:])
         at, to = places.take(begins), places.take(ends)
+        del widths, places
     h = _mixed(_crc32(np.frombuffer(raw, np.uint8), at, to - at).astype(np.uint64) + np.uint64(1))
     lines = np.diff(np.searchsorted(begins, np.concatenate([[0], np.flatnonzero(points == 10) + 1, [len(points)]])))
     place = np.arange(len(h)) - np.repeat(np.cumsum(lines) - lines, lines)  # of a token in its line
     units = h.copy()
     for k in range(1, min(BEFORE, len(h) - 1) + 1):
-        units[k:] += np.where(place[k:] >= k, h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64), np.uint64(0))
+        units[k:] += h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) * (place[k:] >= k)
+    del h
     # a clause is a run of tokens in a line without a delimiter, which is always a token of its own
     inside = ~_DELIMITER.take(points.take(begins))
     new = inside & (place == 0)
